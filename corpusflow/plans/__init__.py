@@ -1 +1,16 @@
+"""Registered queries by inventory name."""
 
+from corpusflow.plans import q_corpus  # noqa: F401
+from corpusflow.plans.catalog import QUERIES, SQL
+
+
+def all_queries():
+    return dict(QUERIES)
+
+
+def all_sql():
+    return dict(SQL)
+
+
+def flagship(spark, sf_dir):
+    return QUERIES["TPL-01"](spark, sf_dir)
