@@ -118,8 +118,8 @@ def align_sharegpt(df: DataFrame, spec: DatasetSpec, keep: Sequence[str] = (), m
     ).cast(MESSAGES)
     result = stage.withColumn("_a", aligned).select(
         *keep,
-        F.slice("_a", F.lit(1), F.size("_a") - 1).alias("prompt"),
-        F.slice("_a", F.size("_a"), F.lit(1)).alias("response"),
+        F.slice("_a", F.lit(1), F.greatest(F.size("_a") - 1, F.lit(0))).alias("prompt"),
+        F.slice("_a", -1, 1).alias("response"),
         "system",
         "tools",
         *([ok.alias("valid")] if mode == "quarantine" else []),

@@ -195,9 +195,7 @@ def pack(df: DataFrame, arrays: Sequence[str], batch: str, order: str, block: in
         ).alias("piece"),
     )
     blocks = pieces.groupBy(batch, "block").agg(F.array_sort(F.collect_list("piece")).alias("_p"))
-    blocks = blocks.select(
-        batch, "block", *[F.flatten(F.transform("_p", lambda p, a=a: p[a])).alias(a) for a in arrays]
-    )
+    blocks = blocks.select(batch, "block", *[F.flatten(F.col("_p").getField(a)).alias(a) for a in arrays])
     return blocks.where(F.size(lead) == block)
 
 

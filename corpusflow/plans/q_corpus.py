@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusflow.functions import render as R
 from corpusflow.functions.strings import append_eos, join_corpus, layer_of
@@ -596,5 +595,3 @@ def layer_numbers(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("model.layers."), F.col("l_linenumber").cast("string"), F.lit(".mlp.weight"))
     return li.select("l_orderkey", "l_linenumber", layer_of(name).alias("layer"))
 
-
-_ = T
