@@ -1,6 +1,6 @@
 """Registered queries by inventory name."""
 
-from corpusflow.plans import q_corpus, q_examples  # noqa: F401
+from corpusflow.plans import q_corpus, q_examples, q_scores, q_streams  # noqa: F401
 from corpusflow.plans.catalog import QUERIES, SQL
 
 

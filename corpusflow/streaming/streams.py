@@ -97,27 +97,23 @@ class _RetainProcessor(StatefulProcessor):
         names = self.schema.fieldNames()
         rank = lambda r: tuple(r[names.index(o)] for o in self.order)
         pool = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
-        evicted = 0
         room = max(4 * (self.start + self.recent), 1024)
         for row in rows:
             seen += 1
             pool.append(tuple(row[n] for n in names))
             if len(pool) > self.start + self.recent + room:
-                pool, gone = self._trim(pool, rank)
-                evicted += gone
-        pool, gone = self._trim(pool, rank)
-        evicted += gone
+                pool = self._trim(pool, rank)
+        pool = self._trim(pool, rank)
         self.kept.put([Row(*r) for r in pool])
         self.meta.update((version + 1, seen))
+        emitted = Row(*names, "version", "seen", "evicted")
         for r in pool:
-            yield Row(*r, version + 1, seen, seen - len(pool))
+            yield emitted(*r, version + 1, seen, seen - len(pool))
 
-    def _trim(self, pool: list[tuple], rank) -> tuple[list[tuple], int]:
+    def _trim(self, pool: list[tuple], rank) -> list[tuple]:
         if len(pool) <= self.start + self.recent:
-            return pool, 0
-        head = heapq.nsmallest(self.start, pool, key=rank)
-        tail = heapq.nlargest(self.recent, pool, key=rank)
-        return head + tail, len(pool) - self.start - self.recent
+            return pool
+        return heapq.nsmallest(self.start, pool, key=rank) + heapq.nlargest(self.recent, pool, key=rank)
 
     def close(self) -> None:
         pass
