@@ -21,7 +21,8 @@ from corpusflow.operators.align import align_alpaca
 from corpusflow.operators.ordering import id_chunk, running_total
 from corpusflow.plans.catalog import CHAT_SQL, aligned_chats, query, ranking_rows, table, tokens_sql
 from corpusflow.schema import IGNORE
-from corpusflow.session import written
+from corpusflow.session import scratch_path, written
+from corpusflow.sources.sinks import write_examples
 
 VOCAB, CUTOFF, BLOCK, BATCH_ROWS = 2000, 200, 256, 100
 SPECIALS = ["<unk>", "</s>", "<s>"]
@@ -600,3 +601,11 @@ def shuffled_whole(spark: SparkSession, sf: str) -> DataFrame:
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
     return M.calibration_sample(table(spark, sf, "documents").select("doc_id"), "doc_id", 128, 4, id_chunk("doc_id"))
 
+
+
+@query("SNK-05", f"SELECT doc_id, len({tokens_sql('text')}) AS n, 'documents' AS kind FROM documents")
+def saved_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokenised documents written as examples and read back."""
+    path = scratch_path(spark, "examples")
+    write_examples(doc_tokens(spark, sf).select("doc_id", F.size("tokens").alias("n")), path)
+    return spark.read.schema("doc_id long, n int").parquet(path).withColumn("kind", F.lit("documents"))
