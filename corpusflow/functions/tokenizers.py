@@ -19,9 +19,20 @@ UNK = "<unk>"
 Tokenizer = Callable[[Column], Column]
 
 
+def explode_tokens(df: DataFrame, tokens: str, keep: Sequence[str] = (), token: str = "token", pos: str | None = None) -> DataFrame:
+    """One row per token.
+
+    The outer form with a filter on its result: for the plain one Spark infers ``size(tokens) > 0`` and pushes it to the
+    scan, where it would tokenise every text a second time.
+    """
+    if pos is None:
+        return df.select(*keep, F.explode_outer(tokens).alias(token)).where(F.col(token).isNotNull())
+    return df.select(*keep, F.posexplode_outer(tokens).alias(pos, token)).where(F.col(pos).isNotNull())
+
+
 def whitespace(text: Column) -> Column:
     """Maximal runs of non-blank characters."""
-    trimmed = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    trimmed = F.btrim(text, F.lit(SPACE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
 
 
@@ -72,7 +83,7 @@ def build_vocab(df: DataFrame, tokens: str, size: int, specials: Sequence[str] =
     ``size`` bounds the result, so numbering it in one task is bounded too; counting is partial then final.
     """
     specials = list(dict.fromkeys(specials))
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = explode_tokens(df, tokens).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     if specials:
         counts = counts.where(~F.col("token").isin(specials))
     top = counts.orderBy(F.desc("n"), "token").limit(max(size - len(specials), 0))
@@ -128,7 +139,8 @@ def to_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str, unk: str = UN
 
         return _arrow_list_map(col, ids_of)
 
-    return df.withColumn(out, lookup(F.col(tokens)))
+    # Declared non-deterministic, so that no filter on the ids is pushed below the look-up and evaluates it again.
+    return df.withColumn(out, lookup.asNondeterministic()(F.col(tokens)))
 
 
 def to_ids_by_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, unk: str = UNK, salts: int = 64):
@@ -136,11 +148,8 @@ def to_ids_by_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out:
     rows is spread over ``salts`` copies of its vocabulary entry.
     """
     spark = df.sparkSession
-    distinct = df.select(
-        key,
-        F.explode(F.array_distinct(tokens)).alias("token"),
-        F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt"),
-    )
+    distinct = explode_tokens(df.select(key, F.array_distinct(tokens).alias("_distinct")), "_distinct", [key])
+    distinct = distinct.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     salted = vocab.select("token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     default = vocab.where(F.col("token") == unk).select("token_id")
     ids = (

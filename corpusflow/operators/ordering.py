@@ -113,27 +113,36 @@ def running_total(
 
 
 def running_totals(
-    df: DataFrame, values: dict[str, str], by: Sequence[str], order: Sequence[str], chunk: Column, exclusive: bool = False
+    df: DataFrame,
+    values: dict[str, str],
+    by: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    exclusive: bool = False,
+    mostly_short: bool = False,
 ) -> DataFrame:
-    """Several running sums (output name -> input column) with one shuffle of the rows."""
+    """Several running sums (output name -> input column) with one shuffle of the rows.
+
+    ``mostly_short`` says that few groups have more than one chunk: the bases of later chunks are then written once and,
+    if few, broadcast.
+    """
     by = list(by)
     tagged = df.withColumn("_chunk", chunk)
     sums = tagged.groupBy(*by, "_chunk").agg(*[F.sum(v).alias(f"_s_{o}") for o, v in values.items()])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(
-        *by, "_chunk", *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in values]
-    )
+    bases = sums.select(*by, "_chunk", *[F.sum(f"_s_{o}").over(before).alias(f"_b_{o}") for o in values])
+    bases = bases.where(F.coalesce(*[F.col(f"_b_{o}") for o in values]).isNotNull())  # first chunks start from nothing
+    if mostly_short:
+        bases = broadcast_if_small(written(bases, "bases"))
     w = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = tagged.join(bases, [*by, "_chunk"])
-    result = joined.select(
-        *df.columns,
-        *[
-            (F.sum(v).over(w) + F.col(f"_b_{o}") - (F.col(v) if exclusive else F.lit(0))).alias(o)
-            for o, v in values.items()
-        ],
-    )
-    return result
+    joined = tagged.join(bases, [*by, "_chunk"], "left")
+
+    def total(o: str, v: str) -> Column:
+        value = F.sum(v).over(w) + F.coalesce(F.col(f"_b_{o}"), F.lit(0))
+        return (value - F.col(v) if exclusive else value).alias(o)
+
+    return joined.select(*df.columns, *[total(o, v) for o, v in values.items()])
 
 
 def previous_value(

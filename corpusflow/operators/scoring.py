@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions.tokenizers import explode_tokens
 from corpusflow.operators.ordering import previous_value, running_totals
 from corpusflow.session import broadcast_if_small, written
 
 
 def token_stream(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """(key, pos, token) from token arrays."""
-    return df.select(key, F.posexplode(tokens).alias("pos", "token"))
+    return explode_tokens(df, tokens, [key], pos="pos")
 
 
 def next_token_pairs(df: DataFrame, key: str, tokens: str) -> DataFrame:
@@ -23,7 +24,8 @@ def next_token_pairs(df: DataFrame, key: str, tokens: str) -> DataFrame:
     pairs = F.arrays_zip(
         F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))).alias("token"), labels.alias("label")
     )
-    return df.select(key, F.posexplode(pairs).alias("pos", "p")).select(key, "pos", "p.*")
+    rows = explode_tokens(df.select(key, pairs.alias("_pairs")), "_pairs", [key], "p", "pos")
+    return rows.select(key, "pos", "p.*")
 
 
 def next_token_label(stream: DataFrame, key: str, pos: str, token: str, rows: int = 65_536, out: str = "label") -> DataFrame:
@@ -92,7 +94,7 @@ def window_scored_nll(
     i = F.col(pos)
     if recent is None:
         seen = running_totals(
-            stream.withColumn("_one", F.lit(1)), {"_seen": "_one"}, [key, token], [pos], F.floor(i / rows).cast("long"), exclusive=True
+            stream.withColumn("_one", F.lit(1)), {"_seen": "_one"}, [key, token], [pos], F.floor(i / rows).cast("long"), True, True
         )
         context = i
         counted = seen.withColumn("_count", F.col("_seen")).drop("_seen", "_one")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.operators.align import align, assemble_turns
+from corpusflow.session import spread
 from corpusflow.sources.registry import DatasetSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Document texts for CPU-heavy work, spread over the cores when the table has few splits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
+    return spread(docs, "doc_id")
+
+
 # Chats of the driver tables already use canonical role names.
 CHAT = DatasetSpec(name="conversations", formatting="sharegpt", user_tag="user", assistant_tag="assistant")
 INSTRUCTIONS = DatasetSpec(name="instructions")

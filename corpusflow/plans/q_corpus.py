@@ -19,6 +19,7 @@ from corpusflow.plans.catalog import (
     INSTRUCTIONS,
     aligned_chats,
     chats,
+    documents,
     instruction_rows,
     layer_states,
     query,
@@ -240,7 +241,7 @@ def plan_files(spark: SparkSession, sf: str) -> DataFrame:
     """,
 )
 def growth_file(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", F.posexplode(whitespace(F.col("text"))).alias("pos", "t"))
+    docs = documents(spark, sf).select("doc_id", F.posexplode(whitespace(F.col("text"))).alias("pos", "t"))
     sized = docs.select("doc_id", "pos", (F.least(F.col("pos") + 1, F.lit(4096)).cast("long") * 4096 * 32).alias("bytes"))
     path = scratch_path(spark, "growth")
     sinks.write_growth_csv(sinks.growth_rows(sized, "bytes"), path)

@@ -19,7 +19,7 @@ from corpusflow.operators import examples as E
 from corpusflow.operators import mixing as M
 from corpusflow.operators.align import align_alpaca
 from corpusflow.operators.ordering import id_chunk, running_total
-from corpusflow.plans.catalog import CHAT_SQL, aligned_chats, query, ranking_rows, table, tokens_sql
+from corpusflow.plans.catalog import CHAT_SQL, aligned_chats, documents, query, ranking_rows, table, tokens_sql
 from corpusflow.schema import IGNORE
 from corpusflow.session import scratch_path, written
 from corpusflow.sources.sinks import write_examples
@@ -29,7 +29,7 @@ SPECIALS = ["<unk>", "</s>", "<s>"]
 
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return tokenize(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+    return tokenize(documents(spark, sf), "text").drop("text")
 
 
 # Tokens --------------------------------------------------------------------------------------------------------------
@@ -45,7 +45,7 @@ def whitespace_tokens(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT doc_id, length(text) AS n, md5(array_to_string(string_split(text, ''), '|')) AS h FROM documents",
 )
 def character_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", characters(F.col("text")).alias("t"))
+    docs = documents(spark, sf).select("doc_id", characters(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", "|")).alias("h"))
 
 
@@ -54,7 +54,7 @@ def character_tokens(spark: SparkSession, sf: str) -> DataFrame:
     r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS h FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n\f]') AS t FROM documents)",
 )
 def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", words_and_marks(F.col("text")).alias("t"))
+    docs = documents(spark, sf).select("doc_id", words_and_marks(F.col("text")).alias("t"))
     return docs.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
 
 

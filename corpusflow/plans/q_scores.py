@@ -14,7 +14,7 @@ from corpusflow.operators import selection as S
 from corpusflow.operators import similarity as Y
 from corpusflow.operators import vectors as V
 from corpusflow.operators.ordering import positions, time_chunk
-from corpusflow.plans.catalog import BLOCK_SQL, N_LAYERS, RESIDUAL_SQL, STATES_SQL, layer_states, query, table, tokens_sql
+from corpusflow.plans.catalog import BLOCK_SQL, N_LAYERS, RESIDUAL_SQL, STATES_SQL, documents, layer_states, query, table, tokens_sql
 from corpusflow.session import written
 
 
@@ -318,7 +318,7 @@ def durations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_stream(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", whitespace(F.col("text")).alias("tokens"))
+    docs = documents(spark, sf).select("doc_id", whitespace(F.col("text")).alias("tokens"))
     return C.token_stream(docs, "doc_id", "tokens")
 
 
@@ -340,7 +340,7 @@ def next_tokens(spark: SparkSession, sf: str) -> DataFrame:
     "WITH " + TOKENS_SQL + "SELECT token, label, count(*) AS n FROM (SELECT *, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS label FROM tok) WHERE label IS NOT NULL GROUP BY ALL",
 )
 def bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", whitespace(F.col("text")).alias("tokens"))
+    docs = documents(spark, sf).select("doc_id", whitespace(F.col("text")).alias("tokens"))
     return C.next_token_pairs(docs, "doc_id", "tokens").groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -70,3 +70,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread the rows of a scan over the cluster when it has fewer splits than the cluster has cores.
+
+    Meant for CPU-heavy text work on a table of few large row groups; a table with enough splits stays as it is.
+    """
+    if df.isStreaming or df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
