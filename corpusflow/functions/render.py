@@ -122,7 +122,8 @@ def render_tools(tools: Column) -> Column:
         F.array_join(F.transform(parsed, lambda t: t["name"]), ", "),
         F.lit(TOOL_PROMPT_INPUT + TOOL_PROMPT_JSON + TOOL_PROMPT_TAIL),
     )
-    complete = F.coalesce(F.forall(texts, lambda t: t.isNotNull()), F.lit(False)) & (F.size(parsed) > 0)
+    # A tool without a name or parameters makes its text, and so one element of the list, NULL.
+    complete = F.forall(texts, lambda t: t.isNotNull()) & (F.size(parsed) > 0)
     return F.when(complete, prompt).otherwise(F.lit(""))
 
 
@@ -165,13 +166,18 @@ class Renderer:
         return pieces
 
     def _message(
-        self, msg: Column, i: Column, system: Column, tools: Column, join: Callable[[list], Column]
+        self, msg: Column, i: Column, system: Column, tools: Column | None, join: Callable[[list], Column]
     ) -> Column:
         t = self.template
-        system = F.when(F.coalesce(system, F.lit("")) == "", F.lit(t.default_system)).otherwise(system)
-        tools = F.coalesce(tools, F.lit(""))
-        shown = (system != "") | (tools != "") if not t.force_system else F.lit(True)
-        system_text = F.concat(system, F.when(tools != "", render_tools(tools)).otherwise(F.lit("")))
+        system = F.coalesce(F.nullif(system, F.lit("")), F.lit(t.default_system))
+        if t.force_system or t.default_system:
+            shown = F.lit(True)
+        else:
+            shown = system != "" if tools is None else (system != "") | (F.coalesce(tools, F.lit("")) != "")
+        system_text = system
+        if tools is not None:
+            with_tools = F.coalesce(tools, F.lit("")) != ""
+            system_text = F.concat(system, F.when(with_tools, render_tools(tools)).otherwise(F.lit("")))
         content, idx = msg["content"], F.floor(i / 2).cast("string")
         first, later = (i == 0) & shown, (i > 0) & (i % 2 == 0)
 
@@ -199,23 +205,27 @@ class Renderer:
                 )
             )
         )
-        return F.concat(prefix, separator, body)
+        return F.concat(prefix, *([separator] if t.separator else []), body)
 
-    def text(self, messages: Column, system: Column, tools: Column) -> Column:
-        """TPL-01/02: one rendered string per message."""
+    def text(self, messages: Column, system: Column, tools: Column | None) -> Column:
+        """TPL-01/02: one rendered string per message; ``tools=None`` says that no row has tools."""
         self._as_text = True
 
         def join(pieces: list) -> Column:
-            return F.concat(F.lit(""), *[c for _, c in pieces])
+            if len(pieces) == 1:
+                return pieces[0][1]
+            return F.concat(*[c for _, c in pieces]) if pieces else F.lit("")
 
         return F.transform(messages, lambda m, i: self._message(m, i, system, tools, join))
 
-    def tokens(self, messages: Column, system: Column, tools: Column, tokenizer: Tokenizer) -> Column:
+    def tokens(self, messages: Column, system: Column, tools: Column | None, tokenizer: Tokenizer) -> Column:
         """TPL-10: one token array per message; literal text is tokenised, special tokens stay whole."""
         self._as_text = False
 
         def join(pieces: list) -> Column:
             arrays = [F.array(c) if whole else tokenizer(c) for whole, c in pieces]
-            return F.concat(F.array().cast("array<string>"), *arrays)
+            if len(arrays) == 1:
+                return arrays[0]
+            return F.concat(*arrays) if arrays else F.array().cast("array<string>")
 
         return F.transform(messages, lambda m, i: self._message(m, i, system, tools, join))

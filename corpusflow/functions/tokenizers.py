@@ -32,12 +32,11 @@ def explode_tokens(df: DataFrame, tokens: str, keep: Sequence[str] = (), token:
 
 def whitespace(text: Column) -> Column:
     """Maximal runs of non-blank characters."""
-    trimmed = F.btrim(text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+    return F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
 def characters(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
 def words_and_marks(text: Column) -> Column:
@@ -109,38 +108,44 @@ def _arrow_list_map(arr: pa.Array, fn: Callable[[pa.Array], pa.Array]) -> pa.Arr
     return fn(arr)
 
 
-def to_ids(df: DataFrame, tokens: str, vocab: DataFrame, out: str, unk: str = UNK) -> DataFrame:
-    """JOIN-09: token arrays (nested or flat) -> id arrays; tokens outside the vocabulary get the id of ``unk``.
+def to_ids(df: DataFrame, tokens: str | dict[str, str], vocab: DataFrame, out: str | None = None, unk: str = UNK) -> DataFrame:
+    """JOIN-09: token arrays (nested or flat) become id arrays; tokens outside the vocabulary get the id of ``unk``.
 
     A vocabulary of a checked size is shipped to the workers and looked up by hash inside each Arrow batch: no
-    explode and no shuffle.  A larger one is joined instead, see :func:`to_ids_by_join`.
+    explode and no shuffle.  A larger one is joined instead, see :func:`to_ids_by_join`.  The id columns (``out``, or
+    the values of a dict token column -> id column) replace the token columns; all other columns pass through Python
+    as they are, so drop what is not needed first.
     """
+    columns = {tokens: out} if isinstance(tokens, str) else dict(tokens)
     rows = vocab.select("token", "token_id").limit(BROADCAST_ROWS + 1).toPandas()
     if len(rows) > BROADCAST_ROWS:
         raise ValueError(f"vocabulary has more than {BROADCAST_ROWS} tokens; use to_ids_by_join")
     shared = df.sparkSession.sparkContext.broadcast((rows["token"].tolist(), rows["token_id"].tolist()))
     unk_id = dict(zip(rows["token"], rows["token_id"])).get(unk)
-    spark_type: T.DataType = df.schema[tokens].dataType
-    depth = 0
-    while isinstance(spark_type, T.ArrayType):
-        spark_type, depth = spark_type.elementType, depth + 1
-    result: T.DataType = T.IntegerType()
-    for _ in range(depth):
-        result = T.ArrayType(result)
-
-    @F.arrow_udf(result)
-    def lookup(col: pa.Array) -> pa.Array:
-        names, ids = shared.value
-        keys, values = pa.array(names, pa.string()), pa.array(ids, pa.int32())
+
+    def with_ints(kind: T.DataType) -> T.DataType:
+        return T.ArrayType(with_ints(kind.elementType)) if isinstance(kind, T.ArrayType) else T.IntegerType()
+
+    schema = T.StructType(
+        [T.StructField(columns[f.name], with_ints(f.dataType)) if f.name in columns else f for f in df.schema.fields]
+    )
+    names = schema.fieldNames()
+
+    def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values = pa.array(shared.value[0], pa.string()), pa.array(shared.value[1], pa.int32())
 
         def ids_of(flat: pa.Array) -> pa.Array:
             found = values.take(pc.index_in(flat.cast(pa.string()), value_set=keys))
             return pc.fill_null(found, int(unk_id)) if unk_id is not None else found
 
-        return _arrow_list_map(col, ids_of)
+        for batch in batches:
+            arrays = [
+                _arrow_list_map(col, ids_of) if name in columns else col
+                for name, col in zip(batch.schema.names, batch.columns)
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    # Declared non-deterministic, so that no filter on the ids is pushed below the look-up and evaluates it again.
-    return df.withColumn(out, lookup.asNondeterministic()(F.col(tokens)))
+    return df.mapInArrow(lookup, schema)
 
 
 def to_ids_by_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, unk: str = UNK, salts: int = 64):

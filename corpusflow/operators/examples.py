@@ -31,6 +31,7 @@ class Encoding:
     eos: str = "</s>"
     eos_id: int = 0
     unk: str = UNK
+    has_tools: bool = True  # False keeps the tool prompt out of the plan
 
     @property
     def renderer(self) -> Renderer:
@@ -38,22 +39,24 @@ class Encoding:
 
 
 def make_encoding(
-    aligned: DataFrame, template: str | Template, size: int, tokenizer: str = "whitespace", bos="<s>", eos="</s>", messages=None
+    aligned: DataFrame, template: str | Template, size: int, tokenizer: str = "whitespace", bos="<s>", eos="</s>", messages=None, has_tools: bool = True
 ) -> Encoding:
     """Vocabulary built from the rendered messages themselves; the reference brings a ready one."""
     t = get_template(template) if isinstance(template, str) else template
     renderer = Renderer(t, bos, eos)
     msgs = F.concat("prompt", "response") if messages is None else messages
-    tokens = renderer.tokens(msgs, F.col("system"), F.col("tools"), get_tokenizer(tokenizer))
+    tokens = renderer.tokens(msgs, F.col("system"), F.col("tools") if has_tools else None, get_tokenizer(tokenizer))
     specials = [UNK, eos, bos] if bos else [UNK, eos]
     vocab = build_vocab(aligned.select(F.flatten(tokens).alias("tokens")), "tokens", size, specials)
-    return Encoding(t, vocab, tokenizer, bos, eos, eos_id=1)
+    return Encoding(t, vocab, tokenizer, bos, eos, eos_id=1, has_tools=has_tools)
 
 
-def message_ids(df: DataFrame, messages: Column, enc: Encoding, out: str) -> DataFrame:
-    """Token ids per message."""
-    tokens = enc.renderer.tokens(messages, F.col("system"), F.col("tools"), get_tokenizer(enc.tokenizer))
-    return to_ids(df.withColumn("_tokens", tokens), "_tokens", enc.vocab, out, enc.unk).drop("_tokens")
+def message_ids(df: DataFrame, messages: dict[str, Column], enc: Encoding, keep: Sequence[str]) -> DataFrame:
+    """Token ids per message, one column per entry of ``messages``, next to the columns to keep."""
+    tools = F.col("tools") if enc.has_tools else None
+    tokenizer = get_tokenizer(enc.tokenizer)
+    tokens = {name: enc.renderer.tokens(m, F.col("system"), tools, tokenizer) for name, m in messages.items()}
+    return to_ids(df.select(*keep, *[c.alias(n) for n, c in tokens.items()]), {n: n for n in tokens}, enc.vocab, unk=enc.unk)
 
 
 def infer_max_len(source: Column, target: Column, max_len: Column, reserved: int) -> tuple[Column, Column]:
@@ -108,9 +111,12 @@ def attention_mask(ids: Column) -> Column:
     return F.array_repeat(F.lit(1), F.size(ids))
 
 
-def _pairs(df: DataFrame, messages: Column, enc: Encoding, cutoff: int, reserved: int, out: str) -> DataFrame:
-    df = message_ids(df, messages, enc, "_ids")
-    return df.withColumn(out, truncate_pairs(pair_up(F.col("_ids")), cutoff, reserved)).drop("_ids")
+def _pairs(
+    df: DataFrame, messages: dict[str, Column], enc: Encoding, cutoff: int, reserved: int, keep: Sequence[str]
+) -> DataFrame:
+    """The (source, target) pairs of each entry of ``messages``, cut to the length budget."""
+    ids = message_ids(df, messages, enc, keep)
+    return ids.select(*keep, *[truncate_pairs(pair_up(F.col(n)), cutoff, reserved).alias(n) for n in messages])
 
 
 def encode_sft(
@@ -125,7 +131,7 @@ def encode_sft(
     if train_on_prompt and enc.template.efficient_eos:
         raise ValueError("this template does not support train_on_prompt")
     tail = F.array(F.lit(enc.eos_id)) if enc.template.efficient_eos else F.array().cast(INTS)
-    df = _pairs(valid_sft(aligned), F.concat("prompt", "response"), enc, cutoff, reserved, "_pairs")
+    df = _pairs(valid_sft(aligned), {"_pairs": F.concat("prompt", "response")}, enc, cutoff, reserved, keep)
     eos = enc.eos_id if enc.template.efficient_eos else None
     ids = F.flatten(F.transform("_pairs", lambda p: F.concat(p["source"], p["target"])))
     if train_on_prompt:
@@ -145,7 +151,7 @@ def encode_prompt_only(
     """PRE-04: ids of the prompt, labels of the response (an empty one unless there is exactly one)."""
     empty = F.array(message(ASSISTANT, F.lit("")))
     msgs = F.concat("prompt", F.when(F.size("response") == 1, F.col("response")).otherwise(empty))
-    df = _pairs(valid_prompt(aligned), msgs, enc, cutoff, reserved, "_pairs")
+    df = _pairs(valid_prompt(aligned), {"_pairs": msgs}, enc, cutoff, reserved, keep)
     prompt, answer = flatten_one_turn(F.col("_pairs"))
     tail = F.array(F.lit(enc.eos_id)) if enc.template.efficient_eos else F.array().cast(INTS)
     return df.withColumn("input_ids", prompt).select(
@@ -157,9 +163,8 @@ def encode_pairs(
     aligned: DataFrame, enc: Encoding, keep: Sequence[str], cutoff: int = 1024, reserved: int = 1
 ) -> DataFrame:
     """PRE-05: first response chosen, second rejected; the prompt is the one of the chosen encoding."""
-    df = valid_pair(aligned)
-    df = _pairs(df, F.concat("prompt", F.slice("response", 1, 1)), enc, cutoff, reserved, "_good")
-    df = _pairs(df, F.concat("prompt", F.slice("response", 2, 1)), enc, cutoff, reserved, "_bad")
+    answers = {"_good": F.concat("prompt", F.slice("response", 1, 1)), "_bad": F.concat("prompt", F.slice("response", 2, 1))}
+    df = _pairs(valid_pair(aligned), answers, enc, cutoff, reserved, keep)
     prompt, chosen = flatten_one_turn(F.col("_good"))
     rejected = flatten_one_turn(F.col("_bad"))[1]
     tail = F.array(F.lit(enc.eos_id)) if enc.template.efficient_eos else F.array().cast(INTS)
@@ -179,11 +184,10 @@ def pack(df: DataFrame, arrays: Sequence[str], batch: str, order: str, block: in
     """
     lead = arrays[0]
     w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = df.select(batch, order, *arrays, F.size(lead).cast("long").alias("_len")).where(F.col("_len") > 0)
+    sized = df.select(batch, order, *arrays, F.size(lead).cast("long").alias("_len"))
     placed = sized.withColumn("_off", F.sum("_len").over(w) - F.col("_len"))
-    touched = placed.withColumn(
-        "block", F.explode(F.sequence(F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("_len") - 1) / block)))
-    )
+    span = F.sequence(F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("_len") - 1) / block))
+    touched = placed.withColumn("block", F.explode(F.when(F.col("_len") > 0, span)))
     start = F.greatest(F.col("block") * block - F.col("_off"), F.lit(0))
     stop = F.least((F.col("block") + 1) * block - F.col("_off"), F.col("_len"))
     pieces = touched.select(
@@ -237,7 +241,7 @@ def pack_sft(
     if train_on_prompt and enc.template.efficient_eos:
         raise ValueError("this template does not support train_on_prompt")
     numbered = valid_sft(batches(aligned, order, chunk, batch_rows))
-    df = _pairs(numbered, F.concat("prompt", "response"), enc, NO_CUTOFF, 1, "_pairs")
+    df = _pairs(numbered, {"_pairs": F.concat("prompt", "response")}, enc, NO_CUTOFF, 1, ["batch", order])
     ids = F.flatten(F.transform("_pairs", lambda p: F.concat(p["source"], p["target"])))
     if not enc.template.efficient_eos:
         labels = ids if train_on_prompt else F.flatten(
@@ -278,7 +282,7 @@ def build_examples(
     if stage == "pt":
         tokens = F.concat(get_tokenizer(enc.tokenizer)(F.get("prompt", F.lit(0))["content"]), F.array(F.lit(enc.eos)))
         docs = to_ids(aligned.select(order, tokens.alias("_tokens")), "_tokens", enc.vocab, "input_ids", enc.unk)
-        return pack_pretrain(docs.drop("_tokens"), "input_ids", order, cutoff, chunk, batch_rows)
+        return pack_pretrain(docs, "input_ids", order, cutoff, chunk, batch_rows)
     if stage == "sft" and not predict_with_generate:
         if sft_packing:
             return pack_sft(aligned, enc, order, cutoff, chunk, batch_rows, train_on_prompt)

@@ -404,7 +404,7 @@ def _rendered(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
     chat = aligned_chats(spark, sf)
     result = None
     for name in names:
-        texts = R.Renderer(get_template(name), "<s>", "</s>").text(F.concat("prompt", "response"), F.col("system"), F.col("tools"))
+        texts = R.Renderer(get_template(name), "<s>", "</s>").text(F.concat("prompt", "response"), F.col("system"), None)
         whole = chat.select("conv_id", F.lit(name).alias("template"), F.array_join(texts, "").alias("text"))
         result = whole if result is None else result.unionByName(whole)
     return result.select("conv_id", "template", F.length("text").alias("n"), F.md5("text").alias("h"))
@@ -548,7 +548,7 @@ def template_specials(spark: SparkSession, sf: str) -> DataFrame:
 )
 def slot_tokens(spark: SparkSession, sf: str) -> DataFrame:
     renderer = R.Renderer(get_template("baichuan2"), "<s>", "</s>")
-    toks = renderer.tokens(F.concat("prompt", "response"), F.col("system"), F.col("tools"), whitespace)
+    toks = renderer.tokens(F.concat("prompt", "response"), F.col("system"), None, whitespace)
     rows = aligned_chats(spark, sf).select("conv_id", F.posexplode(toks).alias("idx", "t"))
     return rows.select("conv_id", F.col("idx").cast("long").alias("idx"), F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def offsets(spark: SparkSession, sf: str) -> DataFrame:
 )
 def packed_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = doc_tokens(spark, sf).withColumn("tokens", F.concat("tokens", F.array(F.lit("</s>"))))
-    ids = to_ids(docs, "tokens", doc_vocab(spark, sf), "ids").drop("tokens")
+    ids = to_ids(docs, "tokens", doc_vocab(spark, sf), "ids")
     packed = E.pack_pretrain(ids, "ids", "doc_id", BLOCK, batch_rows=BATCH_ROWS)
     return packed.select("batch", "block", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"))
 
@@ -203,8 +205,8 @@ def _text(column: str) -> str:
 
 def _encoding(spark: SparkSession, sf: str, template: str) -> tuple[DataFrame, E.Encoding]:
     chat = aligned_chats(spark, sf)
-    enc = E.make_encoding(chat, template, VOCAB)
-    return chat, E.Encoding(enc.template, written(enc.vocab, "vocab"), enc.tokenizer, enc.bos, enc.eos, enc.eos_id)
+    enc = E.make_encoding(chat, template, VOCAB, has_tools=False)
+    return chat, replace(enc, vocab=written(enc.vocab, "vocab"))
 
 
 def _joined(df: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
@@ -280,7 +282,7 @@ def packed_chats_efficient(spark: SparkSession, sf: str) -> DataFrame:
 def not_all_ignored(spark: SparkSession, sf: str) -> DataFrame:
     """Each pair as a block of its own: only those without any answer token are dropped."""
     chat, enc = _encoding(spark, sf, "chatml")
-    ids = E.message_ids(chat, F.concat("prompt", "response"), enc, "_ids")
+    ids = E.message_ids(chat, {"_ids": F.concat("prompt", "response")}, enc, ["conv_id"])
     ids = ids.select("conv_id", F.posexplode(E.pair_up(F.col("_ids"))).alias("k", "p"))
     blocks = ids.withColumn("labels", F.concat(E.mask_source(F.col("p.source"), F.lit(0), None), F.col("p.target")))
     return E.drop_all_ignored(blocks).select("conv_id", F.col("k").cast("long").alias("k"), F.size("p.source").alias("n_source"), F.size("p.target").alias("n_target"))
@@ -328,8 +330,8 @@ def preference_examples(spark: SparkSession, sf: str) -> DataFrame:
     from corpusflow.sources.registry import DatasetSpec
 
     aligned = align_alpaca(ranking_rows(spark, sf), DatasetSpec(name="r", history="history"), ["doc_id"])
-    enc = E.make_encoding(aligned, "falcon", 100_000)
-    enc = E.Encoding(enc.template, written(enc.vocab, "vocab"), eos_id=1)
+    enc = E.make_encoding(aligned, "falcon", 100_000, has_tools=False)
+    enc = replace(enc, vocab=written(enc.vocab, "vocab"))
     return _joined(E.encode_pairs(aligned, enc, ["doc_id"], PAIR_CUTOFF), ["doc_id"], ["prompt_ids", "chosen_ids", "rejected_ids"])
 
 
@@ -353,7 +355,7 @@ def budgets(spark: SparkSession, sf: str) -> DataFrame:
 )
 def truncated(spark: SparkSession, sf: str) -> DataFrame:
     chat, enc = _encoding(spark, sf, "chatml")
-    ids = E.message_ids(chat, F.concat("prompt", "response"), enc, "_ids")
+    ids = E.message_ids(chat, {"_ids": F.concat("prompt", "response")}, enc, ["conv_id"])
     cut = E.truncate_pairs(E.pair_up(F.col("_ids")), CUTOFF)
     rows = ids.select("conv_id", F.posexplode(cut).alias("k", "p"))
     return rows.select("conv_id", F.col("k").cast("long").alias("k"), F.size("p.source").alias("n_source"), F.size("p.target").alias("n_target"))
@@ -382,7 +384,7 @@ def masked(spark: SparkSession, sf: str) -> DataFrame:
 )
 def one_turn(spark: SparkSession, sf: str) -> DataFrame:
     chat, enc = _encoding(spark, sf, "chatml")
-    ids = E.message_ids(chat, F.concat("prompt", "response"), enc, "_ids")
+    ids = E.message_ids(chat, {"_ids": F.concat("prompt", "response")}, enc, ["conv_id"])
     prompt, answer = E.flatten_one_turn(E.pair_up(F.col("_ids")))
     return _joined(ids.select("conv_id", prompt.alias("prompt"), answer.alias("answer")), ["conv_id"], ["prompt", "answer"])
 

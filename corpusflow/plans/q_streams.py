@@ -40,7 +40,7 @@ def stream_aligned(spark: SparkSession, sf: str) -> DataFrame:
     """Row-wise mappers are the same column expressions on a stream."""
     docs = stream(spark, sf, "documents").select("doc_id", F.col("text").alias("instruction"), F.col("lang").alias("input"), F.col("lang").alias("output"))
     a = A.align(docs, INSTRUCTIONS, ["doc_id"])
-    texts = R.Renderer(get_template("default"), "<s>", "</s>").text(F.col("prompt"), F.col("system"), F.col("tools"))
+    texts = R.Renderer(get_template("default"), "<s>", "</s>").text(F.col("prompt"), F.col("system"), None)
     rows = a.select("doc_id", F.col("prompt")[0]["content"].alias("content"), F.col("response")[0]["content"].alias("answer"), texts[0].alias("rendered"))
     out = X.collect_stream(rows, "aligned").drop("batch_id")
     return out.withColumn("n", F.size(whitespace(F.col("content"))) - 1)
@@ -146,7 +146,7 @@ def plugged_tokens(spark: SparkSession, sf: str) -> DataFrame:
 )
 def own_template(spark: SparkSession, sf: str) -> DataFrame:
     t = register_template(Template("question_answer", user=("Q: {{content}}\nA: ",), assistant=(CONTENT, EOS)), overwrite=True)
-    texts = R.Renderer(t, "<s>", "</s>").text(F.concat("prompt", "response"), F.col("system"), F.col("tools"))
+    texts = R.Renderer(t, "<s>", "</s>").text(F.concat("prompt", "response"), F.col("system"), None)
     return aligned_chats(spark, sf).select("conv_id", F.md5(F.array_join(texts, "")).alias("h"))
 
 
