@@ -207,25 +207,43 @@ class Renderer:
         )
         return F.concat(prefix, *([separator] if t.separator else []), body)
 
+    def _join_text(self, pieces: list) -> Column:
+        if len(pieces) == 1:
+            return pieces[0][1]
+        return F.concat(*[c for _, c in pieces]) if pieces else F.lit("")
+
     def text(self, messages: Column, system: Column, tools: Column | None) -> Column:
         """TPL-01/02: one rendered string per message; ``tools=None`` says that no row has tools."""
         self._as_text = True
+        return F.transform(messages, lambda m, i: self._message(m, i, system, tools, self._join_text))
 
-        def join(pieces: list) -> Column:
-            if len(pieces) == 1:
-                return pieces[0][1]
-            return F.concat(*[c for _, c in pieces]) if pieces else F.lit("")
-
-        return F.transform(messages, lambda m, i: self._message(m, i, system, tools, join))
-
-    def tokens(self, messages: Column, system: Column, tools: Column | None, tokenizer: Tokenizer) -> Column:
-        """TPL-10: one token array per message; literal text is tokenised, special tokens stay whole."""
-        self._as_text = False
+    def row_text(self, role: Column, content: Column, idx: Column, system: Column, tools: Column | None) -> Column:
+        """The same for a table with one row per message, where no conversation is held in one row."""
+        self._as_text = True
+        return self._message(_row_message(role, content), idx, system, tools, self._join_text)
 
+    def _join_tokens(self, tokenizer: Tokenizer) -> Callable[[list], Column]:
         def join(pieces: list) -> Column:
             arrays = [F.array(c) if whole else tokenizer(c) for whole, c in pieces]
             if len(arrays) == 1:
                 return arrays[0]
             return F.concat(*arrays) if arrays else F.array().cast("array<string>")
 
+        return join
+
+    def tokens(self, messages: Column, system: Column, tools: Column | None, tokenizer: Tokenizer) -> Column:
+        """TPL-10: one token array per message; literal text is tokenised, special tokens stay whole."""
+        self._as_text = False
+        join = self._join_tokens(tokenizer)
         return F.transform(messages, lambda m, i: self._message(m, i, system, tools, join))
+
+    def row_tokens(
+        self, role: Column, content: Column, idx: Column, system: Column, tools: Column | None, tokenizer: Tokenizer
+    ) -> Column:
+        """The same for a table with one row per message."""
+        self._as_text = False
+        return self._message(_row_message(role, content), idx, system, tools, self._join_tokens(tokenizer))
+
+
+def _row_message(role: Column, content: Column) -> Column:
+    return F.struct(role.alias("role"), content.alias("content"))

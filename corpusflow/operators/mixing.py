@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,12 +12,13 @@ from corpusflow.operators.ordering import (
     first_rows,
     hash_chunk,
     hex_hash,
+    nth_key,
     positions,
     rows_after,
     unit_hash,
 )
 
-WRAP_BLOCK = 65_536
+WRAP_BLOCK, WRAP_SALTS = 65_536, 64
 
 
 def limit_per_dataset(df: DataFrame, dataset: str, order: str, n: int, chunk: Column) -> DataFrame:
@@ -127,12 +129,15 @@ def interleave_probs(
         if ends["done"] == len(probs) or (ends["done"] and not over):
             break
         n_slots *= 2
-    if not over:
-        # A dataset that is not exhausted inside the slots ends later than the stop found, so the minimum is exact.
-        pass
-    used = drawn.where(F.col("slot") <= ends["stop"]).withColumn("_rn", F.col("_k") % length_of)
-    rows = placed.withColumnRenamed(dataset, "source")
-    return used.join(rows, ["source", "_rn"]).withColumnRenamed("source", dataset).drop("_rn", "_k")
+    # Without ``over`` a dataset not exhausted inside the slots ends later than the stop found, so the minimum is exact.
+    # Rows of a dataset that starts again many times are copied under a few salts, or all its slots would meet one key.
+    copies = [max(1, min(WRAP_SALTS, int(n_slots * p / total / n))) if over else 1 for n, p in zip(lengths, probs)]
+    salts = F.element_at(F.array(*[F.lit(c) for c in copies]), (F.col("source") + 1).cast("int"))
+    used = drawn.where(F.col("slot") <= ends["stop"]).select(
+        "slot", "source", (F.col("_k") % length_of).alias("_rn"), (F.floor(F.col("_k") / length_of) % salts).cast("int").alias("_salt")
+    )
+    rows = placed.withColumnRenamed(dataset, "source").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return used.join(rows, ["source", "_rn", "_salt"]).withColumnRenamed("source", dataset).drop("_rn", "_salt")
 
 
 def train_test_split(df: DataFrame, key: str, size: float, seed: int, out: str = "split") -> DataFrame:
@@ -144,13 +149,9 @@ def train_test_split(df: DataFrame, key: str, size: float, seed: int, out: str =
     if size > 1:
         n = int(size)
     else:
-        import math
-
         n = math.ceil(df.count() * size - 1e-9)
     if n <= 0:
         return df.withColumn(out, F.lit("train"))
-    from corpusflow.operators.ordering import nth_key
-
     limit = nth_key(hashed, ["_h", key], n, hash_chunk("_h")).scalar()
     return hashed.withColumn(out, F.when(F.struct("_h", key) <= limit, "test").otherwise("train")).drop("_h")
 

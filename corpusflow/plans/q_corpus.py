@@ -400,14 +400,22 @@ def non_blank(spark: SparkSession, sf: str) -> DataFrame:
 # Templates ---------------------------------------------------------------------------------------------------------
 
 
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    return A.align_conversations(turns, "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 1024), mode="drop")
+
+
 def _rendered(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
-    chat = aligned_chats(spark, sf)
-    result = None
-    for name in names:
-        texts = R.Renderer(get_template(name), "<s>", "</s>").text(F.concat("prompt", "response"), F.col("system"), None)
-        whole = chat.select("conv_id", F.lit(name).alias("template"), F.array_join(texts, "").alias("text"))
-        result = whole if result is None else result.unionByName(whole)
-    return result.select("conv_id", "template", F.length("text").alias("n"), F.md5("text").alias("h"))
+    """Every message in every template: one scan, each row carries its few renderings."""
+    texts = [
+        F.struct(
+            F.lit(name).alias("template"),
+            R.Renderer(get_template(name), "<s>", "</s>").row_text(F.col("role"), F.col("content"), F.col("idx"), F.col("system"), None).alias("text"),
+        )
+        for name in names
+    ]
+    rows = _messages(spark, sf).select("conv_id", F.col("idx").cast("long").alias("idx"), F.inline(F.array(*texts)))
+    return rows.select("conv_id", "idx", "template", F.length("text").alias("n"), F.md5("text").alias("h"))
 
 
 def _quoted(text: str) -> str:
@@ -429,9 +437,8 @@ _ALPACA_SYSTEM, _VICUNA_SYSTEM = (_quoted(TEMPLATES[t].default_system) for t in
         || CASE WHEN i % 2 = 0 THEN '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) ELSE text || '</s>' END FROM msg
       UNION ALL SELECT conv_id, 'vicuna', i,
         CASE WHEN i = 0 THEN CASE WHEN system = '' THEN {_VICUNA_SYSTEM} ELSE system END ELSE '' END
-        || CASE WHEN i % 2 = 0 THEN 'USER: ' || text || ' ASSISTANT:' ELSE text || '</s>' END FROM msg),
-    j AS (SELECT conv_id, template, string_agg(t, '' ORDER BY i) AS t FROM r GROUP BY ALL)
-    SELECT conv_id, template, length(t) AS n, md5(t) AS h FROM j
+        || CASE WHEN i % 2 = 0 THEN 'USER: ' || text || ' ASSISTANT:' ELSE text || '</s>' END FROM msg)
+    SELECT conv_id, i AS idx, template, length(t) AS n, md5(t) AS h FROM r
     """,
 )
 def rendered(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,9 +449,8 @@ def rendered(spark: SparkSession, sf: str) -> DataFrame:
     "TPL-02",
     "WITH " + CHAT_SQL + f""",
     r AS (SELECT conv_id, i, CASE WHEN i % 2 = 0 THEN '<s>[INST] ' || CASE WHEN i = 0 THEN '<<SYS>>' || chr(10) || CASE WHEN system = '' THEN {_quoted(TEMPLATES['llama2_zh'].default_system)} ELSE system END
-                 || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || text || ' [/INST]' ELSE text || '</s>' END AS t FROM msg),
-    j AS (SELECT conv_id, string_agg(t, '' ORDER BY i) AS t FROM r GROUP BY ALL)
-    SELECT conv_id, 'llama2_zh' AS template, length(t) AS n, md5(t) AS h FROM j
+                 || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END || text || ' [/INST]' ELSE text || '</s>' END AS t FROM msg)
+    SELECT conv_id, i AS idx, 'llama2_zh' AS template, length(t) AS n, md5(t) AS h FROM r
     """,
 )
 def rendered_inline(spark: SparkSession, sf: str) -> DataFrame:
@@ -548,8 +554,8 @@ def template_specials(spark: SparkSession, sf: str) -> DataFrame:
 )
 def slot_tokens(spark: SparkSession, sf: str) -> DataFrame:
     renderer = R.Renderer(get_template("baichuan2"), "<s>", "</s>")
-    toks = renderer.tokens(F.concat("prompt", "response"), F.col("system"), None, whitespace)
-    rows = aligned_chats(spark, sf).select("conv_id", F.posexplode(toks).alias("idx", "t"))
+    toks = renderer.row_tokens(F.col("role"), F.col("content"), F.col("idx"), F.col("system"), None, whitespace)
+    rows = _messages(spark, sf).select("conv_id", "idx", toks.alias("t"))
     return rows.select("conv_id", F.col("idx").cast("long").alias("idx"), F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
 
 

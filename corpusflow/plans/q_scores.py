@@ -519,6 +519,7 @@ def difference(spark: SparkSession, sf: str) -> DataFrame:
 
 # Reports -------------------------------------------------------------------------------------------------------------
 
+# Benchmark tasks and their numbers of shots.
 GRID_TASKS = [("boolq", 0), ("rte", 0), ("openbookqa", 0), ("piqa", 0), ("mmlu", 5), ("winogrande", 5), ("gsm8k", 5), ("hellaswag", 10), ("arc_challenge", 25)]
 
 
