@@ -12,7 +12,7 @@ from corpusflow.functions.render import Renderer
 from corpusflow.functions.templates import Template, get_template
 from corpusflow.functions.tokenizers import UNK, build_vocab, get_tokenizer, to_ids
 from corpusflow.operators.align import message, valid_pair, valid_prompt, valid_sft
-from corpusflow.operators.ordering import hex_hash, positions
+from corpusflow.operators.ordering import hex_hash, positions, whole_div
 from corpusflow.schema import ASSISTANT, IGNORE
 
 INTS = "array<int>"
@@ -186,7 +186,7 @@ def pack(df: DataFrame, arrays: Sequence[str], batch: str, order: str, block: in
     w = Window.partitionBy(batch).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = df.select(batch, order, *arrays, F.size(lead).cast("long").alias("_len"))
     placed = sized.withColumn("_off", F.sum("_len").over(w) - F.col("_len"))
-    span = F.sequence(F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("_len") - 1) / block))
+    span = F.sequence(whole_div(F.col("_off"), block), whole_div(F.col("_off") + F.col("_len") - 1, block))
     touched = placed.withColumn("block", F.explode(F.when(F.col("_len") > 0, span)))
     start = F.greatest(F.col("block") * block - F.col("_off"), F.lit(0))
     stop = F.least((F.col("block") + 1) * block - F.col("_off"), F.col("_len"))
@@ -208,8 +208,8 @@ def batches(df: DataFrame, order: str, chunk: Column | None, batch_rows: int | N
     if batch_rows is None:
         raise ValueError("packing needs a batch size; use a large batch_rows instead of the whole corpus")
     if chunk is None:
-        return df.withColumn(out, F.floor(F.col(order) / batch_rows).cast("long"))
-    return positions(df, [], [order], chunk, out="_row").withColumn(out, F.floor(F.col("_row") / batch_rows).cast("long")).drop("_row")
+        return df.withColumn(out, whole_div(F.col(order), batch_rows))
+    return positions(df, [], [order], chunk, out="_row").withColumn(out, whole_div(F.col("_row"), batch_rows)).drop("_row")
 
 
 def pack_pretrain(

@@ -16,6 +16,7 @@ from corpusflow.operators.ordering import (
     positions,
     rows_after,
     unit_hash,
+    whole_div,
 )
 
 WRAP_BLOCK, WRAP_SALTS = 65_536, 64
@@ -121,7 +122,7 @@ def interleave_probs(
     n_slots = int((max(need) if over else min(need)) * 1.1) + 1000
     while True:
         draws = _slot_sources(spark, n_slots, probs, seed)
-        drawn = positions(draws, ["source"], ["slot"], F.floor(F.col("slot") / WRAP_BLOCK).cast("long"), "_k")
+        drawn = positions(draws, ["source"], ["slot"], whole_div(F.col("slot"), WRAP_BLOCK), "_k")
         length_of = F.element_at(F.array(*[F.lit(n) for n in lengths]), (F.col("source") + 1).cast("int"))
         ends = drawn.where(F.col("_k") == length_of - 1).agg(
             F.count(F.lit(1)).alias("done"), (F.max("slot") if over else F.min("slot")).alias("stop")
@@ -168,7 +169,7 @@ def skip(df: DataFrame, order: str, n: int, chunk: Column) -> DataFrame:
 
 def buffered_shuffle(df: DataFrame, row: str, key: str, seed: int, buffer: int = 16_384, out: str = "slot") -> DataFrame:
     """MIX-07: hash order inside consecutive buffers; ``row`` is the dense row number, ``out`` the new one."""
-    buf = F.floor(F.col(row) / buffer)
+    buf = whole_div(F.col(row), buffer)
     w = Window.partitionBy("_buf").orderBy("_h", key)
     return (
         df.withColumn("_buf", buf)

@@ -20,9 +20,14 @@ from corpusflow.session import broadcast_if_small, written
 CHUNK_ROWS = 65_536
 
 
+def whole_div(value: Column, by: int) -> Column:
+    """Integer division, exact for ids beyond 2^53."""
+    return F.call_function("div", value, F.lit(by)).cast("long")
+
+
 def id_chunk(col: str | Column, rows: int = CHUNK_ROWS) -> Column:
     """Chunk of a unique integer id: at most ``rows`` rows each."""
-    return F.floor((F.col(col) if isinstance(col, str) else col) / F.lit(rows)).cast("long")
+    return whole_div(F.col(col) if isinstance(col, str) else col, rows)
 
 
 def time_chunk(col: str | Column, seconds: int = 86_400) -> Column:
@@ -39,7 +44,7 @@ def hash_chunk(col: str | Column, digits: int = 4) -> Column:
 def even_chunk(df: DataFrame, col: str, rows: int = CHUNK_ROWS) -> Column:
     """Chunk of any numeric column from approximate quantiles, for ids that are unevenly spread."""
     n = df.count()
-    parts = max(1, -(-n // rows))
+    parts = min(max(1, -(-n // rows)), 512)  # bounds the size of the expression
     if parts == 1:
         return F.lit(0).cast("long")
     shares = [i / parts for i in range(1, parts)]
