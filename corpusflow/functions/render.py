@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusflow.functions.templates import BOS, EOS, Marker, Template, Token
+from corpusflow.functions.templates import BOS, Marker, Template, Token
 from corpusflow.functions.tokenizers import Tokenizer
 from corpusflow.schema import ASSISTANT, FUNCTION, OBSERVATION, USER
 

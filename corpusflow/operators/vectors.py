@@ -192,10 +192,14 @@ def group_mean_pool(df: DataFrame, vector: str, groups: int, target: int, out: s
     return df.withColumn(out, pool(F.col(vector)))
 
 
-def upsert_params(base: DataFrame, updates: DataFrame, key: str, value: str) -> DataFrame:
-    """JOIN-02: values replaced where the name has an update; names only in the updates are ignored."""
-    new = updates.select(key, F.struct(F.col(value).alias("v")).alias("_new"))
-    return base.join(new, key, "left").withColumn(
+def upsert_params(base: DataFrame, updates: DataFrame, key: str | list[str], value: str) -> DataFrame:
+    """JOIN-02: values replaced where the key has an update; keys only in the updates are ignored.
+
+    For parameters in long form the key is (name, element), which also spreads a large parameter over the tasks.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    new = updates.select(*keys, F.struct(F.col(value).alias("v")).alias("_new"))
+    return base.join(new, keys, "left").withColumn(
         value, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(value))
     ).drop("_new")
 

@@ -63,13 +63,12 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def source_kind(prefer_ms: bool = False) -> Column:
-    """Where an entry is loaded from: hub, then script, then file."""
-    hf, ms = F.col("hf_hub_url").isNotNull(), F.col("ms_hub_url").isNotNull()
-    first, second = (F.when(ms, "ms_hub").when(hf, "hf_hub"), None) if prefer_ms else (
-        F.when(hf, "hf_hub").when(ms, "ms_hub"),
-        None,
-    )
-    return first.when(F.col("script_url").isNotNull(), "script").otherwise("file")
+    """Where an entry is loaded from: a hub, then script, then file; with both hubs the preferred one."""
+    hubs = [("hf_hub_url", "hf_hub"), ("ms_hub_url", "ms_hub")]
+    kind = F.when(F.lit(False), F.lit(None).cast("string"))
+    for column, name in [*(reversed(hubs) if prefer_ms else hubs), ("script_url", "script")]:
+        kind = kind.when(F.col(column).isNotNull(), name)
+    return kind.otherwise("file")
 
 
 def location() -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from corpusflow.operators.ordering import hash_chunk, hex_hash, positions
-from corpusflow.session import scratch_path
+from corpusflow.session import broadcast_if_small, scratch_path
 
 
 def stream_dataset(
@@ -172,7 +172,7 @@ def _with_counts(
         if batch_id > 0:
             before = spark.read.parquet(f"{state}/v={batch_id - 1}")
             counts = counts.unionByName(before).groupBy(*by).agg(F.sum("_base").alias("_base"))
-            placed = placed.join(before, by, "left") if by else placed.join(F.broadcast(before), F.lit(True))
+            placed = placed.join(broadcast_if_small(before), by, "left")
         else:
             placed = placed.withColumn("_base", F.lit(0))
         counts.write.mode("overwrite").parquet(f"{state}/v={batch_id}")

@@ -122,6 +122,18 @@ def test_render_function_and_observation(spark):
         render(spark, "default", [("nobody", "q")])
 
 
+@pytest.mark.parametrize("template", ["alpaca", "chatglm3", "llama2_zh", "starchat"])
+def test_rows_render_like_conversations(spark, template):
+    renderer = R.Renderer(Tm.get_template(template), "<s>", "</s>")
+    rows = spark.createDataFrame([(i, r, t) for i, (r, t) in enumerate(CHAT_MSGS)], "i int, role string, content string")
+    text = renderer.row_text(F.col("role"), F.col("content"), F.col("i"), F.lit("S"), None)
+    assert [r[0] for r in rows.orderBy("i").select(text).collect()] == render(spark, template, CHAT_MSGS, "S")
+    tokens = renderer.row_tokens(F.col("role"), F.col("content"), F.col("i"), F.lit("S"), None, Tk.whitespace)
+    nested = spark.createDataFrame([(CHAT_MSGS,)], "m array<struct<role:string,content:string>>")
+    whole = nested.select(renderer.tokens(F.col("m"), F.lit("S"), None, Tk.whitespace)).first()[0]
+    assert [r[0] for r in rows.orderBy("i").select(tokens).collect()] == whole
+
+
 def test_content_with_placeholder_is_kept(spark):
     assert render(spark, "chatglm2", [("user", "{{idx}} {{content}}")])[0] == "[gMASK]sop[Round 0]\n\n问：{{idx}} {{content}}\n\n答："
 

@@ -252,6 +252,9 @@ def test_upsert_and_difference(spark):
     a = spark.createDataFrame([("x", 1.0), ("y", 2.0)], "n string, v double")
     b = spark.createDataFrame([("y", None), ("z", 3.0)], "n string, v double")
     assert {r["n"]: r["v"] for r in V.upsert_params(a, b, "n", "v").collect()} == {"x": 1.0, "y": None}
+    long = spark.createDataFrame([("w", i, float(i)) for i in range(4)], "n string, e int, v double")
+    patch = spark.createDataFrame([("w", 2, 9.0)], "n string, e int, v double")
+    assert [r["v"] for r in V.upsert_params(long, patch, ["n", "e"], "v").orderBy("e").collect()] == [0.0, 1.0, 9.0, 3.0]
     d = V.max_abs_diff(a, a.withColumn("v", F.col("v") + 1e-7), ["n"], "v", 1e-5).first()
     assert d["equal"] and d["max_diff"] == pytest.approx(1e-7)
     assert not V.max_abs_diff(a, b, ["n"], "v", 1e-5).first()["equal"]
