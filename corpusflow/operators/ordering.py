@@ -151,20 +151,33 @@ def running_totals(
 
 
 def previous_value(
-    df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], chunk: Column, out: str
+    df: DataFrame, value: str, by: Sequence[str], order: Sequence[str], chunk: Column, out: str, pos: str | None = None
 ) -> DataFrame:
-    """``lag(value)`` along the order of each group; the last value of the chunk before is carried over."""
+    """``lag(value)`` along the order of each group; the last value of the chunk before is carried over.
+
+    ``pos`` names a column for the row's 0-based position, which comes with the same shuffle.
+    """
     by = list(by)
     tagged = df.withColumn("_chunk", chunk)
-    last = tagged.groupBy(*by, "_chunk").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    last = tagged.groupBy(*by, "_chunk").agg(
+        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n")
+    )
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    carry = last.select(*by, "_chunk", F.lag("_last").over(group.orderBy("_chunk")).getField("v").alias("_carry"))
+    chunks = group.orderBy("_chunk")
+    carry = last.select(
+        *by,
+        "_chunk",
+        F.lag("_last").over(chunks).getField("v").alias("_carry"),
+        (F.sum("_n").over(chunks.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_base"),
+    )
     w = Window.partitionBy(*by, "_chunk").orderBy(*order)
-    return (
-        tagged.join(carry, [*by, "_chunk"])
-        .withColumn(out, F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag(value).over(w)))
-        .drop("_chunk", "_carry")
+    nth = F.row_number().over(w)
+    result = tagged.join(carry, [*by, "_chunk"]).withColumn(
+        out, F.when(nth == 1, F.col("_carry")).otherwise(F.lag(value).over(w))
     )
+    if pos:
+        result = result.withColumn(pos, nth - 1 + F.col("_base"))
+    return result.drop("_chunk", "_carry", "_base")
 
 
 def nth_key(df: DataFrame, keys: Sequence[str], n: int, chunk: Column) -> DataFrame:

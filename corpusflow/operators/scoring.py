@@ -61,16 +61,13 @@ def running_perplexity(tokens: DataFrame, by: Sequence[str], order: Sequence[str
 
 def step_durations(df: DataFrame, by: Sequence[str], order: Sequence[str], ts: str, chunk: Column) -> DataFrame:
     """WIN-09: seconds since the step before; the first gap is the prefill, the others are decode steps."""
-    keyed = df.withColumn("_step", F.struct(*order, F.col(ts).alias("_ts")))
-    lagged = previous_value(keyed, "_step", by, order, chunk, "_before").drop("_step")
-    lagged = lagged.withColumn("_prev", F.col("_before._ts")).withColumn("_before", F.struct(*[F.col(f"_before.{o}") for o in order]))
-    secs = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))) / F.lit(1e6)
-    lagged = lagged.withColumn("seconds", secs)
-    # The second row of a stream is the one whose predecessor comes first in it.
-    first = df.groupBy(*by).agg(F.min(F.struct(*order)).alias("_first"))
-    rows = lagged.where(F.col("seconds").isNotNull()).join(broadcast_if_small(written(first, "first-steps")), list(by))
-    is_second = F.col("_before") == F.col("_first")
-    return rows.withColumn("phase", F.when(is_second, "prefill").otherwise("decode")).drop("_prev", "_before", "_first")
+    lagged = previous_value(df, ts, by, order, chunk, "_prev", pos="_pos").where(F.col("_pos") > 0)
+    micros = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
+    return (
+        lagged.withColumn("seconds", micros / F.lit(1e6))
+        .withColumn("phase", F.when(F.col("_pos") == 1, "prefill").otherwise("decode"))
+        .drop("_prev", "_pos")
+    )
 
 
 def window_scored_nll(

@@ -66,10 +66,11 @@ def test_running_total(df, rows, short):
 
 
 def test_previous_value(df, rows):
-    out = O.previous_value(df, "v", ["g"], ["id"], O.id_chunk("id", 11), "prev")
-    got = {r["id"]: r["prev"] for r in out.collect()}
+    out = O.previous_value(df, "v", ["g"], ["id"], O.id_chunk("id", 11), "prev", pos="pos")
+    got = {r["id"]: (r["prev"], r["pos"]) for r in out.collect()}
     for g in by_group(rows).values():
-        assert [got[r[0]] for r in g] == [None] + [r[2] for r in g[:-1]]
+        assert [got[r[0]][0] for r in g] == [None] + [r[2] for r in g[:-1]]
+        assert [got[r[0]][1] for r in g] == list(range(len(g)))
 
 
 def test_first_rows_and_rest(df):
