@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusflow.llm.decontaminate import contaminated
 from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.tables import table
 
@@ -27,3 +29,18 @@ def query(name: str, sql: str | None = None):
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op8_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a passage of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("c0").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )

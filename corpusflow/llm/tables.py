@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.session import broadcast_if_small, written
 
@@ -25,4 +29,27 @@ def tasks_for(df: DataFrame, per_task: int, least: int = 1) -> int:
     return max(least, -(-df.count() // per_task))
 
 
-__all__ = ["BROADCAST_KEYS", "F", "broadcast_if_small", "only_keys", "table", "tasks_for", "written"]
+def annotate(docs: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]], added: dict[str, T.DataType]) -> DataFrame:
+    """Every row of ``docs`` under the names c0, c1, ... and what ``fn`` makes of batches of ``column`` under the added names.
+
+    The rows pass through the Python workers whole, so nothing has to be joined back; columns may have any names.
+    """
+    from corpusflow.llm.texts import slices
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    at, out = f"c{docs.columns.index(column)}", [*names, *added]
+
+    def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(at))], out)
+
+    return plain.mapInArrow(per_batch, T.StructType([*plain.schema.fields, *[T.StructField(n, t) for n, t in added.items()]]))
+
+
+def original(annotated: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``annotated`` under the names they have in ``docs``, with added columns ``more`` behind them."""
+    return annotated.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)], *more)
+
+
+__all__ = ["BROADCAST_KEYS", "annotate", "broadcast_if_small", "only_keys", "original", "table", "tasks_for", "written"]
