@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.llm.decontaminate import contaminated
+from corpusflow.llm.fingerprints import fingerprints, likeness
 from corpusflow.llm.near_dedup import near_duplicates
-from corpusflow.llm.tables import table
+from corpusflow.llm.neighbours import with_next
+from corpusflow.llm.tables import annotate, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +49,43 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+@query("op4_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its text with the second half taken from the next document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = annotate(docs, "text", lambda column: [pa.array(fingerprints(column), pa.binary())], {"mark": T.BinaryType()})
+    marked = marked.select(F.col("c0").alias("doc_id"), F.col("c1").alias("text"), "mark")
+    schema = T.StructType(
+        [
+            docs.schema["doc_id"],
+            T.StructField("n_chars", T.LongType()),
+            T.StructField("edited_sha256", T.StringType()),
+            T.StructField("fingerprint", T.StringType()),
+            T.StructField("edited_fingerprint", T.StringType()),
+            T.StructField("near_edited", T.DoubleType()),
+            T.StructField("near_next", T.DoubleType()),
+        ]
+    )
+
+    def compared(rows: pa.RecordBatch, after: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t or "" for t in rows.column("text").to_pylist()]
+        others = [t or "" for t in after.column("text").to_pylist()]
+        edited = [t[: len(t) - len(t) // 2] + o[: len(t) // 2] for t, o in zip(texts, others, strict=True)]
+        own, near = rows.column("mark").to_pylist(), after.column("mark").to_pylist()
+        new = fingerprints(pa.array(edited, pa.string()))
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("doc_id"),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+                pa.array([m.hex() for m in own], pa.string()),
+                pa.array([m.hex() for m in new], pa.string()),
+                pa.array([likeness(a, b) for a, b in zip(own, new, strict=True)], pa.float64()),
+                pa.array([likeness(a, b) for a, b in zip(own, near, strict=True)], pa.float64()),
+            ],
+            schema.names,
+        )
+
+    return with_next(marked, "doc_id", schema, compared)
