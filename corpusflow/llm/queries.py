@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.llm.chat import ChatTemplate, format_conversations, read_turns, unescape
 from corpusflow.llm.decontaminate import contaminated
 from corpusflow.llm.fingerprints import fingerprints, likeness
 from corpusflow.llm.near_dedup import near_duplicates
@@ -89,3 +90,33 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     return with_next(marked, "doc_id", schema, compared)
+
+
+@query("op6_chat_formatting")
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations formatted, then turns and trained texts read back from the output."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"),
+        F.col("id").cast(turns.schema["turn"].dataType).alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(hard).alias("text"),
+    )
+    chats = format_conversations(turns.union(extra)).select("conv_id", "formatted", "segments")
+    back = chats.select(
+        "conv_id",
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        read_turns(F.col("formatted")).alias("turns"),
+        F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], ChatTemplate())).alias("loss"),
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    digest = lambda c: F.sha2(F.array_join(c, "").cast("binary"), 256)
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        digest(lines).alias("turns_sha256"),
+        F.length(F.array_join("loss", "")).cast("long").alias("loss_chars"),
+        digest("loss").alias("loss_sha256"),
+        "formatted_chars",
+    )
