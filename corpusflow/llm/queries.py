@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.llm.bpe import decoder, definition, encoded
 from corpusflow.llm.chat import ChatTemplate, format_conversations, read_turns, unescape
 from corpusflow.llm.decontaminate import contaminated
 from corpusflow.llm.fingerprints import fingerprints, likeness
@@ -120,3 +121,32 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest("loss").alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file that the BPE query takes; installed on the machine that makes the query, not needed elsewhere."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_bpe")
+def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text that they decode to, as digests."""
+    tokenizer = definition(tokenizer_path())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encoded(docs, tokenizer).select(F.col("c0").alias("doc_id"), "tokens")
+    decode, shared = [], spark.sparkContext.broadcast(tokenizer)
+
+    def texts(column: pa.Array) -> list[pa.Array]:
+        if not decode:
+            decode.append(decoder(shared.value))
+        return [decode[0](column)]
+
+    back = annotate(coded, "tokens", texts, {"decoded": T.StringType()})
+    return back.select(
+        F.col("c0").alias("doc_id"),
+        F.size("c1").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("c1").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

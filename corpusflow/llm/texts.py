@@ -101,10 +101,13 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.n
             yield np.zeros(0, np.int64)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most ``most`` bytes of text each (or one row), so that arrays beside them stay bounded."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most ``most`` bytes of text (or of ids) each, or one row, so that arrays beside them stay bounded."""
     for batch in batches:
-        _, at = strings(batch.column(column))
+        if pa.types.is_list(batch.schema.field(column).type):
+            at = batch.column(column).offsets.to_numpy().astype(np.int64) * 4
+        else:
+            _, at = strings(batch.column(column))
         a = 0
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
