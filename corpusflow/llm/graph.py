@@ -37,15 +37,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Components of all verified links between members of one list.
+def linked(
+    lists: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    apart: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Components (id, label) of all verified links between members of one list.
 
     ``lists``: (key, id, indexed), distinct, cheap to read; two members of a key are a candidate if either is indexed.
-    ``verify``: pairs (a, b) -> those that are links.
+    ``verify``: pairs (a, b) -> those that are links.  ``apart``: rows (key, id, indexed, label) of lists whose members
+    have several labels -> links (a, b) between labels, enough of them to join all labels that have linked members.
 
-    First every member meets the smallest indexed member of its list: one pair per row.  After that, only pairs whose
-    ends are not yet in one component can change the result; they are formed for the lists that still have several
-    components.  So a group of n copies costs n pairs and no link that matters is lost.
+    First every member meets the smallest indexed member of its list: one pair per row.  After that, only members that
+    are not yet in one component can change the result, and ``apart`` sees the lists that still have several.  So a group
+    of n copies costs n pairs and no link that matters is lost.
     """
     hubs = lists.groupBy("key").agg(
         F.min(F.when(F.col("indexed"), F.col("id"))).alias("hub"), F.count(F.lit(1)).alias("size")
@@ -55,13 +60,11 @@ def linked(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFr
     links = written(verify(stars), "links")
     labels = components(links)
     named = met.where("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_keys = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rest = written(named.join(open_keys, "key").where("id <> hub").select("key", "id", "indexed", "label"), "rest")
-    left, right = rest.where("indexed").alias("x"), rest.alias("y")
-    apart = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")))
-    pairs = written(
-        apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs"
-    )
-    if pairs.limit(1).count() == 0:
+    # the pairs with the hub are done; a list whose other members have one label is, too
+    named = named.where("id <> hub").select("key", "id", "indexed", "label")
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    rest = written(named.join(several.select("key"), "key"), "rest")
+    more = written(apart(rest), "more")
+    if more.limit(1).count() == 0:
         return labels
-    return components(links.union(verify(pairs)))
+    return components(links.union(more))
