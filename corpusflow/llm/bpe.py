@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -14,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from corpusflow.llm.tables import annotate
-from corpusflow.llm.texts import lists
+from corpusflow.llm.texts import SPACED, span_hashes, strings, word_spans
 
-# Distinct words whose ids a task remembers; beyond it the memory starts anew, with the same ids.
-REMEMBERED = 200_000
+# Distinct words whose ids a worker remembers; beyond it the memory starts anew, with the same ids.
+REMEMBERED = 500_000
 # White space as the tokenizer's patterns mean it: Unicode White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 # Stands behind the last character of a word while matching; not a character of any token.
@@ -54,13 +56,14 @@ class WordBpe:
         pattern = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]"))
         self.bytes = byte_characters()
-        self.matches = ahocorasick.Automaton()  # a suffix automaton of all tokens: every token that ends at a place
-        for s in self.ids:
-            if self.merged(s) == [s]:  # others never come out of the merges
-                self.matches.add_word(s, s)
+        self.tokens = list(self.ids)
+        self.matches = ahocorasick.Automaton()  # of all tokens: every token that ends at a place
+        for n, token in enumerate(self.tokens):
+            if self.merged(token) == [token]:  # others never come out of the merges
+                self.matches.add_word(token, (len(token), n))
         self.matches.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.fits: dict[int, bool] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The merges applied to a short string, lowest rank first and leftmost first."""
@@ -76,40 +79,47 @@ class WordBpe:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def compatible(self, a: str, b: str) -> bool:
-        """Whether the merges of a and b side by side leave them as they are."""
-        fits = self.fits.get((a, b))
-        if fits is None:
-            if len(self.fits) >= 5 * REMEMBERED:
-                self.fits.clear()
-            fits = self.fits[a, b] = self.merged(a + b) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the merges of tokens a and b side by side leave them as they are."""
+        if len(self.fits) >= REMEMBERED:
+            self.fits.clear()
+        left, right = self.tokens[a], self.tokens[b]
+        fits = self.fits[a << 32 | b] = self.merged(left + right) == [left, right]
         return fits
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         """Ids of a word.  For every prefix there is one possible last token; the word's tokens follow from the end."""
-        text = "".join([self.bytes[b] for b in word.encode()]) + _END
-        last: list[str | None] = [None] * (len(text) + 1)
-        for at, token in self.matches.iter(text):
-            if last[at + 1] is None:
-                start = at + 1 - len(token)
+        # printable ASCII characters stand for themselves
+        text = (word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])) + _END
+        fits, last = self.fits, [-1] * (len(text) + 1)
+        for at, (size, token) in self.matches.iter(text):
+            if last[at + 1] < 0:
+                start = at + 1 - size
                 before = last[start]
-                if start == 0 or (before is not None and self.compatible(before, token)):
+                if start == 0:
                     last[at + 1] = token
+                elif before >= 0:
+                    fit = fits.get(before << 32 | token)
+                    if fit or (fit is None and self.compatible(before, token)):
+                        last[at + 1] = token
         out, at = [], len(text)
         while at:
-            token = last[at]
+            token = self.tokens[last[at]] if last[at] >= 0 else None
             if token is None:
                 raise ValueError(f"no encoding of {word!r}")
             out.append(self.ids[token])
             at -= len(token)
-        return out[::-1]
+        return tuple(out[::-1])
 
     def plain(self, text: str, out: list[int]) -> None:
         if not text.isascii():
             # lower case character by character: no special form at the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        known = self.words
-        for word in self.split.findall(text.lower()):
+        known, text = self.words, text.lower()
+        if text in known:
+            out += known[text]
+            return
+        for word in self.split.findall(text):
             ids = known.get(word)
             if ids is None:
                 if len(known) >= REMEMBERED:
@@ -136,19 +146,37 @@ def definition(path: str) -> str:
         return f.read()
 
 
+def encoded_column(column: pa.Array, bpe: WordBpe) -> pa.Array:
+    """Ids of every text of a column.
+
+    No token, no composition of characters and no special token's string goes across ASCII white space, so each
+    distinct piece between it is encoded once per batch and its ids are laid out wherever it stands.
+    """
+    data, offsets = strings(column)
+    starts, ends, counts = word_spans(data, offsets, SPACED)
+    _, first, piece = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    found: list[list[int]] = [bpe.encode(raw[a:b].decode()) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat, heads = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
+    lengths = sizes[piece]
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    places = np.arange(before[-1]) + np.repeat(heads[piece] - before[:-1], lengths)
+    return pa.ListArray.from_arrays(pa.array(before[counts].astype(np.int32)), pa.array(flat[places]))
+
+
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Rows of ``docs`` as :func:`annotate` gives them, with ``tokens``: the ids of the whole text (null: empty)."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
-    made: list[WordBpe] = []
+    # a worker keeps its copy of a broadcast value from task to task, and so the encoder and the words it remembers
+    shared = docs.sparkSession.sparkContext.broadcast({"tokenizer": tokenizer})
 
     def encode(column: pa.Array) -> list[pa.Array]:
-        import numpy as np
-
-        if not made:
-            made.append(WordBpe(shared.value))
-        return [lists([np.array(made[0].encode(t or ""), np.int32) for t in column.to_pylist()], pa.int32())]
+        held = shared.value
+        if "encoder" not in held:
+            held["encoder"] = WordBpe(held["tokenizer"])
+        return [encoded_column(column, held["encoder"])]
 
-    return annotate(docs, "text", encode, {"tokens": T.ArrayType(T.IntegerType())})
+    return annotate(docs, "text", encode, {"tokens": T.ArrayType(T.IntegerType())}, most=4_000_000)
 
 
 def decoder(tokenizer: str) -> Callable[[pa.Array], pa.Array]:
