@@ -16,6 +16,7 @@ from corpusflow.llm.decontaminate import contaminated
 from corpusflow.llm.fingerprints import fingerprints, likeness
 from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.neighbours import with_next
+from corpusflow.llm.ppm import scores
 from corpusflow.llm.tables import annotate, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +151,10 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("c1").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op1_ppm")
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every document under a byte model of four fifths of them, beside a count model of tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
