@@ -14,6 +14,7 @@ from corpusflow.llm.bpe import decoder, definition, encoded
 from corpusflow.llm.chat import ChatTemplate, format_conversations, read_turns, unescape
 from corpusflow.llm.decontaminate import contaminated
 from corpusflow.llm.fingerprints import fingerprints, likeness
+from corpusflow.llm.html_text import extracted
 from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.neighbours import with_next
 from corpusflow.llm.ppm import scores
@@ -158,3 +159,11 @@ def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code length of every document under a byte model of four fifths of them, beside a count model of tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+
+
+@query("op3_html_text")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = extracted(pages).select(F.col("c0").alias("page_id"), F.col("c1").alias("url"), F.col("main_text").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
