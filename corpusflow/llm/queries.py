@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from corpusflow.llm.html_text import extracted
 from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.neighbours import with_next
 from corpusflow.llm.ppm import scores
+from corpusflow.llm.quality import AttentionModel, fit, scored
 from corpusflow.llm.tables import annotate, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +168,29 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     found = extracted(pages).select(F.col("c0").alias("page_id"), F.col("c1").alias("url"), F.col("main_text").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def held_out_of_quality() -> Column:
+    """Documents whose labels the quality model may not see."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> AttentionModel:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out_of_quality())
+    return fit(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op7_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from a model of the labelled ones outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scored(docs, quality_model(spark, sf_dir)).select(F.col("c0").alias("doc_id"), "score")
+    return found.select(
+        "doc_id",
+        F.coalesce(held_out_of_quality(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
