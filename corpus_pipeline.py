@@ -1,27 +1,81 @@
-"""Corpus pipeline: stages that each take what the one before kept."""
+"""Corpus pipeline: stages that each take what the one before kept, written in between."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from corpusflow.llm.bpe import definition, encoded
+from corpusflow.llm.decontaminate import without_contaminated
+from corpusflow.llm.line_dedup import deduplicated
 from corpusflow.llm.near_dedup import near_duplicates
-from corpusflow.llm.tables import written
+from corpusflow.llm.quality import fit, scored
+from corpusflow.llm.queries import QUALITY_THRESHOLD, held_out_of_quality, tokenizer_path
+from corpusflow.llm.tables import broadcast_if_small, original, table, written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model does not reject; it learns from labels outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out_of_quality())
+    return original(scored(docs, fit(docs, labels)).where(F.col("score") >= QUALITY_THRESHOLD), docs)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every long line at its first place only, and n_chars of the texts as they are then.
+
+    A document that loses all its long lines repeats others and goes; one that has none stays.
+    """
+    found = deduplicated(docs).where("n_long = 0 OR n_removed < n_long")
+    texts = {"text": F.col("clean"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean"))}
+
+    def value(i: int, name: str):
+        own = F.col(f"c{i}")
+        if name == "n_chars":
+            return F.coalesce(texts[name].cast(docs.schema[name].dataType), own).alias(name)
+        return texts.get(name, own).alias(name)
+
+    return found.select(*[value(i, name) for i, name in enumerate(docs.columns)])
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more)."""
-    kept = near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), and one row of it."""
+    found = written(near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near")
+    gone = written(found.where("NOT kept").select("doc_id").distinct(), "gone")
+    rows = docs.join(broadcast_if_small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = written(again, "again")
+    if again.limit(1).count() == 0:
+        return rows
+    side = broadcast_if_small(again, 1_000_000)
+    return rows.join(side, "doc_id", "left_anti").select(*docs.columns).union(
+        rows.join(side, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    )
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less than a twentieth of whose words stand in benchmark passages."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their whole texts."""
+    return original(encoded(docs, definition(tokenizer_path())), docs, "tokens")
 
 
-STAGES = [("near_dedup", one_per_group)]
+STAGES = [
+    ("quality", good_quality),
+    ("line_dedup", lines_once),
+    ("near_dedup", one_per_group),
+    ("decontamination", clean_of_benchmark),
+    ("bpe", token_ids),
+]
 
-# Sketches, gradient steps and library tokenisation have no SQL form.
+# A fitted model, edit distances over all lines and library tokenisation have no SQL form; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
     return docs

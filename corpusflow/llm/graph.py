@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.session import written
 
+# (row, other rows) -> those of the other rows that it is linked with
+Matcher = Callable[[int, np.ndarray], np.ndarray]
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, label) for every end of ``links`` (a, b); label is the smallest id reachable.
@@ -68,3 +74,65 @@ def linked(
     if more.limit(1).count() == 0:
         return labels
     return components(links.union(more))
+
+
+def dealt(rows: DataFrame, group: str, block: int, *more: str) -> DataFrame:
+    """Rows of a group in blocks of about ``block``, each row once for every pair (i, j) of blocks that has its own."""
+    blocks = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
+    every = rows.join(blocks, group).withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    every = every.withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o"))
+    return every.select(F.col(group).alias("grp"), "i", "j", "own", "id", "label", *more)
+
+
+def forest(rows: DataFrame, matcher: Callable[[pa.Table], Matcher]) -> DataFrame:
+    """Links (a, b) between labels that join all labels with linked members in one pair of blocks.
+
+    ``rows``: (grp, i, j, own, id, label, payload, ...); ``matcher`` prepares the rows of a pair of blocks.  A task holds
+    one pair of blocks.  Only members outside its commonest label are looked up, since a pair of different labels has such
+    an end, and only against labels that are not joined yet.  At most one link per label leaves the task.
+    """
+    columns = ["grp", "i", "j"]
+    rows = rows.repartition(*columns).sortWithinPartitions(*columns)
+    kind = rows.schema["label"].dataType
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        within = table["i"][0].as_py() == table["j"][0].as_py()
+        own, names = table["own"].to_numpy(), table["label"].combine_chunks()
+        firsts, labels = np.unique(names.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)[1:]
+        match, root = matcher(table), np.arange(len(firsts))
+        joined: list[tuple[int, int]] = []
+        commonest = np.bincount(labels).argmax()
+        for x in np.flatnonzero(labels != commonest).tolist():
+            apart = root[labels] != root[labels[x]]
+            others = np.flatnonzero(apart if within else apart & (own != own[x]))
+            if not len(others):
+                continue
+            for y in np.unique(labels[match(x, others)]).tolist():
+                if root[y] != root[labels[x]]:
+                    joined.append((labels[x], y))
+                    root[root == root[y]] = root[labels[x]]
+        ends = [pa.array([firsts[pair[e]] for pair in joined], pa.int64()) for e in (0, 1)]
+        return pa.RecordBatch.from_arrays([names.take(e) for e in ends], ["a", "b"])
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in columns], strict=True))
+            start = 0
+            while start < len(keys):
+                end = start
+                while end < len(keys) and keys[end] == keys[start]:
+                    end += 1
+                if held and keys[start] != at:
+                    yield block(held)
+                    held = []
+                at = keys[start]
+                held.append(batch.slice(start, end - start))
+                start = end
+        if held:
+            yield block(held)
+
+    return rows.mapInArrow(blocks, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))

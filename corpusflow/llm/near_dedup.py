@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.graph import components, linked
+from corpusflow.llm.graph import Matcher, components, dealt, forest, linked
 from corpusflow.llm.tables import broadcast_if_small, only_keys, written
 from corpusflow.llm.texts import LOWER, SPACED, lists, shingle_sets, slices, span_hashes, strings, word_spans
 
@@ -100,102 +100,49 @@ def similar_sketches(pairs: DataFrame, sets: DataFrame, k: int, percent: int) ->
     return union.where(shared >= need).select("a", "b")
 
 
-def dealt(rows: DataFrame, group: str) -> DataFrame:
-    """Rows of a group in blocks of about ``BLOCK``, each row once for every pair (i, j) of blocks that has its own."""
-    blocks = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
-    own = F.pmod(F.xxhash64("id"), F.col("_n")).cast("int")
-    every = rows.join(blocks, group).withColumn("own", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    every = every.withColumn("i", F.least("own", "_o")).withColumn("j", F.greatest("own", "_o"))
-    return every.select(F.col(group).alias("grp"), "i", "j", "own", "id", "label")
-
-
-def forest(rows: DataFrame, sets_of: Callable[[pa.Table], list[np.ndarray]], fits: Callable[..., np.ndarray]) -> DataFrame:
-    """Links (a, b) between labels that join all labels with fitting members in one pair of blocks.
+def apart_links(rest: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
+    """Links between labels of members (key, id, label) that the first round left in different components.
 
-    ``rows``: (grp, i, j, own, id, label, payload).  A task holds the sets of one pair of blocks.  How much each set shares
-    with all others comes from an inverted list of their values; only members outside the commonest label are looked up,
-    since a pair of different labels has such an end.  At most one link per label leaves the task.
+    Labels whose sketches allow a link make a group; inside the groups the full sets are compared.
     """
-    columns = ["grp", "i", "j"]
-    rows = rows.repartition(*columns).sortWithinPartitions(*columns)
-    kind = rows.schema["label"].dataType
-
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        own = table["own"].to_numpy()
-        names = table["label"].combine_chunks()
-        firsts, labels = np.unique(names.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)[1:]
-        sets = sets_of(table)
+    most = least_overlap(k, percent)
+
+    def sharing(sets: list[np.ndarray], fits: Callable[..., np.ndarray]) -> Matcher:
+        """How much each set shares with all others comes from an inverted list of their values."""
         lengths = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         order = np.argsort(flat, kind="stable")
         values, holders = flat[order], np.repeat(np.arange(len(sets)), lengths)[order]
-        root = np.arange(len(firsts))
-        joined: list[tuple[int, int]] = []
-        commonest = np.bincount(labels).argmax()
-        for x in np.flatnonzero(labels != commonest).tolist():
+
+        def match(x: int, others: np.ndarray) -> np.ndarray:
             lo, hi = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
             shared = np.bincount(np.concatenate([holders[p:q] for p, q in zip(lo, hi, strict=True)]), minlength=len(sets))
-            good = fits(shared, lengths[x], lengths) & (root[labels] != root[labels[x]])
-            if i != j:
-                good &= own != own[x]
-            for y in np.unique(labels[good]).tolist():
-                if root[y] != root[labels[x]]:
-                    joined.append((labels[x], y))
-                    root[root == root[y]] = root[labels[x]]
-        ends = [pa.array([firsts[pair[e]] for pair in joined], pa.int64()) for e in (0, 1)]
-        return pa.RecordBatch.from_arrays([names.take(e) for e in ends], ["a", "b"])
-
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        at = None
-        for batch in batches:
-            keys = list(zip(*[batch.column(c).to_pylist() for c in columns], strict=True))
-            start = 0
-            while start < len(keys):
-                end = start
-                while end < len(keys) and keys[end] == keys[start]:
-                    end += 1
-                if held and keys[start] != at:
-                    yield block(held)
-                    held = []
-                at = keys[start]
-                held.append(batch.slice(start, end - start))
-                start = end
-        if held:
-            yield block(held)
-
-    return rows.mapInArrow(blocks, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+            return others[fits(shared[others], lengths[x], lengths[others])]
 
+        return match
 
-def apart_links(rest: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
-    """Links between labels of members (key, id, label) that the first round left in different components.
-
-    Labels whose sketches allow a link make a group; inside the groups the full sets are compared.
-    """
-    most = least_overlap(k, percent)
-
-    def possible(shared: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def possible(shared: np.ndarray, own: int, sizes: np.ndarray) -> np.ndarray:
         return shared >= np.minimum(most, np.ceil(np.maximum(own, sizes) * percent / 100))
 
-    def similar(shared: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def similar(shared: np.ndarray, own: int, sizes: np.ndarray) -> np.ndarray:
         return (shared > 0) & (100 * shared >= percent * (own + sizes - shared))
 
-    def sketch_sets(table: pa.Table) -> list[np.ndarray]:
+    def by_sketches(table: pa.Table) -> Matcher:
         column = table["payload"].combine_chunks()
-        return np.split(column.flatten().to_numpy(), (column.offsets.to_numpy() - column.offsets[0].as_py())[1:-1])
+        cuts = (column.offsets.to_numpy() - column.offsets[0].as_py())[1:-1]
+        return sharing(np.split(column.flatten().to_numpy(), cuts), possible)
 
-    def full_sets(table: pa.Table) -> list[np.ndarray]:
-        return [s for batch in table.to_batches() for piece in slices([batch], "payload") for s in batch_sets(piece, shingle, "payload")]
+    def by_texts(table: pa.Table) -> Matcher:
+        pieces = [piece for batch in table.to_batches() for piece in slices([batch], "payload")]
+        return sharing([s for piece in pieces for s in batch_sets(piece, shingle, "payload")], similar)
 
-    sketched = dealt(rest, "key").join(sets.select("id", F.col("sketch").alias("payload")), "id")
-    maybe = written(forest(sketched, sketch_sets, possible), "maybe")
+    sketched = dealt(rest, "key", BLOCK).join(sets.select("id", F.col("sketch").alias("payload")), "id")
+    maybe = written(forest(sketched, by_sketches), "maybe")
     groups = components(maybe).select(F.col("id").alias("label"), F.col("label").alias("family"))
     members = written(rest.select("id", "label").distinct().join(groups, "label"), "members")
     ends = only_keys(texts, members.select("id").distinct(), "id").dropDuplicates(["id"])
-    full = dealt(members, "family").join(ends.select("id", F.col("text").alias("payload")), "id")
-    return forest(full, full_sets, similar)
+    full = dealt(members, "family", BLOCK).join(ends.select("id", F.col("text").alias("payload")), "id")
+    return forest(full, by_texts)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:

@@ -15,6 +15,7 @@ from corpusflow.llm.chat import ChatTemplate, format_conversations, read_turns,
 from corpusflow.llm.decontaminate import contaminated
 from corpusflow.llm.fingerprints import fingerprints, likeness
 from corpusflow.llm.html_text import extracted
+from corpusflow.llm.line_dedup import deduplicated
 from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.neighbours import with_next
 from corpusflow.llm.ppm import scores
@@ -194,3 +195,10 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op10_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that stood, within two edits, in an earlier document or line."""
+    found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("c0").alias("doc_id"), "n_lines", "n_removed", F.coalesce("clean", F.lit("")).alias("text"))
