@@ -21,6 +21,7 @@ from corpusflow.llm.neighbours import with_next
 from corpusflow.llm.ppm import scores
 from corpusflow.llm.quality import AttentionModel, fit, scored
 from corpusflow.llm.tables import annotate, table
+from corpusflow.llm.warc import capture_history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -202,3 +203,27 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that stood, within two edits, in an earlier document or line."""
     found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("c0").alias("doc_id"), "n_lines", "n_removed", F.coalesce("clean", F.lit("")).alias("text"))
+
+
+_PAYLOADS = """
+  WITH p AS (SELECT page_id, url, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
+  g AS (SELECT digest, size, max(page_id) AS keeper FROM p WHERE size >= 1000 GROUP BY ALL),
+  k AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+  h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, rest FROM k),
+  u AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_replace(host, ':[0-9]*$', '')), '^www\\.', ''), '.')), ',')
+      || ')' || string_split(substr(rest, length(host) + 1), '#')[1] AS url_key FROM h)
+  SELECT p.page_id, size AS payload_bytes, digest AS payload_digest,
+    CASE WHEN keeper <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN keeper <> p.page_id THEN keeper END AS refers_to,
+    url_key, row_number() OVER (ORDER BY url_key, p.page_id) - 1 AS position
+  FROM p LEFT JOIN g USING (digest, size) JOIN u ON u.page_id = p.page_id
+"""
+
+
+@query("op2_warc", _PAYLOADS)
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives, read back and merged into one capture history; a page is captured at its number's second."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    captured = F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0))
+    history = capture_history(pages.withColumn("captured", captured))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
