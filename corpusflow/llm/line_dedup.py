@@ -16,7 +16,8 @@ from corpusflow.llm.texts import mixed, powers, slices
 
 EDITS = 2
 MIN_CHARS = 20
-BLOCK = 512
+# Lines that one task compares; more lines of one key are dealt over pairs of such blocks.
+BLOCK = 4_096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

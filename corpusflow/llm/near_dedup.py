@@ -21,8 +21,9 @@ SKETCH = 96
 MISS = 1e-8
 # Members that one task compares with a copy of their hub; larger groups are dealt over several copies.
 PER_HUB = 512
-# Members of a list that one task compares by their sketches; a longer list is dealt over pairs of such blocks.
-BLOCK = 512
+# Members that one task compares, by their sketches and by their full sets; more are dealt over pairs of such blocks.
+SKETCH_BLOCK = 4_096
+TEXT_BLOCK = 512
 
 
 def least_overlap(k: int, percent: int, miss: float = MISS) -> int:
@@ -136,12 +137,12 @@ def apart_links(rest: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int
         pieces = [piece for batch in table.to_batches() for piece in slices([batch], "payload")]
         return sharing([s for piece in pieces for s in batch_sets(piece, shingle, "payload")], similar)
 
-    sketched = dealt(rest, "key", BLOCK).join(sets.select("id", F.col("sketch").alias("payload")), "id")
+    sketched = dealt(rest, "key", SKETCH_BLOCK).join(sets.select("id", F.col("sketch").alias("payload")), "id")
     maybe = written(forest(sketched, by_sketches), "maybe")
     groups = components(maybe).select(F.col("id").alias("label"), F.col("label").alias("family"))
     members = written(rest.select("id", "label").distinct().join(groups, "label"), "members")
     ends = only_keys(texts, members.select("id").distinct(), "id").dropDuplicates(["id"])
-    full = dealt(members, "family", BLOCK).join(ends.select("id", F.col("text").alias("payload")), "id")
+    full = dealt(members, "family", TEXT_BLOCK).join(ends.select("id", F.col("text").alias("payload")), "id")
     return forest(full, by_texts)
 
 
