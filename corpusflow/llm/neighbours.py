@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm.tables import tasks_for, written
+from corpusflow.llm.texts import slices
 
 ROWS_PER_CHUNK = 10_000
 MOST_CHUNKS = 4_096  # bounds the tables below; chunks of a very large table hold more rows, which stream through
@@ -25,12 +26,12 @@ def _chunk(cuts: list, of: Column) -> Column:
 
 def with_next(
     df: DataFrame, order: str, schema: T.StructType, make: Callable[[pa.RecordBatch, pa.RecordBatch], pa.RecordBatch],
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    text: str = "text", rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """``make(rows, next rows)`` for all rows in descending ``order`` (an integer column); the last row's next is the first.
 
     The table is cut at quantiles of ``order``.  A chunk also gets a copy of the first row of the
-    chunk behind it, so chunks are independent; each holds one Arrow batch at a time.  Rows of equal order stand side by
+    chunk behind it, so chunks are independent; each holds a few MB of ``text`` at a time.  Rows of equal order stand side by
     side in the order of all their columns, null orders at the end.  A single row is its own next.
     """
     ids = written(df.select(F.col(order).alias("o")), "order")
@@ -53,7 +54,7 @@ def with_next(
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: pa.RecordBatch | None = None  # the row that waits for its next
-        for batch in batches:
+        for batch in slices(batches, text):
             table = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks()
             rows = table.to_batches()[0] if table.num_rows else batch
             if not rows.num_rows:
