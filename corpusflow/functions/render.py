@@ -61,11 +61,12 @@ def spaced_json(compact: Column) -> Column:
 def function_parts(content: Column) -> tuple[Column, Column]:
     """Name and arguments of a JSON call; both empty when either is missing or the text is not JSON."""
     name = F.get_json_object(content, "$.name")
-    # A top-level string argument comes back without its quotes; take the value from its enclosing object instead.
-    raw = F.get_json_object(content, "$.arguments")
-    is_text = F.regexp_like(content, F.lit(r'(?s)"arguments"\s*:\s*"'))
-    arguments = F.when(is_text, F.concat(F.lit('"'), raw, F.lit('"'))).otherwise(spaced_json(raw))
-    valid = F.try_parse_json(content).isNotNull() & name.isNotNull() & raw.isNotNull()
+    raw = F.get_json_object(content, "$.arguments")  # keeps the order of keys; a text comes back without quotes and escapes
+    parsed = F.try_parse_json(content)
+    is_text = F.schema_of_variant(F.try_variant_get(parsed, "$.arguments", "variant")) == "STRING"
+    quoted = F.regexp_replace(F.to_json(F.array(raw)), r"^\[|\]$", "")
+    arguments = F.when(is_text, quoted).otherwise(spaced_json(raw))
+    valid = parsed.isNotNull() & name.isNotNull() & raw.isNotNull()
     return F.when(valid, name).otherwise(F.lit("")), F.when(valid, arguments).otherwise(F.lit(""))
 
 
@@ -76,7 +77,10 @@ def render_function_call(content: Column, slot: str = "Action: {{name}}\nAction
 
 
 def render_tools(tools: Column) -> Column:
-    """TPL-07: prompt text for a JSON list of tools; '' when it is empty, invalid or incomplete."""
+    """TPL-07: prompt text for a JSON list of tools; '' when it is empty, invalid or incomplete.
+
+    Numbers and other values in an ``enum`` are shown as they stand in the JSON.
+    """
     parsed = F.from_json(tools, TOOLS_SCHEMA)
 
     def one_param(entry: Column, required: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -11,8 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.session import BROADCAST_ROWS
-
 SPACE = " \t\r\n\f"
 UNK = "<unk>"
 
@@ -108,88 +107,113 @@ def _arrow_list_map(arr: pa.Array, fn: Callable[[pa.Array], pa.Array]) -> pa.Arr
     return fn(arr)
 
 
-def to_ids(df: DataFrame, tokens: str | dict[str, str], vocab: DataFrame, out: str | None = None, unk: str = UNK) -> DataFrame:
-    """JOIN-09: token arrays (nested or flat) become id arrays; tokens outside the vocabulary get the id of ``unk``.
+# A vocabulary of at most so many bytes of text goes to every worker; a larger one is joined.  Both give the same ids.
+VOCAB_BYTES = 64_000_000
 
-    A vocabulary of a checked size is shipped to the workers and looked up by hash inside each Arrow batch: no
-    explode and no shuffle.  A larger one is joined instead, see :func:`to_ids_by_join`.  The id columns (``out``, or
-    the values of a dict token column -> id column) replace the token columns; all other columns pass through Python
-    as they are, so drop what is not needed first.
-    """
-    columns = {tokens: out} if isinstance(tokens, str) else dict(tokens)
-    rows = vocab.select("token", "token_id").limit(BROADCAST_ROWS + 1).toPandas()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"vocabulary has more than {BROADCAST_ROWS} tokens; use to_ids_by_join")
-    shared = df.sparkSession.sparkContext.broadcast((rows["token"].tolist(), rows["token_id"].tolist()))
-    unk_id = dict(zip(rows["token"], rows["token_id"])).get(unk)
 
-    def with_ints(kind: T.DataType) -> T.DataType:
-        return T.ArrayType(with_ints(kind.elementType)) if isinstance(kind, T.ArrayType) else T.IntegerType()
+def _with_values(kind: T.DataType, value: T.DataType) -> T.DataType:
+    return T.ArrayType(_with_values(kind.elementType, value)) if isinstance(kind, T.ArrayType) else value
 
-    schema = T.StructType(
-        [T.StructField(columns[f.name], with_ints(f.dataType)) if f.name in columns else f for f in df.schema.fields]
-    )
-    names = schema.fieldNames()
+
+def _looked_up(df: DataFrame, columns: dict[str, str], entries: DataFrame, default: Any, value: T.DataType, bound: int) -> DataFrame:
+    """(Nested) list columns with every element replaced by its value in ``entries`` (key, value), else by ``default``."""
+    size = entries.agg(F.sum(F.octet_length(F.col("key").cast("string")) + F.octet_length(F.col("value").cast("string")))).first()[0]
+    key_type = pa.string() if isinstance(entries.schema["key"].dataType, T.StringType) else pa.int32()
+    value_type = pa.string() if isinstance(value, T.StringType) else pa.int32()
+    fields = [
+        T.StructField(columns[f.name], _with_values(f.dataType, value)) if f.name in columns else f for f in df.schema.fields
+    ]
+    names = [f.name for f in fields]
+    if (size or 0) > bound:
+        return _looked_up_by_join(df, columns, entries, default, T.StructType(fields))
+    rows = entries.toPandas()
+    shared = df.sparkSession.sparkContext.broadcast((rows["key"].tolist(), rows["value"].tolist()))
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = pa.array(shared.value[0], pa.string()), pa.array(shared.value[1], pa.int32())
+        keys, values = pa.array(shared.value[0], key_type), pa.array(shared.value[1], value_type)
 
-        def ids_of(flat: pa.Array) -> pa.Array:
-            found = values.take(pc.index_in(flat.cast(pa.string()), value_set=keys))
-            return pc.fill_null(found, int(unk_id)) if unk_id is not None else found
+        def of(flat: pa.Array) -> pa.Array:
+            found = values.take(pc.index_in(flat.cast(key_type), value_set=keys))
+            return pc.fill_null(found, default) if default is not None else found
 
         for batch in batches:
-            arrays = [
-                _arrow_list_map(col, ids_of) if name in columns else col
-                for name, col in zip(batch.schema.names, batch.columns)
-            ]
+            arrays = [_arrow_list_map(col, of) if name in columns else col for name, col in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.mapInArrow(lookup, schema)
+    return df.mapInArrow(lookup, T.StructType(fields))
 
 
-def to_ids_by_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, unk: str = UNK, salts: int = 64):
-    """JOIN-09 for vocabularies of any size: every row's distinct tokens are joined, so a token that occurs in all
-    rows is spread over ``salts`` copies of its vocabulary entry.
-    """
-    spark = df.sparkSession
-    distinct = explode_tokens(df.select(key, F.array_distinct(tokens).alias("_distinct")), "_distinct", [key])
-    distinct = distinct.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    salted = vocab.select("token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    default = vocab.where(F.col("token") == unk).select("token_id")
-    ids = (
-        distinct.join(salted, ["token", "_salt"], "left")
-        .withColumn("token_id", F.coalesce("token_id", default.scalar()))
-        .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "token_id"))).alias("_ids"))
-    )
+def _looked_up_by_join(df: DataFrame, columns: dict[str, str], entries: DataFrame, default: Any, schema: T.StructType, salts: int = 64) -> DataFrame:
+    """The same through a join: rows with equal lists share their distinct elements, which are joined under salted keys."""
+    spread = lambda c, kind: F.flatten(c) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType) else c
+    flat = F.concat(*[F.coalesce(spread(F.col(c), df.schema[c].dataType), F.array()) for c in columns])
+    keyed = df.withColumn("_row", F.md5(F.to_json(F.struct(*columns))))
+    distinct = explode_tokens(keyed.select("_row", F.array_distinct(flat).alias("_all")), "_all", ["_row"], "key").distinct()
+    distinct = distinct.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
+    salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    found = distinct.join(salted, ["key", "_salt"]).groupBy("_row").agg(F.collect_list(F.struct("key", "value")).alias("_found"))
+    joined = keyed.join(found, "_row", "left").drop("_row")
+    names = schema.fieldNames()
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def pick(col: pa.Array, entries: pa.Array) -> pa.Array:
-        rows = []
-        for toks, pairs in zip(col.to_pylist(), entries.to_pylist()):
-            found = dict(pairs or ())
-            rows.append(None if toks is None else [found.get(t) for t in toks])
-        return pa.array(rows, pa.list_(pa.int32()))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = [{e["key"]: e["value"] for e in entry or ()} for entry in batch.column("_found").to_pylist()]
+
+            def values(item: Any, of: dict) -> Any:
+                if isinstance(item, list):
+                    return [values(x, of) for x in item]
+                return of.get(item, default)
+
+            arrays = []
+            for name, col in zip(batch.schema.names, batch.columns):
+                if name in columns:
+                    rows = [None if x is None else values(x, of) for x, of in zip(col.to_pylist(), known)]
+                    col = pa.array(rows, kinds[columns[name]])
+                if name != "_found":
+                    arrays.append(col)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def arrow(kind: T.DataType) -> pa.DataType:
+        if isinstance(kind, T.ArrayType):
+            return pa.list_(arrow(kind.elementType))
+        return pa.string() if isinstance(kind, T.StringType) else pa.int32()
+
+    kinds = {f.name: arrow(f.dataType) for f in schema.fields if f.name in columns.values()}
+    return joined.mapInArrow(pick, schema)
+
+
+def to_ids(
+    df: DataFrame, tokens: str | dict[str, str], vocab: DataFrame, out: str | None = None, unk: str = UNK, bound: int = VOCAB_BYTES
+) -> DataFrame:
+    """JOIN-09: token arrays (nested or flat) become id arrays; tokens outside the vocabulary get the id of ``unk``.
 
-    return df.join(ids, key, "left").withColumn(out, pick(F.col(tokens), F.col("_ids"))).drop("_ids")
+    A vocabulary of at most ``bound`` bytes is shipped to the workers and looked up by hash inside each Arrow batch: no
+    explode and no shuffle.  A larger one is joined, with the same result.  The id columns (``out``, or the values of a
+    dict token column -> id column) replace the token columns; all other columns pass through Python as they are, so drop
+    what is not needed first.
+    """
+    columns = {tokens: out} if isinstance(tokens, str) else dict(tokens)
+    default = vocab.where(F.col("token") == unk).select("token_id").first()
+    entries = vocab.select(F.col("token").alias("key"), F.col("token_id").cast("int").alias("value"))
+    return _looked_up(df, columns, entries, default and int(default[0]), T.IntegerType(), bound)
 
 
-def decode(df: DataFrame, ids: str, vocab: DataFrame, out: str, skip: int | None = None, sep: str = " ") -> DataFrame:
-    """TOK-03: ids -> text; positions equal to ``skip`` (the ignored label) are left out first."""
-    rows = vocab.select("token_id", "token").limit(BROADCAST_ROWS + 1).toPandas()
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"vocabulary has more than {BROADCAST_ROWS} tokens")
-    shared = df.sparkSession.sparkContext.broadcast((rows["token_id"].tolist(), rows["token"].tolist()))
+def to_ids_by_join(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str, unk: str = UNK) -> DataFrame:
+    """JOIN-09 by a join whatever the vocabulary's size; the token column stays next to the ids."""
+    return to_ids(df.withColumn(out, F.col(tokens)), {out: out}, vocab, unk=unk, bound=-1)
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def lookup(col: pa.Array) -> pa.Array:
-        keys, names = shared.value
-        key_arr, name_arr = pa.array(keys, pa.int32()), pa.array(names, pa.string())
-        return _arrow_list_map(col, lambda flat: name_arr.take(pc.index_in(flat.cast(pa.int32()), value_set=key_arr)))
 
+def decode(
+    df: DataFrame, ids: str, vocab: DataFrame, out: str, skip: int | None = None, sep: str = " ", bound: int = VOCAB_BYTES
+) -> DataFrame:
+    """TOK-03: ids -> text; positions equal to ``skip`` (the ignored label) are left out first.
+
+    ``bound`` is that of :func:`to_ids`.
+    """
     source = F.col(ids) if skip is None else F.filter(ids, lambda x: x != F.lit(skip))
-    return df.withColumn(out, F.array_join(lookup(source), sep))
+    entries = vocab.select(F.col("token_id").cast("int").alias("key"), F.col("token").alias("value"))
+    named = _looked_up(df.withColumn(out, source.cast("array<int>")), {out: out}, entries, None, T.StringType(), bound)
+    return named.withColumn(out, F.array_join(out, sep))
 
 
 def preview(df: DataFrame, order: str, ids: str, vocab: DataFrame, labels: str | None = None) -> dict:

@@ -12,9 +12,6 @@ from corpusflow.schema import ALIGNED, ASSISTANT, MESSAGES, NON_BLANK, USER
 from corpusflow.session import broadcast_if_small, written
 from corpusflow.sources.registry import DatasetSpec, map_tags
 
-# Conversations with more turns are aligned turn by turn instead of inside one row.
-MAX_TURNS = 4_096
-
 
 def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.cast("string").alias("content"))
@@ -139,7 +136,7 @@ def assemble_turns(
 ) -> DataFrame:
     """ALN-08: one row per conversation with its messages in order of turn.
 
-    A conversation is one record here; use :func:`split_long` first where some may be too long for that.
+    A conversation is one record here; :func:`align_conversations` never builds one.
     """
     items = F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("from"), F.col(content).alias("value"))))
     return (
@@ -149,13 +146,6 @@ def assemble_turns(
     )
 
 
-def split_long(turns: DataFrame, conv: str, max_turns: int = MAX_TURNS) -> tuple[DataFrame, DataFrame]:
-    """(short, long) conversations by their number of turns, counted with map-side pre-aggregation."""
-    counts = turns.groupBy(conv).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_turns).select(conv)
-    long_ids = broadcast_if_small(written(counts, "long-conversations"))
-    return turns.join(long_ids, conv, "left_anti"), turns.join(long_ids, conv, "left_semi")
-
-
 def explode_aligned(aligned: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Aligned rows as one row per message: (keys, idx, part, role, content, system)."""
     n = F.size("prompt")
@@ -171,40 +161,6 @@ def explode_aligned(aligned: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def align_turn_rows(
-    turns: DataFrame, conv: str, turn: str, role: str, content: str, spec: DatasetSpec, chunk: Column, mode: str = "fail"
-) -> DataFrame:
-    """The same alignment without ever building a conversation: turn rows in, message rows out.
-
-    Positions come from chunk offsets, so one conversation may be spread over many tasks.
-    """
-    placed = positions(turns, [conv], [turn], chunk, out="_p", total="_n")
-    first = (
-        turns.groupBy(conv)
-        .agg(F.min_by(F.struct(F.col(role).alias("r"), F.col(content).alias("c")), turn).alias("_first"))
-        .select(conv, (F.col("_first.r") == spec.system_tag).alias("_sys"), F.when(F.col("_first.r") == spec.system_tag, F.col("_first.c")).otherwise("").alias("system"))
-    )
-    rows = placed.join(broadcast_if_small(written(first, "first-turns")), conv)
-    shift = F.col("_sys").cast("int")
-    rows = rows.withColumn("idx", (F.col("_p") - shift).cast("int")).withColumn("_len", F.col("_n") - shift)
-    rows = rows.withColumn("_len", F.col("_len") - F.col("_len") % 2).where((F.col("idx") >= 0) & (F.col("idx") < F.col("_len")))
-    odd, even = [spec.user_tag, spec.observation_tag], [spec.assistant_tag, spec.function_tag]
-    ok = F.when(F.col("idx") % 2 == 0, F.col(role).isin(odd)).otherwise(F.col(role).isin(even))
-    if mode == "fail":
-        rows = rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("invalid role tag")).cast("boolean")))
-    elif mode == "drop":
-        bad = rows.where(~F.coalesce(ok, F.lit(False))).select(conv).distinct()
-        rows = rows.join(broadcast_if_small(written(bad, "bad-conversations")), conv, "left_anti")
-    return rows.select(
-        conv,
-        "idx",
-        F.when(F.col("idx") < F.col("_len") - 1, "prompt").otherwise("response").alias("part"),
-        map_tags(F.col(role), spec).alias("role"),
-        F.col(content).alias("content"),
-        "system",
-    )
-
-
 def align_conversations(
     turns: DataFrame,
     conv: str,
@@ -214,13 +170,54 @@ def align_conversations(
     spec: DatasetSpec,
     chunk: Column,
     mode: str = "fail",
-    max_turns: int = MAX_TURNS,
 ) -> DataFrame:
-    """Message rows of all conversations: short ones through their nested record, long ones turn by turn."""
-    short, long = split_long(turns, conv, max_turns)
-    nested = align(assemble_turns(short, conv, turn, role, content, spec.messages), spec, keep=[conv], mode=mode)
-    return explode_aligned(nested, [conv]).unionByName(
-        align_turn_rows(long, conv, turn, role, content, spec, chunk, mode)
+    """ALN-03 on turn rows: message rows out, for conversations of any length; no conversation is ever one record.
+
+    Positions come from chunk offsets, so one conversation may be spread over many tasks.  ``spec.system`` and
+    ``spec.tools`` may name columns of the turns; a conversation has those of its first turn.  ``mode`` is that of
+    :func:`align_sharegpt`; ``quarantine`` adds ``valid``.
+    """
+    if mode not in ("fail", "drop", "quarantine"):
+        raise ValueError("mode must be fail, drop or quarantine")
+    has = lambda name: bool(name) and name in turns.columns
+    tools = F.coalesce(F.col(spec.tools).cast("string"), F.lit("")) if has(spec.tools) else F.lit("")
+    default = F.coalesce(F.col(spec.system).cast("string"), F.lit("")) if has(spec.system) else F.lit("")
+    speaks = F.coalesce(F.col(role) == F.lit(spec.system_tag), F.lit(False)) if spec.system_tag else F.lit(False)
+    first = F.struct(speaks.alias("is_system"), F.when(speaks, F.col(content)).otherwise(default).alias("system"), tools.alias("tools"))
+    heads = turns.groupBy(conv).agg(F.min_by(first, turn).alias("_first"))
+    odd = [t for t in (spec.user_tag, spec.observation_tag) if t is not None]
+    even = [t for t in (spec.assistant_tag, spec.function_tag) if t is not None]
+
+    def placed(columns: Sequence[str], heads: DataFrame) -> DataFrame:
+        rows = positions(turns.select(*dict.fromkeys([conv, turn, *columns])), [conv], [turn], chunk, out="_p", total="_n")
+        rows = rows.join(heads, conv)
+        shift = F.col("_first.is_system").cast("int")
+        rows = rows.withColumn("idx", (F.col("_p") - shift).cast("int")).withColumn("_len", F.col("_n") - shift)
+        rows = rows.withColumn("_len", F.col("_len") - F.col("_len") % 2)
+        return rows.where((F.col("idx") >= 0) & (F.col("idx") < F.col("_len")))
+
+    ok = F.coalesce(F.when(F.col("idx") % 2 == 0, F.col(role).isin(odd)).otherwise(F.col(role).isin(even)), F.lit(False))
+    rows = placed([role, content], heads)
+    extra = []
+    if mode == "fail":
+        rows = rows.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("invalid role tag")).cast("boolean")))
+    else:
+        short = heads.select(conv, F.struct(F.col("_first.is_system").alias("is_system")).alias("_first"))
+        bad = written(placed([role], short).where(~ok).select(conv).distinct(), "bad-conversations")
+        if mode == "drop":
+            rows = rows.join(broadcast_if_small(bad), conv, "left_anti")
+        else:
+            rows = rows.join(broadcast_if_small(bad.withColumn("_bad", F.lit(True))), conv, "left")
+            extra = [F.col("_bad").isNull().alias("valid")]
+    return rows.select(
+        conv,
+        "idx",
+        F.when(F.col("idx") < F.col("_len") - 1, "prompt").otherwise("response").alias("part"),
+        map_tags(F.col(role), spec).alias("role"),
+        F.col(content).cast("string").alias("content"),
+        F.col("_first.system").alias("system"),
+        *([F.col("_first.tools").alias("tools")] if has(spec.tools) else []),
+        *extra,
     )
 
 

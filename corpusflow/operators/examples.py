@@ -17,7 +17,6 @@ from corpusflow.schema import ASSISTANT, IGNORE
 
 INTS = "array<int>"
 PAIRS = "array<struct<source:array<int>,target:array<int>>>"
-NO_CUTOFF = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -112,11 +111,14 @@ def attention_mask(ids: Column) -> Column:
 
 
 def _pairs(
-    df: DataFrame, messages: dict[str, Column], enc: Encoding, cutoff: int, reserved: int, keep: Sequence[str]
+    df: DataFrame, messages: dict[str, Column], enc: Encoding, cutoff: int | None, reserved: int, keep: Sequence[str]
 ) -> DataFrame:
-    """The (source, target) pairs of each entry of ``messages``, cut to the length budget."""
+    """The (source, target) pairs of each entry of ``messages``, cut to the length budget if there is one."""
     ids = message_ids(df, messages, enc, keep)
-    return ids.select(*keep, *[truncate_pairs(pair_up(F.col(n)), cutoff, reserved).alias(n) for n in messages])
+    pairs = {n: pair_up(F.col(n)) for n in messages}
+    if cutoff is not None:
+        pairs = {n: truncate_pairs(p, cutoff, reserved) for n, p in pairs.items()}
+    return ids.select(*keep, *[p.alias(n) for n, p in pairs.items()])
 
 
 def encode_sft(
@@ -241,7 +243,7 @@ def pack_sft(
     if train_on_prompt and enc.template.efficient_eos:
         raise ValueError("this template does not support train_on_prompt")
     numbered = valid_sft(batches(aligned, order, chunk, batch_rows))
-    df = _pairs(numbered, {"_pairs": F.concat("prompt", "response")}, enc, NO_CUTOFF, 1, ["batch", order])
+    df = _pairs(numbered, {"_pairs": F.concat("prompt", "response")}, enc, None, 1, ["batch", order])
     ids = F.flatten(F.transform("_pairs", lambda p: F.concat(p["source"], p["target"])))
     if not enc.template.efficient_eos:
         labels = ids if train_on_prompt else F.flatten(

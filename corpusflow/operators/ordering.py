@@ -41,22 +41,37 @@ def hash_chunk(col: str | Column, digits: int = 4) -> Column:
     return F.substring(F.col(col) if isinstance(col, str) else col, 1, digits)
 
 
+CUTS = 512  # bounds the size of the expression below
+
+
 def even_chunk(df: DataFrame, col: str, rows: int = CHUNK_ROWS) -> Column:
-    """Chunk of any numeric column from approximate quantiles, for ids that are unevenly spread."""
+    """Chunk of any numeric column from approximate quantiles, for ids that are unevenly spread.
+
+    Up to ``CUTS`` ranges hold equally many rows; a larger table divides each of them evenly by value.
+    """
     n = df.count()
-    parts = min(max(1, -(-n // rows)), 512)  # bounds the size of the expression
+    parts = max(1, -(-n // rows))
     if parts == 1:
         return F.lit(0).cast("long")
-    shares = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(df.agg(F.percentile_approx(col, shares, max(10_000, 10 * parts)).alias("q")).first()["q"]))
+    wide, fine = min(parts, CUTS), -(-parts // CUTS)
+    shares = [i / wide for i in range(wide + 1)]
+    cuts = sorted(set(df.agg(F.percentile_approx(col, shares, max(10_000, 10 * wide)).alias("q")).first()["q"]))
+    value = F.col(col)
+
+    def inside(i: int) -> Column:
+        """The chunk of a value between cuts i and i + 1; values beyond the outer cuts go to the outer chunks."""
+        if fine == 1 or cuts[i + 1] <= cuts[i]:
+            return F.lit(i * fine)
+        share = (value.cast("double") - F.lit(float(cuts[i]))) / F.lit(float(cuts[i + 1] - cuts[i]))
+        return F.lit(i * fine) + F.greatest(F.least(F.floor(share * fine), F.lit(fine - 1)), F.lit(0))
 
     def pick(lo: int, hi: int) -> Column:  # balanced comparison tree over the cut points
         if lo == hi:
-            return F.lit(lo)
+            return inside(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col(col) < F.lit(cuts[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+        return F.when(value < F.lit(cuts[mid + 1]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
 
-    return pick(0, len(cuts)).cast("long")
+    return pick(0, len(cuts) - 2).cast("long") if len(cuts) > 1 else F.lit(0).cast("long")
 
 
 def hex_hash(seed: int, *cols: str | Column) -> Column:

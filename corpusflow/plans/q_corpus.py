@@ -311,7 +311,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     "WITH " + CHAT_SQL + "SELECT conv_id, CAST(i AS INT) AS idx, CASE WHEN i < n - 1 THEN 'prompt' ELSE 'response' END AS part, role, text AS content, system FROM msg",
 )
 def sharegpt(spark: SparkSession, sf: str) -> DataFrame:
-    """All conversations as message rows; very long ones take the turn-by-turn path."""
+    """All conversations as message rows, aligned turn by turn."""
     turns = table(spark, sf, "conversations")
     return A.align_conversations(turns, "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 1024), mode="drop")
 
@@ -514,7 +514,7 @@ def function_calls(spark: SparkSession, sf: str) -> DataFrame:
 def tool_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """A tool description per part, as JSON text whose key order must survive."""
     quoted = lambda c: F.to_json(F.array(c))
-    inner = lambda c: F.substring(quoted(c), 2, 1_000_000)
+    inner = lambda c: F.substr(quoted(c), F.lit(2))
     bare = lambda c: F.regexp_replace(inner(c), r"\]$", "")
     tools = F.concat(
         F.lit('[{"name": "part_'), F.col("p_partkey").cast("string"), F.lit('", "description": '), bare(F.col("p_name")),

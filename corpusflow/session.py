@@ -6,11 +6,13 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side of a join is broadcast only after a count proved it to be at most this many rows.
+# A side of a join is broadcast only after its size proved to be at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def local_session(cores: str = "*", app: str = "corpusflow", **conf: str) -> SparkSession:
@@ -40,10 +42,14 @@ def local_session(cores: str = "*", app: str = "corpusflow", **conf: str) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is made and set.
+    Only where a local session names none (tests on one machine) a temporary folder is made and set; executors on other
+    machines could not read it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="corpusflow-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -62,14 +68,25 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when a count proves the bound; otherwise the plain (shuffled) side.
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: lengths of texts and (nested) values as JSON, eight bytes for the rest."""
+    sizes = []
+    for field in df.schema.fields:
+        kind, value = field.dataType, F.col(f"`{field.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(value), F.lit(0)))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            sizes.append(F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)))
+    return F.lit(8 * len(df.columns)).cast("long") + sum(sizes, F.lit(0).cast("long"))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only when the number of rows and their bytes are proved small; otherwise the plain (shuffled) side.
 
     ``df`` should be cheap to evaluate, e.g. the result of :func:`written`.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(_row_bytes(df)), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= max_rows and size["b"] <= max_bytes else df
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

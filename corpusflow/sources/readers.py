@@ -49,16 +49,32 @@ def check_homogeneous(spark: SparkSession, path: str) -> str:
     """SRC-02: the one format of all files below ``path``; an error when they differ or it is unknown."""
     formats = [r[0] for r in file_manifest(spark, path).select("fmt").distinct().limit(2).collect()]
     if not formats:
-        raise ValueError("File not found.")
+        raise ValueError(f"no files below {path}")
     if len(formats) > 1:
-        raise ValueError("File types should be identical.")
+        raise ValueError(f"files of more than one format below {path}")
     if formats[0] is None:
         raise ValueError("File extension must be txt, csv, json or jsonl.")
     return formats[0]
 
 
-def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None) -> DataFrame:
-    """SRC-01: a file or folder; the extension picks the reader. Text gives one ``text`` column, one row per line."""
+def _json_arrays(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files that hold one array, and files of a row per line: by the first character of each that is not blank."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # rows of a file's first block come in order within their task
+    first = lines.where("file_block_start = 0 AND trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    heads = first.groupBy("file_path").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "at").alias("head")).collect()
+    arrays = sorted(r["file_path"] for r in heads if r["head"] == "[")
+    return arrays, sorted(r["file_path"] for r in heads if r["head"] != "[")
+
+
+def read_dataset(
+    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """SRC-01: a file or folder; the extension picks the reader. Text gives one ``text`` column, one row per line.
+
+    JSON files may each be an array or a row per line.  ``multi_line`` allows line breaks inside CSV values; without, CSV
+    files are split among tasks.  CSV without ``schema`` is read once more to infer it.
+    """
     if fmt is None:
         name = path.rstrip("/").rsplit("/", 1)[-1]
         known = "." in name and name.rsplit(".", 1)[-1].lower() in EXTENSION_FORMAT
@@ -71,11 +87,12 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, schema:
         return read_arrow(spark, path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "csv":
-        return reader.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=schema is None)
+        return reader.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', inferSchema=schema is None)
     if fmt == "json":
-        head = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-        is_array = head is not None and head[0].lstrip().startswith("[")
-        return reader.json(path, multiLine=is_array)
+        arrays, lines = _json_arrays(spark, path)
+        if not arrays or not lines:
+            return reader.json(path, multiLine=bool(arrays))
+        return reader.json(arrays, multiLine=True).unionByName(reader.json(lines, multiLine=False), allowMissingColumns=True)
     return reader.parquet(path)
 
 
@@ -99,7 +116,7 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
 
     first = files.select("content").limit(1).mapInArrow(header, "h binary").first()
     if first is None:
-        raise ValueError("File not found.")
+        raise ValueError(f"no files below {path}")
     schema = from_arrow_schema(pa.ipc.read_schema(pa.BufferReader(first["h"])))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,11 +27,11 @@ def stream_dataset(
 ) -> DataFrame:
     """STM-01: files read lazily as a stream, with the checks a streaming job needs."""
     if max_samples is not None:
-        raise ValueError("`max_samples` is incompatible with `streaming`.")
+        raise ValueError("a stream cannot be cut to max_samples rows")
     if 1e-6 < val_size < 1:
-        raise ValueError("Streaming mode should have an integer val size.")
+        raise ValueError("the validation part of a stream is a number of rows, not a share")
     if training and max_steps == -1:
-        raise ValueError("Please specify `max_steps` in streaming mode.")
+        raise ValueError("training on a stream needs max_steps")
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))

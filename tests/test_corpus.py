@@ -38,13 +38,33 @@ def python_align(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_turns", [1, 4, 1000])
-def test_long_conversations_align_the_same(spark, max_turns):
+@pytest.mark.parametrize("rows", [1, 3, 1000])
+def test_turn_rows_align_like_records(spark, rows):
     turns = spark.createDataFrame(chat_rows(), TURNS)
-    out = A.align_conversations(turns, "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 3), max_turns=max_turns)
+    out = A.align_conversations(turns, "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", rows))
     assert sorted(tuple(r) for r in out.select("conv_id", "idx", "part", "role", "content", "system").collect()) == python_align(chat_rows())
 
 
+def test_turn_rows_without_system_tag_keep_their_conversation(spark):
+    spec = registry.with_tags(DatasetSpec(name="x", formatting="sharegpt"), {"user_tag": "user", "assistant_tag": "assistant"})
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(6)]
+    for chunk in (1, 2, 100):
+        out = A.align_conversations(spark.createDataFrame(rows, TURNS), "conv_id", "turn", "role", "text", spec, id_chunk("turn", chunk))
+        assert [r["content"] for r in out.orderBy("idx").collect()] == [f"t{i}" for i in range(6)]
+
+
+def test_turn_rows_carry_system_tools_and_validity(spark):
+    spec = DatasetSpec(name="x", formatting="sharegpt", user_tag="user", assistant_tag="assistant", system="sys", tools="tools")
+    rows = [(1, 0, "user", "a", "S", "T"), (1, 1, "assistant", "b", "S", "T"), (2, 0, "user", "a", None, None), (2, 1, None, "b", None, None)]
+    turns = spark.createDataFrame(rows, TURNS + ", sys string, tools string")
+    args = ("conv_id", "turn", "role", "text", spec, id_chunk("turn", 1))
+    out = A.align_conversations(turns, *args, mode="quarantine").orderBy("conv_id", "idx").collect()
+    assert [(r["conv_id"], r["system"], r["tools"], r["valid"]) for r in out] == [(1, "S", "T", True)] * 2 + [(2, "", "", False)] * 2
+    assert {r["conv_id"] for r in A.align_conversations(turns, *args, mode="drop").collect()} == {1}
+    with pytest.raises(PySparkException, match="invalid role tag"):
+        A.align_conversations(turns, *args).collect()
+
+
 BAD = [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "system", "s"), (3, 0, "user", "q"), (3, 1, "assistant", "r")]
 
 
@@ -56,8 +76,8 @@ def test_role_order_modes(spark):
     with pytest.raises(PySparkException, match="invalid role tag"):
         A.align(chats, CHAT, ["conv_id"]).collect()
     with pytest.raises(PySparkException, match="invalid role tag"):
-        A.align_conversations(spark.createDataFrame(BAD, TURNS), "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 1), max_turns=0).collect()
-    dropped = A.align_conversations(spark.createDataFrame(BAD, TURNS), "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 1), "drop", 0)
+        A.align_conversations(spark.createDataFrame(BAD, TURNS), "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 1)).collect()
+    dropped = A.align_conversations(spark.createDataFrame(BAD, TURNS), "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 1), "drop")
     assert {r["conv_id"] for r in dropped.collect()} == {3}
 
 
@@ -246,7 +266,7 @@ def test_read_dataset(spark, tmp_path):
         assert got == [(d["a"], d["text"]) for d in data]
     assert readers.read_dataset(spark, str(folder)).count() == 10
     assert [r["text"] for r in readers.read_dataset(spark, str(tmp_path / "x.txt")).collect()] == ["l1", "l2"]
-    with pytest.raises(ValueError, match="identical"):
+    with pytest.raises(ValueError, match="more than one format"):
         readers.check_homogeneous(spark, str(tmp_path))
     (tmp_path / "z").mkdir()
     (tmp_path / "z" / "x.xyz").write_text("x")
@@ -287,3 +307,28 @@ def test_metric_lines(spark, tmp_path):
     assert sinks.to_markdown(df.orderBy("metric")).splitlines()[0] == "| metric | value |"
     sinks.write_loss_log(spark.createDataFrame([(i, i / 2) for i in range(20)], "pos long, nll double"), str(tmp_path / "l"), ["pos"])
     assert [float(r["value"]) for r in spark.read.text(str(tmp_path / "l")).collect()] == [i / 2 for i in range(20)]
+
+
+def test_call_arguments_that_are_text_or_hold_their_own_name(spark):
+    calls = ['{"name":"f","arguments":{"arguments":"x"}}', '{"name":"f","arguments":"a\\"b"}', '{"name":"f","arguments":[1,"ü"]}', '{"name":"f"}']
+    df = spark.createDataFrame([(c,) for c in calls], "c string")
+    out = [r[0] for r in df.select(R.render_function_call(F.col("c"), "{{arguments}}")).collect()]
+    assert out == ['{"arguments": "x"}', '"a\\"b"', '[1, "ü"]', ""]
+
+
+def test_large_vocabularies_are_joined_with_the_same_result(spark):
+    df = spark.createDataFrame([(1, [["a", "b"], ["z"]]), (2, [["b"], []]), (3, None)], "k int, t array<array<string>>")
+    vocab = spark.createDataFrame([("<unk>", 0), ("a", 1), ("b", 2)], "token string, token_id int")
+    expected = {1: [[1, 2], [0]], 2: [[2], []], 3: None}
+    for bound in (1_000, 0):
+        assert {r["k"]: r["i"] for r in Tk.to_ids(df, "t", vocab, "i", bound=bound).collect()} == expected
+    ids = spark.createDataFrame([(1, [1, -100, 2])], "k int, i array<int>")
+    for bound in (1_000, 0):
+        assert Tk.decode(ids, "i", vocab, "x", skip=-100, bound=bound).first()["x"] == "a b"
+
+
+def test_folder_with_json_arrays_and_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('\n[\n  {"x": 1},\n  {"x": 2},\n  {"x": 3}\n]')
+    (tmp_path / "b.json").write_text('{"x": 4}\n{"x": 5}\n{"x": 6}\n')
+    assert sorted(r["x"] for r in readers.read_dataset(spark, str(tmp_path), schema="x int").collect()) == [1, 2, 3, 4, 5, 6]
+    assert readers.read_dataset(spark, str(tmp_path)).count() == 6

@@ -72,6 +72,6 @@ def test_perplexity_shuffle_union(spark, source):
 
 
 def test_argument_checks(spark, tmp_path):
-    for kwargs, text in (({"max_samples": 5}, "max_samples"), ({"val_size": 0.1}, "integer val size"), ({"training": True}, "max_steps")):
+    for kwargs, text in (({"max_samples": 5}, "max_samples"), ({"val_size": 0.1}, "number of rows, not a share"), ({"training": True}, "max_steps")):
         with pytest.raises(ValueError, match=text):
             X.stream_dataset(spark, str(tmp_path), SCHEMA, **kwargs)
