@@ -23,7 +23,7 @@ from corpusflow.llm.texts import LOWER, SPACED, slices, span_hashes, strings, wo
 ORDER = 5
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
 DISCOUNT = 0.35  # of each seen byte's count; it estimates how often a context meets a new byte
-BLOCK_BYTES = 100_000_000
+BLOCK_BYTES = 50_000_000
 # Windows that one task turns into code lengths.
 WINDOWS_PER_TASK = 2_000_000
 _TOKEN = np.uint64(1 << 63)  # marks token keys, which so are negative longs; the end of a text is this one itself
@@ -158,7 +158,7 @@ def blocks(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFrame:
     def per_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, pending = TaskContext.get().partitionId(), [], 0
         id_type = None
-        for batch in slices(batches, most=4_000_000):
+        for batch in slices(batches):
             id_type = batch.column("doc_id").type
             stream, at, tokens, words = streams(batch.column("text"))
             codes, code_at = windows(stream, at)
@@ -167,7 +167,7 @@ def blocks(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFrame:
             parts.append(counted(tokens, np.repeat(trains, np.diff(words))))
             parts.append((np.array([_TOKEN]), np.array([trains.sum()])))
             pending += sum(len(p[0]) for p in parts[-3:])
-            if pending > 4_000_000:
+            if pending > 1_500_000:
                 parts = [merged_counts(parts)]
                 pending = 0
             raw = stream.tobytes()
@@ -260,8 +260,8 @@ def scores(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) ->
             total, known, n_tokens, base_sum = [], [], [], []
             stream = np.frombuffer(raw, np.uint8)
             a = 0
-            while a < len(sizes):  # pieces of about 4 MB
-                b = max(a + 1, int(np.searchsorted(at, at[a] + 4_000_000, "right")) - 1)
+            while a < len(sizes):  # pieces of about 2 MB
+                b = max(a + 1, int(np.searchsorted(at, at[a] + 2_000_000, "right")) - 1)
                 part, part_at = stream[at[a] : at[b]], at[a : b + 1] - at[a]
                 codes, code_at = windows(part, part_at)
                 total.append(np.add.reduceat(value[index.get_indexer(codes.view(np.int64))], code_at[:-1]))
