@@ -19,6 +19,7 @@ from corpusflow.functions.tokenizers import (
 )
 from corpusflow.operators import examples as E
 from corpusflow.operators import mixing as M
+from corpusflow.operators.prepare import prepare
 from corpusflow.operators.align import align_alpaca
 from corpusflow.operators.ordering import id_chunk, running_total
 from corpusflow.plans.catalog import CHAT_SQL, aligned_chats, documents, query, ranking_rows, table, tokens_sql
@@ -131,7 +132,7 @@ def token_ids_joined(spark: SparkSession, sf: str) -> DataFrame:
 def offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Token offset of each document in its batch and in the whole corpus."""
     docs = E.batches(token_lengths(doc_tokens(spark, sf)).drop("tokens"), "doc_id", None, BATCH_ROWS)
-    chunk = id_chunk("doc_id", 128)
+    chunk = id_chunk("doc_id")
     local = running_total(docs, "n_tokens", ["batch"], ["doc_id"], chunk, "batch_offset", exclusive=True)
     return running_total(local, "n_tokens", [], ["doc_id"], chunk, "corpus_offset", exclusive=True)
 
@@ -511,9 +512,10 @@ DATASET_SQL = "ds AS (SELECT doc_id, list_position(['en', 'fr', 'de', 'es'], lan
 
 
 def datasets(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by language as four numbered datasets."""
+    """Documents by language as four numbered datasets, those of any other language as a fifth."""
     docs = table(spark, sf, "documents").select("doc_id", "lang")
-    return M.mix_concat([docs.where(F.col("lang") == lang) for lang in LANGS]).drop("lang")
+    other = docs.where(~F.coalesce(F.col("lang").isin(LANGS), F.lit(False)))
+    return M.mix_concat([*[docs.where(F.col("lang") == lang) for lang in LANGS], other]).drop("lang")
 
 
 def lang_numbers(spark: SparkSession, sf: str) -> DataFrame:
@@ -522,7 +524,7 @@ def lang_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", number.cast("int").alias("dataset_idx"))
 
 
-@query("MIX-01", "WITH " + DATASET_SQL + " SELECT d AS dataset_idx, doc_id FROM ds")
+@query("MIX-01", "WITH " + DATASET_SQL + " SELECT coalesce(d, 4) AS dataset_idx, doc_id FROM ds")
 def concatenated(spark: SparkSession, sf: str) -> DataFrame:
     return datasets(spark, sf).select("dataset_idx", "doc_id")
 
@@ -611,3 +613,40 @@ def saved_examples(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "examples")
     write_examples(doc_tokens(spark, sf).select("doc_id", F.size("tokens").alias("n")), path)
     return spark.read.schema("doc_id long, n int").parquet(path).withColumn("kind", F.lit("documents"))
+
+
+# Datasets by name ------------------------------------------------------------------------------------------------------
+
+_PARTS = ("en", "fr")
+_PREPARED_SQL = f"""
+    WITH t AS (SELECT doc_id, list_position(['en', 'fr'], lang) - 1 AS d, len({tokens_sql('text')}) AS n FROM documents WHERE lang IN ('en', 'fr')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY d) AS size FROM t)
+"""
+
+
+def _folders(spark: SparkSession, sf: str) -> tuple[str, list]:
+    """Two datasets as folders of parquet files, one below a subset folder."""
+    from corpusflow.sources.registry import DatasetSpec
+
+    root = scratch_path(spark, "datasets")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("instruction"), F.lit("").alias("input"), F.col("lang").alias("output"))
+    specs = [DatasetSpec(name=p, location=p, subset="main" if p == "fr" else None) for p in _PARTS]
+    for spec in specs:
+        docs.where(F.col("output") == spec.name).write.parquet("/".join([root, spec.name, *([spec.subset] if spec.subset else [])]))
+    return root, specs
+
+
+@query("SRC-04:prepare", _PREPARED_SQL + "SELECT CASE WHEN d = 0 THEN rn ELSE rn + (SELECT count(*) FROM t WHERE d = 0) END AS example, CAST(n + 4 AS BIGINT) AS n_ids FROM r")
+def prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders of files by name, aligned, put one after another and encoded."""
+    root, specs = _folders(spark, sf)
+    out = prepare(spark, specs, root, "sft", "default", "doc_id", id_chunk("doc_id"), cutoff=1_000_000, cache_path=f"{root}/cache")
+    return out.select("example", F.size("input_ids").cast("long").alias("n_ids"))
+
+
+@query("MIX-01:strategy", _PREPARED_SQL + "SELECT rn * 2 + d AS example, CAST(n + 4 AS BIGINT) AS n_ids FROM r WHERE rn < (SELECT min(size) FROM r)")
+def prepared_by_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """The same datasets dealt in turn until the first ends."""
+    root, specs = _folders(spark, sf)
+    out = prepare(spark, specs, root, "sft", "default", "doc_id", id_chunk("doc_id"), cutoff=1_000_000, strategy="interleave_under")
+    return out.select("example", F.size("input_ids").cast("long").alias("n_ids"))

@@ -58,16 +58,16 @@ def metric_lines(metrics: DataFrame, metric: str = "metric", value: str = "value
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """SNK-03: the few lines of a run's metric file."""
-    metrics.select(metric_lines(metrics).alias("value")).coalesce(1).write.mode("errorifexists").text(path)
+    metrics.select(metric_lines(metrics).alias("value")).repartition(1).write.mode("errorifexists").text(path)
 
 
 def write_speed_csv(rows: DataFrame, path: str) -> None:
     """SNK-04: one small csv file with header."""
-    rows.coalesce(1).write.mode("errorifexists").csv(path, header=True)
+    rows.repartition(1).write.mode("errorifexists").csv(path, header=True)
 
 
 def to_markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """SNK-04: a short result table as markdown."""
+    """SNK-04: a short result table as markdown, for display; more than ``limit`` rows are an error."""
     data = rows.limit(limit + 1).collect()
     if len(data) > limit:
         raise ValueError(f"more than {limit} rows are no table to print")
