@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.ordering import exact_median, running_totals
+from corpusflow.session import written
 
 MIB = 1024.0 * 1024.0
 
@@ -67,13 +68,15 @@ def speed_summary(
 ) -> DataFrame:
     """AGG-09: prefill = length / time * batch, decode = batch / median step time, both to 2 decimals.
 
-    A group with an out-of-memory row reports the text OOM instead.
+    A group with an out-of-memory row reports the text OOM instead.  Durations are usually derived, so the few columns
+    needed are written once before they are read three times.
     """
     failed = F.lit(False) if oom is None else oom
+    steps = written(steps.select(*by, seconds, phase, prefill_len.alias("_len"), failed.alias("_oom")), "steps")
     base = steps.groupBy(*by).agg(
         F.max(F.when(F.col(phase) == "prefill", F.col(seconds))).alias("_prefill"),
-        F.max(prefill_len).alias("_len"),
-        F.max(failed).alias("_oom"),
+        F.max("_len").alias("_len"),
+        F.max("_oom").alias("_oom"),
     )
     median = exact_median(steps.where(F.col(phase) == "decode"), by, seconds, "_median")
     joined = base.join(median, list(by), "left")

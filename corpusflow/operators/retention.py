@@ -58,17 +58,28 @@ def live_positions(kept: DataFrame, by: Sequence[str], start: int, recent: int,
     return kept.withColumn("cache_pos", moved).withColumn("next_pos", F.least(F.col(total), F.lit(start + recent)))
 
 
+def visible_ranges(df: DataFrame, pos: str, n_init: int, n_local: int) -> DataFrame:
+    """JOIN-04: what a position sees, as two ranges: keys 0 to ``sink_end`` and ``local_start`` to itself.
+
+    An end below 0, or a start behind the position, is an empty range.  One row per position, whatever the window.
+    """
+    i = F.col(pos).cast("long")
+    return df.withColumn("sink_end", F.least(i, F.lit(n_init - 1).cast("long"))).withColumn(
+        "local_start", F.greatest(F.lit(n_init).cast("long"), i - (n_local - 1))
+    )
+
+
 def visible_pairs(df: DataFrame, pos: str, n_init: int, n_local: int, out: str = "key_pos") -> DataFrame:
-    """JOIN-04: one row per key a position sees: sinks and the local window, itself included.
+    """JOIN-04: one row per key a position sees, from :func:`visible_ranges`; for short windows or few positions.
 
     Keys are generated per row (at most n_init + n_local of them); nothing is joined.
     """
-    i = F.col(pos)
-    low = F.greatest(F.lit(n_init).cast("long"), i - (n_local - 1))
     empty = F.array().cast("array<bigint>")
-    sinks = F.when(F.least(i, F.lit(n_init - 1)) >= 0, F.sequence(F.lit(0).cast("long"), F.least(i, F.lit(n_init - 1)).cast("long"))).otherwise(empty)
-    local = F.when(low <= i, F.sequence(low.cast("long"), i.cast("long"))).otherwise(empty)
-    return df.withColumn(out, F.explode(F.concat(sinks, local)))
+    sinks = F.when(F.col("sink_end") >= 0, F.sequence(F.lit(0).cast("long"), F.col("sink_end"))).otherwise(empty)
+    i = F.col(pos).cast("long")
+    local = F.when(F.col("local_start") <= i, F.sequence(F.col("local_start"), i)).otherwise(empty)
+    ranges = visible_ranges(df, pos, n_init, n_local)
+    return ranges.withColumn(out, F.explode(F.concat(sinks, local))).drop("sink_end", "local_start")
 
 
 def visible_count(pos: Column, n_init: int, n_local: int) -> Column:

@@ -13,7 +13,7 @@ from corpusflow.operators import scoring as C
 from corpusflow.operators import selection as S
 from corpusflow.operators import similarity as Y
 from corpusflow.operators import vectors as V
-from corpusflow.operators.ordering import positions, time_chunk
+from corpusflow.operators.ordering import id_chunk, positions, time_chunk
 from corpusflow.plans.catalog import BLOCK_SQL, N_LAYERS, RESIDUAL_SQL, STATES_SQL, documents, layer_states, query, table, tokens_sql
 from corpusflow.session import written
 
@@ -405,11 +405,14 @@ def losses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "AGG-06",
-    "WITH " + DENSE_SQL + "SELECT doc_id, round(exp(avg(nll)), 4) AS ppl, count(*) AS num_eval_tokens FROM dense WHERE pos > 0 AND pos <= 100 GROUP BY doc_id",
+    "WITH " + LOSS_SQL + """, placed AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM loss)
+    SELECT label, round(exp(avg(nll)), 4) AS ppl, count(*) AS num_eval_tokens FROM placed WHERE pos < 100 GROUP BY label""",
 )
 def first_n_ppl(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored(spark, sf, False).withColumn("step", F.col("pos") - 1)
-    return _round(C.perplexity(rows, ["doc_id"], pos="step", first_n=100).drop("mean_nll"), "ppl", digits=4)
+    """Perplexity over the first 100 recorded losses of each stream."""
+    losses = table(spark, sf, "embeddings").select("vec_id", "label", V.token_nll("embedding", "label").alias("nll"))
+    rows = positions(losses, ["label"], ["vec_id"], id_chunk("vec_id"), "step")
+    return _round(C.perplexity(rows, ["label"], pos="step", first_n=100).drop("mean_nll"), "ppl", digits=4)
 
 
 # Vectors -------------------------------------------------------------------------------------------------------------
