@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.llm import oracles
 from corpusflow.llm.bpe import decoder, definition, encoded
 from corpusflow.llm.chat import ChatTemplate, format_conversations, read_turns, unescape
 from corpusflow.llm.decontaminate import contaminated
@@ -37,13 +38,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op9_near_dedup")
+@query("op9_near_dedup", oracles.NEAR_DEDUP)
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of at least 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-@query("op8_decontamination")
+@query("op8_decontamination", oracles.DECONTAMINATION)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a passage of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,7 +99,7 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(marked, "doc_id", schema, compared)
 
 
-@query("op6_chat_formatting")
+@query("op6_chat_formatting", oracles.CHAT)
 def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations formatted, then turns and trained texts read back from the output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -205,22 +206,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("c0").alias("doc_id"), "n_lines", "n_removed", F.coalesce("clean", F.lit("")).alias("text"))
 
 
-_PAYLOADS = """
-  WITH p AS (SELECT page_id, url, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS size FROM pages),
-  g AS (SELECT digest, size, max(page_id) AS keeper FROM p WHERE size >= 1000 GROUP BY ALL),
-  k AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
-  h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS host, rest FROM k),
-  u AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_replace(host, ':[0-9]*$', '')), '^www\\.', ''), '.')), ',')
-      || ')' || string_split(substr(rest, length(host) + 1), '#')[1] AS url_key FROM h)
-  SELECT p.page_id, size AS payload_bytes, digest AS payload_digest,
-    CASE WHEN keeper <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN keeper <> p.page_id THEN keeper END AS refers_to,
-    url_key, row_number() OVER (ORDER BY url_key, p.page_id) - 1 AS position
-  FROM p LEFT JOIN g USING (digest, size) JOIN u ON u.page_id = p.page_id
-"""
-
-
-@query("op2_warc", _PAYLOADS)
+@query("op2_warc", oracles.WARC)
 def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives, read back and merged into one capture history; a page is captured at its number's second."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
