@@ -19,7 +19,7 @@ from corpusflow.llm.tables import annotate
 from corpusflow.llm.texts import SPACED, span_hashes, strings, word_spans
 
 # Distinct words whose ids a worker remembers; beyond it the memory starts anew, with the same ids.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 # White space as the tokenizer's patterns mean it: Unicode White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 # Stands behind the last character of a word while matching; not a character of any token.
@@ -176,7 +176,7 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
             held["encoder"] = WordBpe(held["tokenizer"])
         return [encoded_column(column, held["encoder"])]
 
-    return annotate(docs, "text", encode, {"tokens": T.ArrayType(T.IntegerType())}, most=4_000_000)
+    return annotate(docs, "text", encode, {"tokens": T.ArrayType(T.IntegerType())}, most=2_000_000)
 
 
 def decoder(tokenizer: str) -> Callable[[pa.Array], pa.Array]:

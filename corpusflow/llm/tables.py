@@ -29,7 +29,7 @@ def tasks_for(df: DataFrame, per_task: int, least: int = 1) -> int:
     return max(least, -(-df.count() // per_task))
 
 
-def annotate(docs: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]], added: dict[str, T.DataType], most: int = 2_000_000) -> DataFrame:
+def annotate(docs: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]], added: dict[str, T.DataType], most: int = 1_000_000) -> DataFrame:
     """Every row of ``docs`` under the names c0, c1, ... and what ``fn`` makes of batches of ``column`` under the added names.
 
     The rows pass through the Python workers whole, so nothing has to be joined back; columns may have any names.

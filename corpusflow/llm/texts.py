@@ -101,7 +101,7 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.n
             yield np.zeros(0, np.int64)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most ``most`` bytes of text (or of ids) each, or one row, so that arrays beside them stay bounded."""
     for batch in batches:
         if pa.types.is_list(batch.schema.field(column).type):
