@@ -167,7 +167,7 @@ def blocks(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFrame:
             parts.append(counted(tokens, np.repeat(trains, np.diff(words))))
             parts.append((np.array([_TOKEN]), np.array([trains.sum()])))
             pending += sum(len(p[0]) for p in parts[-3:])
-            if pending > 1_500_000:
+            if pending > 800_000:
                 parts = [merged_counts(parts)]
                 pending = 0
             raw = stream.tobytes()
@@ -260,8 +260,8 @@ def scores(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) ->
             total, known, n_tokens, base_sum = [], [], [], []
             stream = np.frombuffer(raw, np.uint8)
             a = 0
-            while a < len(sizes):  # pieces of about 2 MB
-                b = max(a + 1, int(np.searchsorted(at, at[a] + 2_000_000, "right")) - 1)
+            while a < len(sizes):  # pieces of about 1 MB
+                b = max(a + 1, int(np.searchsorted(at, at[a] + 1_000_000, "right")) - 1)
                 part, part_at = stream[at[a] : at[b]], at[a : b + 1] - at[a]
                 codes, code_at = windows(part, part_at)
                 total.append(np.add.reduceat(value[index.get_indexer(codes.view(np.int64))], code_at[:-1]))
