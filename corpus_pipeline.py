@@ -23,9 +23,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every long line at its first place only, and n_chars of the texts as they are then.
 
-    A document that loses all its long lines repeats others and goes; one that has none stays.
+    A document goes only if it lost lines and nothing but white space is left of it.
     """
-    found = deduplicated(docs).where("n_long = 0 OR n_removed < n_long")
+    found = deduplicated(docs).where(r"n_removed = 0 OR clean RLIKE '\\S'")
     texts = {"text": F.col("clean"), "n_chars": F.when(F.col("n_removed") > 0, F.length("clean"))}
 
     def value(i: int, name: str):

@@ -53,3 +53,11 @@ def test_stages_take_hard_rows(spark, tmp_path):
     spark.createDataFrame([(4, 1), (5, 0), (None, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "text", "c0", "tokens"] and out.count() >= 1
+
+
+def test_short_own_lines_between_repeated_ones_stay(spark):
+    shared = ["all rights reserved by the owners of it", "this line of a license stands in many"]
+    poem = "a rose\nis a rose\n\nof its own"
+    rows = [(1, "\n".join(shared)), (2, f"{shared[0]}\n{poem}\n{shared[1]}"), (3, f"{shared[1]}\n \n\t"), (4, " \n"), (5, None)]
+    out = corpus_pipeline.lines_once(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: poem, 4: " \n", 5: None}
