@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,12 @@ MIN_CHARS = 20
 BLOCK = 4_096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+# A place of a line; ``row`` tells texts that share a doc_id, or have none, apart.
+PLACE = ["doc_id", "line", "row"]
+
+
+def text_digest() -> Column:
+    return F.xxhash64("text")
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -148,7 +154,7 @@ def line_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
 
 
 def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, line, id) of all lines that take part; lines count from 0."""
+    """(doc_id, line, row, id) of all lines that take part; lines count from 0."""
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -157,18 +163,17 @@ def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
             first = np.cumsum(lines.per_text) - lines.per_text
             owner = np.searchsorted(first, chosen, "right") - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(owner)), pa.array(chosen - first[owner]), pa.array(lines.ids(chosen))],
-                ["doc_id", "line", "id"],
+                [batch.column("doc_id").take(pa.array(owner)), pa.array(chosen - first[owner]), batch.column("row").take(pa.array(owner)), pa.array(lines.ids(chosen))],
+                [*PLACE, "id"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        places, T.StructType([docs.schema["doc_id"], T.StructField("line", T.LongType()), T.StructField("id", T.LongType())])
-    )
+    longs = [T.StructField(name, T.LongType()) for name in (*PLACE[1:], "id")]
+    return docs.select("doc_id", "text", text_digest().alias("row")).mapInArrow(places, T.StructType([docs.schema["doc_id"], *longs]))
 
 
 def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(id, label) of the lines that have a partner within ``edits``; label is the same all over a component."""
-    first = written(places.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("id", "at.*"), "lines")
+    first = written(places.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("at")).select("id", "at.*"), "lines")
     rows = line_keys(docs, edits, min_chars)
     shared = rows.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
     shared = written(shared.where("shiftright(lo, 1) <> shiftright(hi, 1)").select("key"), "keys")
@@ -177,8 +182,8 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = written(first.join(broadcast_if_small(ids, BROADCAST_KEYS), "id", "left_semi"), "wanted")
-        source = docs.select(F.col("doc_id").alias("d"), "text")
-        found = source.join(broadcast_if_small(wanted), F.col("d").eqNullSafe(F.col("doc_id")))
+        source = docs.select(F.col("doc_id").alias("d"), "text", text_digest().alias("r"))
+        found = source.join(broadcast_if_small(wanted), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")))
         line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.col("line").cast("int"))
         return found.select("id", line.alias("text")).dropDuplicates(["id"])
 
@@ -217,23 +222,24 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     Lines (between line feeds) of at least ``min_chars`` characters are linked if their edit distance is at most ``edits``;
     of each component the line first in the order of (doc_id, line) stays, at one place, all others go; shorter lines
     stay.  Texts without removed lines are unchanged.  Null texts are empty and have no lines; an empty text has one.
-    Rows of one doc_id are one document: repeated rows lose the same lines, and rows without doc_id are first of all.
+    Repeated rows, of one doc_id and text, are one document and lose the same lines; other texts of that doc_id lose only
+    their own, and of lines at one place of them one stays.  Rows without doc_id are first of all.
     """
     places = written(line_places(docs, min_chars), "places")
     labels = written(line_classes(docs, places, edits, min_chars), "classes")
-    by_id = places.groupBy("id").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.max(F.struct("doc_id", "line")).alias("last"))
+    by_id = places.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("at"), F.max(F.struct(*PLACE)).alias("last"))
     named = by_id.join(labels, "id", "left").where("label IS NOT NULL OR NOT (at <=> last)")
     stay = named.groupBy(F.coalesce("label", "id").alias("class")).agg(F.min("at").alias("stays"))
     repeated = named.select("id", F.coalesce("label", "id").alias("class")).join(stay, "class").select("id", "stays")
-    gone = places.join(broadcast_if_small(written(repeated, "repeated")), "id").where("NOT (struct(doc_id, line) <=> stays)")
-    gone = written(gone.select("doc_id", "line").distinct(), "gone")
+    gone = places.join(broadcast_if_small(written(repeated, "repeated")), "id").where("NOT (struct(doc_id, line, row) <=> stays)")
+    gone = written(gone.select(*PLACE).distinct(), "gone")
     few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    per_doc = gone.groupBy("doc_id").agg(F.collect_list(F.col("line").cast("int")).alias("gone")).withColumnRenamed("doc_id", "_doc")
-    per_doc = F.broadcast(per_doc) if few else per_doc  # few: at most so many pairs of longs
+    per_doc = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_list(F.col("line").cast("int")).alias("gone"))
+    per_doc = F.broadcast(per_doc) if few else per_doc  # few: at most so many triples of longs
 
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = F.col(names[docs.columns.index("doc_id")]), F.col(names[docs.columns.index("text")])
-    rows = docs.toDF(*names).join(per_doc, key.eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    rows = docs.toDF(*names).join(per_doc, key.eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_row")), "left").drop("_doc", "_row")
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))

@@ -61,3 +61,21 @@ def test_hard_rows(spark):
     assert len(got) == len(brute.HARD)
     assert sum(r["n_removed"] for r in got if r["c0"] == 7) == 0
     assert L.deduplicated(df.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_lose_only_their_own_lines(spark):
+    repeated, other = "a line that stands in several texts", "another one that is repeated elsewhere"
+    own = [f"{w} stands nowhere else at all" for w in ("aaaaaaaaaa", "bbbbbbbbbb", "cccccccccc", "dddddddddd", "eeeeeeeeee")]
+    rows = [
+        (None, f"{own[0]}\n{repeated}"), (None, f"{repeated}\n{own[1]}"), (None, f"{own[2]}\n{own[3]}"),
+        (3, other), (4, other), (4, own[4]), (4, own[4]),
+    ]
+    got = L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, own[0], 1), (None, f"{repeated}\n{own[1]}", 0), (None, rows[2][1], 0), (3, other, 0), (4, "", 1), (4, own[4], 0), (4, own[4], 0)]
+    assert sorted(((r["c0"], r["clean"], r["n_removed"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_one_place_of_several_texts_of_one_id(spark):
+    rows = [(5, "the same first line of two texts\nfoo"), (5, "the same first line of two texts\nbar")]
+    got = L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 1] and {r["clean"].split("\n")[-1] for r in got} == {"foo", "bar"}
