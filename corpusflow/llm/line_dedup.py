@@ -1,8 +1,13 @@
-"""Repeated lines by a segment-partition edit join: equal segments of lines propose, banded bit-parallel distance decides."""
+"""Repeated lines by a segment-partition edit join: equal segments of lines propose, banded bit-parallel distance decides.
+
+Lines may differ by more edits the longer they are, see :func:`edits_of`.  Where the base number holds, segments are built
+per length; longer lines fall into classes of one number t, with t + 1 segments of one size from the start of the line.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +21,12 @@ from corpusflow.llm.texts import mixed, powers, slices
 
 EDITS = 2
 MIN_CHARS = 20
+# Of longer lines: an edit for so many characters, but no more than the root of length / ROOT.  The keys of a line grow with
+# the square of its edits, so by the root they grow with its length.
+PER_EDIT = 48
+ROOT = 7
+# Keys made at once.
+_PIECE = 200_000
 # Lines that one task compares; more lines of one key are dealt over pairs of such blocks.
 BLOCK = 4_096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -24,6 +35,20 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PLACE = ["doc_id", "line", "row"]
 
 
+def edits_of(length: int, edits: int) -> int:
+    """Edits by which a line of this length may differ from a longer one."""
+    return max(edits, min(length // PER_EDIT, isqrt(length // ROOT)))
+
+
+def shortest(edits: int) -> int:
+    """The least length that allows so many edits."""
+    return max(PER_EDIT * edits, ROOT * edits * edits)
+
+
+def linked_lines(a: str, b: str, edits: int) -> bool:
+    return distance_within(a, b, edits_of(min(len(a), len(b)), edits))
+
+
 def text_digest() -> Column:
     return F.xxhash64("text")
 
@@ -114,16 +139,51 @@ class HashedLines:
         return (self.hashes(self.starts[lines], self.lengths[lines]) >> np.uint64(2)).astype(np.int64)
 
 
-def keys_of(lines: HashedLines, chosen: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(lines: HashedLines, chosen: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(key, 2 * id + indexed) of the chosen lines: their own segments, and the substrings that probe others' segments.
 
-    A line of length n probes lines of length n - edits to n.  If two lines differ by at most ``edits``, one of the
-    shorter one's segments stands unchanged in the longer, moved by no more than the edits to its left and right allow.
+    If two lines differ by at most the edits t of the shorter one, one of its t + 1 segments stands unchanged in the longer.
+    """
+    last = shortest(edits + 1) - 1  # of the lengths with the base number of edits
+    length = lines.lengths[chosen]
+    yield from keys_by_length(lines, chosen[length <= last + edits], edits, last)
+    longer, length = chosen[length > last], length[length > last]
+    own = np.array([edits_of(n, edits) for n in length.tolist()], np.int64)
+    for t in np.unique(own).tolist():
+        yield from keys_by_class(lines, longer[own == t], t, True)
+        if t - 1 > edits:  # lines of the class below that are shorter by at most its edits
+            yield from keys_by_class(lines, longer[(own == t) & (length < shortest(t) + t - 1)], t - 1, False)
+
+
+def keys_by_class(lines: HashedLines, chosen: np.ndarray, t: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys in the class of lengths that allow t edits, whose i-th segment begins at i times its size.
+
+    With at most i edits before a segment and t - i after it, and a line that is not shorter, it moves by i - t to i.
+    """
+    size = shortest(t) // (t + 1)
+    i = np.repeat(np.arange(t + 1), [i - max(-i, i - t) + 1 for i in range(t + 1)])
+    move = np.concatenate([np.arange(max(-i, i - t), i + 1) for i in range(t + 1)])
+    place, name = i * size + move, mixed(((i + (t << 24)) ^ (1 << 62)).astype(np.uint64))
+    step = max(1, _PIECE // len(place))
+    for a in range(0, len(chosen), step):
+        part = chosen[a : a + step]
+        row, column = np.nonzero(place[None, :] + size <= lines.lengths[part][:, None])
+        start = lines.starts[part][row] + place[column]
+        key = mixed(lines.hashes(start, np.full(len(start), size)) ^ name[column]).view(np.int64)
+        yield key, lines.ids(part)[row] * 2 + (own & (move[column] == 0))
+
+
+def keys_by_length(lines: HashedLines, chosen: np.ndarray, edits: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of lines of up to ``last`` characters, and probes of them by lines that are longer by at most ``edits``.
+
+    A line of length n probes lines of length n - edits to n.  The segment is moved by no more than the edits to its left
+    and right allow.
     """
     start, length, ids = lines.starts[chosen], lines.lengths[chosen], lines.ids(chosen)
     keys, rows = [], []
 
     def add(at: np.ndarray, size: np.ndarray, of: np.ndarray, i: int, use: np.ndarray, indexed: int) -> None:
+        use = use & (of <= last)
         name = (of[use] * (edits + 1) + i).astype(np.uint64)
         keys.append(mixed(lines.hashes((start + at)[use], size[use]) ^ mixed(name)).view(np.int64))
         rows.append(ids[use] * 2 + indexed)
@@ -139,16 +199,16 @@ def keys_of(lines: HashedLines, chosen: np.ndarray, edits: int) -> tuple[np.ndar
                     continue  # its own segment
                 place = at + move
                 add(place, size, other, i, (other > edits) & (place >= 0) & (place + size <= length), 0)
-    return np.concatenate(keys), np.concatenate(rows)
+    yield np.concatenate(keys), np.concatenate(rows)
 
 
 def line_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lines = HashedLines(batch.column("text").to_pylist())
-            key, row = keys_of(lines, np.flatnonzero(lines.lengths >= min_chars), edits)
-            for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(row[a : a + 100_000])], ["key", "row"])
+            for key, row in keys_of(lines, np.flatnonzero(lines.lengths >= min_chars), edits):
+                for a in range(0, len(key), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(row[a : a + 100_000])], ["key", "row"])
 
     return docs.select("text").mapInArrow(keys, "key long, row long")
 
@@ -172,7 +232,7 @@ def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(id, label) of the lines that have a partner within ``edits``; label is the same all over a component."""
+    """(id, label) of the lines that have a partner within the edits of the shorter; label is the same all over a component."""
     first = written(places.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("at")).select("id", "at.*"), "lines")
     rows = line_keys(docs, edits, min_chars)
     shared = rows.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
@@ -195,7 +255,7 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
         def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-                keep = pa.array([distance_within(x, y, edits) for x, y in both], pa.bool_())
+                keep = pa.array([linked_lines(x, y, edits) for x, y in both], pa.bool_())
                 yield batch.select(["a", "b"]).filter(keep)
 
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
@@ -205,7 +265,7 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
 
         def match(x: int, others: np.ndarray) -> np.ndarray:
             able = others if indexed[x] else others[indexed[others]]
-            return able[np.fromiter((distance_within(texts[x], texts[y], edits) for y in able.tolist()), bool, len(able))]
+            return able[np.fromiter((linked_lines(texts[x], texts[y], edits) for y in able.tolist()), bool, len(able))]
 
         return match
 
@@ -219,7 +279,8 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
 def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """All columns of ``docs`` as c0, c1, ..., with n_lines, n_long, n_removed and clean: the text without repeated lines.
 
-    Lines (between line feeds) of at least ``min_chars`` characters are linked if their edit distance is at most ``edits``;
+    Lines (between line feeds) of at least ``min_chars`` characters are linked if their edit distance is at most ``edits``,
+    or what :func:`edits_of` gives for the shorter one;
     of each component the line first in the order of (doc_id, line) stays, at one place, all others go; shorter lines
     stay.  Texts without removed lines are unchanged.  Null texts are empty and have no lines; an empty text has one.
     Repeated rows, of one doc_id and text, are one document and lose the same lines; other texts of that doc_id lose only

@@ -201,7 +201,7 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without lines that stood, within two edits, in an earlier document or line."""
+    """Every document without lines that stood, within two edits or more for long lines, in an earlier document or line."""
     found = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("c0").alias("doc_id"), "n_lines", "n_removed", F.coalesce("clean", F.lit("")).alias("text"))
 

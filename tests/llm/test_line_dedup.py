@@ -2,6 +2,7 @@ import itertools
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from corpusflow.llm import line_dedup as L
@@ -79,3 +80,49 @@ def test_one_place_of_several_texts_of_one_id(spark):
     rows = [(5, "the same first line of two texts\nfoo"), (5, "the same first line of two texts\nbar")]
     got = L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["n_removed"] for r in got) == [0, 1] and {r["clean"].split("\n")[-1] for r in got} == {"foo", "bar"}
+
+
+def varied(rng, text, n):
+    """``text`` after at most n edits anywhere, all kinds, at times all at one place."""
+    for at in [rng.randrange(len(text))] * n if rng.random() < 0.3 else [rng.randrange(len(text)) for _ in range(n)]:
+        text = text[:at] + rng.choice(["x", "", "y" + text[at : at + 1]]) + text[at + 1 :]
+    return text
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_edits_grow_with_length(edits):
+    allowed = [L.edits_of(n, edits) for n in range(3000)]
+    assert allowed == sorted(allowed) and allowed[48 * (edits + 1) - 1] == edits
+    for t in range(edits + 1, max(allowed) + 1):
+        assert allowed.index(t) == L.shortest(t)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_linked_lines_share_a_key(edits):
+    rng = random.Random(edits)
+    ends = [L.shortest(t) for t in range(edits + 1, 14)]
+    lengths = [rng.choice(ends) + rng.randrange(-9, 10) for _ in range(600)] + [rng.randrange(30, 1500) for _ in range(600)]
+    far = 0
+    for n in lengths:
+        x = "".join(rng.choice("abcdefgh ") for _ in range(n))
+        y = varied(rng, x, rng.randrange(1, L.edits_of(n, edits) + 1))
+        if x == y or not L.linked_lines(x, y, edits):
+            continue
+        lines = L.HashedLines([f"{x}\n{y}"])
+        own = [{}, {}]
+        for key, row in L.keys_of(lines, np.arange(2), edits):
+            for k, r in zip(key.tolist(), row.tolist(), strict=True):
+                side = own[int(r >> 1 == lines.ids(np.arange(1, 2))[0])]
+                side[k] = side.get(k, 0) | r & 1
+        assert any(own[0][k] | own[1][k] for k in own[0].keys() & own[1].keys()), (n, x, y)
+        far += brute.edit_distance(x, y) > edits if n < 300 else 0
+    assert far > 20
+
+
+def test_a_word_in_a_long_line(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    line, other, more = " ".join(words), " ".join([*words[:20], "changes", *words[21:]]), " ".join([*words[:20], *words[32:]])
+    rows = [(1, line), (2, other), (3, more), (4, " ".join(reversed(words)))]
+    got = {r["c0"]: r["n_removed"] for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
