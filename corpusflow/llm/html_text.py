@@ -35,8 +35,8 @@ WRAPPERS = frozenset("content article main post entry story page container wrapp
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Opening one of these ends an open paragraph.
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr", "legend", "summary"}
+HEADINGS_AND_PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 SMOOTHING = 1.0
-REGION_SHARE = 0.9
 
 
 def is_boilerplate(tag: str, attrs: dict[str, str | None], inside_article: bool) -> bool:
@@ -60,21 +60,21 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parents, self.kinds = [-1], ["root"]  # containers
-        self.open: list[tuple[str, bool, int, bool]] = [("root", False, 0, False)]  # tag, boilerplate, container, in an article
-        self.lines: list[tuple[str, int, int, bool, float]] = []  # text, tags, container, boilerplate, share of link text
+        self.open: list[tuple[str, bool, int, bool, str]] = [("root", False, 0, False, "root")]  # tag, boilerplate, container, in an article, block
+        self.lines: list[tuple[str, int, int, bool, float, str]] = []  # text, tags, container, boilerplate, share of link text, block
         self.parts: list[str] = []
         self.tags = self.links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, bad, container, _ = self.open[-1]
-            self.lines.append((text, self.tags, container, bad, min(1.0, self.links / len(text))))
+            _, bad, container, _, block = self.open[-1]
+            self.lines.append((text, self.tags, container, bad, min(1.0, self.links / len(text)), block))
             self.tags = 0
         self.parts, self.links = [], 0
 
     def close_to(self, depth: int) -> None:
-        if any(tag in BLOCKS or bad != self.open[depth - 1][1] for tag, bad, _, _ in self.open[depth:]):
+        if any(tag in BLOCKS or bad != self.open[depth - 1][1] for tag, bad, *_ in self.open[depth:]):
             self.flush()
         del self.open[depth:]
 
@@ -82,7 +82,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in ENDS_PARAGRAPH or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self.close_implied(tag)
-        _, bad, container, in_article = self.open[-1]
+        _, bad, container, in_article, block = self.open[-1]
         own_bad = bad or is_boilerplate(tag, dict(attrs), in_article)
         if tag in BLOCKS or own_bad != bad:
             self.flush()
@@ -94,7 +94,7 @@ class Lines(HTMLParser):
             self.parents.append(container)
             self.kinds.append(tag)
             container = len(self.kinds) - 1
-        self.open.append((tag, own_bad, container, in_article or tag in ("article", "main")))
+        self.open.append((tag, own_bad, container, in_article or tag in ("article", "main"), tag if tag in BLOCKS else block))
 
     def close_implied(self, tag: str) -> None:
         """Ends that HTML leaves out: of a paragraph before a block, of an item or cell before the next."""
@@ -126,7 +126,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
-        if any(tag == "a" for tag, _, _, _ in self.open[-4:]):
+        if any(tag == "a" for tag, *_ in self.open[-4:]):
             self.links += len(data.strip())
 
 
@@ -136,51 +136,60 @@ def smoothed(ratios: np.ndarray, sigma: float = SMOOTHING) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), "valid")
 
 
-def content_region(parents: list[int], kinds: list[str], mass: np.ndarray) -> int:
-    """The container that holds the content: an article or main with most of it, else the innermost with nearly all."""
+def content_region(parents: list[int], kinds: list[str], mass: np.ndarray) -> tuple[int, bool]:
+    """The container that holds the content, and whether by its name: an article or main with most of it, else the innermost with all."""
     total = mass.copy()
     for node in range(len(parents) - 1, 0, -1):  # children come after their parents
         total[parents[node]] += total[node]
     for kind in ("article", "main"):
         named = [n for n, k in enumerate(kinds) if k == kind and total[n] > total[0] / 2]
         if named:
-            return named[0]  # the outermost
-    region = 0
-    while True:
-        inner = [n for n, p in enumerate(parents) if p == region and total[n] >= REGION_SHARE * total[0]]
-        if not inner:
-            return region
-        region = inner[0]
+            return named[0], True  # the outermost
+    whole = np.flatnonzero(total == total[0])  # sums of lengths, so exact; these lie within each other
+    return int(whole[-1]), False
 
 
 def main_blocks(html: str) -> list[str]:
     """Blocks of the main text in page order.
 
     Lines are runs of text between block tags.  Their text-to-tag ratios are smoothed; lines above one standard deviation
-    are content, and the container around them is the region.  Of the region everything is kept but boilerplate elements
-    and lists of links.
+    are content, and the container around them all is the region; headings and paragraphs next to it in the containers around
+    it belong to it.  Of the region everything is kept but boilerplate elements and lists of links.
     """
     page = Lines()
     page.feed(html)
     page.close()
     page.flush()
-    good = [(text, container, links) for text, _, container, bad, links in page.lines if not bad]
+    good = [(text, container, links, block) for text, _, container, bad, links, block in page.lines if not bad]
     if not good:
         return []
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _, _ in page.lines], float))
-    content = ratios[[not bad for _, _, _, bad, _ in page.lines]] >= min(ratios.std(), ratios.mean())
+    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in page.lines], float))
+    content = ratios[[not bad for _, _, _, bad, *_ in page.lines]] >= min(ratios.std(), ratios.mean())
     mass = np.zeros(len(page.parents))
-    for (text, container, links), counts in zip(good, content, strict=True):
+    for (text, container, links, _), counts in zip(good, content, strict=True):
         if counts and links < 0.5:
             mass[container] += len(text)
     if not mass.any():
-        for text, container, _ in good:
+        for text, container, *_ in good:
             mass[container] += len(text)
-    region = content_region(page.parents, page.kinds, mass)
+    region, named = content_region(page.parents, page.kinds, mass)
     inside = [False] * len(page.parents)
     for node, parent in enumerate(page.parents):
         inside[node] = node == region or (parent >= 0 and inside[parent])
-    kept = [(text, links) for text, container, links in good if inside[container]]
+    within = [inside[container] for _, container, _, _ in good]
+    if not named and any(within):
+        around, node = set(), page.parents[region]
+        while node >= 0:
+            around.add(node)
+            node = page.parents[node]
+        first, last = within.index(True), len(within) - 1 - within[::-1].index(True)
+        for near in (range(first - 1, -1, -1), range(last + 1, len(good))):
+            for i in near:
+                _, container, links, block = good[i]
+                if container not in around or block not in HEADINGS_AND_PARAGRAPHS or links >= 0.5:
+                    break
+                within[i] = True
+    kept = [(text, links) for (text, _, links, _), x in zip(good, within, strict=True) if x]
     link_only = [links >= 0.9 for _, links in kept]
     menu = [x and ((i > 0 and link_only[i - 1]) or (i + 1 < len(kept) and link_only[i + 1])) for i, x in enumerate(link_only)]
     return [text for (text, _), drop in zip(kept, menu, strict=True) if not drop]

@@ -71,3 +71,10 @@ def test_archives_come_back(spark):
     assert (by_id[None]["record_type"], by_id[None]["refers_to"], by_id[None]["payload_bytes"]) == ("revisit", 4, 1200)
     assert by_id[2]["payload_bytes"] == 0 and by_id[5]["record_type"] == by_id[6]["record_type"] == "response"
     assert warc.capture_history(pages.limit(0)).count() == 0
+
+
+def test_headline_and_closing_beside_the_body_stay():
+    body = ["a paragraph of the body that goes on for quite a while, with enough words to count as text"] * 12
+    for closing in ("The end.", "a closing paragraph that is dense enough to count as a line of content itself"):
+        page = f"<body><div>Skip this</div><div id=content><h1>Head</h1><div class=body>{''.join(f'<p>{x}</p>' for x in body)}</div><p>{closing}</p></div>"
+        assert html_text.main_blocks(page) == ["Head", *body, closing]
