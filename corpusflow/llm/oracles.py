@@ -61,3 +61,45 @@ NEAR_DEDUP = f"""
   SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(lo, doc_id) AS component_id, coalesce(lo, doc_id) = doc_id AS kept
   FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k ON k.id = doc_id
 """
+
+
+def _centroids(rounds: int) -> str:
+    """Rounds written out one after another; k: kept vectors, cI: centroids before round I, aI: their nearest vectors."""
+    parts = ["""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS p
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, p) - 1 AS c, p
+      FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, p FROM k ORDER BY h, p LIMIT 8))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, min({{'d': d, 'c': c}}) AS b FROM (
+        SELECT r, c, list_sum(list_transform(list_zip(k.p, c{i}.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM k, c{i}) GROUP BY r)""")
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.p, c{i}.p) AS p FROM c{i} LEFT JOIN (
+        SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS p
+        FROM (SELECT b.c AS c, i, sum(k.p[i]) AS s, count(*) AS n FROM a{i} JOIN k USING (r), range(1, 65) t(i) GROUP BY ALL) GROUP BY c) m USING (c))""")
+    return "WITH " + ",\n    ".join(parts[:-1]) + f"""
+  SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, CAST(b.d AS BIGINT) AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.p, ',')) AS centroid_sha256
+  FROM a{rounds} JOIN k USING (r) JOIN c{rounds} ON c{rounds}.c = a{rounds}.b.c"""
+
+
+CENTROIDS = _centroids(10)
+
+# The CRC of a word's bytes, from a table of the polynomial's remainders.
+IMPORTANCE = f"""
+  WITH poly AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b)) AS t),
+  d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+  f AS (SELECT r, unnest(w) AS word FROM d), g AS (SELECT unnest({_ALNUM_WORDS}) AS word FROM benchmark),
+  bytes AS (SELECT word, list_transform(range(octet_length(encode(word))), lambda i:
+      (strpos('0123456789ABCDEF', substr(hex(encode(word)), 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode(word)), 2 * i + 2, 1)) - 1) AS b
+    FROM (SELECT word FROM f UNION SELECT word FROM g)),
+  v AS MATERIALIZED (SELECT word, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, poly),
+  s AS (SELECT bucket, count(*) AS s FROM f JOIN v USING (word) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM g JOIN v USING (word) GROUP BY bucket),
+  gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)
+      / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)))) AS gain FROM s LEFT JOIN t USING (bucket)),
+  w AS (SELECT r, sum(gain) AS weight FROM f JOIN v USING (word) JOIN gain USING (bucket) GROUP BY r),
+  x AS (SELECT d.r, doc_id, len(d.w) AS n, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+      ('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (r)),
+  y AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+  z AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank FROM y WHERE n >= 20
+    QUALIFY rank <= 10 * (SELECT count(*) FROM y WHERE n >= 20) // 100)
+  SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CAST(rank AS BIGINT) AS rank FROM y LEFT JOIN z USING (r)
+"""

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,17 +13,21 @@ from pyspark.sql import types as T
 
 from corpusflow.llm import oracles
 from corpusflow.llm.bpe import decoder, definition, encoded
+from corpusflow.llm.centroids import centroid_digest, clustered
 from corpusflow.llm.chat import ChatTemplate, format_conversations, read_turns, unescape
 from corpusflow.llm.decontaminate import contaminated
 from corpusflow.llm.fingerprints import fingerprints, likeness
 from corpusflow.llm.html_text import extracted
+from corpusflow.llm.importance import importance
 from corpusflow.llm.line_dedup import deduplicated
 from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.neighbours import with_next
 from corpusflow.llm.ppm import scores
 from corpusflow.llm.quality import AttentionModel, fit, scored
 from corpusflow.llm.tables import annotate, table
+from corpusflow.llm.token_files import read_tokens, write_tokens
 from corpusflow.llm.warc import capture_history
+from corpusflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -213,3 +218,45 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.lit(1_700_000_000) + F.coalesce(F.col("page_id"), F.lit(0))
     history = capture_history(pages.withColumn("captured", captured))
     return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
+
+
+END_OF_DOCUMENT = 2
+
+
+@query("op11_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written as Parquet lists in the order of doc_id, and their place and checksum read back."""
+    path = scratch_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_tokens(docs, path, definition(tokenizer_path()), END_OF_DOCUMENT)
+    back = read_tokens(spark, path)
+
+    def checksums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("tokens")
+            at, flat = [4 * x for x in ids.offsets.to_pylist()], memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
+            sums = [crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], schema.names)
+
+    schema = T.StructType([*back.schema.fields[:3], T.StructField("ids_crc32", T.LongType())])
+    return back.mapInArrow(checksums, schema)
+
+
+@query("op12_centroids", oracles.CENTROIDS)
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest of eight centroids of every embedding after ten rounds."""
+    found, centroids = clustered(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dims=64, scale=1024)
+    sums = [(r["cluster"], r["s"]) for r in found.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()]  # one row per centroid
+    rows = [(c, s, centroid_digest(centroids[c])) for c, s in sums]
+    each = spark.createDataFrame(rows, "cluster int, cluster_inertia long, centroid_sha256 string")
+    return found.join(F.broadcast(each), "cluster").select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", F.lit(sum(s for _, s in sums)).cast("long").alias("inertia"), "centroid_sha256"
+    )
+
+
+@query("op13_importance", oracles.IMPORTANCE)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document towards the benchmark, and the rank of the tenth that is drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance(docs, table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, seed=2024, percent=10, least_words=20)
+    return found.select(F.col("c0").alias("doc_id"), "n_features", "weight", "score", "rank")
