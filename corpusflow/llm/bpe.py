@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable
-from itertools import chain
+from hashlib import sha256
+from string import ascii_lowercase
 
 import ahocorasick
 import numpy as np
@@ -15,11 +17,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusflow.llm.tables import annotate
-from corpusflow.llm.texts import SPACED, span_hashes, strings, word_spans
+from corpusflow.llm.tables import annotate, kept_by_worker
+from corpusflow.llm.texts import Remembered, pieces_of
 
-# Distinct words whose ids a worker remembers; beyond it the memory starts anew, with the same ids.
-REMEMBERED = 300_000
+# Words, pieces of text and pairs of tokens that a worker remembers; beyond it the longest unused go.
+REMEMBERED = 400_000
+_SIGNS = b"!\"#%&'()*+,-./:;=?"
 # White space as the tokenizer's patterns mean it: Unicode White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 # Stands behind the last character of a word while matching; not a character of any token.
@@ -62,8 +65,11 @@ class WordBpe:
             if self.merged(token) == [token]:  # others never come out of the merges
                 self.matches.add_word(token, (len(token), n))
         self.matches.make_automaton()
-        self.fits: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.fits = Remembered(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), REMEMBERED)
+        self.words = Remembered(self.word, REMEMBERED)
+        self.pieces = Remembered(self.piece, REMEMBERED)
+        # whether ASCII letters are words as they stand, and punctuation behind them is apart
+        self.apart = all(self.split.findall(ascii_lowercase + sign) == [ascii_lowercase, sign] for sign in _SIGNS.decode())
 
     def merged(self, text: str) -> list[str]:
         """The merges applied to a short string, lowest rank first and leftmost first."""
@@ -81,13 +87,10 @@ class WordBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges of tokens a and b side by side leave them as they are."""
-        if len(self.fits) >= REMEMBERED:
-            self.fits.clear()
         left, right = self.tokens[a], self.tokens[b]
-        fits = self.fits[a << 32 | b] = self.merged(left + right) == [left, right]
-        return fits
+        return self.merged(left + right) == [left, right]
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         """Ids of a word.  For every prefix there is one possible last token; the word's tokens follow from the end."""
         # printable ASCII characters stand for themselves
         text = (word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])) + _END
@@ -98,10 +101,8 @@ class WordBpe:
                 before = last[start]
                 if start == 0:
                     last[at + 1] = token
-                elif before >= 0:
-                    fit = fits.get(before << 32 | token)
-                    if fit or (fit is None and self.compatible(before, token)):
-                        last[at + 1] = token
+                elif before >= 0 and fits[before << 32 | token]:
+                    last[at + 1] = token
         out, at = [], len(text)
         while at:
             token = self.tokens[last[at]] if last[at] >= 0 else None
@@ -109,34 +110,41 @@ class WordBpe:
                 raise ValueError(f"no encoding of {word!r}")
             out.append(self.ids[token])
             at -= len(token)
-        return tuple(out[::-1])
+        return array("i", out[::-1]).tobytes()
 
-    def plain(self, text: str, out: list[int]) -> None:
+    def plain(self, text: str) -> list[bytes]:
         if not text.isascii():
             # lower case character by character: no special form at the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        known, text = self.words, text.lower()
-        if text in known:
-            out += known[text]
-            return
-        for word in self.split.findall(text):
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[word] = self.word(word)
-            out += ids
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; the strings of special tokens become those tokens."""
-        out: list[int] = []
-        at = 0
+        return [self.words[word] for word in self.split.findall(text.lower())]
+
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of a piece of text without ASCII white space; the strings of special tokens become those tokens."""
+        if self.apart:
+            if piece.isalpha():
+                return self.words[piece.lower().decode()]
+            core = piece.rstrip(_SIGNS)
+            if len(core) < len(piece) and core[-1:].isalpha():
+                return self.pieces[core] + self.pieces[piece[len(core) :]]
+        out, at, text = [], 0, piece.decode()
         if self.specials is not None and "<" in text:
             for m in self.specials.finditer(text):
-                self.plain(text[at : m.start()], out)
-                out.append(self.special[m[0]])
+                out += self.plain(text[at : m.start()])
+                out.append(array("i", [self.special[m[0]]]).tobytes())
                 at = m.end()
-        self.plain(text[at:] if at else text, out)
+        return b"".join(out + self.plain(text[at:]))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts.
+
+        No token, no composition of characters and no special token's string goes across ASCII white space, so each distinct
+        piece between it is encoded once, as long as it is remembered.
+        """
+        pieces = pieces_of(texts)
+        out = [b"".join(map(self.pieces.__getitem__, p)) for p in pieces]
+        self.pieces.trim()
+        self.words.trim()
+        self.fits.trim()
         return out
 
 
@@ -147,36 +155,21 @@ def definition(path: str) -> str:
 
 
 def encoded_column(column: pa.Array, bpe: WordBpe) -> pa.Array:
-    """Ids of every text of a column.
-
-    No token, no composition of characters and no special token's string goes across ASCII white space, so each
-    distinct piece between it is encoded once per batch and its ids are laid out wherever it stands.
-    """
-    data, offsets = strings(column)
-    starts, ends, counts = word_spans(data, offsets, SPACED)
-    _, first, piece = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    found: list[list[int]] = [bpe.encode(raw[a:b].decode()) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat, heads = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), np.cumsum(sizes) - sizes
-    lengths = sizes[piece]
-    before = np.concatenate([[0], np.cumsum(lengths)])
-    places = np.arange(before[-1]) + np.repeat(heads[piece] - before[:-1], lengths)
-    return pa.ListArray.from_arrays(pa.array(before[counts].astype(np.int32)), pa.array(flat[places]))
+    """Ids of every text of a column."""
+    ids = bpe.encode(column.cast(pa.large_binary()).fill_null(b"").to_pylist())
+    at = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Rows of ``docs`` as :func:`annotate` gives them, with ``tokens``: the ids of the whole text (null: empty)."""
-    # a worker keeps its copy of a broadcast value from task to task, and so the encoder and the words it remembers
-    shared = docs.sparkSession.sparkContext.broadcast({"tokenizer": tokenizer})
+    shared, digest = docs.sparkSession.sparkContext.broadcast(tokenizer), sha256(tokenizer.encode()).hexdigest()
 
     def encode(column: pa.Array) -> list[pa.Array]:
-        held = shared.value
-        if "encoder" not in held:
-            held["encoder"] = WordBpe(held["tokenizer"])
-        return [encoded_column(column, held["encoder"])]
+        # the encoder and the words it remembers serve all tasks of a worker
+        return [encoded_column(column, kept_by_worker("bpe", digest, lambda: WordBpe(shared.value)))]
 
-    return annotate(docs, "text", encode, {"tokens": T.ArrayType(T.IntegerType())}, most=2_000_000)
+    return annotate(docs, "text", encode, {"tokens": T.ArrayType(T.IntegerType())}, most=1_000_000)
 
 
 def decoder(tokenizer: str) -> Callable[[pa.Array], pa.Array]:

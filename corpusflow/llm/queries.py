@@ -24,7 +24,7 @@ from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.neighbours import with_next
 from corpusflow.llm.ppm import scores
 from corpusflow.llm.quality import AttentionModel, fit, scored
-from corpusflow.llm.tables import annotate, table
+from corpusflow.llm.tables import annotate, kept_by_worker, table
 from corpusflow.llm.token_files import read_tokens, write_tokens
 from corpusflow.llm.warc import capture_history
 from corpusflow.session import scratch_path
@@ -147,12 +147,10 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = definition(tokenizer_path())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = encoded(docs, tokenizer).select(F.col("c0").alias("doc_id"), "tokens")
-    decode, shared = [], spark.sparkContext.broadcast(tokenizer)
+    shared, digest = spark.sparkContext.broadcast(tokenizer), hashlib.sha256(tokenizer.encode()).hexdigest()
 
     def texts(column: pa.Array) -> list[pa.Array]:
-        if not decode:
-            decode.append(decoder(shared.value))
-        return [decode[0](column)]
+        return [kept_by_worker("names", digest, lambda: decoder(shared.value))(column)]
 
     back = annotate(coded, "tokens", texts, {"decoded": T.StringType()})
     return back.select(

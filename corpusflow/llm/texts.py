@@ -5,7 +5,7 @@ Null texts count as empty.  Words never cross the end of a text.  Hashes are the
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,3 +120,32 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     at = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), kind))
+
+
+class Remembered(dict):
+    """Values of a function by its argument, made once each; of more than ``most`` the longest unused are forgotten."""
+
+    def __init__(self, make: Callable, most: int) -> None:
+        super().__init__()
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key):
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        """To be called now and then: keys not asked for while half of ``most`` others were go."""
+        if len(self) > self.most // 2:
+            self.before = dict(self)
+            self.clear()
+
+
+_SPECIAL = b"<|"
+
+
+def pieces_of(texts: list[bytes]) -> list[list[bytes]]:
+    """What stands between ASCII white space of each text, A-Z as a-z unless a special token's string could be meant."""
+    return [(t if _SPECIAL in t else t.lower()).split() for t in texts]

@@ -6,7 +6,10 @@ per file with the number of tokens before it.  Places inside a file count from i
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from hashlib import sha256
+from string import ascii_lowercase
 from typing import Any
 
 import numpy as np
@@ -17,16 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm.order import bases, in_order
-from corpusflow.llm.tables import broadcast_if_small
-from corpusflow.llm.texts import slices
+from corpusflow.llm.tables import broadcast_if_small, kept_by_worker
+from corpusflow.llm.texts import Remembered, pieces_of, slices
 
 FILE_BYTES = 32_000_000  # of text that one file takes, about
 ROW_GROUP_BYTES = 8_000_000
 PAGE_BYTES = 65_536
 PAGE_ROWS = 1_000
-# Pieces of text whose ids a worker remembers; beyond it only those of the text at hand stay.
-REMEMBERED = 300_000
-_SPECIAL = b"<|"
+# Pieces of text, and words in them, whose ids a worker remembers; beyond it the longest unused go.
+REMEMBERED = 400_000
+_SIGNS = b"!\"#%&'()*+,-./:;=?"
 
 
 class PieceEncoder:
@@ -34,6 +37,7 @@ class PieceEncoder:
 
     Only for tokenizers whose tokens, special tokens and normalisation never go across ASCII white space, which is dropped:
     then the ids of a text are those of the pieces between white space, one after another, and each piece is encoded once.
+    Most pieces are encoded by the library's normaliser, splitter and model one by one, which saves building their offsets.
     """
 
     def __init__(self, definition: str) -> None:
@@ -42,19 +46,33 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.model, self.normal, self.split = self.library.model, self.library.normalizer, self.library.pre_tokenizer
+        # whether ASCII letters are words as they stand, and punctuation behind them is apart
+        alone = lambda text: [word for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
+        self.plain = all(alone(ascii_lowercase + sign) == [ascii_lowercase, sign] for sign in _SIGNS.decode())
+        self.words = Remembered(self._word, REMEMBERED)
+        self.known = Remembered(self._piece, REMEMBERED)
+
+    def _word(self, word: str) -> bytes:
+        return array("i", [token.id for token in self.model.tokenize(word)]).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        if self.plain and piece.isalpha():
+            return self.words[piece.lower().decode()]
+        core = piece.rstrip(_SIGNS)
+        if self.plain and len(core) < len(piece) and core[-1:].isalpha():
+            return self.known[core] + self.known[piece[len(core) :]]
+        text = piece.decode()
+        if "<" in text:  # special tokens are found by the library alone
+            return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self.words[word] for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        # ASCII letters may be lower-cased before, as the tokenizer does, unless a special token's string could be meant
-        pieces = [(t if _SPECIAL in t else t.lower()).split() for t in texts]
-        seen = set().union(*pieces)
-        new = list(seen - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {piece: ids for piece in seen if (ids := self.known.get(piece)) is not None}
-        found = self.library.encode_batch([piece.decode() for piece in new], add_special_tokens=False)
-        for piece, ids in zip(new, found, strict=True):
-            self.known[piece] = np.array(ids.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        pieces = pieces_of(texts)
+        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        self.known.trim()
+        self.words.trim()
+        return out
 
 
 def write_tokens(
@@ -73,7 +91,7 @@ def write_tokens(
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(-(-size // file_bytes), min(spark.sparkContext.defaultParallelism, -(-size // 1_000_000)), 1)
     rows = in_order(held, ["doc_id", F.xxhash64("text")], tasks)
-    shared = spark.sparkContext.broadcast({"tokenizer": tokenizer})  # a worker keeps its copy, and so the encoder, from task to task
+    shared, digest = spark.sparkContext.broadcast(tokenizer), sha256(tokenizer.encode()).hexdigest()
     last = np.array([end], "<u4").tobytes()
     fields = [held.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())]
     fields += [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
@@ -82,10 +100,9 @@ def write_tokens(
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in slices(batches):
-            if "encoder" not in shared.value:
-                shared.value["encoder"] = PieceEncoder(shared.value["tokenizer"])
+            encoder = kept_by_worker("pieces", digest, lambda: PieceEncoder(shared.value))
             texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-            ids = [x + last for x in shared.value["encoder"].encode(texts)]
+            ids = [x + last for x in encoder.encode(texts)]
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(sizes)
             flat = np.frombuffer(b"".join(ids), "<i4")

@@ -106,7 +106,7 @@ def test_memory_of_pieces_is_bounded(library, monkeypatch):
         texts = [f"word{n} and word{n + 1} and the rest{k}" for k in range(4)]
         got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])]
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
-        assert len(encoder.known) < 30
+        assert len(encoder.known) < 30 and len(encoder.known.before) < 30 and len(encoder.words.before) < 30
 
 
 def test_query(spark, library, tmp_path):
