@@ -125,7 +125,7 @@ def encode_sft(
     aligned: DataFrame,
     enc: Encoding,
     keep: Sequence[str],
-    cutoff: int = 1024,
+    cutoff: int | None = 1024,
     reserved: int = 1,
     train_on_prompt: bool = False,
 ) -> DataFrame:
@@ -148,7 +148,7 @@ def encode_sft(
 
 
 def encode_prompt_only(
-    aligned: DataFrame, enc: Encoding, keep: Sequence[str], cutoff: int = 1024, reserved: int = 1
+    aligned: DataFrame, enc: Encoding, keep: Sequence[str], cutoff: int | None = 1024, reserved: int = 1
 ) -> DataFrame:
     """PRE-04: ids of the prompt, labels of the response (an empty one unless there is exactly one)."""
     empty = F.array(message(ASSISTANT, F.lit("")))
@@ -162,7 +162,7 @@ def encode_prompt_only(
 
 
 def encode_pairs(
-    aligned: DataFrame, enc: Encoding, keep: Sequence[str], cutoff: int = 1024, reserved: int = 1
+    aligned: DataFrame, enc: Encoding, keep: Sequence[str], cutoff: int | None = 1024, reserved: int = 1
 ) -> DataFrame:
     """PRE-05: first response chosen, second rejected; the prompt is the one of the chosen encoding."""
     answers = {"_good": F.concat("prompt", F.slice("response", 1, 1)), "_bad": F.concat("prompt", F.slice("response", 2, 1))}
@@ -270,7 +270,7 @@ def build_examples(
     stage: str,
     enc: Encoding,
     order: str,
-    cutoff: int = 1024,
+    cutoff: int | None = 1024,
     reserved: int = 1,
     train_on_prompt: bool = False,
     sft_packing: bool = False,
@@ -279,7 +279,7 @@ def build_examples(
     batch_rows: int = 1000,
 ) -> DataFrame:
     """PRE-11: the encoder of a training stage (pt, sft, rm, ppo)."""
-    if reserved >= cutoff:
+    if cutoff is not None and reserved >= cutoff:
         raise ValueError("reserved label length must be smaller than the cutoff")
     if stage == "pt":
         tokens = F.concat(get_tokenizer(enc.tokenizer)(F.get("prompt", F.lit(0))["content"]), F.array(F.lit(enc.eos)))

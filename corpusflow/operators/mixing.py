@@ -87,8 +87,8 @@ def interleave_over(df: DataFrame, dataset: str, order: str, chunk: Column) -> D
     return few.unionByName(many).withColumn("slot", slot).drop("_rn", "_len", "_copies", "_c")
 
 
-def _slot_sources(spark, n_slots: int, probs: Sequence[float], seed: int) -> DataFrame:
-    """Which dataset each slot draws, from a hash of the slot number."""
+def drawn_slots(spark, first: int, n_slots: int, probs: Sequence[float], seed: int) -> DataFrame:
+    """Which dataset each of ``n_slots`` slots from ``first`` on draws (``source``), from a hash of the slot number."""
     total = float(sum(probs))
     edges, acc = [], 0.0
     for p in probs[:-1]:
@@ -98,7 +98,7 @@ def _slot_sources(spark, n_slots: int, probs: Sequence[float], seed: int) -> Dat
     pick = F.lit(len(probs) - 1)
     for i in reversed(range(len(edges))):
         pick = F.when(u < edges[i], F.lit(i)).otherwise(pick)
-    return spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("source", pick)
+    return spark.range(first, first + n_slots).withColumnRenamed("id", "slot").withColumn("source", pick)
 
 
 def interleave_probs(
@@ -121,7 +121,7 @@ def interleave_probs(
     need = [n / (p / total) for n, p in zip(lengths, probs)]
     n_slots = int((max(need) if over else min(need)) * 1.1) + 1000
     while True:
-        draws = _slot_sources(spark, n_slots, probs, seed)
+        draws = drawn_slots(spark, 0, n_slots, probs, seed)
         drawn = positions(draws, ["source"], ["slot"], whole_div(F.col("slot"), WRAP_BLOCK), "_k")
         length_of = F.element_at(F.array(*[F.lit(n) for n in lengths]), (F.col("source") + 1).cast("int"))
         ends = drawn.where(F.col("_k") == length_of - 1).agg(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +49,14 @@ def mix(
     """MIX-01 to MIX-04 by name, for rows of several datasets (numbered by ``dataset``).
 
     ``concat`` leaves the rows as they are.  The interleaving strategies add ``slot``; with ``probs`` each slot draws its
-    dataset.  Streams can only be concatenated: the others need to know where each dataset ends.
+    dataset.  Streams are only concatenated here; see
+    :func:`corpusflow.streaming.streams.stream_interleave`.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
     if streaming or rows.isStreaming:
         if strategy != "concat":
-            raise ValueError("streams are mixed by concat; the other strategies need the datasets' sizes")
+            raise ValueError("streams are mixed by concat here and by stream_interleave")
         return rows
     if strategy == "concat":
         return rows
@@ -95,27 +96,31 @@ def prepare(
     registry: DataFrame | None = None,
     max_rows: int | None = None,
     strategy: str = "concat",
-    cutoff: int = 1024,
+    cutoff: int | None = 1024,
     cache_path: str | None = None,
     read: Callable[[DatasetSpec], DataFrame] | None = None,
+    schemas: Mapping[str, str] | None = None,
+    probs: Sequence[float] | None = None,
+    seed: int = 42,
 ) -> DataFrame:
     """Datasets read, checked, limited, aligned, mixed and encoded for a training stage; read from ``cache_path`` if there.
 
     ``row_id`` is a column of unique row numbers of every dataset; rows of the result are named by (dataset_idx, row_id)
-    through ``example``, their number in the mixed order.
+    through ``example``, their number in the mixed order.  ``schemas`` gives datasets a schema of their own, by name;
+    ``probs`` and ``seed`` are those of :func:`mix`; without ``cutoff`` examples are whole.
     """
 
     def build() -> DataFrame:
         parts = []
         for i, spec in enumerate(specs):
-            rows = read(spec) if read else load_dataset(spark, spec, root, schema, registry)
+            rows = read(spec) if read else load_dataset(spark, spec, root, (schemas or {}).get(spec.name, schema), registry)
             if max_rows is not None:
                 rows = M.take(rows, row_id, max_rows, chunk)
             parts.append(align(rows, spec, [row_id], "drop").withColumn("dataset_idx", F.lit(i)))
         rows = parts[0]
         for part in parts[1:]:
             rows = rows.unionByName(part)
-        mixed = mix(rows, "dataset_idx", row_id, chunk, strategy)
+        mixed = mix(rows, "dataset_idx", row_id, chunk, strategy, probs, seed)
         if "slot" in mixed.columns:
             numbered = mixed.withColumnRenamed("slot", "example")
         else:  # dataset after dataset

@@ -617,36 +617,55 @@ def saved_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 # Datasets by name ------------------------------------------------------------------------------------------------------
 
-_PARTS = ("en", "fr")
+_LANGUAGES = ("en", "fr")
 _PREPARED_SQL = f"""
-    WITH t AS (SELECT doc_id, list_position(['en', 'fr'], lang) - 1 AS d, len({tokens_sql('text')}) AS n FROM documents WHERE lang IN ('en', 'fr')),
+    WITH t AS (SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS d, len({tokens_sql('text')}) AS n FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY d) AS size FROM t)
 """
 
 
 def _folders(spark: SparkSession, sf: str) -> tuple[str, list]:
-    """Two datasets as folders of parquet files, one below a subset folder."""
+    """Three datasets as folders of parquet files: two languages, one below a subset folder, and all other documents."""
     from corpusflow.sources.registry import DatasetSpec
 
     root = scratch_path(spark, "datasets")
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("instruction"), F.lit("").alias("input"), F.col("lang").alias("output"))
-    specs = [DatasetSpec(name=p, location=p, subset="main" if p == "fr" else None) for p in _PARTS]
+    name = F.when(F.col("lang").isin(*_LANGUAGES), F.col("lang")).otherwise("rest")
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("instruction"), F.lit("").alias("input"), F.lit("seen").alias("output"), name.alias("name"))
+    specs = [DatasetSpec(name=p, location=p, subset="main" if p == "fr" else None) for p in (*_LANGUAGES, "rest")]
     for spec in specs:
-        docs.where(F.col("output") == spec.name).write.parquet("/".join([root, spec.name, *([spec.subset] if spec.subset else [])]))
+        docs.where(F.col("name") == spec.name).drop("name").write.parquet("/".join([root, spec.name, *([spec.subset] if spec.subset else [])]))
     return root, specs
 
 
-@query("SRC-04:prepare", _PREPARED_SQL + "SELECT CASE WHEN d = 0 THEN rn ELSE rn + (SELECT count(*) FROM t WHERE d = 0) END AS example, CAST(n + 4 AS BIGINT) AS n_ids FROM r")
+@query("SRC-04:prepare", _PREPARED_SQL + "SELECT rn + (SELECT count(*) FROM t WHERE t.d < r.d) AS example, CAST(n + 4 AS BIGINT) AS n_ids FROM r")
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """Folders of files by name, aligned, put one after another and encoded."""
+    """Folders of files by name, aligned, put one after another and encoded whole."""
     root, specs = _folders(spark, sf)
-    out = prepare(spark, specs, root, "sft", "default", "doc_id", id_chunk("doc_id"), cutoff=1_000_000, cache_path=f"{root}/cache")
+    out = prepare(spark, specs, root, "sft", "default", "doc_id", id_chunk("doc_id"), cutoff=None, cache_path=f"{root}/cache")
     return out.select("example", F.size("input_ids").cast("long").alias("n_ids"))
 
 
-@query("MIX-01:strategy", _PREPARED_SQL + "SELECT rn * 2 + d AS example, CAST(n + 4 AS BIGINT) AS n_ids FROM r WHERE rn < (SELECT min(size) FROM r)")
+@query("MIX-01:strategy", _PREPARED_SQL + "SELECT rn * 3 + d AS example, CAST(n + 4 AS BIGINT) AS n_ids FROM r WHERE rn < (SELECT min(size) FROM r)")
 def prepared_by_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """The same datasets dealt in turn until the first ends."""
     root, specs = _folders(spark, sf)
-    out = prepare(spark, specs, root, "sft", "default", "doc_id", id_chunk("doc_id"), cutoff=1_000_000, strategy="interleave_under")
+    out = prepare(spark, specs, root, "sft", "default", "doc_id", id_chunk("doc_id"), cutoff=None, strategy="interleave_under")
+    return out.select("example", F.size("input_ids").cast("long").alias("n_ids"))
+
+
+@query(
+    "MIX-04:strategy",
+    _PREPARED_SQL + """,
+    u AS (SELECT i AS slot, ('0x' || substr(md5('42:' || i), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM range(0, 3 * (SELECT count(*) FROM t)) x(i)),
+    k AS (SELECT slot, d, row_number() OVER (PARTITION BY d ORDER BY slot) - 1 AS rn FROM (SELECT slot, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS d FROM u)),
+    e AS (SELECT min(slot) AS stop FROM k JOIN r USING (d, rn) WHERE rn = size - 1)
+    SELECT slot AS example, CAST(n + 4 AS BIGINT) AS n_ids FROM k JOIN r USING (d, rn) WHERE slot <= (SELECT stop FROM e)
+    """,
+)
+def prepared_by_chance(spark: SparkSession, sf: str) -> DataFrame:
+    """The same datasets drawn with probabilities until the first ends."""
+    root, specs = _folders(spark, sf)
+    out = prepare(
+        spark, specs, root, "sft", "default", "doc_id", id_chunk("doc_id"), cutoff=None, strategy="interleave_under", probs=[0.5, 0.25, 0.25]
+    )
     return out.select("example", F.size("input_ids").cast("long").alias("n_ids"))

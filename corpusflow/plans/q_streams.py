@@ -11,10 +11,13 @@ from corpusflow.functions import render as R
 from corpusflow.functions.templates import CONTENT, EOS, Template, get_template, register_template
 from corpusflow.functions.tokenizers import plug_in, whitespace
 from corpusflow.operators import align as A
-from corpusflow.operators.ordering import time_chunk
+from corpusflow.functions.tokenizers import to_ids
+from corpusflow.operators.ordering import id_chunk, time_chunk
 from corpusflow.operators.scoring import perplexity, score_streams
-from corpusflow.plans.catalog import CHAT_SQL, INSTRUCTIONS, aligned_chats, query, table, tokens_sql
+from corpusflow.plans.catalog import CHAT_SQL, INSTRUCTIONS, SQL, aligned_chats, query, table, tokens_sql
+from corpusflow.plans.q_examples import BATCH_ROWS, BLOCK, CUTOFF, _encoding, _joined, doc_tokens, doc_vocab
 from corpusflow.plans.q_scores import DAY, EVENTS_SQL, LOSS_SQL, doc_stream
+from corpusflow.session import scratch_path, written
 from corpusflow.streaming import streams as X
 
 SALTS = 4
@@ -46,14 +49,96 @@ def stream_aligned(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("n", F.size(whitespace(F.col("content"))) - 1)
 
 
+@query("STM-02:encode", SQL["PRE-02"])
+def stream_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations that arrive as files, encoded with a frozen vocabulary: the rows of the batch query."""
+    chat, enc = _encoding(spark, sf, "chatml")
+    path = scratch_path(spark, "chats")
+    chat.repartitionByRange(4, "conv_id").write.parquet(path)
+    out = X.stream_encode(X.stream_dataset(spark, path, chat.schema, max_files=2), enc, ["conv_id"], CUTOFF)
+    return _joined(out.withColumn("n", F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)), ["conv_id", "n"], ["input_ids", "labels"])
+
+
+@query("STM-02:pack", SQL["PRE-01"])
+def stream_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that arrive as files, packed over trigger borders: the blocks of the batch query."""
+    docs = doc_tokens(spark, sf).withColumn("tokens", F.concat("tokens", F.array(F.lit("</s>"))))
+    ids = to_ids(docs, "tokens", written(doc_vocab(spark, sf), "vocab"), "ids").select("doc_id", "ids")
+    path = scratch_path(spark, "ids")
+    for i, part in enumerate(_thirds(ids)):  # one after another: files arrive in the order of the documents
+        part.coalesce(1).write.mode("append" if i else "error").parquet(path)
+    found = X.stream_pack(X.stream_dataset(spark, path, ids.schema, max_files=1), "ids", "doc_id", BLOCK, id_chunk("doc_id"), BATCH_ROWS)
+    return found.select("batch", "block", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"))
+
+
+def _thirds(rows: DataFrame) -> list[DataFrame]:
+    """Rows by doc_id in three runs of about equal size."""
+    held = written(rows, "rows")
+    low, high = held.agg(F.percentile_approx("doc_id", [1 / 3, 2 / 3])).first()[0] or (0, 0)
+    return [held.where(F.col("doc_id") <= low), held.where((F.col("doc_id") > low) & (F.col("doc_id") <= high)), held.where(F.col("doc_id") > high)]
+
+
+def _language_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the number of their language (3: all but en, fr and de), arriving as three files."""
+    docs = table(spark, sf, "documents").select("doc_id", LANGUAGE.alias("dataset_idx"))
+    path = scratch_path(spark, "languages")
+    for i, part in enumerate(_thirds(docs)):
+        part.coalesce(1).write.mode("append" if i else "error").parquet(path)
+    return X.stream_dataset(spark, path, docs.schema, max_files=1)
+
+
+LANGUAGE = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3)
+LANGUAGE_SQL = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END"
+
+
+@query(
+    "MIX-02:stream",
+    f"WITH r AS (SELECT doc_id, {LANGUAGE_SQL} AS d, row_number() OVER (PARTITION BY {LANGUAGE_SQL} ORDER BY doc_id) - 1 AS rn FROM documents) "
+    "SELECT doc_id, d AS dataset_idx, rn * 4 + d AS slot FROM r WHERE rn < (SELECT min(n) FROM (SELECT count(*) AS n FROM r GROUP BY d))",
+)
+def stream_round_robin(spark: SparkSession, sf: str) -> DataFrame:
+    """Four datasets dealt in turn while they arrive."""
+    return X.stream_interleave(_language_stream(spark, sf), "dataset_idx", 4, ["doc_id"], id_chunk("doc_id")).drop("batch_id")
+
+
+@query(
+    "MIX-04:stream",
+    f"""
+    WITH r AS (SELECT doc_id, {LANGUAGE_SQL} AS d, row_number() OVER (PARTITION BY {LANGUAGE_SQL} ORDER BY doc_id) - 1 AS rn FROM documents),
+    u AS (SELECT i AS slot, ('0x' || substr(md5('42:' || i), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM range(0, (SELECT count(*) FROM documents)) t(i)),
+    s AS (SELECT slot, CASE WHEN u < 0.4 THEN 0 WHEN u < 0.7 THEN 1 WHEN u < 0.9 THEN 2 ELSE 3 END AS d FROM u),
+    k AS (SELECT slot, d, row_number() OVER (PARTITION BY d ORDER BY slot) - 1 AS rn FROM s),
+    e AS (SELECT min(slot) AS stop FROM k JOIN (SELECT d, count(*) AS n FROM r GROUP BY d) USING (d) WHERE rn = n - 1)
+    SELECT doc_id, d AS dataset_idx, slot FROM k JOIN r USING (d, rn) WHERE slot <= (SELECT stop FROM e)
+    """,
+)
+def stream_by_chance(spark: SparkSession, sf: str) -> DataFrame:
+    """The same datasets drawn by probability while they arrive."""
+    found = X.stream_interleave(_language_stream(spark, sf), "dataset_idx", 4, ["doc_id"], id_chunk("doc_id"), probs=[0.4, 0.3, 0.2, 0.1])
+    return found.drop("batch_id")
+
+
 @query("STM-03", "WITH " + EVENTS_SQL + "SELECT user_id, event_id FROM ev WHERE n <= 24 OR pos < 4 OR pos >= n - 20")
 def stream_retained(spark: SparkSession, sf: str) -> DataFrame:
     """Final state of the salted streaming operator = the batch result."""
     ev = stream(spark, sf, "events").select("user_id", "event_id", "ts")
-    salt, order = F.xxhash64("event_id"), ["ts", "event_id"]
-    emitted = X.collect_stream(X.stream_retain(ev, ["user_id"], order, salt, SALTS, 4, 20), "retained", "update")
-    view = X.retained_view(emitted, ["user_id"], order, salt, SALTS, 4, 20, time_chunk("ts", DAY))
-    return view.select("user_id", "event_id")
+    order = ["ts", "event_id"]
+    changes = X.collect_stream(X.stream_retain(ev, ["user_id"], order, F.xxhash64("event_id"), SALTS, 4, 20), "retained")
+    return X.retained_view(changes, ["user_id"], order, 4, 20, time_chunk("ts", DAY)).select("user_id", "event_id")
+
+
+@query(
+    "STM-03:evicted",
+    "WITH " + EVENTS_SQL + "SELECT user_id, event_id, CASE WHEN n <= 24 OR pos < 4 OR pos >= n - 20 THEN 'kept' ELSE 'evicted' END AS change FROM ev",
+)
+def stream_evicted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event once, kept or evicted; states of users without events for ten days are dropped on the way."""
+    ev = stream(spark, sf, "events").select("user_id", "event_id", "ts")
+    by, order, chunk = ["user_id"], ["ts", "event_id"], time_chunk("ts", DAY)
+    retained = X.stream_retain(ev, by, order, F.xxhash64("event_id"), SALTS, 4, 20, ts="ts", delay="3650 days", idle_seconds=10 * DAY)
+    changes = X.collect_stream(retained, "evicted")
+    kept = X.retained_view(changes, by, order, 4, 20, chunk).select("user_id", "event_id", F.lit("kept").alias("change"))
+    return kept.union(X.evicted_view(changes, by, order, 4, 20, chunk).select("user_id", "event_id", F.lit("evicted").alias("change")))
 
 
 @query("STM-04", "WITH " + EVENTS_SQL + "SELECT user_id, event_id, pos FROM ev WHERE (pos + 1) % 10 = 0")
@@ -73,10 +158,13 @@ def stream_ppl(spark: SparkSession, sf: str) -> DataFrame:
     return newest.select("label", F.round(F.exp(F.col("s.nll_sum") / F.col("s.num_eval_tokens")), 6).alias("ppl"), "s.num_eval_tokens")
 
 
-@query("STM-06", "SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS slot FROM documents")
+@query(
+    "STM-06",
+    "SELECT doc_id, rn // 256 * 256 + row_number() OVER (PARTITION BY rn // 256 ORDER BY md5('42:' || doc_id), doc_id) - 1 AS slot FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents)",
+)
 def stream_shuffled(spark: SparkSession, sf: str) -> DataFrame:
-    """The table is one file, so one micro-batch is the whole buffer."""
-    return X.stream_shuffle(stream(spark, sf, "documents").select("doc_id"), "doc_id", 42).select("doc_id", "slot")
+    """Buffers of 256 records; the last, unfinished one goes out at the end."""
+    return X.stream_shuffle(stream(spark, sf, "documents").select("doc_id"), "doc_id", 42, buffer=256).select("doc_id", "slot")
 
 
 @query(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from corpusflow.operators.ordering import hash_chunk, hex_hash, positions
-from corpusflow.session import broadcast_if_small, scratch_path
+from corpusflow.operators.examples import Encoding, attention_mask, encode_sft, pack
+from corpusflow.operators.mixing import buffered_shuffle, drawn_slots
+from corpusflow.operators.ordering import id_chunk, nth_key, positions
+from corpusflow.session import broadcast_if_small, written
+from corpusflow.streaming.state import Carry, KeyedCounts, folder, group_of, in_groups, run_through
 
 
 def stream_dataset(
@@ -60,139 +64,139 @@ def to_parquet(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def collect_stream(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream to its end through files in the shared folder and read the result as a table."""
-    spark = df.sparkSession
-    out, checkpoint = scratch_path(spark, name), scratch_path(spark, name + "-checkpoint")
-    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
-    run_available(df, to_parquet(out), checkpoint, mode)
-    return spark.read.schema(schema).parquet(out)
-
-
-def stream_through(df: DataFrame, step: Callable[[DataFrame, int], DataFrame], name: str, schema: T.StructType) -> DataFrame:
-    """Apply a batch operator to every micro-batch and read all results as one table."""
-    spark = df.sparkSession
-    out, checkpoint = scratch_path(spark, name), scratch_path(spark, name + "-checkpoint")
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        step(batch, batch_id).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    run_available(df, sink, checkpoint)
-    schema = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(out)
+def collect_stream(df: DataFrame, name: str, mode: str = "append", path: str | None = None, queries: list[StreamingQuery] | None = None) -> DataFrame:
+    """Run a stream to its end through files and read the result as a table.
 
+    With ``path`` the results and the checkpoint stay there: a later call takes only what has arrived since, once, also
+    after a run that broke off.  ``queries`` receives the query, for its progress.
+    """
+    path = folder(df.sparkSession, path, name)
+    query = run_available(df, to_parquet(f"{path}/out"), f"{path}/checkpoint", mode)
+    if queries is not None:
+        queries.append(query)
+    schema = T.StructType([*df.schema.fields, T.StructField("batch_id", T.LongType())])
+    return df.sparkSession.read.schema(schema).parquet(f"{path}/out")
 
-class _RetainProcessor(StatefulProcessor):
-    """Keeps the ``start`` smallest and the ``recent`` largest rows by order; memory is bounded by their number."""
-
-    def __init__(self, start: int, recent: int, order: Sequence[str], schema: T.StructType):
-        self.start, self.recent, self.order, self.schema = start, recent, list(order), schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", self.schema)
-        self.meta = handle.getValueState("meta", "version bigint, seen bigint")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        version, seen = self.meta.get() if self.meta.exists() else (0, 0)
-        names = self.schema.fieldNames()
-        rank = lambda r: tuple(r[names.index(o)] for o in self.order)
-        pool = [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
-        room = max(4 * (self.start + self.recent), 1024)
-        for row in rows:
-            seen += 1
-            pool.append(tuple(row[n] for n in names))
-            if len(pool) > self.start + self.recent + room:
-                pool = self._trim(pool, rank)
-        pool = self._trim(pool, rank)
-        self.kept.put([Row(*r) for r in pool])
-        self.meta.update((version + 1, seen))
-        emitted = Row(*names, "version", "seen", "evicted")
-        for r in pool:
-            yield emitted(*r, version + 1, seen, seen - len(pool))
-
-    def _trim(self, pool: list[tuple], rank) -> list[tuple]:
-        if len(pool) <= self.start + self.recent:
-            return pool
-        return heapq.nsmallest(self.start, pool, key=rank) + heapq.nlargest(self.recent, pool, key=rank)
 
-    def close(self) -> None:
-        pass
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful operators left out because they were older than the watermark."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def stream_retain(
-    events: DataFrame, by: Sequence[str], order: Sequence[str], salt: Column, salts: int, start: int, recent: int
-) -> DataFrame:
-    """STM-03: bounded state per stream, first ``start`` and last ``recent`` rows by order.
+    events: DataFrame, by: Sequence[str], order: Sequence[str], salt: Column, salts: int, start: int, recent: int,
+    ts: str | None = None, delay: str = "0 seconds", idle_seconds: int | None = None,
+) -> DataFrame:
+    """STM-03: bounded state per stream, first ``start`` and last ``recent`` rows by order; what changed in each trigger.
 
     First-k and last-k can be merged, so a stream's state is split into ``salts`` parts, each kept by another task: a
-    stream that carries a third of all events does not end up in one state.  Every trigger emits the parts that
-    changed, numbered by ``version``; :func:`retained_view` merges the newest ones.
+    stream that carries a third of all events does not end up in one state.  A row comes out as ``kept`` when it enters
+    the state and as ``evicted`` when it leaves it, or right away if it never stays over a trigger; ``seen`` counts the
+    part's rows.  :func:`retained_view` and :func:`evicted_view` make the streams' rows of that.
+
+    With ``idle_seconds``, the state of a part that had no row for so long, in event time (``ts``), is dropped, which changes
+    neither view; rows that are late by more than ``delay`` are then left out and counted (:func:`late_rows`).  Any state
+    store will do.  Order keys must be unique in a stream and not NULL.
     """
+    import pandas as pd
+
     schema = events.schema
-    out = T.StructType(
-        [
-            *schema.fields,
-            T.StructField("version", T.LongType()),
-            T.StructField("seen", T.LongType()),
-            T.StructField("evicted", T.LongType()),
-        ]
-    )
+    names, order, limit = schema.names, list(order), start + recent
+    out = T.StructType([*schema.fields, T.StructField("change", T.StringType()), T.StructField("seen", T.LongType())])
     salted = events.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    processor = _RetainProcessor(start, recent, order, schema)
-    return salted.groupBy(*by, "_salt").transformWithState(processor, out, "Update", "None")
+    if idle_seconds is not None:
+        salted = salted.withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", delay)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, latest, packed = state.get if state.exists else (0, 0, None)
+        pool = None if packed is None else pa.ipc.open_stream(packed).read_pandas().assign(_new=False)
+        for frame in filter(len, frames):
+            if idle_seconds is not None:
+                latest = max(latest, int(frame["_time"].max().timestamp() * 1000))
+            seen += len(frame)
+            fresh = frame[names].assign(_new=True)
+            pool = (fresh if pool is None else pd.concat([p for p in (pool, fresh) if len(p)], ignore_index=True)).sort_values(order, ignore_index=True)
+            if len(pool) > limit:
+                gone = pool.iloc[start : len(pool) - recent]
+                pool = pool.drop(pool.index[start : len(pool) - recent]).reset_index(drop=True)
+                yield gone[names].assign(change="evicted", seen=seen)
+        if pool is None:
+            return
+        yield pool.loc[pool["_new"], names].assign(change="kept", seen=seen)
+        table = pa.Table.from_pandas(pool[names], preserve_index=False)
+        held = pa.BufferOutputStream()
+        with pa.ipc.new_stream(held, table.schema) as writer:
+            writer.write_table(table)
+        state.update((seen, latest, held.getvalue().to_pybytes()))
+        if idle_seconds is not None:
+            state.setTimeoutTimestamp(max(latest + 1000 * idle_seconds, state.getCurrentWatermarkMs() + 1))
+
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
+    return salted.groupBy(*by, "_salt").applyInPandasWithState(step, out, "seen long, latest long, kept binary", "append", timeout)
+
+
+def _still_kept(changes: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows that some part of a stream's state holds."""
+    gone = changes.where("change = 'evicted'").select(*by, *order)
+    kept = changes.where("change = 'kept'").drop("change", "seen", "batch_id")
+    return kept.join(gone, [*by, *order], "left_anti").select(*kept.columns)
+
+
+def retained_view(changes: DataFrame, by: Sequence[str], order: Sequence[str], start: int, recent: int, chunk: Column) -> DataFrame:
+    """Kept rows of each stream as of now, from what :func:`stream_retain` gave out."""
+    from corpusflow.operators.retention import retain_sink_recent
 
+    return retain_sink_recent(_still_kept(changes, by, order), by, order, start, recent, chunk).drop("pos", "stream_len")
 
-def retained_view(
-    emitted: DataFrame, by: Sequence[str], order: Sequence[str], salt: Column, salts: int, start: int, recent: int, chunk: Column
-) -> DataFrame:
-    """Current kept rows of each stream from what :func:`stream_retain` emitted."""
-    from corpusflow.operators.retention import retain_sink_recent
 
-    tagged = emitted.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    newest = tagged.groupBy(*by, "_salt").agg(F.max("version").alias("version"))
-    current = tagged.join(newest, [*by, "_salt", "version"]).drop("_salt", "version", "seen", "evicted", "batch_id")
-    return retain_sink_recent(current, by, order, start, recent, chunk).drop("pos", "stream_len")
+def evicted_view(changes: DataFrame, by: Sequence[str], order: Sequence[str], start: int, recent: int, chunk: Column) -> DataFrame:
+    """All other rows of each stream as of now: those that left a part's state, and those that only their part still holds."""
+    kept = _still_kept(changes, by, order)
+    view = retained_view(changes, by, order, start, recent, chunk).select(*by, *order)
+    gone = changes.where("change = 'evicted'").select(*kept.columns)
+    return gone.unionByName(kept.join(view, [*by, *order], "left_anti").select(*kept.columns))
 
 
-def _with_counts(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], chunk: Column, name: str, step: Callable[[DataFrame], DataFrame], schema: T.StructType
-) -> DataFrame:
-    """Micro-batches with each row's position ``pos`` in its whole stream.
+def stream_sample_every(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, chunk: Column, path: str | None = None) -> DataFrame:
+    """STM-04: every k-th record of each stream, with its position ``pos``.
 
-    The number of rows seen per stream is kept as a small versioned table; positions inside a batch come from chunk
-    offsets, so one busy stream is numbered by many tasks.  A replayed batch finds the same version again.
+    The number of rows seen per stream is a :class:`KeyedCounts`; positions inside a batch come from chunk offsets, so one
+    busy stream is numbered by many tasks.
     """
-    spark = df.sparkSession
-    state = scratch_path(spark, name + "-counts")
-    by = list(by)
+    path, by = folder(df.sparkSession, path, "sample-every"), list(by)
+    seen = KeyedCounts(df.sparkSession, f"{path}/counts", [df.schema[c] for c in by])
 
     def one(batch: DataFrame, batch_id: int) -> DataFrame:
-        placed = positions(batch, by, order, chunk, "_at")
-        counts = batch.groupBy(*by).agg(F.count(F.lit(1)).alias("_base"))
-        if batch_id > 0:
-            before = spark.read.parquet(f"{state}/v={batch_id - 1}")
-            counts = counts.unionByName(before).groupBy(*by).agg(F.sum("_base").alias("_base"))
-            placed = placed.join(broadcast_if_small(before), by, "left")
-        else:
-            placed = placed.withColumn("_base", F.lit(0))
-        counts.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
-        return step(placed.withColumn("pos", F.col("_at") + F.coalesce("_base", F.lit(0))).drop("_at", "_base"))
+        counts = seen.add(batch_id, batch.groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+        before = broadcast_if_small(written(seen.before(batch_id, counts), "before").withColumnRenamed("n", "_base"))
+        placed = positions(batch, by, order, chunk, "_at").join(before, by, "left")
+        placed = placed.withColumn("pos", F.col("_at") + F.coalesce("_base", F.lit(0)))
+        return placed.where((F.col("pos") + 1) % k == 0).select(*df.columns, "pos")
 
-    return stream_through(df, one, name, schema)
+    return run_through(df, one, path, T.StructType([*df.schema.fields, T.StructField("pos", T.LongType())]))
 
 
-def stream_sample_every(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, chunk: Column) -> DataFrame:
-    """STM-04: every k-th record of each stream."""
-    schema = T.StructType([*df.schema.fields, T.StructField("pos", T.LongType())])
-    return _with_counts(df, by, order, chunk, "sample-every", lambda p: p.where((F.col("pos") + 1) % k == 0), schema)
+def stream_take_skip(df: DataFrame, order: Sequence[str], n: int, chunk: Column, path: str | None = None) -> DataFrame:
+    """STM-09: the first n records of the stream are validation, the others training (``split``).
 
+    Of a micro-batch only the key of the last validation record is looked for; once n records have passed, nothing is.
+    """
+    path, all_ = folder(df.sparkSession, path, "take-skip"), T.StructField("_all", T.IntegerType())
+    seen = KeyedCounts(df.sparkSession, f"{path}/counts", [all_])
+
+    def one(batch: DataFrame, batch_id: int) -> DataFrame:
+        left = n - sum(r["n"] for r in seen.before(batch_id).collect())  # one row
+        size = batch.agg(F.lit(0).alias("_all"), F.count(F.lit(1)).alias("n")) if left > 0 else batch.limit(0).agg(F.lit(0).alias("_all"), F.lit(0).cast("long").alias("n"))
+        seen.add(batch_id, size)
+        if left <= 0:
+            return batch.withColumn("split", F.lit("train"))
+        last = nth_key(batch, order, left, chunk).scalar()
+        return batch.withColumn("split", F.when(F.struct(*order) <= last, "test").otherwise("train"))
 
-def stream_take_skip(df: DataFrame, order: Sequence[str], n: int, chunk: Column) -> DataFrame:
-    """STM-09: the first n records of the stream are validation, the others training (``split``)."""
-    keyed = df.withColumn("_all", F.lit(0))
-    schema = T.StructType([*keyed.schema.fields, T.StructField("split", T.StringType())])
-    step = lambda p: p.withColumn("split", F.when(F.col("pos") < n, "test").otherwise("train")).drop("pos")
-    return _with_counts(keyed, ["_all"], order, chunk, "take-skip", step, schema).drop("_all")
+    return run_through(df, one, path, T.StructType([*df.schema.fields, T.StructField("split", T.StringType())]))
 
 
 def stream_perplexity(tokens: DataFrame, by: Sequence[str], nll: str, pos: str | None = None, first_n: int | None = None) -> DataFrame:
@@ -201,15 +205,83 @@ def stream_perplexity(tokens: DataFrame, by: Sequence[str], nll: str, pos: str |
     return rows.groupBy(*by).agg(F.sum(nll).alias("nll_sum"), F.count(nll).alias("num_eval_tokens"))
 
 
-def stream_shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """STM-06: each micro-batch in hash order; ``slot`` is the position inside it."""
-
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        hashed = batch.withColumn("_h", hex_hash(seed, key))
-        return positions(hashed, [], ["_h", key], hash_chunk("_h"), "slot").drop("_h")
+def stream_shuffle(df: DataFrame, key: str, seed: int, buffer: int = 16_384, order: Sequence[str] | None = None, chunk: Column | None = None, path: str | None = None) -> DataFrame:
+    """STM-06: hash order inside consecutive buffers of ``buffer`` records; ``slot`` is the new number.
 
+    A buffer that a micro-batch leaves unfinished waits for the next one, and the last goes out when the stream has ended:
+    the slots are those of :func:`corpusflow.operators.mixing.buffered_shuffle`, see :func:`in_groups`.
+    """
+    order = [key] if order is None else list(order)
+    chunk = id_chunk(order[0]) if chunk is None else chunk
     schema = T.StructType([*df.schema.fields, T.StructField("slot", T.LongType())])
-    return stream_through(df, step, "shuffle", schema)
+    step = lambda rows: buffered_shuffle(rows, "_pos", key, seed, buffer).drop("_pos")
+    return in_groups(df, order, chunk, buffer, step, schema, folder(df.sparkSession, path, "shuffle"))
+
+
+def stream_encode(aligned: DataFrame, enc: Encoding, keep: Sequence[str], cutoff: int | None = 1024, path: str | None = None) -> DataFrame:
+    """STM-02: ids, mask and labels of aligned rows on a stream; the vocabulary of ``enc`` is a written table, frozen."""
+    return collect_stream(encode_sft(aligned, enc, keep, cutoff), "encoded", path=path)
+
+
+def stream_pack(df: DataFrame, ids: str, order: str, block: int, chunk: Column, batch_rows: int = 1000, path: str | None = None) -> DataFrame:
+    """STM-02: blocks of ``block`` ids from documents on a stream, batch by batch of ``batch_rows`` as in a table.
+
+    Documents of an unfinished batch wait for the next trigger.
+    """
+    narrow = df.select(order, ids)
+
+    def step(rows: DataFrame) -> DataFrame:
+        packed = pack(rows.withColumn("batch", group_of(batch_rows)), [ids], "batch", "_pos", block)
+        return packed.select("batch", "block", F.col(ids).alias("input_ids"), attention_mask(F.col(ids)).alias("attention_mask"))
+
+    kinds = "batch long, block long, input_ids array<int>, attention_mask array<int>"
+    return in_groups(narrow, [order], chunk, batch_rows, step, T.StructType.fromDDL(kinds), folder(df.sparkSession, path, "packed"))
+
+
+def stream_interleave(
+    df: DataFrame, dataset: str, datasets: int, order: Sequence[str], chunk: Column, probs: Sequence[float] | None = None, seed: int = 42, path: str | None = None
+) -> DataFrame:
+    """MIX-02 and, with ``probs``, MIX-04 on a stream of several datasets (numbered by ``dataset``), until the first ends.
+
+    The rank of a row in its dataset goes on from trigger to trigger.  Slots go out as far as every dataset has rows for
+    them; rows that are ahead wait.  What waits when the stream ends belongs to slots behind the end of a dataset, so the
+    result is that of the table.  Repeating short datasets needs their ends and is no stream operation.
+    """
+    spark, path = df.sparkSession, folder(df.sparkSession, path, "interleave")
+    ranks = KeyedCounts(spark, f"{path}/ranks", [df.schema[dataset]])
+    used = KeyedCounts(spark, f"{path}/used", [df.schema[dataset]])
+    carry = Carry(spark, f"{path}/carry", T.StructType([*df.schema.fields, T.StructField("_rank", T.LongType())]))
+    small = lambda rows: {r[dataset]: r["n"] for r in rows.collect()}  # noqa: E731  one row per dataset
+
+    def one(batch: DataFrame, batch_id: int) -> DataFrame:
+        before = small(ranks.before(batch_id))
+        new = small(ranks.add(batch_id, batch.groupBy(dataset).agg(F.count(F.lit(1)).alias("n"))))
+        total = [before.get(i, 0) + new.get(i, 0) for i in range(datasets)]
+        base = F.create_map(*[F.lit(x).cast("long") for i in range(datasets) for x in (i, before.get(i, 0))])
+        placed = positions(batch, [dataset], order, chunk, "_rank")
+        every = carry.after(batch_id - 1).unionByName(placed.withColumn("_rank", F.col("_rank") + base[F.col(dataset).cast("long")]))
+        if probs is None:
+            limit = min(total)
+            carry.keep(batch_id, every.where(F.col("_rank") >= limit))
+            ready = every.where(F.col("_rank") < limit).withColumn("slot", F.col("_rank") * datasets + F.col(dataset))
+            return ready.drop("_rank")
+        past = small(used.before(batch_id))
+        done = [past.get(i, 0) for i in range(datasets)]
+        slots = drawn_slots(spark, sum(done), sum(total) - sum(done), probs, seed)
+        start = F.create_map(*[F.lit(x).cast("long") for i in range(datasets) for x in (i, done[i])])
+        slots = positions(slots, ["source"], ["slot"], id_chunk("slot"), "_at")
+        slots = slots.select("slot", F.col("source").alias(dataset), (F.col("_at") + start[F.col("source").cast("long")]).alias("_rank"))
+        ends = F.create_map(*[F.lit(x).cast("long") for i in range(datasets) for x in (i, total[i])])
+        # as in a table, the slot that takes a dataset's last row is the last one, until that dataset goes on
+        taken = F.col("_rank") == ends[F.col(dataset).cast("long")] - 1
+        stop = slots.agg(F.min(F.when(taken, F.col("slot")))).first()[0] if all(t > d for t, d in zip(total, done, strict=True)) else -1
+        slots = slots.where(F.col("slot") <= stop)
+        used.add(batch_id, slots.groupBy(dataset).agg(F.count(F.lit(1)).alias("n")))
+        ready = every.join(slots, [dataset, "_rank"])
+        carry.keep(batch_id, every.join(slots, [dataset, "_rank"], "left_anti"))
+        return ready.select(*df.columns, "slot")
+
+    return run_through(df, one, path, T.StructType([*df.schema.fields, T.StructField("slot", T.LongType())]))
 
 
 def stream_poll_windows(df: DataFrame, ts: str, value: str, width: str, delay: str) -> DataFrame:
