@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
+from uuid import uuid4
 
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusflow.session import kept_by_worker, written
+
 SPACE = " \t\r\n\f"
 UNK = "<unk>"
 
@@ -127,14 +130,16 @@ def _looked_up(df: DataFrame, columns: dict[str, str], entries: DataFrame, defau
     if (size or 0) > bound:
         return _looked_up_by_join(df, columns, entries, default, T.StructType(fields))
     rows = entries.toPandas()
-    shared = df.sparkSession.sparkContext.broadcast((rows["key"].tolist(), rows["value"].tolist()))
+    shared, name = df.sparkSession.sparkContext.broadcast((rows["key"].tolist(), rows["value"].tolist())), uuid4().hex
 
     def lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = pa.array(shared.value[0], key_type), pa.array(shared.value[1], value_type)
+        known = kept_by_worker("vocabulary", name, lambda: dict(zip(*shared.value, strict=True)))
 
         def of(flat: pa.Array) -> pa.Array:
-            found = values.take(pc.index_in(flat.cast(key_type), value_set=keys))
-            return pc.fill_null(found, default) if default is not None else found
+            # each distinct element of a batch is looked up once
+            coded = flat.cast(key_type).dictionary_encode()
+            values = pa.array([known.get(key, default) for key in coded.dictionary.to_pylist()], value_type)
+            return pc.fill_null(values.take(coded.indices), default) if default is not None else values.take(coded.indices)
 
         for batch in batches:
             arrays = [_arrow_list_map(col, of) if name in columns else col for name, col in zip(batch.schema.names, batch.columns)]
@@ -193,6 +198,7 @@ def to_ids(
     what is not needed first.
     """
     columns = {tokens: out} if isinstance(tokens, str) else dict(tokens)
+    vocab = written(vocab.select("token", "token_id"), "vocab")  # it may take a count of all texts, and is read thrice
     default = vocab.where(F.col("token") == unk).select("token_id").first()
     entries = vocab.select(F.col("token").alias("key"), F.col("token_id").cast("int").alias("value"))
     return _looked_up(df, columns, entries, default and int(default[0]), T.IntegerType(), bound)
@@ -210,6 +216,7 @@ def decode(
 
     ``bound`` is that of :func:`to_ids`.
     """
+    vocab = written(vocab.select("token", "token_id"), "vocab")
     source = F.col(ids) if skip is None else F.filter(ids, lambda x: x != F.lit(skip))
     entries = vocab.select(F.col("token_id").cast("int").alias("key"), F.col("token").alias("value"))
     named = _looked_up(df.withColumn(out, source.cast("array<int>")), {out: out}, entries, None, T.StringType(), bound)

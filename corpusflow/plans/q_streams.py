@@ -80,14 +80,15 @@ def _thirds(rows: DataFrame) -> list[DataFrame]:
 
 def _language_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the number of their language (3: all but en, fr and de), arriving as three files."""
-    docs = table(spark, sf, "documents").select("doc_id", LANGUAGE.alias("dataset_idx"))
+    lang = F.col("lang")
+    number = F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(3)
+    docs = table(spark, sf, "documents").select("doc_id", number.alias("dataset_idx"))
     path = scratch_path(spark, "languages")
     for i, part in enumerate(_thirds(docs)):
         part.coalesce(1).write.mode("append" if i else "error").parquet(path)
     return X.stream_dataset(spark, path, docs.schema, max_files=1)
 
 
-LANGUAGE = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).when(F.col("lang") == "de", 2).otherwise(3)
 LANGUAGE_SQL = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END"
 
 
