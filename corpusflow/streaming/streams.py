@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,25 +112,25 @@ def stream_retain(
             state.remove()
             return
         seen, latest, packed = state.get if state.exists else (0, 0, None)
-        pool = None if packed is None else pa.ipc.open_stream(packed).read_pandas().assign(_new=False)
+        pool = None if packed is None else pickle.loads(packed)
         for frame in filter(len, frames):
             if idle_seconds is not None:
                 latest = max(latest, int(frame["_time"].max().timestamp() * 1000))
             seen += len(frame)
-            fresh = frame[names].assign(_new=True)
-            pool = (fresh if pool is None else pd.concat([p for p in (pool, fresh) if len(p)], ignore_index=True)).sort_values(order, ignore_index=True)
+            fresh = frame[names]
+            fresh["change"] = "kept"
+            pool = (fresh if pool is None else pd.concat([pool, fresh], ignore_index=True)).sort_values(order, ignore_index=True)
             if len(pool) > limit:
                 gone = pool.iloc[start : len(pool) - recent]
-                pool = pool.drop(pool.index[start : len(pool) - recent]).reset_index(drop=True)
-                yield gone[names].assign(change="evicted", seen=seen)
+                pool = pool.drop(gone.index).reset_index(drop=True)
+                yield gone.assign(change="evicted", seen=seen)
         if pool is None:
             return
-        yield pool.loc[pool["_new"], names].assign(change="kept", seen=seen)
-        table = pa.Table.from_pandas(pool[names], preserve_index=False)
-        held = pa.BufferOutputStream()
-        with pa.ipc.new_stream(held, table.schema) as writer:
-            writer.write_table(table)
-        state.update((seen, latest, held.getvalue().to_pybytes()))
+        entered = pool[pool["change"] == "kept"]
+        if len(entered):
+            yield entered.assign(seen=seen)
+        pool["change"] = ""
+        state.update((seen, latest, pickle.dumps(pool)))
         if idle_seconds is not None:
             state.setTimeoutTimestamp(max(latest + 1000 * idle_seconds, state.getCurrentWatermarkMs() + 1))
 
