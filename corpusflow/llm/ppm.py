@@ -18,17 +18,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm.tables import tasks_for, written
-from corpusflow.llm.texts import LOWER, SPACED, slices, span_hashes, strings, word_spans
+from corpusflow.llm.texts import LOWER, SPACED, give_back_memory, slices, span_hashes, strings, word_spans
 
 ORDER = 5
 END = 0xFF  # ends a text and stands before it; no byte of UTF-8
-DISCOUNT = 0.35  # of each seen byte's count; it estimates how often a context meets a new byte
+# The escape of an order is estimated from how many of its windows were seen once and twice, see :func:`discount`; these are
+# its value before any window was seen and the number of windows that this weighs as much as.
+PRIOR, PRIOR_WINDOWS = 0.35, 20
 BLOCK_BYTES = 50_000_000
 # Windows that one task turns into code lengths.
 WINDOWS_PER_TASK = 2_000_000
 _TOKEN = np.uint64(1 << 63)  # marks token keys, which so are negative longs; the end of a text is this one itself
 
 
+_NO_KEYS = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def mask(n_bytes: int) -> np.uint64:
     return np.uint64((1 << 8 * n_bytes) - 1)
 
@@ -77,6 +82,16 @@ def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     return keys, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
+def added_counts(keys: np.ndarray, counts: np.ndarray, new: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ``keys`` and ``counts`` (changed in place) with the sorted keys ``new`` counted in; little memory beside them."""
+    if not len(keys):
+        return new, n.copy()
+    at = np.searchsorted(keys, new)
+    known = keys[np.minimum(at, len(keys) - 1)] == new
+    counts[at[known]] += n[known]
+    return np.insert(keys, at[~known], new[~known]), np.insert(counts, at[~known], n[~known])
+
+
 def counted(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each stands in training texts."""
     known, n = np.unique(keys[trains], return_counts=True)
@@ -84,25 +99,30 @@ def counted(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return merged_counts([(known, n), (other, np.zeros(len(other), np.int64))])
 
 
+def discount(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """What each seen byte's count gives to bytes not seen yet: with many windows n1 / (n1 + 2 n2), of those seen once and twice."""
+    return (once + PRIOR * PRIOR_WINDOWS) / (once + 2 * twice + PRIOR_WINDOWS)
+
+
 def code_lengths(codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """log10 probability of the last byte of each window after the bytes before it.
 
     ``counts``: training counts of the windows, with all windows that end in the same two context bytes present;
-    ``pairs``: training counts of all byte pairs.  At each order every byte that the context has seen gives DISCOUNT of its
-    count to the escape; bytes that a longer context has seen are excluded from counts and escape of the shorter one.
-    Below order 0, the bytes never seen are equally likely.
+    ``pairs``: of every byte pair, how many bytes stand before it.  A byte counts in a context of the longest order as often
+    as it follows it, and in a shorter one once for every longer context (update exclusion).  At each order every byte that the context has seen gives a part of its
+    count to the escape, which is estimated for the order from all its contexts that end in the same two bytes (below
+    order 2, from all its contexts); bytes that a longer context has seen are excluded from counts and escape of the shorter
+    one.  Below order 0, the bytes never seen are equally likely.
     """
     kept = codes[counts > 0]
     order = np.argsort(kept)
     level = {ORDER: (kept[order], counts[counts > 0][order])}
     for d in range(ORDER - 1, 1, -1):
-        above, n = level[d + 1]
-        short, inverse = np.unique(above & mask(d + 1), return_inverse=True)
-        level[d] = (short, np.bincount(inverse, n, len(short)).astype(np.int64))
-    single = pairs.sum(0)
+        level[d] = np.unique(level[d + 1][0] & mask(d + 1), return_counts=True)
+    single = (pairs > 0).sum(0)
 
     def count_of(d: int, windows_d: np.ndarray) -> np.ndarray:
-        """Training count of windows of d + 1 bytes."""
+        """Count of windows of d + 1 bytes."""
         if d == 0:
             return single[windows_d.astype(np.int64)]
         if d == 1:
@@ -133,16 +153,26 @@ def code_lengths(codes: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np
             known = names[i] == contexts
         return tuple(np.where(known, x[i], 0) for x in (total, seen, below))
 
+    def given(d: int, contexts: np.ndarray) -> np.ndarray:
+        """The discount of the order in these contexts."""
+        if d < 2:
+            seen = pairs if d else single
+            return np.full(len(contexts), discount((seen == 1).sum(), (seen == 2).sum()))
+        codes_d, n = level[d]
+        ends = (codes_d >> np.uint64(8) & mask(2)).astype(np.int64)
+        each = discount(np.bincount(ends[n == 1], minlength=65_536), np.bincount(ends[n == 2], minlength=65_536))
+        return each[(contexts & mask(2)).astype(np.int64)]
+
     out = np.zeros(len(codes))
     open_, no_total, no_seen = np.ones(len(codes), bool), np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
     for d in range(ORDER, -1, -1):
         total, seen, below = context(d, codes >> np.uint64(8) & mask(d))
         here = count_of(d, codes & mask(d + 1))
-        mass, escape = total - no_total, seen - no_seen
+        mass, escape, part = total - no_total, seen - no_seen, given(d, codes >> np.uint64(8))
         hit = open_ & (here > 0)
         miss = open_ & (here == 0) & (escape > 0)
-        out[hit] += np.log10((here[hit] - DISCOUNT) / mass[hit])
-        out[miss] += np.log10(DISCOUNT * escape[miss] / mass[miss])
+        out[hit] += np.log10((here[hit] - part[hit]) / mass[hit])
+        out[miss] += np.log10(part[miss] * escape[miss] / mass[miss])
         open_ &= ~hit
         no_total, no_seen = below, seen
     return out - open_ * np.log10(256 - (single > 0).sum() if (single > 0).sum() < 256 else 1)
@@ -155,8 +185,18 @@ def blocks(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFrame:
     rows = rows.coalesce(max(1, -(-size // block_bytes)))
     names = ["block", "key", "n", "doc_id", "held_out", "body"]
 
+    def keys_of(block: int, keys: np.ndarray, counts: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(keys), 100_000):
+            part = keys[a : a + 100_000].view(np.int64)
+            n = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block, np.int64)), pa.array(part), pa.array(counts[a : a + n]), pa.nulls(n, id_type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())],
+                names,
+            )
+
     def per_block(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts, pending = TaskContext.get().partitionId(), [], 0
+        block, parts, pending, size = TaskContext.get().partitionId() << 32, [], 0, 0
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         id_type = None
         for batch in slices(batches):
             id_type = batch.column("doc_id").type
@@ -167,30 +207,29 @@ def blocks(docs: DataFrame, held_out: Column, block_bytes: int) -> DataFrame:
             parts.append(counted(tokens, np.repeat(trains, np.diff(words))))
             parts.append((np.array([_TOKEN]), np.array([trains.sum()])))
             pending += sum(len(p[0]) for p in parts[-3:])
+            size += len(stream)
             if pending > 800_000:
-                parts = [merged_counts(parts)]
-                pending = 0
+                keys, counts = added_counts(keys, counts, *merged_counts(parts))
+                parts, pending = [], 0
             raw = stream.tobytes()
             bodies = [pa.compress(raw[a:b], "zstd", asbytes=True) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             n = batch.num_rows
             sizes = pa.array(np.diff(at), pa.int64())
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int32()), none, sizes, batch.column("doc_id"), batch.column("held_out"), pa.array(bodies, pa.binary())],
+                [pa.array(np.full(n, block, np.int64)), none, sizes, batch.column("doc_id"), batch.column("held_out"), pa.array(bodies, pa.binary())],
                 names,
             )
-        if not parts:
-            return
-        keys, counts = merged_counts(parts)
-        for a in range(0, len(keys), 100_000):
-            part = keys[a : a + 100_000].view(np.int64)
-            n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * n, pa.int32()), pa.array(part), pa.array(counts[a : a + n]), pa.nulls(n, id_type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())],
-                names,
-            )
-
-    kinds = [T.IntegerType(), T.LongType(), T.LongType(), docs.schema["doc_id"].dataType, T.BooleanType(), T.BinaryType()]
+            if size > 1.2 * block_bytes:  # a split may hold any number of bytes
+                yield from keys_of(block, *added_counts(keys, counts, *merged_counts(parts or [_NO_KEYS])), id_type)
+                block, parts, pending, size = block + 1, [], 0, 0
+                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if size:
+            yield from keys_of(block, *added_counts(keys, counts, *merged_counts(parts or [_NO_KEYS])), id_type)
+        del keys, counts, parts
+        give_back_memory()
+
+    kinds = [T.LongType(), T.LongType(), T.LongType(), docs.schema["doc_id"].dataType, T.BooleanType(), T.BinaryType()]
     return written(rows.mapInArrow(per_block, T.StructType([T.StructField(*x) for x in zip(names, kinds, strict=True)])), "blocks")
 
 
@@ -198,7 +237,8 @@ def window_values(totals: DataFrame) -> DataFrame:
     """(key, value): the log10 probability of every window of ``totals`` (key, n)."""
     wins = totals.where("key >= 0")
     pairs = np.zeros((256, 256), np.int64)
-    for r in wins.where("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
+    threes = wins.where("n > 0").select(F.col("key").bitwiseAND(0xFFFFFF).alias("three")).distinct()
+    for r in threes.groupBy(F.col("three").bitwiseAND(0xFFFF).alias("pair")).agg(F.count(F.lit(1)).alias("n")).collect():
         pairs[r["pair"] >> 8, r["pair"] & 255] = r["n"]  # at most 65,536 rows
 
     def values(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +326,8 @@ def scores(docs: DataFrame, held_out: Column, block_bytes: int = BLOCK_BYTES) ->
             ]
             out.append(pa.RecordBatch.from_arrays(columns, schema.names))
         kinds = [*[(n, c.type) for n, c in zip(schema.names, columns, strict=True)]] if out else []
+        del index, value
+        give_back_memory()
         return pa.Table.from_batches(out, pa.schema(kinds)) if out else pa.table({})
 
     return texts.groupBy("block").cogroup(answers.groupBy("by")).applyInArrow(score, schema)

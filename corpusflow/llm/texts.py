@@ -5,6 +5,8 @@ Null texts count as empty.  Words never cross the end of a text.  Hashes are the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -115,6 +117,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             a = b
 
 
+def give_back_memory() -> None:
+    """Returns what a worker has freed to the system, where it can: workers live on, and the next task may be another's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """An Arrow list column from one array per row."""
     at = np.zeros(len(arrays) + 1, np.int32)

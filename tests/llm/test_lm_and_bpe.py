@@ -1,4 +1,5 @@
 import collections
+import functools
 import math
 import zlib
 
@@ -33,8 +34,18 @@ def python_ppm(trains):
     seen = [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
     for text in trains:
         for i in range(ppm.ORDER, len(text)):
-            for o in range(ppm.ORDER + 1):
-                seen[o][text[i - o : i]][text[i]] += 1
+            seen[ppm.ORDER][text[i - ppm.ORDER : i]][text[i]] += 1
+    for o in range(ppm.ORDER, 0, -1):  # a shorter context counts longer ones
+        for context, by in seen[o].items():
+            for byte in by:
+                seen[o - 1][context[1:]][byte] += 1
+
+    def part(o, context):
+        """The discount of an order: of contexts with these last two bytes, or of all."""
+        end = context[-2:] if o >= 2 else b""
+        counts = [n for c, by in seen[o].items() if c.endswith(end) for n in by.values()]
+        once, twice = counts.count(1), counts.count(2)
+        return (once + ppm.PRIOR * ppm.PRIOR_WINDOWS) / (once + 2 * twice + ppm.PRIOR_WINDOWS)
 
     def log_p(context, byte):
         excluded, p = set(), 0.0
@@ -42,13 +53,13 @@ def python_ppm(trains):
             counts = {b: n for b, n in seen[o].get(context[ppm.ORDER - o :], {}).items() if b not in excluded}
             total = sum(counts.values())
             if byte in counts:
-                return p + math.log10((counts[byte] - ppm.DISCOUNT) / total)
+                return p + math.log10((counts[byte] - part(o, context)) / total)
             if counts:
-                p += math.log10(ppm.DISCOUNT * len(counts) / total)
+                p += math.log10(part(o, context) * len(counts) / total)
                 excluded |= set(counts)
         return p - math.log10(256 - len(excluded))
 
-    return log_p
+    return functools.cache(log_p)
 
 
 @pytest.mark.parametrize("block_bytes", [10**8, 150])
@@ -79,8 +90,8 @@ def test_probabilities_of_a_context_sum_to_one():
     keys = np.unique(np.concatenate([codes, np.array([int.from_bytes(k, "big") for k in seen], np.uint64)]))
     counts = np.array([seen.get(int(k).to_bytes(6, "big"), 0) for k in keys])
     pairs = np.zeros((256, 256), np.int64)
-    for k, c in seen.items():
-        pairs[k[4], k[5]] += c
+    for k in {k[3:] for k in seen}:
+        pairs[k[1], k[2]] += 1
     values = ppm.code_lengths(keys, counts, pairs)
     assert (10 ** values[np.isin(keys, codes)]).sum() == pytest.approx(1)
 
