@@ -12,8 +12,9 @@ from corpusflow.functions.render import Renderer
 from corpusflow.functions.templates import Template, get_template
 from corpusflow.functions.tokenizers import UNK, build_vocab, get_tokenizer, to_ids
 from corpusflow.operators.align import message, valid_pair, valid_prompt, valid_sft
-from corpusflow.operators.ordering import hex_hash, positions, whole_div
+from corpusflow.operators.ordering import hex_hash, positions, running_totals, whole_div
 from corpusflow.schema import ASSISTANT, IGNORE
+from corpusflow.session import broadcast_if_small, written
 
 INTS = "array<int>"
 PAIRS = "array<struct<source:array<int>,target:array<int>>>"
@@ -178,6 +179,54 @@ def encode_pairs(
     )
 
 
+def _one_row(messages: DataFrame, conv: str, has_tools: bool) -> DataFrame:
+    """Message rows that are few per conversation as aligned rows: the last message is the response."""
+    items = F.array_sort(F.collect_list(F.struct("idx", "role", "content")))
+    shared = [F.first(c).alias(c) for c in ("system", *(["tools"] if has_tools else []))]  # the same in all rows of a conversation
+    rows = messages.groupBy(conv).agg(items.alias("_items"), *shared)
+    whole = F.transform("_items", lambda m: message(m["role"], m["content"]))
+    tools = F.col("tools") if has_tools else F.lit("")
+    return rows.select(
+        conv, F.slice(whole, F.lit(1), F.size("_items") - 1).alias("prompt"), F.slice(whole, F.size("_items"), F.lit(1)).alias("response"),
+        "system", tools.alias("tools"),
+    )
+
+
+def fitting_turns(messages: DataFrame, conv: str, enc: Encoding, cutoff: int, reserved: int = 1, chunk_rows: int = 1024) -> DataFrame:
+    """Aligned rows of the first pairs of each conversation, as many as the budget of :func:`truncate_pairs` can reach.
+
+    ``messages`` are rows (conv, idx, role, content, system), as of :func:`corpusflow.operators.align.align_conversations`.
+    Tokens are counted per message and summed along the conversation through chunks, so a conversation of any length is
+    spread over many tasks; only messages that can get a place are then put into one row.  Beyond the pair that reaches the
+    cutoff, pairs count as long as answers have left some of the ``reserved`` tokens.  Encoding these rows gives what
+    encoding whole conversations gives.
+    """
+    has_tools = "tools" in messages.columns
+    tools = F.col("tools") if has_tools and enc.has_tools else None
+    tokens = enc.renderer.row_tokens(F.col("role"), F.col("content"), F.col("idx"), F.col("system"), tools, get_tokenizer(enc.tokenizer))
+    sized = messages.select(conv, "idx", F.size(tokens).cast("long").alias("_n"))
+    pairs = sized.groupBy(conv, whole_div(F.col("idx"), 2).alias("_pair")).agg(
+        F.sum("_n").alias("_n"), F.coalesce(F.sum(F.when(F.col("idx") % 2 == 1, F.col("_n"))), F.lit(0)).alias("_answer")
+    )
+    chunk = whole_div(F.col("_pair"), chunk_rows)
+    pairs = running_totals(pairs, {"_before": "_n"}, [conv], ["_pair"], chunk, exclusive=True, mostly_short=True)
+    pairs = pairs.withColumn("_late", F.when(F.col("_before") + F.col("_n") >= cutoff, F.col("_answer")).otherwise(F.lit(0)))
+    pairs = running_totals(pairs, {"_spent": "_late"}, [conv], ["_pair"], chunk, exclusive=True, mostly_short=True)
+    last = pairs.where((F.col("_before") < cutoff) | (F.col("_spent") < reserved)).groupBy(conv).agg(F.max("_pair").alias("_last"))
+    fit = messages.join(broadcast_if_small(written(last, "fit")), conv).where(F.col("idx") < 2 * F.col("_last") + 2).drop("_last")
+    return _one_row(fit, conv, has_tools)
+
+
+def encode_turns(
+    messages: DataFrame, conv: str, enc: Encoding, cutoff: int = 1024, reserved: int = 1, stage: str = "sft", train_on_prompt: bool = False
+) -> DataFrame:
+    """PRE-02, or PRE-04 with another stage, on message rows: no conversation is ever one record before it is cut."""
+    aligned = fitting_turns(messages, conv, enc, cutoff, reserved)
+    if stage == "sft":
+        return encode_sft(aligned, enc, [conv], cutoff, reserved, train_on_prompt)
+    return encode_prompt_only(aligned, enc, [conv], cutoff, reserved)
+
+
 def pack(df: DataFrame, arrays: Sequence[str], batch: str, order: str, block: int) -> DataFrame:
     """Concatenate each batch's arrays in order and cut them into full blocks; the batch's rest is dropped.
 
@@ -357,6 +406,38 @@ def trim_history(
     return df.withColumn(out, cut).drop("_tok", "_sys", "_suffix", "_all")
 
 
+def newest_turns(messages: DataFrame, conv: str, system: str, max_input: int, tokenizer: str, chunk_rows: int = 1024) -> DataFrame:
+    """Message rows (conv, idx, role, content, ``system``) that :func:`trim_history` can keep of each conversation.
+
+    Tokens are summed from the newest message back through chunks; of the newest round, which always stays, only the last
+    ``max_input`` tokens count.
+    """
+    tok = get_tokenizer(tokenizer)
+    sized = messages.select(
+        conv, "idx", F.col("role"), (F.size(tok(F.col("content"))) + 1).cast("long").alias("_n"), F.size(tok(F.coalesce(F.col(system), F.lit("")))).alias("_sys"),
+        (-F.col("idx")).alias("_back"), (-whole_div(F.col("idx"), chunk_rows)).alias("_chunk_back"),
+    )
+    summed = running_totals(sized, {"_after": "_n"}, [conv], ["_back"], F.col("_chunk_back"), exclusive=True, mostly_short=True)
+    starts = (F.col("idx") == 0) | (F.col("role") == "user")
+    fits = starts & (F.col("_after") + F.col("_n") <= F.lit(max_input) - F.col("_sys"))
+    begin = summed.groupBy(conv).agg(
+        F.coalesce(F.min(F.when(fits, F.col("idx"))), F.max(F.when(starts, F.col("idx")))).alias("_begin"),
+        F.min(F.when(F.col("_after") < max_input, F.col("idx"))).alias("_seen"),
+    )
+    begin = written(begin.select(conv, F.greatest("_begin", "_seen").alias("_begin")), "begin")
+    return messages.join(broadcast_if_small(begin), conv).where(F.col("idx") >= F.col("_begin")).drop("_begin")
+
+
+def trim_turns(
+    messages: DataFrame, conv: str, system: str, max_input: int, tokenizer: str, user_token: str, assistant_token: str, out: str
+) -> DataFrame:
+    """PRE-14 on message rows, for conversations of any length: (conv, ``out``)."""
+    kept = newest_turns(messages, conv, system, max_input, tokenizer)
+    items = F.array_sort(F.collect_list(F.struct("idx", "role", "content")))
+    rows = kept.groupBy(conv).agg(F.transform(items, lambda m: message(m["role"], m["content"])).alias("_messages"), F.first(system).alias("_system"))
+    return trim_history(rows, "_messages", "_system", max_input, tokenizer, user_token, assistant_token, out).select(conv, out)
+
+
 def last_valid_index(ids: Column, pad_id: int) -> Column:
     """PRE-15: position before the first pad; -1 (the last position) when there is none or it comes first."""
     at = F.array_position(ids, F.lit(pad_id)).cast("int")

@@ -20,9 +20,9 @@ from corpusflow.functions.tokenizers import (
 from corpusflow.operators import examples as E
 from corpusflow.operators import mixing as M
 from corpusflow.operators.prepare import prepare
-from corpusflow.operators.align import align_alpaca
-from corpusflow.operators.ordering import id_chunk, running_total
-from corpusflow.plans.catalog import CHAT_SQL, aligned_chats, documents, query, ranking_rows, table, tokens_sql
+from corpusflow.operators.align import align_alpaca, align_conversations
+from corpusflow.operators.ordering import id_chunk, positions, running_total
+from corpusflow.plans.catalog import CHAT, CHAT_SQL, SQL, aligned_chats, documents, query, ranking_rows, table, tokens_sql
 from corpusflow.schema import IGNORE
 from corpusflow.session import scratch_path, written
 from corpusflow.sources.sinks import write_examples
@@ -303,6 +303,24 @@ def prompt_examples(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(E.encode_prompt_only(chat, enc, ["conv_id"], CUTOFF), ["conv_id"], ["input_ids", "labels"])
 
 
+def _message_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Aligned chats as message rows; no conversation is put into one record."""
+    return align_conversations(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", CHAT, id_chunk("turn", 1024), mode="drop")
+
+
+@query("PRE-02:turns", SQL["PRE-02"])
+def sft_from_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Budgets from token counts per message; only messages that get a place are put together."""
+    out = E.encode_turns(_message_rows(spark, sf), "conv_id", _encoding(spark, sf, "chatml")[1], CUTOFF)
+    return _joined(out.withColumn("n", F.size("input_ids").cast("long")), ["conv_id", "n"], ["input_ids", "labels"])
+
+
+@query("PRE-04:turns", SQL["PRE-04"])
+def prompts_from_turns(spark: SparkSession, sf: str) -> DataFrame:
+    out = E.encode_turns(_message_rows(spark, sf), "conv_id", _encoding(spark, sf, "chatml")[1], CUTOFF, stage="ppo")
+    return _joined(out, ["conv_id"], ["input_ids", "labels"])
+
+
 PAIR_CUTOFF = 9
 
 
@@ -479,6 +497,19 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("conv_id", F.size("input").alias("n"), F.md5(F.array_join("input", " ")).alias("h"))
 
 
+@query("PRE-14:turns", SQL["PRE-14"])
+def history_from_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from turn rows, summed from the newest turn back."""
+    turns = table(spark, sf, "conversations")
+    leads = F.struct((F.col("role") == "system").alias("is_system"), F.when(F.col("role") == "system", F.col("text")).otherwise("").alias("system"))
+    heads = turns.groupBy("conv_id").agg(F.min_by(leads, "turn").alias("h"))
+    rows = positions(turns, ["conv_id"], ["turn"], id_chunk("turn", 1024), "at").join(heads, "conv_id")
+    idx = (F.col("at") - F.col("h.is_system").cast("int")).cast("int")
+    messages = rows.select("conv_id", idx.alias("idx"), "role", F.col("text").alias("content"), F.col("h.system").alias("system")).where("idx >= 0")
+    out = E.trim_turns(messages, "conv_id", "system", HISTORY, "whitespace", "<user>", "<assistant>", "input")
+    return out.select("conv_id", F.size("input").alias("n"), F.md5(F.array_join("input", " ")).alias("h"))
+
+
 @query(
     "PRE-15",
     f"""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from corpusflow.functions.templates import get_template
+from corpusflow.functions.templates import Template, get_template
 from corpusflow.operators import examples as E
 from corpusflow.operators import mixing as M
 from corpusflow.operators.ordering import id_chunk
@@ -216,3 +216,59 @@ def test_calibration(spark):
 def test_limit_per_dataset(spark):
     out = M.limit_per_dataset(ds(spark, 3, 50, 0, 7), "d", "id", 5, id_chunk("id", 4))
     assert sorted(r["id"] for r in out.collect()) == [0, 1, 2] + list(range(100, 105)) + list(range(300, 305))
+
+
+def message_rows(spark, chats):
+    rows = [(c, i, "user" if i % 2 == 0 else "assistant", t, f"sys {c % 3}" if c % 2 else "") for c, texts in chats.items() for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "conv long, idx int, role string, content string, system string").repartition(7)
+
+
+def whole_rows(messages):
+    """The small path: every conversation in one record."""
+    return E._one_row(messages, "conv", False)
+
+
+@pytest.mark.parametrize("cutoff,reserved,template", [(12, 1, "chatml"), (40, 5, "chatml"), (9, 3, "falcon"), (3, 3, "plain")])
+def test_turns_encode_as_whole_conversations(spark, cutoff, reserved, template):
+    if template == "plain":  # renders nothing around the texts, so messages may have no tokens at all
+        template = Template("bare", assistant=("{{content}}",))
+    rng = random.Random(cutoff)
+    words = lambda: " ".join(rng.choices("abcdefgh", k=rng.choice([0, 0, 1, 2, 5, 30])))
+    chats = {c: [words() for _ in range(2 * rng.randrange(1, 9))] for c in range(80)}
+    messages = message_rows(spark, chats)
+    enc = E.make_encoding(whole_rows(messages), template, 500, has_tools=False)
+    for stage, encode in (("sft", E.encode_sft), ("ppo", E.encode_prompt_only)):
+        want = encode(whole_rows(messages), enc, ["conv"], cutoff, reserved)
+        got = E.encode_turns(messages, "conv", enc, cutoff, reserved, stage)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_conversation_of_many_turns(spark):
+    many = spark.range(200_000).select(
+        F.lit(1).cast("long").alias("conv"), F.col("id").cast("int").alias("idx"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn "), F.col("id")).alias("content"), F.lit("").alias("system"),
+    )
+    few = many.where("idx < 100")
+    enc = E.make_encoding(whole_rows(few), "chatml", 500, has_tools=False)
+    kept = E.fitting_turns(many, "conv", enc, 64).first()
+    assert len(kept["prompt"]) + 1 < 40
+    assert E.encode_turns(many, "conv", enc, 64).first() == E.encode_sft(whole_rows(few), enc, ["conv"], 64).first()
+    assert E.newest_turns(many, "conv", "system", 50, "whitespace").count() < 40
+    got = E.trim_turns(many, "conv", "system", 50, "whitespace", "<user>", "<assistant>", "out").first()["out"]
+    assert got[-3:] == ["<assistant>", "turn", "199999"] and len(got) <= 50 and got[0] == "<user>"
+
+
+@pytest.mark.parametrize("limit", [1, 6, 25, 1000])
+def test_turns_trim_as_whole_conversations(spark, limit):
+    rng = random.Random(limit)
+    roles = lambda n: [rng.choice(["user", "user", "assistant", "tool"]) for _ in range(n)]
+    rows = [
+        (c, i, r, " ".join(rng.choices("abc", k=rng.choice([0, 1, 4, 9]))), ["", "sys of it"][c % 2]) for c in range(60) for i, r in enumerate(roles(rng.randrange(1, 14)))
+    ]
+    messages = spark.createDataFrame(rows, "conv long, idx int, role string, content string, system string").repartition(5)
+    items = F.array_sort(F.collect_list(F.struct("idx", "role", "content")))
+    whole = messages.groupBy("conv").agg(F.transform(items, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("m"), F.first("system").alias("s"))
+    args = (limit, "whitespace", "<u>", "<a>", "out")
+    want = E.trim_history(whole, "m", "s", *args).select("conv", "out")
+    got = E.trim_turns(messages, "conv", "system", *args)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
