@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.session import broadcast_if_small, written
 
@@ -84,17 +85,39 @@ def unit_hash(seed: int, *cols: str | Column) -> Column:
     return F.conv(F.substring(hex_hash(seed, *cols), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+# Chunks that one task adds up where a whole table is one order.
+CHUNKS_PER_TASK = 4_096
+
+
+def _before(sums: DataFrame, by: Sequence[str], outs: dict[str, str], whole: dict[str, str] | None = None) -> DataFrame:
+    """``sums``, one row per (group, chunk), with sums over the group's chunks before it (output name -> input column).
+
+    They are NULL in the first chunk.  ``whole`` names sums over all of the group's chunks.  Groups are summed each in one task.  Without groups, runs of consecutive chunks are:
+    only the totals of runs meet in one task, a few thousandths of the chunks.
+    """
+
+    whole = whole or {}
+
+    def along(df: DataFrame, group: Sequence, order: str, values: dict[str, str], all_: dict[str, str]) -> DataFrame:
+        group = Window.partitionBy(*group)
+        w = group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.sum(v).over(w).alias(o) for o, v in values.items()], *[F.sum(v).over(group).alias(o) for o, v in all_.items()])
+
+    if by or not isinstance(sums.schema["_chunk"].dataType, T.IntegralType):
+        return along(sums, list(by) or [F.lit(0)], "_chunk", outs, whole)
+    runs = sums.withColumn("_run", whole_div(F.col("_chunk"), CHUNKS_PER_TASK))
+    totals = runs.groupBy("_run").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in (outs | whole).items()])
+    totals = along(totals, [F.lit(0)], "_run", {f"_r_{o}": f"_t_{o}" for o in outs}, {o: f"_t_{o}" for o in whole})
+    totals = totals.select("_run", *[f"_r_{o}" for o in outs], *whole)
+    inside = along(runs, ["_run"], "_chunk", {f"_i_{o}": v for o, v in outs.items()}, {}).join(totals, "_run")
+    both = lambda o: F.when(F.coalesce(f"_i_{o}", f"_r_{o}").isNotNull(), F.coalesce(f"_i_{o}", F.lit(0)) + F.coalesce(f"_r_{o}", F.lit(0)))
+    return inside.select(*sums.columns, *[both(o).alias(o) for o in outs], *whole)
+
+
 def _offsets(counts: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """One row per (group, chunk): total of the chunks before it, its own total and the group's."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *by,
-        "_chunk",
-        F.coalesce(F.sum(value).over(before), F.lit(0)).alias("_base"),
-        F.col(value).alias("_rows"),
-        F.sum(value).over(group).alias("_total"),
-    )
+    based = _before(counts, by, {"_b": value}, {"_total": value})
+    return based.select(*by, "_chunk", F.coalesce("_b", F.lit(0)).alias("_base"), F.col(value).alias("_rows"), "_total")
 
 
 def positions(
@@ -149,9 +172,7 @@ def running_totals(
     by = list(by)
     tagged = df.withColumn("_chunk", chunk)
     sums = tagged.groupBy(*by, "_chunk").agg(*[F.sum(v).alias(f"_s_{o}") for o, v in values.items()])
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*by, "_chunk", *[F.sum(f"_s_{o}").over(before).alias(f"_b_{o}") for o in values])
+    bases = _before(sums, by, {f"_b_{o}": f"_s_{o}" for o in values}).select(*by, "_chunk", *[f"_b_{o}" for o in values])
     bases = bases.where(F.coalesce(*[F.col(f"_b_{o}") for o in values]).isNotNull())  # first chunks start from nothing
     if mostly_short:
         bases = broadcast_if_small(written(bases, "bases"))

@@ -96,3 +96,16 @@ def test_exact_median_of_a_group_larger_than_the_sketch(spark):
 def test_unit_hash_is_uniform(spark):
     stats = spark.range(20_000).select(O.unit_hash(1, "id").alias("u")).agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= stats[0] < 0.01 and 0.99 < stats[1] < 1 and abs(stats[2] - 0.5) < 0.01
+
+
+@pytest.mark.parametrize("per_task", [1, 3, 4096])
+def test_sums_over_runs_of_chunks(spark, per_task, monkeypatch):
+    monkeypatch.setattr(O, "CHUNKS_PER_TASK", per_task)
+    rows = [(i * i % 997 - 300, i % 5) for i in range(400)]
+    rows = sorted({k: v for k, v in rows}.items())  # also negative chunks, and chunks without rows
+    df = spark.createDataFrame(rows, "id long, v int").repartition(6)
+    placed = O.positions(df, [], ["id"], F.floor(F.col("id") / 7).cast("long"), total="n").orderBy("id").collect()
+    assert [(r["id"], r["pos"], r["n"]) for r in placed] == [(k, i, len(rows)) for i, (k, _) in enumerate(rows)]
+    summed = O.running_total(df, "v", [], ["id"], F.floor(F.col("id") / 7).cast("long"), "s", exclusive=True).orderBy("id").collect()
+    assert [r["s"] for r in summed] == [sum(v for _, v in rows[:i]) for i in range(len(rows))]
+    assert O.first_rows(df, ["id"], 33, F.floor(F.col("id") / 7).cast("long")).count() == 33
