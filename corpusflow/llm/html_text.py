@@ -20,7 +20,7 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("html body main article section div center table tbody td".split())
 # Elements whose text is never part of the article.
 SKIPPED = frozenset(
-    "head title script style noscript template iframe object svg math canvas audio video select option button textarea label form "
+    "head title script style noscript template iframe object svg canvas audio video select option button textarea label form "
     "nav aside footer menu dialog".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -36,6 +36,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Opening one of these ends an open paragraph.
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr", "legend", "summary"}
 HEADINGS_AND_PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+# Elements that page builders put boilerplate into; inside an article, others must be named nothing else.
+PARTS = frozenset("div section ul ol table td center ins figure header details fieldset".split())
 SMOOTHING = 1.0
 
 
@@ -49,6 +51,8 @@ def is_boilerplate(tag: str, attrs: dict[str, str | None], inside_article: bool)
     if tag in ("html", "body", "main"):
         return False
     words = {w.lower() for w in _WORDS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+    if inside_article and tag not in PARTS:  # a paragraph about search is no search form
+        return bool(words) and words <= NAMED
     if words & WRAPPERS and not words & {"comment", "comments", "related", "footer", "sidebar", "nav", "menu"}:
         return False
     return bool(words & NAMED) or ("header" in words and not inside_article)
@@ -60,7 +64,8 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parents, self.kinds = [-1], ["root"]  # containers
-        self.open: list[tuple[str, bool, int, bool, str]] = [("root", False, 0, False, "root")]  # tag, boilerplate, container, in an article, block
+        # tag, boilerplate, container, in an article, block, in a link
+        self.open: list[tuple[str, bool, int, bool, str, bool]] = [("root", False, 0, False, "root", False)]
         self.lines: list[tuple[str, int, int, bool, float, str]] = []  # text, tags, container, boilerplate, share of link text, block
         self.parts: list[str] = []
         self.tags = self.links = 0
@@ -68,7 +73,7 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, bad, container, _, block = self.open[-1]
+            _, bad, container, _, block, _ = self.open[-1]
             self.lines.append((text, self.tags, container, bad, min(1.0, self.links / len(text)), block))
             self.tags = 0
         self.parts, self.links = [], 0
@@ -82,7 +87,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in ENDS_PARAGRAPH or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             self.close_implied(tag)
-        _, bad, container, in_article, block = self.open[-1]
+        _, bad, container, in_article, block, in_link = self.open[-1]
         own_bad = bad or is_boilerplate(tag, dict(attrs), in_article)
         if tag in BLOCKS or own_bad != bad:
             self.flush()
@@ -94,7 +99,7 @@ class Lines(HTMLParser):
             self.parents.append(container)
             self.kinds.append(tag)
             container = len(self.kinds) - 1
-        self.open.append((tag, own_bad, container, in_article or tag in ("article", "main"), tag if tag in BLOCKS else block))
+        self.open.append((tag, own_bad, container, in_article or tag in ("article", "main"), tag if tag in BLOCKS else block, in_link or tag == "a"))
 
     def close_implied(self, tag: str) -> None:
         """Ends that HTML leaves out: of a paragraph before a block, of an item or cell before the next."""
@@ -126,7 +131,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
-        if any(tag == "a" for tag, *_ in self.open[-4:]):
+        if self.open[-1][5]:
             self.links += len(data.strip())
 
 
@@ -152,9 +157,10 @@ def content_region(parents: list[int], kinds: list[str], mass: np.ndarray) -> tu
 def main_blocks(html: str) -> list[str]:
     """Blocks of the main text in page order.
 
-    Lines are runs of text between block tags.  Their text-to-tag ratios are smoothed; lines above one standard deviation
-    are content, and the container around them all is the region; headings and paragraphs next to it in the containers around
-    it belong to it.  Of the region everything is kept but boilerplate elements and lists of links.
+    Lines are runs of text between block tags.  Their text-to-tag ratios are smoothed; lines above one standard deviation,
+    by their own ratio too, are content, and the container around them all is the region; headings and paragraphs next to it in the containers around
+    it belong to it.  Of the region everything is kept but boilerplate elements and, where no article
+    element says what the article is, lists of links at its ends.
     """
     page = Lines()
     page.feed(html)
@@ -163,8 +169,11 @@ def main_blocks(html: str) -> list[str]:
     good = [(text, container, links, block) for text, _, container, bad, links, block in page.lines if not bad]
     if not good:
         return []
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in page.lines], float))
-    content = ratios[[not bad for _, _, _, bad, *_ in page.lines]] >= min(ratios.std(), ratios.mean())
+    raw = np.array([len(text) / max(1, tags) for text, tags, *_ in page.lines], float)
+    ratios = smoothed(raw)
+    least = min(ratios.std(), ratios.mean())
+    # smoothing takes out lines that stand alone; it must not take in the neighbours of the article
+    content = ((ratios >= least) & (raw >= least))[[not bad for _, _, _, bad, *_ in page.lines]]
     mass = np.zeros(len(page.parents))
     for (text, container, links, _), counts in zip(good, content, strict=True):
         if counts and links < 0.5:
@@ -189,10 +198,14 @@ def main_blocks(html: str) -> list[str]:
                 if container not in around or block not in HEADINGS_AND_PARAGRAPHS or links >= 0.5:
                     break
                 within[i] = True
-    kept = [(text, links) for (text, _, links, _), x in zip(good, within, strict=True) if x]
-    link_only = [links >= 0.9 for _, links in kept]
+    kept = [(text, links, counts) for (text, _, links, _), x, counts in zip(good, within, content, strict=True) if x]
+    if named:
+        return [text for text, *_ in kept]
+    # without an article element, lists of links before and behind the content lines are menus
+    link_only = [links >= 0.9 for _, links, _ in kept]
     menu = [x and ((i > 0 and link_only[i - 1]) or (i + 1 < len(kept) and link_only[i + 1])) for i, x in enumerate(link_only)]
-    return [text for (text, _), drop in zip(kept, menu, strict=True) if not drop]
+    solid = [i for i, (_, links, counts) in enumerate(kept) if counts and links < 0.5] or [0, len(kept) - 1]
+    return [text for i, ((text, *_), drop) in enumerate(zip(kept, menu, strict=True)) if not drop or solid[0] < i < solid[-1]]
 
 
 def extracted(pages: DataFrame) -> DataFrame:

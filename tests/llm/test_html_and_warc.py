@@ -24,6 +24,42 @@ def test_article_only():
     assert html_text.main_blocks("<article><header><h1>T</h1></header><p>x</article><aside>y</aside>") == ["T", "x"]
 
 
+@pytest.mark.parametrize("part,text", [
+    ('<h2>Sources</h2><ul><li><a href="/1">First source</a></li><li><a href="/2">Second source</a></li></ul>', ["Sources", "First source", "Second source"]),
+    ("<p>It holds that <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p>", ["It holds that x=1 here."]),
+    ('<p class="search-tips">How to search.</p><h2 id="related-work">Related work</h2>', ["How to search.", "Related work"]),
+    ('<div class="share">Tweet</div><p class="ad">Buy</p><ul class="social-menu"><li>x</li></ul>', []),
+    ("<p><a href=x><b><i><u><em><span>deep link</span></em></u></i></b></a></p>", ["deep link"]),
+])
+def test_parts_of_an_article(part, text):
+    long = "A paragraph of the article that is long enough to be its main part, with many words."
+    assert html_text.main_blocks(f"<nav>n</nav><article><p>{long}</p>{part}<p>{long}</p></article><footer>f</footer>") == [long, *text, long]
+
+
+def test_deep_links_are_link_text():
+    menu = "".join(f"<li><b><i><u><em><a href={i}><span><b><i><u><em>entry {i}</em></u></i></b></span></a></em></u></i></b></li>" for i in range(9))
+    long = "<p>" + "A paragraph with many words and no link at all. " * 5 + "</p>"
+    blocks = html_text.main_blocks(f"<body><ul>{menu}</ul>{long * 3}</body>")
+    assert len(blocks) == 3 and not any("entry" in b for b in blocks)
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    """Two containers without names: the one whose lines have much text per tag is the article."""
+    import numpy as np
+
+    teasers = "<div>" + "".join(f"<div><b><i><u><span>teaser {i}</span></u></i></b></div>" for i in range(12)) + "</div>"
+    article = "<div>" + "".join(f"<p>Paragraph {i} of an article, with a good many words in one line of text. And more.</p>" for i in range(4)) + "</div>"
+    blocks = html_text.main_blocks(f"<body>{teasers}{article}{teasers}</body>")
+    assert len(blocks) == 4 and all(b.startswith("Paragraph") for b in blocks)
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert len(html_text.main_blocks(f"<body>{teasers}{article}{teasers}</body>")) == 28
+
+
+def test_empty_table_of_pages(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extracted(pages).count() == 0
+
+
 @pytest.mark.parametrize("html,blocks", [("", []), ("plain", ["plain"]), ("<p>a<p>b < c & d</x>", ["a", "b < c & d"]), ("<script>x", []), ("<div>" * 3000 + "deep", ["deep"]), ("<", ["<"])])
 def test_odd_markup(html, blocks):
     assert html_text.main_blocks(html) == blocks
