@@ -38,18 +38,19 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), and one row of it."""
-    found = written(near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "near")
-    gone = written(found.where("NOT kept").select("doc_id").distinct(), "gone")
-    rows = docs.join(broadcast_if_small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    again = written(again, "again")
-    if again.limit(1).count() == 0:
-        return rows
-    side = broadcast_if_small(again, 1_000_000)
-    return rows.join(side, "doc_id", "left_anti").select(*docs.columns).union(
-        rows.join(side, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    )
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), and one row of it.
+
+    Documents go by doc_id.  If rows share one or have none, every row gets a number of its own instead: different texts
+    are different documents whatever their ids, and of repeated rows with words one stays.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, key, text = docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    if rows.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
+        rows, key = written(rows.withColumn("number", F.monotonically_increasing_id()), "numbered"), "number"
+    found = near_duplicates(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), shingle=5, percent=80)
+    gone = written(found.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    kept = rows.join(broadcast_if_small(gone, 1_000_000), F.col(key) == F.col("gone"), "left_anti")
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
