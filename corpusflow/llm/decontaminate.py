@@ -52,6 +52,21 @@ def winnowed(words: np.ndarray, counts: np.ndarray, span: int, gram: int) -> tup
     return picked, hashes[picked]
 
 
+def runs(positions: np.ndarray, hashes: np.ndarray, owners: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First index, length and step of runs of equal hashes at equal steps of at most ``gram`` words inside one text.
+
+    All words of a run's stretch are then known from its grams: a text that says the same over and over is few runs.
+    """
+    if not len(positions):
+        return (np.zeros(0, np.int64),) * 3
+    step = np.diff(positions)
+    joins = (hashes[1:] == hashes[:-1]) & (owners[1:] == owners[:-1]) & (step > 0) & (step <= gram)
+    joins[1:] &= ~joins[:-1] | (step[1:] == step[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~joins]))
+    length = np.diff(np.append(first, len(positions)))
+    return first, length, np.where(length > 1, np.append(step, 0)[first], 0)
+
+
 class ItemIndex:
     """Fingerprints of the items of at least ``span`` words, and whole hashes of the shorter ones."""
 
@@ -59,9 +74,10 @@ class ItemIndex:
         self.ids, self.span, self.gram = ids, span, gram
         self.words, self.counts = hashed_words(pa.array(texts, pa.string()))
         positions, hashes = winnowed(self.words, self.counts, span, gram)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.positions = hashes[order], positions[order]
+        order = np.argsort(hashes, kind="stable")  # by position among equal ones
         self.owner = np.repeat(np.arange(len(ids)), np.diff(self.counts))
+        first, self.lengths, self.steps = runs(positions[order], hashes[order], self.owner[positions[order]], gram)
+        self.hashes, self.positions = hashes[order][first], positions[order][first]
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for i, (a, b) in enumerate(zip(self.counts[:-1], self.counts[1:], strict=True)):
             if 0 < b - a < span:
@@ -78,19 +94,28 @@ class ItemIndex:
             for p in np.flatnonzero(np.isin(hashes, keys) & (space[: len(hashes)] >= n)).tolist():
                 found += [(item, p, p + n) for item in wanted[int(hashes[p])]]
         picked, hashes = winnowed(words, counts, self.span, self.gram)
-        lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        docs = np.searchsorted(counts, picked, "right") - 1
+        first, lengths, steps = runs(picked, hashes, docs, self.gram)
+        lo, hi = np.searchsorted(self.hashes, hashes[first], "left"), np.searchsorted(self.hashes, hashes[first], "right")
         known = hi > lo
         reached: dict[tuple[int, int], int] = {}  # per item and shift, the word behind the last passage
-        starts = np.searchsorted(counts, picked, "right") - 1
-        for p, doc, a, b in zip(picked[known].tolist(), starts[known].tolist(), lo[known].tolist(), hi[known].tolist(), strict=True):
-            for q in self.positions[a:b].tolist():
-                item = int(self.owner[q])
-                if reached.get((item, p - q), -1) > p:
-                    continue
-                first, last = self._extended(words, int(counts[doc]), int(counts[doc + 1]), item, p, q)
-                reached[item, p - q] = last
-                if last - first >= self.span:
-                    found.append((item, first, last))
+        columns = (picked[first], docs[first], lengths, steps, lo, hi)
+        for p0, doc, n, step, a, b in zip(*[c[known].tolist() for c in columns], strict=True):
+            begin, end = int(counts[doc]), int(counts[doc + 1])
+            for r in range(a, b):
+                q0, m, by = int(self.positions[r]), int(self.lengths[r]), int(self.steps[r])
+                item = int(self.owner[q0])
+                if n > 1 and m > 1 and step != by:
+                    pairs = [(p0 + i * step, q0 + j * by) for i in range(n) for j in range(m)]
+                else:  # one pair for each shift of the runs against each other
+                    pairs = [(p0, q0 + j * by) for j in range(m - 1, 0, -1)] + [(p0 + i * step, q0) for i in range(n)]
+                for p, q in pairs:
+                    if reached.get((item, p - q), -1) > p:
+                        continue
+                    from_, last = self._extended(words, begin, end, item, p, q)
+                    reached[item, p - q] = last
+                    if last - from_ >= self.span:
+                        found.append((item, from_, last))
         return found
 
     def _extended(self, words: np.ndarray, begin: int, end: int, item: int, p: int, q: int) -> tuple[int, int]:

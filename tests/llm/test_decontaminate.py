@@ -1,6 +1,8 @@
 import random
+import time
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +52,27 @@ def test_clean_rows_stay_unchanged(spark):
     kept = D.without_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
     assert D.without_contaminated(docs, items.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("period", [1, 2, 3, 5, 6, 7, 9, 14])
+def test_repeated_words_equal_brute_force(period):
+    rng = random.Random(period)
+    base = [f"w{i}" for i in range(period)]
+    said = lambda n: [base[(i + rng.randrange(2) * (rng.random() < 0.01)) % period] for i in range(n)]
+    for _ in range(12):
+        item = said(rng.randrange(13, 60)) + ["x"] * rng.randrange(2) + said(rng.randrange(0, 40))
+        text = ["y"] * rng.randrange(3) + said(rng.randrange(5, 80)) + ["x"] * rng.randrange(2) + said(rng.randrange(0, 60))
+        index = D.ItemIndex([1], [" ".join(item)], 13, D.GRAM)
+        words, counts = D.hashed_words(pa.array([" ".join(text)]))
+        got = {w for _, a, b in index.hits(words, counts) for w in range(a, b)}
+        windows = {tuple(item[i : i + 13]) for i in range(len(item) - 12)}
+        assert got == {w for i in range(len(text) - 12) if tuple(text[i : i + 13]) in windows for w in range(i, i + 13)}
+
+
+@pytest.mark.parametrize("said", ["again ", "once more "])
+def test_the_same_over_and_over_takes_no_square_of_it(said):
+    index = D.ItemIndex([1], [said * 10_000], 13, D.GRAM)
+    words, counts = D.hashed_words(pa.array([said * 10_000]))
+    started = time.process_time()
+    got = index.hits(words, counts)
+    assert time.process_time() - started < 4 and min(a for _, a, _ in got) == 0 and max(b for _, _, b in got) == len(words)
