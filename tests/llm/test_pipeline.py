@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
 def test_query_has_a_row_for_each_input(spark, name):
     rows = QUERIES[name](spark, SF)
-    table = {"op3": "pages", "op6": "conversations"}.get(name.split("_")[0], "documents")
+    table = {"op3": "pages", "op6": "conversations", "op12": "embeddings"}.get(name.split("_")[0], "documents")
     source = spark.read.parquet(f"{SF}/{table}.parquet")
     expected = source.select("conv_id").distinct().count() + 1 if table == "conversations" else source.count()
     assert rows.count() == expected
@@ -61,3 +61,20 @@ def test_short_own_lines_between_repeated_ones_stay(spark):
     rows = [(1, "\n".join(shared)), (2, f"{shared[0]}\n{poem}\n{shared[1]}"), (3, f"{shared[1]}\n \n\t"), (4, " \n"), (5, None)]
     out = corpus_pipeline.lines_once(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: poem, 4: " \n", 5: None}
+
+
+def test_different_texts_of_one_id_are_different_documents(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(50))
+    rows = [(1, text("a")), (1, text("b")), (1, text("b")), (2, text("a") + " more"), (None, text("c")), (None, text("c")), (None, text("d")), (3, ""), (3, None)]
+    out = corpus_pipeline.one_per_group(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "")
+    assert out.columns == ["doc_id", "text"]
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert got == sorted([(1, text("a")), (1, text("b")), (None, text("c")), (None, text("d")), (3, ""), (3, None)], key=str)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    kinds = {"documents": "doc_id long, text string, lang string, n_chars long", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "n_chars", "tokens"] and out.count() == 0
