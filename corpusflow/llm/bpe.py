@@ -161,15 +161,21 @@ def encoded_column(column: pa.Array, bpe: WordBpe) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.int32)))
 
 
-def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows of ``docs`` as :func:`annotate` gives them, with ``tokens``: the ids of the whole text (null: empty)."""
+def encoded(docs: DataFrame, tokenizer: str, back: bool = False) -> DataFrame:
+    """Rows of ``docs`` as :func:`annotate` gives them, with ``tokens``: the ids of the whole text (null: empty).
+
+    With ``back`` there is also ``decoded``: what the ids decode to.  Repeated rows count each; an empty table gives an empty
+    result; columns may have any names.
+    """
     shared, digest = docs.sparkSession.sparkContext.broadcast(tokenizer), sha256(tokenizer.encode()).hexdigest()
 
     def encode(column: pa.Array) -> list[pa.Array]:
         # the encoder and the words it remembers serve all tasks of a worker
-        return [encoded_column(column, kept_by_worker("bpe", digest, lambda: WordBpe(shared.value)))]
+        ids = encoded_column(column, kept_by_worker("bpe", digest, lambda: WordBpe(shared.value)))
+        return [ids, kept_by_worker("names", digest, lambda: decoder(shared.value))(ids)] if back else [ids]
 
-    return annotate(docs, "text", encode, {"tokens": T.ArrayType(T.IntegerType())}, most=1_000_000)
+    added = {"tokens": T.ArrayType(T.IntegerType())} | ({"decoded": T.StringType()} if back else {})
+    return annotate(docs, "text", encode, added)
 
 
 def decoder(tokenizer: str) -> Callable[[pa.Array], pa.Array]:

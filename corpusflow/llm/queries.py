@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm import oracles
-from corpusflow.llm.bpe import decoder, definition, encoded
+from corpusflow.llm.bpe import definition, encoded
 from corpusflow.llm.centroids import centroid_digest, clustered
 from corpusflow.llm.chat import ChatTemplate, format_conversations, read_turns, unescape
 from corpusflow.llm.decontaminate import contaminated
@@ -24,7 +24,7 @@ from corpusflow.llm.near_dedup import near_duplicates
 from corpusflow.llm.neighbours import with_next
 from corpusflow.llm.ppm import scores
 from corpusflow.llm.quality import AttentionModel, fit, scored
-from corpusflow.llm.tables import annotate, kept_by_worker, table
+from corpusflow.llm.tables import annotate, table
 from corpusflow.llm.token_files import read_tokens, write_tokens
 from corpusflow.llm.warc import capture_history
 from corpusflow.session import scratch_path
@@ -146,17 +146,10 @@ def bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text that they decode to, as digests."""
     tokenizer = definition(tokenizer_path())
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encoded(docs, tokenizer).select(F.col("c0").alias("doc_id"), "tokens")
-    shared, digest = spark.sparkContext.broadcast(tokenizer), hashlib.sha256(tokenizer.encode()).hexdigest()
-
-    def texts(column: pa.Array) -> list[pa.Array]:
-        return [kept_by_worker("names", digest, lambda: decoder(shared.value))(column)]
-
-    back = annotate(coded, "tokens", texts, {"decoded": T.StringType()})
-    return back.select(
+    return encoded(docs, tokenizer, back=True).select(
         F.col("c0").alias("doc_id"),
-        F.size("c1").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("c1").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("tokens").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 

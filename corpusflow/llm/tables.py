@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Iterable, Iterator
-from types import ModuleType
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.session import broadcast_if_small, written
+from corpusflow.session import broadcast_if_small, kept_by_worker, written
 
 # Keys of at most this many rows (16 MB of longs) may be broadcast, after a count; beyond it the join is shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -50,17 +47,6 @@ def annotate(docs: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Arra
     return plain.mapInArrow(per_batch, T.StructType([*plain.schema.fields, *[T.StructField(n, t) for n, t in added.items()]]))
 
 
-def kept_by_worker(kind: str, name: str, make: Callable[[], Any]) -> Any:
-    """A value that a Python worker keeps from task to task and from query to query: the last one of each kind.
-
-    A module of the process holds it, as functions that travel by value have globals of their own in every task.
-    """
-    held = vars(sys.modules.setdefault("corpusflow_worker_state", ModuleType("corpusflow_worker_state")))
-    if kind not in held or held[kind][0] != name:
-        held[kind] = (name, make())
-    return held[kind][1]
-
-
 def original(annotated: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
     """The rows of ``annotated`` under the names they have in ``docs``, with added columns ``more`` behind them."""
     return annotated.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)], *more)

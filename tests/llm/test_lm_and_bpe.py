@@ -26,6 +26,11 @@ def test_ids_and_texts_equal_the_library(spark):
     got = {r["c0"]: r["tokens"] for r in bpe.encoded(docs, definition).collect()}
     want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert got == want
+    for few in (docs.limit(0), docs.union(docs).select("doc_id", "text", F.lit("x").alias("tokens"))):
+        both = bpe.encoded(few, definition, back=True)
+        assert [(r["c0"], r["decoded"]) for r in both.select("c0", "decoded").collect()] == [
+            (r["doc_id"], library.decode(want[r["doc_id"]], skip_special_tokens=False)) for r in few.select("doc_id").collect()
+        ]
     back = bpe.decoder(definition)(pa.array(list(want.values()), pa.list_(pa.int32()))).to_pylist()
     assert back == [library.decode(ids, skip_special_tokens=False) for ids in want.values()]
 
