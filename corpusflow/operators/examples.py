@@ -327,7 +327,9 @@ def build_examples(
     chunk: Column | None = None,
     batch_rows: int = 1000,
 ) -> DataFrame:
-    """PRE-11: the encoder of a training stage (pt, sft, rm, ppo)."""
+    """PRE-11: the encoder of a training stage (pt, sft, rm, ppo); ``cutoff`` is the block's length where examples are packed."""
+    if cutoff is None and (stage == "pt" or sft_packing):
+        raise ValueError("packed blocks need a length")
     if cutoff is not None and reserved >= cutoff:
         raise ValueError("reserved label length must be smaller than the cutoff")
     if stage == "pt":

@@ -19,7 +19,7 @@ from corpusflow.operators.ordering import (
     whole_div,
 )
 
-WRAP_BLOCK, WRAP_SALTS = 65_536, 64
+WRAP_BLOCK = 65_536
 
 
 def limit_per_dataset(df: DataFrame, dataset: str, order: str, n: int, chunk: Column) -> DataFrame:
@@ -131,8 +131,9 @@ def interleave_probs(
             break
         n_slots *= 2
     # Without ``over`` a dataset not exhausted inside the slots ends later than the stop found, so the minimum is exact.
-    # Rows of a dataset that starts again many times are copied under a few salts, or all its slots would meet one key.
-    copies = [max(1, min(WRAP_SALTS, int(n_slots * p / total / n))) if over else 1 for n, p in zip(lengths, probs)]
+    # Rows of a dataset that starts again many times are copied, one copy for about WRAP_BLOCK slots, or all its slots would
+    # meet one key.
+    copies = [max(1, -(-int(n_slots * p / total / n) // WRAP_BLOCK)) if over else 1 for n, p in zip(lengths, probs)]
     salts = F.element_at(F.array(*[F.lit(c) for c in copies]), (F.col("source") + 1).cast("int"))
     used = drawn.where(F.col("slot") <= ends["stop"]).select(
         "slot", "source", (F.col("_k") % length_of).alias("_rn"), (F.floor(F.col("_k") / length_of) % salts).cast("int").alias("_salt")

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.functions.templates import get_template
 from corpusflow.functions.tokenizers import (
     build_vocab,
     characters,
@@ -20,7 +21,7 @@ from corpusflow.functions.tokenizers import (
 from corpusflow.operators import examples as E
 from corpusflow.operators import mixing as M
 from corpusflow.operators.prepare import prepare
-from corpusflow.operators.align import align_alpaca, align_conversations
+from corpusflow.operators.align import align_alpaca, align_conversations, message
 from corpusflow.operators.ordering import id_chunk, positions, running_total
 from corpusflow.plans.catalog import CHAT, CHAT_SQL, SQL, aligned_chats, documents, query, ranking_rows, table, tokens_sql
 from corpusflow.schema import IGNORE
@@ -432,6 +433,31 @@ def by_stage(spark: SparkSession, sf: str) -> DataFrame:
     return result
 
 
+@query("PRE-11:pt", SQL["PRE-01"])
+def pretraining_stage(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as prompts of the pre-training stage: the blocks of the packing query."""
+    docs = documents(spark, sf).select("doc_id", F.array(message("user", F.col("text"))).alias("prompt"))
+    enc = E.Encoding(get_template("default"), written(doc_vocab(spark, sf), "vocab"), eos_id=1, has_tools=False)
+    packed = E.build_examples(docs, "pt", enc, "doc_id", BLOCK, batch_rows=BATCH_ROWS)
+    return packed.select("batch", "block", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"))
+
+
+@query("PRE-11:rm", SQL["PRE-05"])
+def reward_stage(spark: SparkSession, sf: str) -> DataFrame:
+    from corpusflow.sources.registry import DatasetSpec
+
+    aligned = align_alpaca(ranking_rows(spark, sf), DatasetSpec(name="r", history="history"), ["doc_id"])
+    enc = E.make_encoding(aligned, "falcon", 100_000, has_tools=False)
+    return _joined(E.build_examples(aligned, "rm", enc, "doc_id", PAIR_CUTOFF), ["doc_id"], ["prompt_ids", "chosen_ids", "rejected_ids"])
+
+
+@query("PRE-11:packed", SQL["PRE-03:efficient_eos"])
+def packed_stage(spark: SparkSession, sf: str) -> DataFrame:
+    chat, enc = _encoding(spark, sf, "falcon")
+    packed = E.build_examples(chat, "sft", enc, "conv_id", BLOCK, sft_packing=True, chunk=id_chunk("conv_id"), batch_rows=BATCH_ROWS)
+    return _joined(packed, ["batch", "block"], ["input_ids", "labels"])
+
+
 PAD_ROWS = 16
 
 

@@ -186,6 +186,15 @@ def test_interleave_probs(spark, over):
         assert seen[last] == sizes[last] and all(seen[d] < sizes[d] for d in seen if d != last)
 
 
+def test_one_row_against_many_slots(spark, monkeypatch):
+    """Its slots are met by as many copies of it as they are blocks."""
+    monkeypatch.setattr(M, "WRAP_BLOCK", 40)
+    out = M.interleave_probs(ds(spark, 1, 900), "d", "id", id_chunk("id", 100), [0.6, 0.4], 3, True).orderBy("slot").collect()
+    assert [r["slot"] for r in out] == list(range(len(out)))
+    assert {r["id"] for r in out if r["d"] == 0} == {0} and [r["id"] for r in out if r["d"] == 1] == list(range(100, 1000))
+    assert sum(r["d"] == 0 for r in out) > 1000
+
+
 def test_splits_are_partitions(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     for size, n in ((0.1, 100), (37, 37), (0.0015, 2), (0, 0)):
