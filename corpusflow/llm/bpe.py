@@ -9,7 +9,6 @@ from collections.abc import Callable
 from hashlib import sha256
 from string import ascii_lowercase
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,6 +38,85 @@ def byte_characters() -> list[str]:
     return out
 
 
+class SuffixAutomaton:
+    """All substrings of a set of strings as states; read along a text, it knows which of the strings end at each place.
+
+    A state stands for substrings that end at the same places of the strings; ``size`` is the longest one's length, and
+    ``link`` the state of the longest suffix that ends at more places.  A whole string is the longest of its state, as
+    nothing stands before it.
+    """
+
+    def __init__(self, strings: list[str]) -> None:
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size = [-1], [0]
+        whole: dict[int, int] = {}
+        for n, string in enumerate(strings):
+            state = 0
+            for c in string:
+                state = self._after(state, c)
+            whole[state] = n
+        # (length, number) of all strings that are suffixes of a state's longest substring, longest first
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.size.__getitem__):  # links lead to shorter ones
+            shorter = self.ends[self.link[state]]
+            self.ends[state] = ((self.size[state], whole[state]), *shorter) if state in whole else shorter
+
+    def _copy(self, state: int, size: int) -> int:
+        self.next.append(dict(self.next[state]))
+        self.link.append(self.link[state])
+        self.size.append(size)
+        return len(self.next) - 1
+
+    def _redirect(self, state: int, c: str, old: int, new: int) -> None:
+        while state >= 0 and self.next[state].get(c) == old:
+            self.next[state][c] = new
+            state = self.link[state]
+
+    def _after(self, last: int, c: str) -> int:
+        """The state of the string so far with one more character."""
+        known = self.next[last].get(c)
+        if known is not None and self.size[known] == self.size[last] + 1:
+            return known
+        if known is not None:  # a longer substring shares the state: part them
+            apart = self._copy(known, self.size[last] + 1)
+            self.link[known] = apart
+            self._redirect(last, c, known, apart)
+            return apart
+        new = len(self.next)
+        self.next.append({})
+        self.link.append(0)
+        self.size.append(self.size[last] + 1)
+        state = last
+        while state >= 0 and c not in self.next[state]:
+            self.next[state][c] = new
+            state = self.link[state]
+        if state >= 0:
+            there = self.next[state][c]
+            if self.size[there] > self.size[state] + 1:
+                apart = self._copy(there, self.size[state] + 1)
+                self.link[there] = apart
+                self._redirect(state, c, there, apart)
+                there = apart
+            self.link[new] = there
+        return new
+
+    def matches(self, text: str) -> list[tuple[tuple[int, int], ...]]:
+        """For every prefix of a text, (length, number) of the strings that end it, longest first."""
+        follow, link, size, ends = self.next, self.link, self.size, self.ends
+        state = length = 0
+        out = []
+        for c in text:
+            after = follow[state].get(c)
+            while after is None and state:
+                state = link[state]
+                length = size[state]
+                after = follow[state].get(c)
+            if after is not None:
+                state, length = after, length + 1
+            out.append(ends[state] if length == size[state] else ends[link[state]])
+        return out
+
+
 class WordBpe:
     """Encoder for a tokenizer file with lower-casing, a split into words and a suffix at word ends."""
 
@@ -60,11 +138,8 @@ class WordBpe:
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]"))
         self.bytes = byte_characters()
         self.tokens = list(self.ids)
-        self.matches = ahocorasick.Automaton()  # of all tokens: every token that ends at a place
-        for n, token in enumerate(self.tokens):
-            if self.merged(token) == [token]:  # others never come out of the merges
-                self.matches.add_word(token, (len(token), n))
-        self.matches.make_automaton()
+        self.tokens = [token for token in self.tokens if self.merged(token) == [token]]  # others never come out of the merges
+        self.matches = SuffixAutomaton(self.tokens).matches
         self.fits = Remembered(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), REMEMBERED)
         self.words = Remembered(self.word, REMEMBERED)
         self.pieces = Remembered(self.piece, REMEMBERED)
@@ -95,14 +170,11 @@ class WordBpe:
         # printable ASCII characters stand for themselves
         text = (word if word.isascii() and word.isprintable() else "".join([self.bytes[b] for b in word.encode()])) + _END
         fits, last = self.fits, [-1] * (len(text) + 1)
-        for at, (size, token) in self.matches.iter(text):
-            if last[at + 1] < 0:
-                start = at + 1 - size
-                before = last[start]
-                if start == 0:
-                    last[at + 1] = token
-                elif before >= 0 and fits[before << 32 | token]:
-                    last[at + 1] = token
+        for at, ending in enumerate(self.matches(text), 1):
+            for size, token in ending:
+                if size == at or ((before := last[at - size]) >= 0 and fits[before << 32 | token]):
+                    last[at] = token
+                    break
         out, at = [], len(text)
         while at:
             token = self.tokens[last[at]] if last[at] >= 0 else None

@@ -1,6 +1,7 @@
 import collections
 import functools
 import math
+import random
 import zlib
 
 import brute
@@ -35,6 +36,17 @@ def test_ids_and_texts_equal_the_library(spark):
     assert back == [library.decode(ids, skip_special_tokens=False) for ids in want.values()]
 
 
+def test_suffix_automaton_finds_all_strings():
+    rng = random.Random(4)
+    for _ in range(60):
+        strings = list({"".join(rng.choices("abc", k=rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))})
+        automaton = bpe.SuffixAutomaton(strings)
+        for _ in range(20):
+            text = "".join(rng.choices("abcd", k=rng.randrange(0, 30)))
+            want = [sorted(((len(s), n) for n, s in enumerate(strings) if text[:i].endswith(s)), reverse=True) for i in range(1, len(text) + 1)]
+            assert [list(m) for m in automaton.matches(text)] == want
+
+
 def python_ppm(trains):
     seen = [collections.defaultdict(collections.Counter) for _ in range(ppm.ORDER + 1)]
     for text in trains:
