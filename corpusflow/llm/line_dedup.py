@@ -1,7 +1,7 @@
 """Repeated lines by a segment-partition edit join: equal segments of lines propose, banded bit-parallel distance decides.
 
-Lines may differ by more edits the longer they are, see :func:`edits_of`.  Where the base number holds, segments are built
-per length; longer lines fall into classes of one number t, with t + 1 segments of one size from the start of the line.
+Lines may differ by more edits the longer they are, see :func:`edits_of`.  Lengths fall into classes of one number of edits t;
+the lines of a class have t + 1 segments of one size, the first half counted from the start of the line, the rest from its end.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.llm.graph import Matcher, dealt, forest, linked
-from corpusflow.llm.tables import BROADCAST_KEYS, broadcast_if_small, only_keys, written
+from corpusflow.llm.tables import BROADCAST_KEYS, broadcast_if_small, written
 from corpusflow.llm.texts import mixed, powers, slices
 
 EDITS = 2
@@ -25,6 +25,15 @@ MIN_CHARS = 20
 # the square of its edits, so by the root they grow with its length.
 PER_EDIT = 48
 ROOT = 7
+SPREAD = 8
+# A key that has more than one of so many rows of all frequent keys is dealt over SALTS parts; so there are at most so many.
+HOT = 1_000
+SALTS = 64
+# Texts of one in so many are looked at to find those keys, and fewer rows than LEAST there are never many.
+SAMPLE = 64
+LEAST = 256
+# Lines that a task remembers to have made keys of.
+REMEMBERED = 200_000
 # Keys made at once.
 _PIECE = 200_000
 # Lines that one task compares; more lines of one key are dealt over pairs of such blocks.
@@ -107,14 +116,20 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return True
 
 
-def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Start and size of each of the edits + 1 segments of lines of these lengths, the longer ones last."""
-    short, longer = length // (edits + 1), length % (edits + 1)
-    out, at = [], np.zeros_like(length)
-    for i in range(edits + 1):
-        size = short + (i >= edits + 1 - longer)
-        out.append((at, size))
-        at = at + size
+def classes(longest: int, edits: int) -> list[tuple[int, int, int]]:
+    """(least length, greatest length, edits) of all classes up to a length.
+
+    Where the base number of edits holds, a class spans an eighth of its least length, so that segments stay long; its
+    neighbours' lines within reach probe both.  Beyond, a class is all lengths with one number.
+    """
+    out, low = [], 0
+    while low <= longest:
+        t = edits_of(low, edits)
+        high = shortest(t + 1) - 1
+        if t == edits:
+            high = min(high, low + max(t + 1, low // SPREAD) - 1)
+        out.append((low, high, t))
+        low = high + 1
     return out
 
 
@@ -144,75 +159,89 @@ def keys_of(lines: HashedLines, chosen: np.ndarray, edits: int) -> Iterator[tupl
 
     If two lines differ by at most the edits t of the shorter one, one of its t + 1 segments stands unchanged in the longer.
     """
-    last = shortest(edits + 1) - 1  # of the lengths with the base number of edits
+    if not len(chosen):
+        return
     length = lines.lengths[chosen]
-    yield from keys_by_length(lines, chosen[length <= last + edits], edits, last)
-    longer, length = chosen[length > last], length[length > last]
-    own = np.array([edits_of(n, edits) for n in length.tolist()], np.int64)
-    for t in np.unique(own).tolist():
-        yield from keys_by_class(lines, longer[own == t], t, True)
-        if t - 1 > edits:  # lines of the class below that are shorter by at most its edits
-            yield from keys_by_class(lines, longer[(own == t) & (length < shortest(t) + t - 1)], t - 1, False)
-
-
-def keys_by_class(lines: HashedLines, chosen: np.ndarray, t: int, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys in the class of lengths that allow t edits, whose i-th segment begins at i times its size.
-
-    With at most i edits before a segment and t - i after it, and a line that is not shorter, it moves by i - t to i.
+    every = classes(int(length.max()), edits)
+    at = np.searchsorted([low for low, _, _ in every], length, "right") - 1
+    for c in np.unique(at).tolist():
+        part = chosen[at == c]
+        yield from keys_by_class(lines, part, *every[c])
+        below = c - 1
+        while below >= 0 and every[below][1] + every[below][2] >= every[c][0]:  # a shorter line of it is within reach
+            reach = every[below][1] + every[below][2]
+            yield from keys_by_class(lines, part[lines.lengths[part] <= reach], *every[below])
+            below -= 1
+
+
+def keys_by_class(lines: HashedLines, chosen: np.ndarray, low: int, high: int, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of lines, none shorter than the class, in that class: indexed are unmoved segments of the class's own lines.
+
+    Of t + 1 segments one, the i-th from 0, is unchanged with exactly i edits before it and so at most t - i behind it.
+    Counted from the start of the line it moves by at most i, counted from the end by at most t - i.
     """
-    size = shortest(t) // (t + 1)
-    i = np.repeat(np.arange(t + 1), [i - max(-i, i - t) + 1 for i in range(t + 1)])
-    move = np.concatenate([np.arange(max(-i, i - t), i + 1) for i in range(t + 1)])
-    place, name = i * size + move, mixed(((i + (t << 24)) ^ (1 << 62)).astype(np.uint64))
+    size, i = low // (t + 1), np.arange(t + 1)
+    reach = np.minimum(i, t - i)
+    move = np.concatenate([np.arange(-r, r + 1) for r in reach.tolist()])
+    i = np.repeat(i, 2 * reach + 1)
+    from_end = i > t - i
+    place, name = np.where(from_end, i - t - 1, i) * size + move, mixed((i + (low << 24)).astype(np.uint64))
     step = max(1, _PIECE // len(place))
     for a in range(0, len(chosen), step):
         part = chosen[a : a + step]
-        row, column = np.nonzero(place[None, :] + size <= lines.lengths[part][:, None])
-        start = lines.starts[part][row] + place[column]
+        length = lines.lengths[part][:, None]
+        start = place[None, :] + from_end[None, :] * length
+        row, column = np.nonzero((start >= 0) & (start + size <= length))
+        start = lines.starts[part][row] + start[row, column]
         key = mixed(lines.hashes(start, np.full(len(start), size)) ^ name[column]).view(np.int64)
-        yield key, lines.ids(part)[row] * 2 + (own & (move[column] == 0))
-
-
-def keys_by_length(lines: HashedLines, chosen: np.ndarray, edits: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of lines of up to ``last`` characters, and probes of them by lines that are longer by at most ``edits``.
-
-    A line of length n probes lines of length n - edits to n.  The segment is moved by no more than the edits to its left
-    and right allow.
-    """
-    start, length, ids = lines.starts[chosen], lines.lengths[chosen], lines.ids(chosen)
-    keys, rows = [], []
-
-    def add(at: np.ndarray, size: np.ndarray, of: np.ndarray, i: int, use: np.ndarray, indexed: int) -> None:
-        use = use & (of <= last)
-        name = (of[use] * (edits + 1) + i).astype(np.uint64)
-        keys.append(mixed(lines.hashes((start + at)[use], size[use]) ^ mixed(name)).view(np.int64))
-        rows.append(ids[use] * 2 + indexed)
-
-    for i, (at, size) in enumerate(segments(length, edits)):
-        add(at, size, length, i, np.ones(len(chosen), bool), 1)
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i, (at, size) in enumerate(segments(np.maximum(other, 0), edits)):
-            left, right = i, edits - i
-            for move in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                if shorter == 0 and move == 0:
-                    continue  # its own segment
-                place = at + move
-                add(place, size, other, i, (other > edits) & (place >= 0) & (place + size <= length), 0)
-    yield np.concatenate(keys), np.concatenate(rows)
+        yield key, lines.ids(part)[row] * 2 + ((lines.lengths[part] <= high)[row] & (move[column] == 0))
 
 
 def line_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(key, row) of the lines of all texts; a line that a task remembers gives no keys again."""
+
     def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in slices(batches):
             lines = HashedLines(batch.column("text").to_pylist())
-            for key, row in keys_of(lines, np.flatnonzero(lines.lengths >= min_chars), edits):
+            chosen = np.flatnonzero(lines.lengths >= min_chars)
+            ids, first = np.unique(lines.ids(chosen), return_index=True)
+            new = np.fromiter((x not in done for x in ids.tolist()), bool, len(ids))
+            if len(done) > REMEMBERED:
+                done.clear()
+            done.update(ids.tolist())
+            for key, row in keys_of(lines, chosen[first[new]], edits):
                 for a in range(0, len(key), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(row[a : a + 100_000])], ["key", "row"])
 
     return docs.select("text").mapInArrow(keys, "key long, row long")
 
 
+def hot_keys(docs: DataFrame, edits: int, min_chars: int) -> list[int]:
+    """Keys of very many lines, by a sample of the texts: at most HOT.  They are only spread, never left out."""
+    rows = line_keys(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), edits, min_chars)
+    counts = written(rows.distinct().groupBy("key").count().where(F.col("count") >= LEAST), "frequent")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return [r["key"] for r in counts.where(F.col("count") * HOT >= total).select("key").collect()]
+
+
+def shared_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(key, id, indexed), distinct, of keys that several lines have, at least one of them indexed.
+
+    One shuffle: rows of a key meet in a sorted partition and leave it only if they have company.  Hot keys surely have,
+    so their rows are dealt by id over several parts.
+    """
+    rows, by = line_keys(docs, edits, min_chars), ["key"]
+    several = "shiftright(lo, 1) <> shiftright(hi, 1) AND some = 1"
+    if hot := hot_keys(docs, edits, min_chars):
+        part = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64(F.shiftright("row", 1)), F.lit(SALTS)) + 1)
+        rows, by, several = rows.withColumn("part", F.coalesce(part, F.lit(0)).cast("int")), ["key", "part"], f"part > 0 OR {several}"
+    key = Window.partitionBy(*by)
+    met = rows.select("*", F.min("row").over(key).alias("lo"), F.max("row").over(key).alias("hi"), F.max(F.col("row") % 2).over(key).alias("some"))
+    met = met.where(several).select(*by, F.shiftright("row", 1).alias("id"), (F.col("row") % 2 == 1).alias("indexed"))
+    return met.groupBy(*by, "id").agg(F.max("indexed").alias("indexed")).select("key", "id", "indexed")
+
+
 def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, line, row, id) of all lines that take part; lines count from 0."""
 
@@ -234,18 +263,22 @@ def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
 def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(id, label) of the lines that have a partner within the edits of the shorter; label is the same all over a component."""
     first = written(places.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("at")).select("id", "at.*"), "lines")
-    rows = line_keys(docs, edits, min_chars)
-    shared = rows.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
-    shared = written(shared.where("shiftright(lo, 1) <> shiftright(hi, 1)").select("key"), "keys")
-    lists = only_keys(rows, shared, "key").select("key", F.shiftright("row", 1).alias("id"), (F.col("row") % 2 == 1).alias("indexed"))
-    lists = written(lists.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "lists")
+    lists = written(shared_keys(docs, edits, min_chars), "lists")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = written(first.join(broadcast_if_small(ids, BROADCAST_KEYS), "id", "left_semi"), "wanted")
         source = docs.select(F.col("doc_id").alias("d"), "text", text_digest().alias("r"))
-        found = source.join(broadcast_if_small(wanted), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")))
-        line = F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.col("line").cast("int"))
-        return found.select("id", line.alias("text")).dropDuplicates(["id"])
+        per_text = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id")).alias("at"))
+        found = source.join(broadcast_if_small(per_text), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")))
+
+        def chosen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                    lines = text.split("\n")
+                    columns = [pa.array([x["id"] for x in at], pa.int64()), pa.array([lines[x["line"]] for x in at], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "text"])
+
+        return found.select("text", "at").mapInArrow(chosen, "id long, text string").dropDuplicates(["id"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")

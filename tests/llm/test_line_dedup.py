@@ -28,9 +28,11 @@ def changed(rng, text, n):
     return "".join(out)
 
 
-@pytest.mark.parametrize("edits,block", [(1, 4096), (2, 4096), (3, 3)])
-def test_lines_equal_brute_force(spark, edits, block, monkeypatch):
+@pytest.mark.parametrize("edits,block,sample", [(1, 4096, 64), (2, 4096, 1), (3, 3, 1)])
+def test_lines_equal_brute_force(spark, edits, block, sample, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", block)
+    monkeypatch.setattr(L, "SAMPLE", sample)  # 1: every key of three lines is hot
+    monkeypatch.setattr(L, "LEAST", 3)
     rng = random.Random(edits)
     base = ["".join(rng.choice("abcd é") for _ in range(rng.randrange(8, 40))) for _ in range(40)]
     docs = [(i, "\n".join(changed(rng, rng.choice(base), rng.randrange(0, 4)) for _ in range(rng.randrange(1, 6)))) for i in range(80)]
@@ -89,6 +91,27 @@ def varied(rng, text, n):
     return text
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_classes_hold_every_length_once(edits):
+    every = L.classes(5000, edits)
+    assert every[0][0] == 0 and every[-1][1] >= 5000
+    assert all(high + 1 == low for (_, high, _), (low, _, _) in itertools.pairwise(every))
+    assert all(L.edits_of(n, edits) == t for low, high, t in every for n in (low, high))
+
+
+def test_hot_keys_are_found_and_change_nothing(spark, monkeypatch):
+    rng = random.Random(2)
+    common = "the same beginning of very many lines "
+    rows = [(i, common + "".join(rng.choice("abcdefgh") for _ in range(38))) for i in range(400)]
+    rows += [(1000 + i, changed(rng, text, 1)) for i, text in rows[:40]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert L.hot_keys(docs, 2, 20) == []
+    monkeypatch.setattr(L, "SAMPLE", 1)
+    assert L.hot_keys(docs, 2, 20)
+    got = {r["c0"]: r["n_removed"] for r in L.deduplicated(docs).collect()}
+    assert got == {i: int(i >= 1000) for i, _ in rows}
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_edits_grow_with_length(edits):
     allowed = [L.edits_of(n, edits) for n in range(3000)]
