@@ -85,15 +85,16 @@ def dealt(rows: DataFrame, group: str, block: int, *more: str) -> DataFrame:
     return every.select(F.col(group).alias("grp"), "i", "j", "own", "id", "label", *more)
 
 
-def forest(rows: DataFrame, matcher: Callable[[pa.Table], Matcher]) -> DataFrame:
+def forest(rows: DataFrame, matcher: Callable[[pa.Table], Matcher], *kin: str) -> DataFrame:
     """Links (a, b) between labels that join all labels with linked members in one pair of blocks.
 
     ``rows``: (grp, i, j, own, id, label, payload, ...); ``matcher`` prepares the rows of a pair of blocks.  A task holds
     one pair of blocks.  Only members outside its commonest label are looked up, since a pair of different labels has such
     an end, and only against labels that are not joined yet.  At most one link per label leaves the task.
+    Blocks that are equal in the columns ``kin`` and in i and j come to one task, one after the other.
     """
     columns = ["grp", "i", "j"]
-    rows = rows.repartition(*columns).sortWithinPartitions(*columns)
+    rows = rows.repartition(*(kin or ["grp"]), "i", "j").sortWithinPartitions(*kin, *columns)
     kind = rows.schema["label"].dataType
 
     def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:

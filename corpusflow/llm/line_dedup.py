@@ -38,6 +38,11 @@ REMEMBERED = 200_000
 _PIECE = 200_000
 # Lines that one task compares; more lines of one key are dealt over pairs of such blocks.
 BLOCK = 4_096
+# Counts of the characters of a line, by code point modulo so many, that rule pairs out before their distance is computed.
+KINDS = 64
+# Lists with one smallest label, of about so many rows in all, go to one task, which remembers so many pairs it compared.
+KIN = 16_384
+PAIRS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 # A place of a line; ``row`` tells texts that share a doc_id, or have none, apart.
@@ -116,6 +121,30 @@ def distance_within(a: str, b: str, most: int) -> bool:
     return True
 
 
+class Bags:
+    """Lengths and character counts of lines.  An edit adds at most one character to a line and takes at most one from it."""
+
+    def __init__(self, texts: list[str], edits: int) -> None:
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        kinds = np.repeat(np.arange(len(texts)), self.lengths) * KINDS + points % KINDS
+        self.counts = np.bincount(kinds, minlength=KINDS * len(texts)).reshape(-1, KINDS).astype(np.int32)
+        self.edits = edits
+
+    def possible(self, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+        """Whether the lines x and y can be within the edits of the shorter: never false if they are."""
+        shorter = np.minimum(self.lengths[x], self.lengths[y])
+        most = np.maximum(self.edits, np.minimum(shorter // PER_EDIT, np.sqrt(shorter // ROOT).astype(np.int64)))
+        out = np.abs(self.lengths[x] - self.lengths[y]) <= most
+        near = np.flatnonzero(out)
+        for a in range(0, len(near), BLOCK):
+            at = near[a : a + BLOCK]
+            more = self.counts[y[at]] - (self.counts[x] if np.ndim(x) == 0 else self.counts[x[at]])
+            added = np.maximum(more, 0).sum(1)
+            out[at] = np.maximum(added, added - more.sum(1)) <= most[at]
+        return out
+
+
 def classes(longest: int, edits: int) -> list[tuple[int, int, int]]:
     """(least length, greatest length, edits) of all classes up to a length.
 
@@ -287,24 +316,43 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
 
         def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-                keep = pa.array([linked_lines(x, y, edits) for x, y in both], pa.bool_())
-                yield batch.select(["a", "b"]).filter(keep)
+                x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+                n = np.arange(len(x))
+                able = Bags(x + y, edits).possible(n, n + len(x)).tolist()
+                keep = [able[i] and linked_lines(x[i], y[i], edits) for i in range(len(x))]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(near, "a long, b long")
 
+    known: dict[tuple[int, int], bool] = {}  # every task starts with none; only spares comparing a pair again
+
     def by_distance(table: pa.Table) -> Matcher:
         texts, indexed = table["payload"].to_pylist(), np.array(table["indexed"].to_pylist(), bool)
+        bags, ids = Bags(texts, edits), table["id"].to_pylist()
+
+        def near(x: int, y: int) -> bool:
+            pair = (ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x])
+            if (is_near := known.get(pair)) is None:
+                if len(known) >= PAIRS:
+                    known.clear()
+                is_near = known[pair] = linked_lines(texts[x], texts[y], edits)
+            return is_near
 
         def match(x: int, others: np.ndarray) -> np.ndarray:
             able = others if indexed[x] else others[indexed[others]]
-            return able[np.fromiter((linked_lines(texts[x], texts[y], edits) for y in able.tolist()), bool, len(able))]
+            able = able[bags.possible(x, able)]
+            return able[np.fromiter((near(x, y) for y in able.tolist()), bool, len(able))]
 
         return match
 
     def apart(rest: DataFrame) -> DataFrame:
         texts = written(texts_of(written(rest.select("id").distinct(), "ends")), "texts")
-        return forest(dealt(rest, "key", BLOCK, "indexed").join(texts.withColumnRenamed("text", "payload"), "id"), by_distance)
+        # lines that are alike meet in many lists, so lists of one family are compared in few tasks
+        lists = rest.groupBy("key").agg(F.min("label").alias("least"), F.count(F.lit(1)).alias("n"))
+        parts = lists.groupBy("least").agg(F.ceil(F.sum("n") / KIN).alias("parts"))
+        kin = F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("kin")
+        rows = dealt(rest.join(lists.join(parts, "least").select("key", kin), "key"), "key", BLOCK, "indexed", "kin")
+        return forest(rows.join(texts.withColumnRenamed("text", "payload"), "id"), by_distance, "kin")
 
     return linked(lists, verify, apart)
 

@@ -15,6 +15,20 @@ def test_distance_of_all_short_strings():
         assert [L.distance_within(a, b, t) for t in range(4)] == [d <= t for t in range(4)]
 
 
+def test_bags_never_rule_out_a_link():
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh é\U0001f600") for _ in range(rng.choice([20, 60, 200, 700]))) for _ in range(12)]
+    texts = [changed(rng, x, n) for x in base for n in (0, 1, 2, 3, 6, 9, 12)] + [""]
+    bags, n = L.Bags(texts, 2), np.arange(len(texts))
+    ruled_out = 0
+    for x in range(len(texts)):
+        one = bags.possible(x, n)
+        assert one.tolist() == bags.possible(np.full(len(n), x), n).tolist()
+        assert all(one[y] for y in range(len(texts)) if L.linked_lines(texts[x], texts[y], 2))
+        ruled_out += int((~one).sum())
+    assert ruled_out > len(texts) ** 2 // 2
+
+
 def changed(rng, text, n):
     out = list(text)
     for _ in range(n):
