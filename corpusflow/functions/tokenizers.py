@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -110,6 +111,31 @@ def _arrow_list_map(arr: pa.Array, fn: Callable[[pa.Array], pa.Array]) -> pa.Arr
     return fn(arr)
 
 
+# List elements that a worker handles at a time.
+PIECE = 1 << 18
+
+
+def leaf_offsets(arr: pa.Array) -> np.ndarray:
+    """Where the elements of each row of a (nested) list array begin, and where the last row's end."""
+    offsets, inner = arr.offsets.to_numpy(), arr.values
+    while pa.types.is_list(inner.type) or pa.types.is_large_list(inner.type):
+        offsets, inner = inner.offsets.to_numpy()[offsets], inner.values
+    return offsets - offsets[0]
+
+
+def pieces(batch: pa.RecordBatch, columns: Sequence[str], most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with at most ``most`` list elements (a longer row alone): what a worker makes of them stays
+    small, however many elements the rows of a batch have."""
+    if not batch.num_rows:
+        return
+    ends = sum(leaf_offsets(batch.column(c)).astype(np.int64) for c in columns)
+    row = 0
+    while row < batch.num_rows:
+        stop = max(int(np.searchsorted(ends, ends[row] + most, side="right")) - 1, row + 1)
+        yield batch.slice(row, stop - row)
+        row = stop
+
+
 # A vocabulary of at most so many bytes of text goes to every worker; a larger one is joined.  Both give the same ids.
 VOCAB_BYTES = 64_000_000
 
@@ -141,50 +167,70 @@ def _looked_up(df: DataFrame, columns: dict[str, str], entries: DataFrame, defau
             values = pa.array([known.get(key, default) for key in coded.dictionary.to_pylist()], value_type)
             return pc.fill_null(values.take(coded.indices), default) if default is not None else values.take(coded.indices)
 
-        for batch in batches:
-            arrays = [_arrow_list_map(col, of) if name in columns else col for name, col in zip(batch.schema.names, batch.columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            for batch in pieces(whole, list(columns)):
+                arrays = [_arrow_list_map(col, of) if name in columns else col for name, col in zip(batch.schema.names, batch.columns)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return df.mapInArrow(lookup, T.StructType(fields))
 
 
-def _looked_up_by_join(df: DataFrame, columns: dict[str, str], entries: DataFrame, default: Any, schema: T.StructType, salts: int = 64) -> DataFrame:
-    """The same through a join: rows with equal lists share their distinct elements, which are joined under salted keys."""
-    spread = lambda c, kind: F.flatten(c) if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType) else c
-    flat = F.concat(*[F.coalesce(spread(F.col(c), df.schema[c].dataType), F.array()) for c in columns])
-    keyed = df.withColumn("_row", F.md5(F.to_json(F.struct(*columns))))
-    distinct = explode_tokens(keyed.select("_row", F.array_distinct(flat).alias("_all")), "_all", ["_row"], "key").distinct()
-    distinct = distinct.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
-    salted = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    found = distinct.join(salted, ["key", "_salt"]).groupBy("_row").agg(F.collect_list(F.struct("key", "value")).alias("_found"))
-    joined = keyed.join(found, "_row", "left").drop("_row")
-    names = schema.fieldNames()
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = [{e["key"]: e["value"] for e in entry or ()} for entry in batch.column("_found").to_pylist()]
-
-            def values(item: Any, of: dict) -> Any:
-                if isinstance(item, list):
-                    return [values(x, of) for x in item]
-                return of.get(item, default)
-
-            arrays = []
-            for name, col in zip(batch.schema.names, batch.columns):
-                if name in columns:
-                    rows = [None if x is None else values(x, of) for x, of in zip(col.to_pylist(), known)]
-                    col = pa.array(rows, kinds[columns[name]])
-                if name != "_found":
-                    arrays.append(col)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    def arrow(kind: T.DataType) -> pa.DataType:
-        if isinstance(kind, T.ArrayType):
-            return pa.list_(arrow(kind.elementType))
-        return pa.string() if isinstance(kind, T.StringType) else pa.int32()
-
-    kinds = {f.name: arrow(f.dataType) for f in schema.fields if f.name in columns.values()}
-    return joined.mapInArrow(pick, schema)
+def _looked_up_by_join(df: DataFrame, columns: dict[str, str], entries: DataFrame, default: Any, schema: T.StructType) -> DataFrame:
+    """The same through a join: pieces of rows share a list of their distinct elements, and only these lists are joined.
+
+    The rows are written with their elements' places in the piece's list, and meet its values once.
+    """
+    key = entries.schema["key"].dataType
+    key_type, names, given = pa.string() if isinstance(key, T.StringType) else pa.int32(), schema.fieldNames(), df.columns
+    kinds = [T.StructField(f.name, _with_values(f.dataType, T.IntegerType())) if f.name in columns else f for f in df.schema.fields]
+    kinds = T.StructType([*kinds, T.StructField("_piece", T.StringType()), T.StructField("_keys", T.ArrayType(key))])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, list(columns), 1 << 20):
+                flats: list[pa.Array] = []
+
+                def seen(flat: pa.Array) -> pa.Array:
+                    flats.append(flat.cast(key_type))
+                    return flat
+
+                for c in columns:
+                    _arrow_list_map(batch.column(c), seen)
+                coded = pa.concat_arrays(flats).dictionary_encode()
+                at = 0
+
+                def place(flat: pa.Array) -> pa.Array:
+                    nonlocal at
+                    at += len(flat)
+                    return coded.indices.slice(at - len(flat), len(flat))
+
+                places = {c: _arrow_list_map(batch.column(c), place) for c in columns}
+                arrays = [places.get(c, batch.column(c)) for c in batch.schema.names]
+                keys = pa.array([coded.dictionary.to_pylist(), *[None] * (batch.num_rows - 1)], pa.list_(key_type))
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([uuid4().hex] * batch.num_rows), keys], names=kinds.fieldNames())
+
+    rows = written(df.mapInArrow(code, kinds), "coded")
+    wanted = rows.where(F.col("_keys").isNotNull()).select("_piece", F.posexplode("_keys").alias("_place", "key"))
+    found = wanted.join(entries, "key", "left").select(F.col("_piece").alias("_of"), "_place", "value")
+
+    def pick(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, first = np.unique(right.column("_place").to_numpy(), return_index=True)
+        values = right.column("value").combine_chunks().take(pa.array(first))
+        if default is not None:
+            values = pc.fill_null(values, default)
+
+        def of(flat: pa.Array) -> pa.Array:
+            ids = values.take(flat)
+            return ids if default is None else pc.fill_null(ids, default)
+
+        left = left.select(given).combine_chunks()
+        arrays = []
+        for name, col in zip(left.schema.names, left.columns):
+            col = col.chunk(0) if col.num_chunks else pa.array([], col.type)
+            arrays.append(_arrow_list_map(col, of) if name in columns else col)
+        return pa.Table.from_arrays(arrays, names=names)
+
+    return rows.drop("_keys").groupBy("_piece").cogroup(found.groupBy("_of")).applyInArrow(pick, schema)
 
 
 def to_ids(

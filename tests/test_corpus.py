@@ -332,3 +332,19 @@ def test_folder_with_json_arrays_and_lines(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"x": 4}\n{"x": 5}\n{"x": 6}\n')
     assert sorted(r["x"] for r in readers.read_dataset(spark, str(tmp_path), schema="x int").collect()) == [1, 2, 3, 4, 5, 6]
     assert readers.read_dataset(spark, str(tmp_path)).count() == 6
+
+
+def test_lookups_go_piece_by_piece(spark):
+    """Batches are cut by their list elements; a join meets a piece's distinct elements, not every row's."""
+    rows = [(k, [["a", "b", None][: k % 4], ["c"] * (k % 7)], ["b", "zz"] * (k % 3)) for k in range(40)] + [(40, None, []), (41, [None, []], None)]
+    df = spark.createDataFrame(rows, "k long, t array<array<string>>, u array<string>").coalesce(1)
+    vocab = spark.createDataFrame([("<unk>", 0), ("a", 1), ("b", 2), ("c", 3)], "token string, token_id int")
+    ids = {"a": 1, "b": 2, "c": 3}
+    nested = lambda x: None if x is None else [nested(y) if isinstance(y, list) else ids.get(y, 0) for y in x]
+    want = [(k, [None if y is None else nested(y) for y in t] if t is not None else None, nested(u)) for k, t, u in rows]
+    for bound in (Tk.VOCAB_BYTES, -1):
+        out = Tk.to_ids(df, {"t": "t", "u": "v"}, vocab, bound=bound)
+        assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == want and out.columns == ["k", "t", "v"]
+    batch = pa.RecordBatch.from_pydict({"t": [[["x"] * 3], None, [["x"], ["x"] * 4], [], [["x"] * 9], [["x"]]]})
+    assert [b.num_rows for b in Tk.pieces(batch, ["t"], 4)] == [2, 1, 1, 1, 1]
+    assert [b.num_rows for b in Tk.pieces(batch.slice(2), ["t"], 5)] == [2, 1, 1]
