@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -83,6 +83,10 @@ def late_rows(query: StreamingQuery) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
+# States that the parts of all streams are dealt to.
+BUCKETS = 4_096
+
+
 def stream_retain(
     events: DataFrame, by: Sequence[str], order: Sequence[str], salt: Column, salts: int, start: int, recent: int,
     ts: str | None = None, delay: str = "0 seconds", idle_seconds: int | None = None,
@@ -92,50 +96,59 @@ def stream_retain(
     First-k and last-k can be merged, so a stream's state is split into ``salts`` parts, each kept by another task: a
     stream that carries a third of all events does not end up in one state.  A row comes out as ``kept`` when it enters
     the state and as ``evicted`` when it leaves it, or right away if it never stays over a trigger; ``seen`` counts the
-    part's rows.  :func:`retained_view` and :func:`evicted_view` make the streams' rows of that.
+    part's rows.  Parts are dealt to ``BUCKETS`` states, as a call to Python for each of very many short streams would take
+    most of the time; a trigger writes the states of the buckets that it touches.  :func:`retained_view` and :func:`evicted_view` make the streams' rows of that.
 
     With ``idle_seconds``, the state of a part that had no row for so long, in event time (``ts``), is dropped, which changes
     neither view; rows that are late by more than ``delay`` are then left out and counted (:func:`late_rows`).  Any state
     store will do.  Order keys must be unique in a stream and not NULL.
     """
+    import numpy as np
     import pandas as pd
 
     schema = events.schema
-    names, order, limit = schema.names, list(order), start + recent
+    names, order, part, limit = schema.names, list(order), [*by, "_salt"], start + recent
     out = T.StructType([*schema.fields, T.StructField("change", T.StringType()), T.StructField("seen", T.LongType())])
     salted = events.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     if idle_seconds is not None:
         salted = salted.withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", delay)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, latest, packed = state.get if state.exists else (0, 0, None)
-        pool = None if packed is None else pickle.loads(packed)
-        for frame in filter(len, frames):
+        pool = pickle.loads(state.get[0]) if state.exists else None
+        for frame in () if state.hasTimedOut else filter(len, frames):
+            fresh = frame[[*names, "_salt"]].assign(change="kept", seen=0, _latest=0)
             if idle_seconds is not None:
-                latest = max(latest, int(frame["_time"].max().timestamp() * 1000))
-            seen += len(frame)
-            fresh = frame[names]
-            fresh["change"] = "kept"
-            pool = (fresh if pool is None else pd.concat([pool, fresh], ignore_index=True)).sort_values(order, ignore_index=True)
-            if len(pool) > limit:
-                gone = pool.iloc[start : len(pool) - recent]
-                pool = pool.drop(gone.index).reset_index(drop=True)
-                yield gone.assign(change="evicted", seen=seen)
+                times = frame["_time"].to_numpy("datetime64[ms]")
+                fresh["_latest"] = np.where(np.isnat(times), 0, times.astype("int64"))
+            fresh["_new"] = 1
+            pool = fresh if pool is None else pd.concat([pool, fresh], ignore_index=True)
+            pool = pool.sort_values([*part, *order], ignore_index=True)
+            parts = pool.groupby(part, dropna=False, sort=False)
+            at, n = parts.cumcount(), parts["_new"].transform("size")
+            pool["seen"] = parts["seen"].transform("max") + parts["_new"].transform("sum")
+            pool["_latest"], pool["_new"] = parts["_latest"].transform("max"), 0
+            gone = (n > limit) & (at >= start) & (at < n - recent)
+            if gone.any():
+                yield pool.loc[gone, names].assign(change="evicted", seen=pool.loc[gone, "seen"])
+                pool = pool[~gone].reset_index(drop=True)
         if pool is None:
             return
-        entered = pool[pool["change"] == "kept"]
-        if len(entered):
-            yield entered.assign(seen=seen)
+        entered = pool["change"] == "kept"
+        if entered.any():
+            yield pool.loc[entered, [*names, "change", "seen"]]
         pool["change"] = ""
-        state.update((seen, latest, pickle.dumps(pool)))
         if idle_seconds is not None:
-            state.setTimeoutTimestamp(max(latest + 1000 * idle_seconds, state.getCurrentWatermarkMs() + 1))
+            pool = pool[pool["_latest"] + 1000 * idle_seconds > state.getCurrentWatermarkMs()].reset_index(drop=True)
+            if not len(pool):
+                state.remove()
+                return
+        state.update((pickle.dumps(pool),))
+        if idle_seconds is not None:
+            state.setTimeoutTimestamp(max(int(pool["_latest"].min()) + 1000 * idle_seconds, state.getCurrentWatermarkMs() + 1))
 
     timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
-    return salted.groupBy(*by, "_salt").applyInPandasWithState(step, out, "seen long, latest long, kept binary", "append", timeout)
+    salted = salted.withColumn("_bucket", F.pmod(F.xxhash64(*by, "_salt"), F.lit(BUCKETS)).cast("int"))
+    return salted.groupBy("_bucket").applyInPandasWithState(step, out, "kept binary", "append", timeout)
 
 
 def _still_kept(changes: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -147,17 +160,35 @@ def _still_kept(changes: DataFrame, by: Sequence[str], order: Sequence[str]) ->
 
 def retained_view(changes: DataFrame, by: Sequence[str], order: Sequence[str], start: int, recent: int, chunk: Column) -> DataFrame:
     """Kept rows of each stream as of now, from what :func:`stream_retain` gave out."""
-    from corpusflow.operators.retention import retain_sink_recent
+    return _retained(_still_kept(changes, by, order), by, order, start, recent, chunk)
 
-    return retain_sink_recent(_still_kept(changes, by, order), by, order, start, recent, chunk).drop("pos", "stream_len")
+
+def _retained(kept: DataFrame, by: Sequence[str], order: Sequence[str], start: int, recent: int, chunk: Column) -> DataFrame:
+    """The first and last rows of each stream's parts, which hold few rows together, so that a stream is one window.
+
+    Rows without a group key or a chunk have no place in a stream.
+    """
+    group = Window.partitionBy(*by)
+    at, n = F.row_number().over(group.orderBy(*order)) - 1, F.count(F.lit(1)).over(group)
+    placed = kept.select("*", at.alias("_at"), n.alias("_n"))
+    stays = (F.col("_n") <= start + recent) | (F.col("_at") < start) | (F.col("_at") >= F.col("_n") - recent)
+    known = chunk.isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    return placed.where(stays & known).select(*kept.columns)
 
 
 def evicted_view(changes: DataFrame, by: Sequence[str], order: Sequence[str], start: int, recent: int, chunk: Column) -> DataFrame:
     """All other rows of each stream as of now: those that left a part's state, and those that only their part still holds."""
-    kept = _still_kept(changes, by, order)
-    view = retained_view(changes, by, order, start, recent, chunk).select(*by, *order)
+    return both_views(changes, by, order, start, recent, chunk)[1]
+
+
+def both_views(changes: DataFrame, by: Sequence[str], order: Sequence[str], start: int, recent: int, chunk: Column) -> tuple[DataFrame, DataFrame]:
+    """:func:`retained_view` and :func:`evicted_view` of one state, which is put together once."""
+    kept = written(_still_kept(changes, by, order), "held")
+    view = written(_retained(kept, by, order, start, recent, chunk), "view")
     gone = changes.where("change = 'evicted'").select(*kept.columns)
-    return gone.unionByName(kept.join(view, [*by, *order], "left_anti").select(*kept.columns))
+    return view, gone.unionByName(kept.join(view.select(*by, *order), [*by, *order], "left_anti").select(*kept.columns))
 
 
 def stream_sample_every(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, chunk: Column, path: str | None = None) -> DataFrame:
