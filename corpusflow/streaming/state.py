@@ -122,7 +122,10 @@ def in_groups(
         placed = positions(batch, [], order, chunk, "_pos").withColumn("_pos", F.col("_pos") + start)
         every = carry.after(batch_id - 1).unionByName(placed)
         full = (start + n) // rows * rows
-        carry.keep(batch_id, every.where(F.col("_pos") >= full))
+        # only the chunks that reach into the unfinished group are numbered for what waits
+        last = positions(batch, [], order, chunk, "_pos", keep=lambda base, size, total: base + size + start > full)
+        waiting = carry.after(batch_id - 1).unionByName(last.withColumn("_pos", F.col("_pos") + start))
+        carry.keep(batch_id, waiting.where(F.col("_pos") >= full))
         return step(every.where(F.col("_pos") < full))
 
     return run_through(df, one, path, schema, lambda batch_id: step(carry.after(batch_id)))
