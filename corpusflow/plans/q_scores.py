@@ -341,7 +341,7 @@ def next_tokens(spark: SparkSession, sf: str) -> DataFrame:
 )
 def bigrams(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", whitespace(F.col("text")).alias("tokens"))
-    return C.next_token_pairs(docs, "doc_id", "tokens").groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    return C.next_token_counts(docs, "tokens")
 
 
 START, RECENT = 4, 32
@@ -360,11 +360,11 @@ bounded AS (SELECT n.doc_id, n.pos, -ln((c + len(list_filter(coalesce(s.at_pos,
 
 
 def scored(spark: SparkSession, sf: str, bounded: bool) -> DataFrame:
-    stream = doc_stream(spark, sf)
-    v = stream.agg(F.count_distinct("token")).scalar()
+    docs = documents(spark, sf).select("doc_id", whitespace(F.col("text")).alias("tokens"))
+    v = C.token_stream(docs, "doc_id", "tokens").agg(F.count_distinct("token")).scalar()
     if bounded:
-        return C.window_scored_nll(stream, "doc_id", "pos", "token", v, START, RECENT)
-    return C.window_scored_nll(stream, "doc_id", "pos", "token", v)
+        return C.window_scored_arrays(docs, "doc_id", "tokens", v, START, RECENT)
+    return C.window_scored_arrays(docs, "doc_id", "tokens", v)
 
 
 @query(

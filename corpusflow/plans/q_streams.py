@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,10 @@ from corpusflow.functions.tokenizers import plug_in, whitespace
 from corpusflow.operators import align as A
 from corpusflow.functions.tokenizers import to_ids
 from corpusflow.operators.ordering import id_chunk, time_chunk
-from corpusflow.operators.scoring import perplexity, score_streams
-from corpusflow.plans.catalog import CHAT_SQL, INSTRUCTIONS, SQL, aligned_chats, query, table, tokens_sql
+from corpusflow.operators.scoring import perplexity, score_arrays
+from corpusflow.plans.catalog import CHAT_SQL, INSTRUCTIONS, SQL, aligned_chats, documents, query, table, tokens_sql
 from corpusflow.plans.q_examples import BATCH_ROWS, BLOCK, CUTOFF, _encoding, _joined, doc_tokens, doc_vocab
-from corpusflow.plans.q_scores import DAY, EVENTS_SQL, LOSS_SQL, doc_stream
+from corpusflow.plans.q_scores import DAY, EVENTS_SQL, LOSS_SQL
 from corpusflow.session import scratch_path, written
 from corpusflow.streaming import streams as X
 
@@ -64,13 +66,20 @@ def stream_packed(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that arrive as files, packed over trigger borders: the blocks of the batch query."""
     docs = doc_tokens(spark, sf).withColumn("tokens", F.concat("tokens", F.array(F.lit("</s>"))))
     ids = to_ids(docs, "tokens", written(doc_vocab(spark, sf), "vocab"), "ids").select("doc_id", "ids")
-    path = scratch_path(spark, "ids")
-    for i, part in enumerate(_thirds(ids)):  # one after another: files arrive in the order of the documents
-        part.coalesce(1).write.mode("append" if i else "error").parquet(path)
-    found = X.stream_pack(X.stream_dataset(spark, path, ids.schema, max_files=1), "ids", "doc_id", BLOCK, id_chunk("doc_id"), BATCH_ROWS)
+    pack = lambda files, out: X.stream_pack(files, "ids", "doc_id", BLOCK, id_chunk("doc_id"), BATCH_ROWS, path=out)
+    found = _arriving(spark, ids, pack)
     return found.select("batch", "block", F.size("input_ids").cast("long").alias("n"), F.md5(F.array_join("input_ids", ",")).alias("ids"))
 
 
+def _arriving(spark: SparkSession, rows: DataFrame, run: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``run(stream of files, folder)`` each time a third of the rows has arrived, in any number of files: it goes on."""
+    path, out = scratch_path(spark, "arriving"), scratch_path(spark, "arrived")
+    for part in _thirds(rows):
+        part.write.mode("append").parquet(path)
+        found = run(X.stream_dataset(spark, path, rows.schema), out)
+    return found
+
+
 def _thirds(rows: DataFrame) -> list[DataFrame]:
     """Rows by doc_id in three runs of about equal size."""
     held = written(rows, "rows")
@@ -78,15 +87,11 @@ def _thirds(rows: DataFrame) -> list[DataFrame]:
     return [held.where(F.col("doc_id") <= low), held.where((F.col("doc_id") > low) & (F.col("doc_id") <= high)), held.where(F.col("doc_id") > high)]
 
 
-def _language_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with the number of their language (3: all but en, fr and de), arriving as three files."""
+def _languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the number of their language (3: all but en, fr and de)."""
     lang = F.col("lang")
     number = F.when(lang == "en", 0).when(lang == "fr", 1).when(lang == "de", 2).otherwise(3)
-    docs = table(spark, sf, "documents").select("doc_id", number.alias("dataset_idx"))
-    path = scratch_path(spark, "languages")
-    for i, part in enumerate(_thirds(docs)):
-        part.coalesce(1).write.mode("append" if i else "error").parquet(path)
-    return X.stream_dataset(spark, path, docs.schema, max_files=1)
+    return table(spark, sf, "documents").select("doc_id", number.alias("dataset_idx"))
 
 
 LANGUAGE_SQL = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END"
@@ -99,7 +104,8 @@ LANGUAGE_SQL = "CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELS
 )
 def stream_round_robin(spark: SparkSession, sf: str) -> DataFrame:
     """Four datasets dealt in turn while they arrive."""
-    return X.stream_interleave(_language_stream(spark, sf), "dataset_idx", 4, ["doc_id"], id_chunk("doc_id")).drop("batch_id")
+    deal = lambda files, out: X.stream_interleave(files, "dataset_idx", 4, ["doc_id"], id_chunk("doc_id"), path=out)
+    return _arriving(spark, _languages(spark, sf), deal).drop("batch_id")
 
 
 @query(
@@ -115,8 +121,9 @@ def stream_round_robin(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_by_chance(spark: SparkSession, sf: str) -> DataFrame:
     """The same datasets drawn by probability while they arrive."""
-    found = X.stream_interleave(_language_stream(spark, sf), "dataset_idx", 4, ["doc_id"], id_chunk("doc_id"), probs=[0.4, 0.3, 0.2, 0.1])
-    return found.drop("batch_id")
+    probs = [0.4, 0.3, 0.2, 0.1]
+    draw = lambda files, out: X.stream_interleave(files, "dataset_idx", 4, ["doc_id"], id_chunk("doc_id"), probs=probs, path=out)
+    return _arriving(spark, _languages(spark, sf), draw).drop("batch_id")
 
 
 @query("STM-03", "WITH " + EVENTS_SQL + "SELECT user_id, event_id FROM ev WHERE n <= 24 OR pos < 4 OR pos >= n - 20")
@@ -138,8 +145,9 @@ def stream_evicted(spark: SparkSession, sf: str) -> DataFrame:
     by, order, chunk = ["user_id"], ["ts", "event_id"], time_chunk("ts", DAY)
     retained = X.stream_retain(ev, by, order, F.xxhash64("event_id"), SALTS, 4, 20, ts="ts", delay="3650 days", idle_seconds=10 * DAY)
     changes = X.collect_stream(retained, "evicted")
-    kept = X.retained_view(changes, by, order, 4, 20, chunk).select("user_id", "event_id", F.lit("kept").alias("change"))
-    return kept.union(X.evicted_view(changes, by, order, 4, 20, chunk).select("user_id", "event_id", F.lit("evicted").alias("change")))
+    kept, gone = X.both_views(changes, by, order, 4, 20, chunk)
+    of = lambda rows, change: rows.select("user_id", "event_id", F.lit(change).alias("change"))
+    return of(kept, "kept").union(of(gone, "evicted"))
 
 
 @query("STM-04", "WITH " + EVENTS_SQL + "SELECT user_id, event_id, pos FROM ev WHERE (pos + 1) % 10 = 0")
@@ -245,6 +253,7 @@ def own_template(spark: SparkSession, sf: str) -> DataFrame:
 )
 def plugged_scores(spark: SparkSession, sf: str) -> DataFrame:
     """A scorer whose loss is a quarter of the token's length."""
-    losses = score_streams(doc_stream(spark, sf), "doc_id", "pos", "token", lambda frame: frame["token"].str.len() / 4.0, segment=4096, overlap=16)
+    docs = documents(spark, sf).select("doc_id", whitespace(F.col("text")).alias("tokens"))
+    losses = score_arrays(docs, "doc_id", "tokens", lambda frame: frame["token"].str.len() / 4.0, segment=4096, overlap=16)
     return perplexity(losses, ["doc_id"]).select("doc_id", F.round("ppl", 4).alias("ppl"), "num_eval_tokens")
 

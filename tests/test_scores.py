@@ -316,3 +316,40 @@ def test_parameter_counts_and_sparsity(spark):
     df = spark.createDataFrame(rows, "name string, value double")
     got = {r["layer"]: r["sparsity"] for r in P.sparsity(df, layer_of(F.col("name"))).collect()}
     assert got == {3: 0.5, 5: 1.0, None: pytest.approx(2 / 3)}
+
+
+def test_arrays_are_scored_like_streams(spark):
+    """Arrays count inside their row; those that share a key, or have none, are one stream as in a token table."""
+    rng = random.Random(3)
+    arrays = [(k, [rng.choice("aaabcd") for _ in range(n)]) for k, n in ((0, 60), (1, 3), (2, 1), (3, 0), (4, 25), (4, 25), (None, 9), (None, 4))]
+    df = spark.createDataFrame([*arrays, (5, None)], "k int, t array<string>").repartition(3)
+    tokens = C.token_stream(df, "k", "t")
+    plan = lambda out: out._jdf.queryExecution().toString()
+    for start, recent in ((None, None), (2, 4), (0, 1), (6, 2), (100, 3)):
+        alone = C.window_scored_arrays(df.where("k < 4"), "k", "t", 4, start, recent)
+        assert "Window" not in plan(alone)
+        for k, ts in arrays[:4]:
+            got = [r["nll"] for r in sorted(alone.collect(), key=lambda r: r["pos"]) if r["k"] == k]
+            assert got == pytest.approx(python_nll(ts, 4, start, recent)), (k, start, recent)
+        rows = lambda out: sorted((str(r["k"]), r["pos"], r["token"], round(r["nll"], 9)) for r in out.collect())
+        few = df.where("k < 5")
+        got = rows(C.window_scored_arrays(few, "k", "t", 4, start, recent))
+        assert [g[:3] for g in got] == [g[:3] for g in rows(C.window_scored_nll(tokens.where("k < 5"), "k", "pos", "token", 4, start, recent))]
+    assert len(C.window_scored_arrays(df, "k", "t", 4, 2, 4).collect()) == tokens.where("pos > 0").count()
+    for scorer in (lambda f: f["pos"] - f["pos"].min(), lambda f: f["token"].str.len() + f["pos"]):
+        got = C.score_arrays(df.where("k < 4"), "k", "t", scorer, segment=10, overlap=3)
+        assert "Exchange" not in plan(C.score_arrays(spark.createDataFrame(arrays[:4], df.schema), "k", "t", scorer, segment=10, overlap=3))
+        want = C.score_streams(tokens.where("k < 4"), "k", "pos", "token", scorer, segment=10, overlap=3)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema == want.schema
+    assert C.score_arrays(df, "k", "t", scorer, segment=10, overlap=3).count() == tokens.count()
+
+
+def test_next_tokens_of_arrays(spark):
+    df = spark.createDataFrame([(0, list("abab")), (1, ["a"]), (2, []), (3, None), (None, list("ba"))], "k int, t array<string>")
+    got = sorted((str(r["k"]), r["pos"], r["token"], r["label"]) for r in C.next_token_pairs(df, "k", "t").collect())
+    assert got == [("0", 0, "a", "b"), ("0", 1, "b", "a"), ("0", 2, "a", "b"), ("None", 0, "b", "a")]
+    counts = C.next_token_counts(df, "t")
+    assert sorted(map(tuple, counts.collect())) == [("a", "b", 2), ("b", "a", 2)]
+    wide = spark.range(4, numPartitions=1).select(F.array_repeat(F.lit("x"), 1000).alias("t"))  # 3996 pairs, one kind
+    assert "Generate" not in C.next_token_counts(wide, "t")._jdf.queryExecution().toString()
+    assert C.next_token_counts(wide, "t").first()["n"] == 3996

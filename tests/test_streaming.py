@@ -198,3 +198,20 @@ def test_argument_checks(spark, tmp_path):
     for kwargs, text in (({"max_samples": 5}, "max_samples"), ({"val_size": 0.1}, "number of rows, not a share"), ({"training": True}, "max_steps")):
         with pytest.raises(ValueError, match=text):
             X.stream_dataset(spark, str(tmp_path), SCHEMA, **kwargs)
+
+
+def test_many_streams_share_states(spark, tmp_path):
+    """A state holds parts of several streams; each keeps its own first and last rows, texts as order keys, too."""
+    path = str(tmp_path / "src")
+    rows = [(u, f"{i:03d}") for u in range(60) for i in range(u % 9)]
+    spark.createDataFrame(rows, "user long, id string").coalesce(1).write.parquet(path)
+    events = X.stream_dataset(spark, path, "user long, id string")
+    shared, X.BUCKETS = X.BUCKETS, 3
+    try:
+        changes = X.collect_stream(X.stream_retain(events, ["user"], ["id"], F.lit(0), 1, 2, 3), "shared")
+    finally:
+        X.BUCKETS = shared
+    got = sorted((r["user"], r["id"], r["change"], r["seen"]) for r in changes.collect())
+    assert got == sorted((u, i, "kept" if int(i) < 2 or int(i) >= u % 9 - 3 else "evicted", u % 9) for u, i in rows)
+    kept, gone = X.both_views(changes, ["user"], ["id"], 2, 3, F.col("user"))
+    assert kept.count() + gone.count() == len(rows) and gone.count() == sum(max(u % 9 - 5, 0) for u in range(60))
