@@ -247,7 +247,7 @@ def encoded(docs: DataFrame, tokenizer: str, back: bool = False) -> DataFrame:
         return [ids, kept_by_worker("names", digest, lambda: decoder(shared.value))(ids)] if back else [ids]
 
     added = {"tokens": T.ArrayType(T.IntegerType())} | ({"decoded": T.StringType()} if back else {})
-    return annotate(docs, "text", encode, added)
+    return annotate(docs, "text", encode, added, keeps=("bpe", "names"))
 
 
 def decoder(tokenizer: str) -> Callable[[pa.Array], pa.Array]:

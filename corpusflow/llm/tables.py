@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +29,11 @@ def tasks_for(df: DataFrame, per_task: int, least: int = 1) -> int:
     return max(least, -(-df.count() // per_task))
 
 
-def annotate(docs: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]], added: dict[str, T.DataType], most: int = 1_000_000) -> DataFrame:
+def annotate(docs: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Array]], added: dict[str, T.DataType], most: int = 1_000_000, keeps: Sequence[str] = ()) -> DataFrame:
     """Every row of ``docs`` under the names c0, c1, ... and what ``fn`` makes of batches of ``column`` under the added names.
 
     The rows pass through the Python workers whole, so nothing has to be joined back; columns may have any names.
+    ``keeps``: what ``fn`` keeps in the worker.
     """
     from corpusflow.llm.texts import slices
 
@@ -41,7 +42,7 @@ def annotate(docs: DataFrame, column: str, fn: Callable[[pa.Array], list[pa.Arra
     at, out = f"c{docs.columns.index(column)}", [*names, *added]
 
     def per_batch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at, most):
+        for batch in slices(batches, at, most, keeps):
             yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(at))], out)
 
     return plain.mapInArrow(per_batch, T.StructType([*plain.schema.fields, *[T.StructField(n, t) for n, t in added.items()]]))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpusflow.session import let_go
+
 # Bytes that belong to words.  SPACED: all but ASCII white space.  ALNUM (after lower-casing): 0-9, a-z and every non-ASCII byte.
 SPACED = np.ones(256, bool)
 SPACED[[0x20, *range(0x09, 0x0E)]] = False
@@ -103,8 +105,13 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.n
             yield np.zeros(0, np.int64)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of at most ``most`` bytes of text (or of ids) each, or one row, so that arrays beside them stay bounded."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1_000_000, keeps: Sequence[str] = ()) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of at most ``most`` bytes of text (or of ids) each, or one row, so that arrays beside them stay bounded.
+
+    What the worker keeps of other kinds than ``keeps`` for later tasks goes, so that the steps of a job don't add up.
+    """
+    if let_go(keeps):
+        give_back_memory()
     for batch in batches:
         if pa.types.is_list(batch.schema.field(column).type):
             at = batch.column(column).offsets.to_numpy().astype(np.int64) * 4
@@ -152,9 +159,9 @@ class Remembered(dict):
             self.clear()
 
 
-_SPECIAL = b"<|"
+SPECIAL = b"<|"
 
 
 def pieces_of(texts: list[bytes]) -> list[list[bytes]]:
     """What stands between ASCII white space of each text, A-Z as a-z unless a special token's string could be meant."""
-    return [(t if _SPECIAL in t else t.lower()).split() for t in texts]
+    return [(t if SPECIAL in t else t.lower()).split() for t in texts]

@@ -6,7 +6,7 @@ import os
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from types import ModuleType
 from typing import Any
 
@@ -104,6 +104,15 @@ def kept_by_worker(kind: str, name: str, make: Callable[[], Any]) -> Any:
     return held[kind][1]
 
 
+def let_go(keeps: Sequence[str]) -> bool:
+    """Forgets what this worker keeps of other kinds than ``keeps``; whether there was any."""
+    held = vars(sys.modules.get("corpusflow_worker_state", ModuleType("")))
+    others = [kind for kind in held if not kind.startswith("__") and kind not in keeps]
+    for kind in others:
+        del held[kind]
+    return bool(others)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread the rows of a scan over the cluster when it has fewer splits than the cluster has cores.
 

@@ -78,3 +78,19 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
         spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "text", "lang", "n_chars", "tokens"] and out.count() == 0
+
+
+def test_a_step_forgets_what_others_kept_in_the_worker():
+    import pyarrow as pa
+
+    from corpusflow.llm.texts import slices
+    from corpusflow.session import kept_by_worker
+
+    texts = pa.RecordBatch.from_pydict({"text": ["a", "b"]})
+    kept_by_worker("bpe", "one", lambda: "words")
+    kept_by_worker("other", "one", lambda: "many rows")
+    assert [b.num_rows for b in slices([texts], keeps=("bpe",))] == [2]
+    assert kept_by_worker("bpe", "one", lambda: "made again") == "words"
+    assert kept_by_worker("other", "one", lambda: "made again") == "made again"
+    assert [b.num_rows for b in slices([texts])] == [2]
+    assert kept_by_worker("bpe", "one", lambda: "made again") == "made again"
