@@ -6,6 +6,8 @@ per file with the number of tokens before it.  Places inside a file count from i
 
 from __future__ import annotations
 
+import json
+import os
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from hashlib import sha256
@@ -14,6 +16,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,35 +24,48 @@ from pyspark.sql import types as T
 
 from corpusflow.llm.order import bases, in_order
 from corpusflow.llm.tables import broadcast_if_small, kept_by_worker
-from corpusflow.llm.texts import Remembered, pieces_of, slices
+from corpusflow.llm.texts import SPECIAL, Remembered, slices, strings
 
 FILE_BYTES = 32_000_000  # of text that one file takes, about
 ROW_GROUP_BYTES = 8_000_000
 PAGE_BYTES = 65_536
 PAGE_ROWS = 1_000
-# Pieces of text, and words in them, whose ids a worker remembers; beyond it the longest unused go.
+# Pieces of text whose ids a worker remembers; beyond it the longest unused go.
 REMEMBERED = 400_000
+# Text whose distinct pieces are looked up together, and words that go to the library at once.
+SLICE_BYTES = 2_000_000
+_WORDS = 1_000
+_LETTERS = ascii_lowercase + "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _SIGNS = b"!\"#%&'()*+,-./:;=?"
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, as little-endian 32-bit integers.
+    """Ids of whole texts by the tokenizers library, as 32-bit integers.
 
     Only for tokenizers whose tokens, special tokens and normalisation never go across ASCII white space, which is dropped:
     then the ids of a text are those of the pieces between white space, one after another, and each piece is encoded once.
-    Most pieces are encoded by the library's normaliser, splitter and model one by one, which saves building their offsets.
+    New words of Latin letters go to the library's model many at a time; what ends a word tells their ids apart.  Other
+    pieces are encoded by its normaliser, splitter and model one by one, which saves building their offsets.
     """
 
     def __init__(self, definition: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
         self.model, self.normal, self.split = self.library.model, self.library.normalizer, self.library.pre_tokenizer
-        # whether ASCII letters are words as they stand, and punctuation behind them is apart
+        # whether small letters are words as the splitter spells them one by one, and punctuation behind them is apart
         alone = lambda text: [word for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))]
-        self.plain = all(alone(ascii_lowercase + sign) == [ascii_lowercase, sign] for sign in _SIGNS.decode())
+        self.spelt = str.maketrans({c: "".join(alone(c)) for c in _LETTERS})
+        self.plain = all(alone(_LETTERS + sign) == [_LETTERS.translate(self.spelt), sign] for sign in _SIGNS.decode())
+        self.together = Tokenizer(self.model)
+        self.together.pre_tokenizer = WhitespaceSplit()
+        vocabulary, suffix = self.together.get_vocab(), json.loads(definition)["model"].get("end_of_word_suffix")
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.words = Remembered(self._word, REMEMBERED)
         self.known = Remembered(self._piece, REMEMBERED)
 
@@ -57,22 +73,61 @@ class PieceEncoder:
         return array("i", [token.id for token in self.model.tokenize(word)]).tobytes()
 
     def _piece(self, piece: bytes) -> bytes:
-        if self.plain and piece.isalpha():
-            return self.words[piece.lower().decode()]
-        core = piece.rstrip(_SIGNS)
-        if self.plain and len(core) < len(piece) and core[-1:].isalpha():
+        core, text = piece.rstrip(_SIGNS), piece.decode()
+        if self.plain and not text.strip(_LETTERS):
+            return self._word(text.translate(self.spelt))
+        if self.plain and len(core) < len(piece) and (core[-1:].isalpha() or core and not core.decode().strip(_LETTERS)):
             return self.known[core] + self.known[piece[len(core) :]]
-        text = piece.decode()
         if "<" in text:  # special tokens are found by the library alone
             return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join([self.words[word] for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))])
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        pieces = pieces_of(texts)
-        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Remembers the ids of the new words among the pieces, with and without signs behind them."""
+        known, before = self.known, self.known.before
+        fresh = [(piece, piece.rstrip(_SIGNS)) for piece in pieces if piece not in known and piece not in before]
+        words = {word for _, word in fresh if word and word not in known and word not in before}
+        new = [word for word in words if not word.decode().strip(_LETTERS)]
+        for a in range(0, len(new), _WORDS):
+            part = new[a : a + _WORDS]
+            spelt = b" ".join(part).decode().translate(self.spelt)
+            ids = np.array(self.together.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<i4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):  # else they are encoded one by one
+                at, raw = [0, *(4 * ends).tolist()], ids.tobytes()
+                known.update({word: raw[x:y] for word, x, y in zip(part, at, at[1:], strict=False)})
+        learned = set(new)
+        for piece, word in fresh:
+            if len(word) < len(piece) and word in learned:
+                known[piece] = known[word] + known[piece[len(word) :]]
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has; null texts are empty."""
+        raw, offsets = strings(column)
+        # an array that starts at its buffers' start: Arrow's ascii_lower takes others' first bytes for those of a slice
+        texts = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(raw))
+        # A-Z as a-z unless a special token's string could be meant
+        texts = pc.if_else(pc.match_substring(texts, SPECIAL.decode()), texts, pc.ascii_lower(texts))
+        pieces = pc.ascii_split_whitespace(texts)
+        found = pieces.flatten().dictionary_encode()
+        distinct, number = found.dictionary.cast(pa.large_binary()).to_pylist(), found.indices.to_numpy()
+        if self.plain:
+            self._learn(distinct)
+        ids = [self.known[piece] for piece in distinct]
         self.known.trim()
         self.words.trim()
-        return out
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, heads = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(sizes) - sizes
+        each = sizes[number]
+        before = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat(heads[number] - before[:-1], each)
+        at += np.arange(len(at))
+        return flat[at], np.diff(before[pieces.offsets.to_numpy()])
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian bytes."""
+        flat, sizes = self.encode_column(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        return [x.tobytes() for x in np.split(flat, np.cumsum(sizes)[:-1])] if texts else []
 
 
 def write_tokens(
@@ -92,23 +147,20 @@ def write_tokens(
     tasks = max(-(-size // file_bytes), min(spark.sparkContext.defaultParallelism, -(-size // 1_000_000)), 1)
     rows = in_order(held, ["doc_id", F.xxhash64("text")], tasks)
     shared, digest = spark.sparkContext.broadcast(tokenizer), sha256(tokenizer.encode()).hexdigest()
-    last = np.array([end], "<u4").tobytes()
     fields = [held.schema["doc_id"], T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())]
     fields += [T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))]
     fields += [held.schema["meta"]] if meta else []
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            encoder = kept_by_worker("pieces", digest, lambda: PieceEncoder(shared.value))
-            texts = batch.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-            ids = [x + last for x in encoder.encode(texts)]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        for batch in slices(batches, most=SLICE_BYTES, keeps=("pieces",)):
+            ids, sizes = kept_by_worker("pieces", digest, lambda: PieceEncoder(shared.value)).encode_column(batch.column("text"))
+            flat = np.insert(ids, np.cumsum(sizes), end)
+            sizes = sizes + 1
             ends = np.cumsum(sizes)
-            flat = np.frombuffer(b"".join(ids), "<i4")
             columns = [
                 batch.column("doc_id"),
-                pa.array(np.full(len(ids), part, np.int32)),
+                pa.array(np.full(len(sizes), part, np.int32)),
                 pa.array(at + ends - sizes),
                 pa.array(sizes),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)),

@@ -3,6 +3,7 @@ from glob import glob
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -115,3 +116,16 @@ def test_query(spark, library, tmp_path):
     got = queries.QUERIES["op11_token_files"](spark, str(tmp_path)).collect()
     expected = [(i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, at, ids in want(library, rows)]
     assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == expected
+
+
+def test_new_words_go_to_the_library_together(library, monkeypatch):
+    encoder = S.PieceEncoder(queries.definition(queries.tokenizer_path()))
+    assert encoder.plain
+    calls, one = [], encoder._word
+    monkeypatch.setattr(encoder, "_word", lambda word: calls.append(word) or one(word))
+    texts = [None, *[" ".join(f"{a}{b}ziéß{a}," for b in "abcdeöñ") + f" {a}{a}È ab{a}" for a in "abcdefghij"], "", "x<|endoftext|>Y", "it's ÄÖ x\x85y é é9."]
+    column = pa.chunked_array([pa.array(["cut off", *texts])]).slice(1).combine_chunks()  # an array that starts within its buffers
+    ids, sizes = encoder.encode_column(column)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 30  # of 94 different pieces
