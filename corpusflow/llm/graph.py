@@ -14,6 +14,10 @@ from corpusflow.session import written
 
 # (row, other rows) -> those of the other rows that it is linked with
 Matcher = Callable[[int, np.ndarray], np.ndarray]
+# (rows, rows) -> which of these pairs may be linked, and (row, row) -> whether this one is
+Pairs = tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], Callable[[int, int], bool]]
+# Blocks of at most so many rows are taken together, until they have so many rows.
+SMALL, TOGETHER = 64, 4_096
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -85,13 +89,14 @@ def dealt(rows: DataFrame, group: str, block: int, *more: str) -> DataFrame:
     return every.select(F.col(group).alias("grp"), "i", "j", "own", "id", "label", *more)
 
 
-def forest(rows: DataFrame, matcher: Callable[[pa.Table], Matcher], *kin: str) -> DataFrame:
+def forest(rows: DataFrame, matcher: Callable[[pa.Table], Matcher], *kin: str, few: Callable[[pa.Table], Pairs] | None = None) -> DataFrame:
     """Links (a, b) between labels that join all labels with linked members in one pair of blocks.
 
     ``rows``: (grp, i, j, own, id, label, payload, ...); ``matcher`` prepares the rows of a pair of blocks.  A task holds
     one pair of blocks.  Only members outside its commonest label are looked up, since a pair of different labels has such
     an end, and only against labels that are not joined yet.  At most one link per label leaves the task.
-    Blocks that are equal in the columns ``kin`` and in i and j come to one task, one after the other.
+    Blocks that are equal in the columns ``kin`` and in i and j come to one task, one after the other.  With ``few`` the
+    pairs of many small blocks are looked at together; then labels that one of them joins are joined for the others.
     """
     columns = ["grp", "i", "j"]
     rows = rows.repartition(*(kin or ["grp"]), "i", "j").sortWithinPartitions(*kin, *columns)
@@ -117,7 +122,53 @@ def forest(rows: DataFrame, matcher: Callable[[pa.Table], Matcher], *kin: str) -
         ends = [pa.array([firsts[pair[e]] for pair in joined], pa.int64()) for e in (0, 1)]
         return pa.RecordBatch.from_arrays([names.take(e) for e in ends], ["a", "b"])
 
-    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def together(held: list[pa.RecordBatch], sizes: list[int]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        names, every = table["label"].combine_chunks(), np.array(sizes)
+        labels = names.dictionary_encode().indices.to_numpy()
+        after = np.concatenate([np.arange(n - 1, -1, -1) for n in sizes])  # rows of its block that come after a row
+        x = np.repeat(np.arange(every.sum()), after)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(after) - after, after)
+        i, j, own = (table[c].to_numpy() for c in ("i", "j", "own"))
+        apart = (labels[x] != labels[y]) & ((i == j)[x] | (own[x] != own[y]))
+        x, y = x[apart], y[apart]
+        possible, near = few(table)
+        able = possible(x, y)
+        root = list(range(len(table)))
+        joined: list[tuple[int, int]] = []
+
+        def find(label: int) -> int:
+            while root[label] != label:
+                root[label] = label = root[root[label]]
+            return label
+
+        for a, b in zip(x[able].tolist(), y[able].tolist(), strict=True):
+            p, q = find(labels[a]), find(labels[b])
+            if p != q and near(a, b):
+                root[p] = q
+                joined.append((a, b))
+        ends = [pa.array([pair[e] for pair in joined], pa.int64()) for e in (0, 1)]
+        return pa.RecordBatch.from_arrays([names.take(e) for e in ends], ["a", "b"])
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: list[pa.RecordBatch] = []
+        sizes: list[int] = []
+        rows_held = 0
+        for held in blocks(batches):
+            n = sum(b.num_rows for b in held)
+            if few is None or n > SMALL:
+                yield block(held)
+                continue
+            small += held
+            sizes.append(n)
+            rows_held += n
+            if rows_held >= TOGETHER:
+                yield together(small, sizes)
+                small, sizes, rows_held = [], [], 0
+        if small:
+            yield together(small, sizes)
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
         held: list[pa.RecordBatch] = []
         at = None
         for batch in batches:
@@ -128,12 +179,12 @@ def forest(rows: DataFrame, matcher: Callable[[pa.Table], Matcher], *kin: str) -
                 while end < len(keys) and keys[end] == keys[start]:
                     end += 1
                 if held and keys[start] != at:
-                    yield block(held)
+                    yield held
                     held = []
                 at = keys[start]
                 held.append(batch.slice(start, end - start))
                 start = end
         if held:
-            yield block(held)
+            yield held
 
-    return rows.mapInArrow(blocks, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return rows.mapInArrow(whole, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))

@@ -6,16 +6,16 @@ the lines of a class have t + 1 segments of one size, the first half counted fro
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.graph import Matcher, dealt, forest, linked
+from corpusflow.llm.graph import Matcher, Pairs, dealt, forest, linked
 from corpusflow.llm.tables import BROADCAST_KEYS, broadcast_if_small, written
 from corpusflow.llm.texts import mixed, powers, slices
 
@@ -45,6 +45,14 @@ KIN = 16_384
 PAIRS = 200_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+# Powers that are kept, and hashes of the commonest code points.
+_POWERS = 1 << 20
+_KNOWN: dict[int, np.ndarray] = {}
+_MIXED = mixed(np.arange(1, 1025, dtype=np.uint64))
+# Text whose keys go to one task, about, parts that a task gets of them, and keys that a task deals out together.
+KEY_BYTES = 8_000_000
+PARTS = 8
+_DEALT = 1_000_000
 # A place of a line; ``row`` tells texts that share a doc_id, or have none, apart.
 PLACE = ["doc_id", "line", "row"]
 
@@ -162,6 +170,15 @@ def classes(longest: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def known_powers(n: int, step: np.uint64) -> np.ndarray:
+    """The first powers of a number; those that most batches need are made once."""
+    if n > _POWERS:
+        return powers(n, step)
+    if int(step) not in _KNOWN:
+        _KNOWN[int(step)] = powers(_POWERS, step)
+    return _KNOWN[int(step)][:n]
+
+
 class HashedLines:
     """The lines of a batch of texts as code points, with hashes of any of their substrings."""
 
@@ -171,9 +188,13 @@ class HashedLines:
         breaks = np.flatnonzero(points == 10)
         self.starts = np.concatenate([[0], breaks + 1])
         self.lengths = np.append(breaks, len(points)) - self.starts
-        weighted = mixed(points.astype(np.uint64) + np.uint64(1)) * powers(len(points), _STEP)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighted)])
-        self.back = powers(len(points) + 1, _BACK)
+        weighted = _MIXED[np.minimum(points, len(_MIXED) - 1)]
+        rare = np.flatnonzero(points >= len(_MIXED))
+        weighted[rare] = mixed(points[rare].astype(np.uint64) + np.uint64(1))
+        weighted *= known_powers(len(points), _STEP)
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(weighted, out=self.sums[1:])
+        self.back = known_powers(len(points) + 1, _BACK)
         self.per_text = np.array([(t or "").count("\n") + 1 for t in texts], np.int64)
 
     def hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -226,29 +247,29 @@ def keys_by_class(lines: HashedLines, chosen: np.ndarray, low: int, high: int, t
         yield key, lines.ids(part)[row] * 2 + ((lines.lengths[part] <= high)[row] & (move[column] == 0))
 
 
-def line_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+def key_arrays(batches: Iterable[pa.RecordBatch], edits: int, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(key, row) of the lines of all texts; a line that a task remembers gives no keys again."""
-
-    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for batch in slices(batches):
-            lines = HashedLines(batch.column("text").to_pylist())
-            chosen = np.flatnonzero(lines.lengths >= min_chars)
-            ids, first = np.unique(lines.ids(chosen), return_index=True)
-            new = np.fromiter((x not in done for x in ids.tolist()), bool, len(ids))
-            if len(done) > REMEMBERED:
-                done.clear()
-            done.update(ids.tolist())
-            for key, row in keys_of(lines, chosen[first[new]], edits):
-                for a in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(row[a : a + 100_000])], ["key", "row"])
-
-    return docs.select("text").mapInArrow(keys, "key long, row long")
+    done: set[int] = set()
+    for batch in slices(batches):
+        lines = HashedLines(batch.column("text").to_pylist())
+        chosen = np.flatnonzero(lines.lengths >= min_chars)
+        ids, first = np.unique(lines.ids(chosen), return_index=True)
+        new = np.fromiter((x not in done for x in ids.tolist()), bool, len(ids))
+        if len(done) > REMEMBERED:
+            done.clear()
+        done.update(ids.tolist())
+        yield from keys_of(lines, chosen[first[new]], edits)
 
 
 def hot_keys(docs: DataFrame, edits: int, min_chars: int) -> list[int]:
     """Keys of very many lines, by a sample of the texts: at most HOT.  They are only spread, never left out."""
-    rows = line_keys(docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), edits, min_chars)
+
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, row in key_arrays(batches, edits, min_chars):
+            for a in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(row[a : a + 100_000])], ["key", "row"])
+
+    rows = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(keys, "key long, row long")
     counts = written(rows.distinct().groupBy("key").count().where(F.col("count") >= LEAST), "frequent")
     total = counts.agg(F.sum("count")).first()[0] or 0
     return [r["key"] for r in counts.where(F.col("count") * HOT >= total).select("key").collect()]
@@ -257,18 +278,64 @@ def hot_keys(docs: DataFrame, edits: int, min_chars: int) -> list[int]:
 def shared_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """(key, id, indexed), distinct, of keys that several lines have, at least one of them indexed.
 
-    One shuffle: rows of a key meet in a sorted partition and leave it only if they have company.  Hot keys surely have,
-    so their rows are dealt by id over several parts.
+    One shuffle: rows go in arrays to the part of their key, meet there and leave it only if they have company.  Hot keys
+    surely have, so their rows are dealt by id over several parts.
     """
-    rows, by = line_keys(docs, edits, min_chars), ["key"]
-    several = "shiftright(lo, 1) <> shiftright(hi, 1) AND some = 1"
-    if hot := hot_keys(docs, edits, min_chars):
-        part = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64(F.shiftright("row", 1)), F.lit(SALTS)) + 1)
-        rows, by, several = rows.withColumn("part", F.coalesce(part, F.lit(0)).cast("int")), ["key", "part"], f"part > 0 OR {several}"
-    key = Window.partitionBy(*by)
-    met = rows.select("*", F.min("row").over(key).alias("lo"), F.max("row").over(key).alias("hi"), F.max(F.col("row") % 2).over(key).alias("some"))
-    met = met.where(several).select(*by, F.shiftright("row", 1).alias("id"), (F.col("row") % 2 == 1).alias("indexed"))
-    return met.groupBy(*by, "id").agg(F.max("indexed").alias("indexed")).select("key", "id", "indexed")
+    docs, hot = docs.select("text"), np.array(hot_keys(docs, edits, min_chars), np.int64)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(-(-size // KEY_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // 1_000_000)), 1)
+    parts = np.uint64(tasks * PARTS)
+
+    def dealt_rows(pieces: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, row = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        salt = np.where(np.isin(key, hot), (row >> 1) % SALTS + 1, 0) if len(hot) else np.zeros(1, np.int64)
+        part = (mixed(key.view(np.uint64) + salt.astype(np.uint64) * _STEP) % parts).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        pairs, part = np.stack([key[order], row[order]], 1), part[order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        at = (16 * np.append(first, len(part))).astype(np.int32)
+        held = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(pairs)])
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), held], ["part", "pairs"])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        for key, row in key_arrays(batches, edits, min_chars):
+            pieces.append((key, row))
+            n += len(key)
+            if n >= _DEALT:
+                yield dealt_rows(pieces)
+                pieces, n = [], 0
+        if n:
+            yield dealt_rows(pieces)
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = b"".join([x for batch in batches for x in batch.column("pairs").to_pylist()])
+        key, row = np.frombuffer(raw, np.int64).reshape(-1, 2).T
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        company = np.zeros(len(key), bool)
+        company[order[1:][same]] = company[order[:-1][same]] = True
+        if len(hot):
+            company |= np.isin(key, hot)
+        key, row = key[company], row[company]
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        # the last row of a line and key says whether it is indexed there
+        ends = np.append((key[1:] != key[:-1]) | (row[1:] >> 1 != row[:-1] >> 1), True)[: len(key)]
+        key, row = key[ends], row[ends]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        lines = np.diff(np.append(first, len(key)))
+        some = np.add.reduceat(row & 1, first) > 0 if len(first) else np.zeros(0, bool)
+        kept = np.repeat((lines > 1) & some, lines)
+        if len(hot):
+            kept |= np.isin(key, hot)
+        key, row = key[kept], row[kept]
+        for a in range(0, len(key), 100_000):
+            k, r = key[a : a + 100_000], row[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r >> 1), pa.array((r & 1).astype(bool))], ["key", "id", "indexed"])
+
+    return docs.mapInArrow(deal, "part int, pairs binary").repartition(int(tasks), "part").mapInArrow(meet, "key long, id long, indexed boolean")
 
 
 def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -326,9 +393,8 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
 
     known: dict[tuple[int, int], bool] = {}  # every task starts with none; only spares comparing a pair again
 
-    def by_distance(table: pa.Table) -> Matcher:
-        texts, indexed = table["payload"].to_pylist(), np.array(table["indexed"].to_pylist(), bool)
-        bags, ids = Bags(texts, edits), table["id"].to_pylist()
+    def compared(table: pa.Table) -> tuple[Bags, np.ndarray, Callable[[int, int], bool]]:
+        texts, ids = table["payload"].to_pylist(), table["id"].to_pylist()
 
         def near(x: int, y: int) -> bool:
             pair = (ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x])
@@ -338,6 +404,11 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
                 is_near = known[pair] = linked_lines(texts[x], texts[y], edits)
             return is_near
 
+        return Bags(texts, edits), np.array(table["indexed"].to_pylist(), bool), near
+
+    def by_distance(table: pa.Table) -> Matcher:
+        bags, indexed, near = compared(table)
+
         def match(x: int, others: np.ndarray) -> np.ndarray:
             able = others if indexed[x] else others[indexed[others]]
             able = able[bags.possible(x, able)]
@@ -345,6 +416,16 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
 
         return match
 
+    def few(table: pa.Table) -> Pairs:
+        bags, indexed, near = compared(table)
+
+        def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = indexed[x] | indexed[y]
+            out[out] = bags.possible(x[out], y[out])
+            return out
+
+        return possible, near
+
     def apart(rest: DataFrame) -> DataFrame:
         texts = written(texts_of(written(rest.select("id").distinct(), "ends")), "texts")
         # lines that are alike meet in many lists, so lists of one family are compared in few tasks
@@ -352,7 +433,7 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
         parts = lists.groupBy("least").agg(F.ceil(F.sum("n") / KIN).alias("parts"))
         kin = F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("kin")
         rows = dealt(rest.join(lists.join(parts, "least").select("key", kin), "key"), "key", BLOCK, "indexed", "kin")
-        return forest(rows.join(texts.withColumnRenamed("text", "payload"), "id"), by_distance, "kin")
+        return forest(rows.join(texts.withColumnRenamed("text", "payload"), "id"), by_distance, "kin", few=few)
 
     return linked(lists, verify, apart)
 

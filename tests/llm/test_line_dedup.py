@@ -163,3 +163,46 @@ def test_a_word_in_a_long_line(spark):
     rows = [(1, line), (2, other), (3, more), (4, " ".join(reversed(words)))]
     got = {r["c0"]: r["n_removed"] for r in L.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
+def test_small_lists_are_compared_together(spark, monkeypatch):
+    """Many short lists of lines that are apart: one count of characters for all of them, not one for each."""
+    from corpusflow.llm import graph as G
+
+    seen = []
+    monkeypatch.setattr(L, "forest", lambda rows, *a, **b: seen.append((rows, a, b)) or G.forest(rows, *a, **b))
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("abcdefghijkl ") for _ in range(16)) for _ in range(60)]
+    texts = [s + "".join(rng.choice("mnopqr") for _ in range(8)) for s in stems for _ in range(5)]
+    texts += [changed(rng, t, 1) for t in texts[::3]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["c0"]: r["n_removed"] for r in L.deduplicated(df).collect()}
+    union = brute.Union(texts)
+    for a, b in itertools.combinations(texts, 2):
+        if abs(len(a) - len(b)) <= 2 and brute.edit_distance(a, b) <= 2:
+            union.join(a, b)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(union.find(t), i)
+    assert got == {i: int(first[union.find(t)] != i) for i, t in enumerate(texts)}
+    (rows, (matcher, *kin), more), *_ = seen
+    one, together = G.forest(rows, matcher, *kin), G.forest(rows, matcher, *kin, **more)
+    label = lambda links: {r["id"]: r["label"] for r in G.components(links).collect()}
+    assert "few" in more and label(one) == label(together) and together.count() <= one.count()
+
+
+def test_keys_travel_in_arrays(spark):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcd") for _ in range(rng.randrange(20, 60))) for _ in range(300)]
+    df = spark.createDataFrame([(i, f"{t}\n{changed(rng, t, 2)}") for i, t in enumerate(lines)], "doc_id long, text string")
+    rows = {}
+    hashed = L.HashedLines([t for r in df.collect() for t in r["text"].split("\n")])
+    for key, row in L.keys_of(hashed, np.flatnonzero(hashed.lengths >= 20), 2):
+        for k, r in zip(key.tolist(), row.tolist(), strict=True):
+            at = rows.setdefault(k, {})
+            at[r >> 1] = at.get(r >> 1, False) or bool(r & 1)
+    want = {(k, i, x) for k, at in rows.items() if len(at) > 1 and any(at.values()) for i, x in at.items()}
+    found = L.shared_keys(df, 2, 20)
+    assert "Window" not in found._jdf.queryExecution().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
