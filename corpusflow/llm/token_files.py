@@ -33,7 +33,7 @@ PAGE_ROWS = 1_000
 # Pieces of text whose ids a worker remembers; beyond it the longest unused go.
 REMEMBERED = 400_000
 # Text whose distinct pieces are looked up together, and words that go to the library at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 _WORDS = 1_000
 _LETTERS = ascii_lowercase + "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _SIGNS = b"!\"#%&'()*+,-./:;=?"
@@ -44,8 +44,9 @@ class PieceEncoder:
 
     Only for tokenizers whose tokens, special tokens and normalisation never go across ASCII white space, which is dropped:
     then the ids of a text are those of the pieces between white space, one after another, and each piece is encoded once.
-    New words of Latin letters go to the library's model many at a time; what ends a word tells their ids apart.  Other
-    pieces are encoded by its normaliser, splitter and model one by one, which saves building their offsets.
+    Words of Latin letters, and the signs behind them, are told apart, looked up and put together by Arrow; new ones go to the
+    library's model many at a time; what ends a word tells their ids apart.  Other pieces are encoded by its normaliser,
+    splitter and model one by one, which saves building their offsets.
     """
 
     def __init__(self, definition: str) -> None:
@@ -66,6 +67,7 @@ class PieceEncoder:
         vocabulary, suffix = self.together.get_vocab(), json.loads(definition)["model"].get("end_of_word_suffix")
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that end a word
         self.last[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.seen, self.seen_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.words = Remembered(self._word, REMEMBERED)
         self.known = Remembered(self._piece, REMEMBERED)
 
@@ -82,24 +84,50 @@ class PieceEncoder:
             return array("i", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join([self.words[word] for word, _ in self.split.pre_tokenize_str(self.normal.normalize_str(text))])
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Remembers the ids of the new words among the pieces, with and without signs behind them."""
-        known, before = self.known, self.known.before
-        fresh = [(piece, piece.rstrip(_SIGNS)) for piece in pieces if piece not in known and piece not in before]
-        words = {word for _, word in fresh if word and word not in known and word not in before}
-        new = [word for word in words if not word.decode().strip(_LETTERS)]
-        for a in range(0, len(new), _WORDS):
-            part = new[a : a + _WORDS]
-            spelt = b" ".join(part).decode().translate(self.spelt)
+    def _spelt(self, words: list[str]) -> list[pa.Array]:
+        """Ids of words of Latin letters, as bytes, from few calls of the library."""
+        out = []
+        for a in range(0, len(words), _WORDS):
+            part = words[a : a + _WORDS]
+            spelt = " ".join(part).translate(self.spelt)
             ids = np.array(self.together.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<i4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):  # else they are encoded one by one
-                at, raw = [0, *(4 * ends).tolist()], ids.tobytes()
-                known.update({word: raw[x:y] for word, x, y in zip(part, at, at[1:], strict=False)})
-        learned = set(new)
-        for piece, word in fresh:
-            if len(word) < len(piece) and word in learned:
-                known[piece] = known[word] + known[piece[len(word) :]]
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                at = np.concatenate([[0], 4 * ends])
+                out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(at), pa.py_buffer(ids)]))
+            else:
+                out.append(pa.array([self._word(word.translate(self.spelt)) for word in part], pa.large_binary()))
+        return out
+
+    def _letters(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words of Latin letters, which are remembered side by side in two arrays."""
+        at = pc.index_in(words, value_set=self.seen)
+        new = words.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy().copy()
+        at[at < 0] = len(self.seen) + np.arange(len(new))
+        self.seen = pa.concat_arrays([self.seen, new])
+        self.seen_ids = pa.concat_arrays([self.seen_ids, *self._spelt(new.to_pylist())])
+        ids = self.seen_ids.take(pa.array(at))
+        if len(self.seen) > REMEMBERED:  # the last ones stay
+            self.seen, self.seen_ids = words[:REMEMBERED], ids[:REMEMBERED]
+        return ids
+
+    def _ids(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct pieces, as bytes, in an order of their own, and the place there of each piece."""
+        core = pc.ascii_rtrim(pieces, characters=_SIGNS.decode())
+        letters = pc.match_substring_regex(core, f"^[{_LETTERS}]+$") if self.plain else pa.array(np.zeros(len(pieces), bool))
+        words = core.filter(letters).dictionary_encode()
+        signs = pc.utf8_ltrim(pieces.filter(letters), characters=_LETTERS).dictionary_encode()
+        after = pa.array([self.known[sign.encode()] if sign else b"" for sign in signs.dictionary.to_pylist()], pa.large_binary())
+        ids = pc.binary_join_element_wise(self._letters(words.dictionary).take(words.indices), after.take(signs.indices), pa.scalar(b"", pa.large_binary()))
+        others = pieces.filter(pc.invert(letters)).cast(pa.large_binary()).to_pylist()
+        ids = pa.concat_arrays([ids, pa.array([self.known[piece] for piece in others], pa.large_binary())])
+        self.known.trim()
+        self.words.trim()
+        first = letters.to_numpy(zero_copy_only=False)
+        place = np.empty(len(pieces), np.int32)
+        place[first], place[~first] = np.arange(len(words)), np.arange(len(words), len(pieces))
+        return ids, place
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and how many each has; null texts are empty."""
@@ -110,19 +138,11 @@ class PieceEncoder:
         texts = pc.if_else(pc.match_substring(texts, SPECIAL.decode()), texts, pc.ascii_lower(texts))
         pieces = pc.ascii_split_whitespace(texts)
         found = pieces.flatten().dictionary_encode()
-        distinct, number = found.dictionary.cast(pa.large_binary()).to_pylist(), found.indices.to_numpy()
-        if self.plain:
-            self._learn(distinct)
-        ids = [self.known[piece] for piece in distinct]
-        self.known.trim()
-        self.words.trim()
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, heads = np.frombuffer(b"".join(ids), "<i4"), np.cumsum(sizes) - sizes
-        each = sizes[number]
-        before = np.concatenate([[0], np.cumsum(each)])
-        at = np.repeat(heads[number] - before[:-1], each)
-        at += np.arange(len(at))
-        return flat[at], np.diff(before[pieces.offsets.to_numpy()])
+        ids, place = self._ids(found.dictionary)
+        _, ends, flat = ids.take(pa.array(place[found.indices.to_numpy()])).buffers()
+        before = np.frombuffer(ends, np.int64, len(found) + 1) // 4
+        flat = np.frombuffer(flat, "<i4", before[-1]) if before[-1] else np.zeros(0, "<i4")
+        return flat, np.diff(before[pieces.offsets.to_numpy()])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian bytes."""

@@ -129,3 +129,19 @@ def test_new_words_go_to_the_library_together(library, monkeypatch):
     got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert len(calls) < 30  # of 94 different pieces
+
+
+def test_words_of_letters_are_looked_up_by_arrow(library, monkeypatch):
+    encoder = S.PieceEncoder(queries.definition(queries.tokenizer_path()))
+    words = [f"{a}{b}{c}ß" for a in "abcdefgh" for b in "ijklöé" for c in "mnopqrst"]
+    texts = ["", " ".join(w + s for w in words for s in ("", ",", '."', "-")), " ".join(words[:9]), "it's x9, ... <|endoftext|>Ab 日本 -", None]
+    wanted = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (S.REMEMBERED, 7, 0):
+        monkeypatch.setattr(S, "REMEMBERED", most)
+        for _ in range(2):  # with the words of before, too
+            ids, sizes = encoder.encode_column(pa.array(texts))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted
+        assert len(encoder.seen) == len(encoder.seen_ids) <= most
+    assert len(encoder.known) + len(encoder.known.before) < 20  # not the 1,536 words with and without signs
+    plain = np.concatenate([encoder.encode_column(pa.array([t]))[0] for t in ("", "  ", None)])
+    assert plain.tolist() == []
