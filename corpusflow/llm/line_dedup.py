@@ -1,4 +1,4 @@
-"""Repeated lines by a segment-partition edit join: equal segments of lines propose, banded bit-parallel distance decides.
+"""Repeated lines by a segment-partition edit join: equal segments of lines propose, furthest places on few diagonals decide.
 
 Lines may differ by more edits the longer they are, see :func:`edits_of`.  Lengths fall into classes of one number of edits t;
 the lines of a class have t + 1 segments of one size, the first half counted from the start of the line, the rest from its end.
@@ -75,68 +75,72 @@ def text_digest() -> Column:
     return F.xxhash64("text")
 
 
+def common(a: str, b: str, i: int, j: int) -> int:
+    """Length of the common start of a from i on and b from j on, by growing and then by halving pieces."""
+    start, end = j, min(len(b), len(a) - i + j)
+    size = 8
+    while j < end and a[i : i + size] == b[j : j + size]:
+        i, j, size = i + size, j + size, 2 * size
+    while size > 1 and j < end:
+        size //= 2
+        if a[i : i + size] == b[j : j + size]:
+            i, j = i + size, j + size
+    return min(j, end) - start
+
+
 def distance_within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance in characters is at most ``most``.
 
-    Common ends are cut off.  Of the rest only the diagonals that can stay within ``most`` are computed, all cells of a
-    column at once as bits; the value on the last cell's diagonal never falls, so the loop stops when it is too large.
+    For every number of edits, the furthest place on each diagonal that they can reach; between edits the common characters
+    are passed in few comparisons.  Only diagonals are kept from which the edits left lead back to the last cell's.
     """
-    if abs(len(a) - len(b)) > most:
-        return False
     if len(a) < len(b):
         a, b = b, a
-    lo, hi = 0, len(b)
-    while lo < hi:  # length of the common start, by halves
-        mid = (lo + hi + 1) // 2
-        if a[lo:mid] == b[lo:mid]:
-            lo = mid
-        else:
-            hi = mid - 1
-    a, b = a[lo:], b[lo:]
-    lo, hi = 0, len(b)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if a[len(a) - mid : len(a) - lo] == b[len(b) - mid : len(b) - lo]:
-            lo = mid
-        else:
-            hi = mid - 1
-    a, b = a[: len(a) - lo], b[: len(b) - lo]
-    score = len(a) - len(b)
-    if not b or score > most:
-        return score <= most
-    rows: dict[str, int] = {}
-    for i, c in enumerate(a):
-        rows[c] = rows.get(c, 0) | 1 << i
-    width = 2 * most + 1
-    full = (1 << width) - 1
-    # bit r of column j stands for row j - most + r; rows above the matrix count the columns, as row 0 does
-    # (up, down: differences to the row above in the column before, already in the places of the next column)
-    up, down = full & ~((1 << most) - 1), 0
-    target = 1 << (len(a) - len(b) + most)
-    for j, c in enumerate(b, 1):
-        shift = j - most - 1
-        same = rows.get(c, 0)
-        same = (same >> shift if shift >= 0 else same << -shift) & full
-        x = same | down
-        diagonal = ((((x & up) + up) ^ up) | x) & full
-        right_up, right_down = (down | ~(up | diagonal)) & full, up & diagonal
-        if not diagonal & target:
-            score += 1
-            if score > most:
-                return False
-        lower = diagonal >> 1
-        up, down = (right_down | ~(lower | right_up)) & full, lower & right_up
-    return True
+    n, m = len(a), len(b)
+    last = n - m
+    if last > most:
+        return False
+    # places in b by diagonal, from -most - 1 on; the place in a is further by the diagonal
+    none, middle = -2, most + 1
+    reached = [none] * (2 * most + 3)
+    reached[middle] = j = common(a, b, 0, 0)
+    if last == 0 and j == m:
+        return True
+    for edits in range(1, most + 1):
+        left = most - edits
+        further = [none] * (2 * most + 3)
+        for k in range(max(-edits, last - left), min(edits, last + left) + 1):
+            at = middle + k
+            j, other = reached[at] + 1, reached[at + 1] + 1
+            if other > j:
+                j = other
+            other = reached[at - 1]
+            if other > j:
+                j = other
+            if j < 0 or j + k < 0:
+                continue
+            if j >= m or j + k >= n:
+                j = min(m, n - k)
+            elif a[j + k] == b[j]:
+                j += common(a, b, j + k, j)
+            if k == last and j == m:
+                return True
+            further[at] = j
+        reached = further
+    return False
 
 
 class Bags:
     """Lengths and character counts of lines.  An edit adds at most one character to a line and takes at most one from it."""
 
-    def __init__(self, texts: list[str], edits: int) -> None:
+    def __init__(self, texts: list[str], edits: int, line: list[int] | None = None) -> None:
+        """``line``: numbers of the texts that the lines are, if not each text is one."""
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         self.lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         kinds = np.repeat(np.arange(len(texts)), self.lengths) * KINDS + points % KINDS
         self.counts = np.bincount(kinds, minlength=KINDS * len(texts)).reshape(-1, KINDS).astype(np.int32)
+        if line is not None:
+            self.lengths, self.counts = self.lengths[line], self.counts[line]
         self.edits = edits
 
     def possible(self, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
@@ -394,17 +398,20 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
     known: dict[tuple[int, int], bool] = {}  # every task starts with none; only spares comparing a pair again
 
     def compared(table: pa.Table) -> tuple[Bags, np.ndarray, Callable[[int, int], bool]]:
-        texts, ids = table["payload"].to_pylist(), table["id"].to_pylist()
+        # a line stands in many lists of a table
+        names, first, line = np.unique(table["id"].to_numpy(), return_index=True, return_inverse=True)
+        texts, ids, line = table["payload"].take(pa.array(first)).to_pylist(), names.tolist(), line.tolist()
 
         def near(x: int, y: int) -> bool:
-            pair = (ids[x], ids[y]) if ids[x] < ids[y] else (ids[y], ids[x])
+            x, y = line[x], line[y]
+            pair = (ids[x], ids[y]) if x < y else (ids[y], ids[x])
             if (is_near := known.get(pair)) is None:
                 if len(known) >= PAIRS:
                     known.clear()
                 is_near = known[pair] = linked_lines(texts[x], texts[y], edits)
             return is_near
 
-        return Bags(texts, edits), np.array(table["indexed"].to_pylist(), bool), near
+        return Bags(texts, edits, line), np.array(table["indexed"].to_pylist(), bool), near
 
     def by_distance(table: pa.Table) -> Matcher:
         bags, indexed, near = compared(table)

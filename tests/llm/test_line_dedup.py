@@ -206,3 +206,25 @@ def test_keys_travel_in_arrays(spark):
     assert "Window" not in found._jdf.queryExecution().toString()
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_distance_of_long_lines_takes_few_comparisons(monkeypatch):
+    rng, calls, one = random.Random(12), [], L.common
+    monkeypatch.setattr(L, "common", lambda a, b, i, j: calls.append(one(a, b, i, j)) or calls[-1])
+    for alphabet in ("ab", "abcdefgh é\U0001f600"):
+        for length in (0, 1, 30, 120, 400):
+            a = "".join(rng.choice(alphabet) for _ in range(length))
+            for n in range(0, 13, 3):
+                b = changed(rng, a, n) if a else "x" * n
+                d = brute.edit_distance(a, b)
+                assert [L.distance_within(x, y, t) for x, y in ((a, b), (b, a)) for t in range(14)] == [d <= t for _ in range(2) for t in range(14)]
+    long = "".join(rng.choice("abcdefgh ") for _ in range(6_000))
+    far = changed(rng, long, 60)
+    calls.clear()
+    assert not L.distance_within(long, far, 20) and len(calls) <= 20**2 + 1  # by places of one line, there were 6,000 columns
+
+
+def test_bags_of_lines_that_repeat():
+    texts, line = ["abc" * 9, "abd" * 9, "", "é" * 30], [3, 0, 0, 1, 2, 1]
+    every, distinct, n = L.Bags([texts[i] for i in line], 2), L.Bags(texts, 2, line), np.arange(len(line))
+    assert all(distinct.possible(x, n).tolist() == every.possible(x, n).tolist() for x in range(len(line)))
