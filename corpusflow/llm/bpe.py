@@ -21,6 +21,8 @@ from corpusflow.llm.texts import Remembered, pieces_of
 
 # Words, pieces of text and pairs of tokens that a worker remembers; beyond it the longest unused go.
 REMEMBERED = 400_000
+# Longer pieces, in bytes, seldom come again and take the most memory: only the words in them are remembered.
+LONGEST = 48
 _SIGNS = b"!\"#%&'()*+,-./:;=?"
 # White space as the tokenizer's patterns mean it: Unicode White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -142,7 +144,7 @@ class WordBpe:
         self.matches = SuffixAutomaton(self.tokens).matches
         self.fits = Remembered(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), REMEMBERED)
         self.words = Remembered(self.word, REMEMBERED)
-        self.pieces = Remembered(self.piece, REMEMBERED)
+        self.pieces = Remembered(self.piece, REMEMBERED, LONGEST)
         # whether ASCII letters are words as they stand, and punctuation behind them is apart
         self.apart = all(self.split.findall(ascii_lowercase + sign) == [ascii_lowercase, sign] for sign in _SIGNS.decode())
 
@@ -188,13 +190,15 @@ class WordBpe:
         if not text.isascii():
             # lower case character by character: no special form at the end of a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return [self.words[word] for word in self.split.findall(text.lower())]
+        words = self.split.findall(text.lower())
+        # a piece that is one word is remembered as a piece, not once more as a word
+        return [self.word(words[0])] if len(words) == 1 else [self.words[word] for word in words]
 
     def piece(self, piece: bytes) -> bytes:
         """Ids of a piece of text without ASCII white space; the strings of special tokens become those tokens."""
         if self.apart:
-            if piece.isalpha():
-                return self.words[piece.lower().decode()]
+            if piece.isalpha():  # remembered as a piece, not once more as a word
+                return self.word(piece.lower().decode())
             core = piece.rstrip(_SIGNS)
             if len(core) < len(piece) and core[-1:].isalpha():
                 return self.pieces[core] + self.pieces[piece[len(core) :]]

@@ -108,10 +108,11 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.n
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1_000_000, keeps: Sequence[str] = ()) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of at most ``most`` bytes of text (or of ids) each, or one row, so that arrays beside them stay bounded.
 
-    What the worker keeps of other kinds than ``keeps`` for later tasks goes, so that the steps of a job don't add up.
+    What the worker keeps of other kinds than ``keeps`` for later tasks goes, and what is free goes back to the system before and
+    after, so that the steps of a job don't add up.
     """
-    if let_go(keeps):
-        give_back_memory()
+    let_go(keeps)
+    give_back_memory()
     for batch in batches:
         if pa.types.is_list(batch.schema.field(column).type):
             at = batch.column(column).offsets.to_numpy().astype(np.int64) * 4
@@ -122,6 +123,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    batch = at = None
+    give_back_memory()
 
 
 def give_back_memory() -> None:
@@ -139,16 +142,21 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 class Remembered(dict):
-    """Values of a function by its argument, made once each; of more than ``most`` the longest unused are forgotten."""
+    """Values of a function by its argument, made once each; of more than ``most`` the longest unused are forgotten.
 
-    def __init__(self, make: Callable, most: int) -> None:
+    Arguments longer than ``longest`` are not remembered.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int | None = None) -> None:
         super().__init__()
-        self.make, self.most, self.before = make, most, {}
+        self.make, self.most, self.longest, self.before = make, most, longest, {}
 
     def __missing__(self, key):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
+            if self.longest is not None and len(key) > self.longest:
+                return value
         self[key] = value
         return value
 

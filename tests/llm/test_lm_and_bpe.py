@@ -36,6 +36,17 @@ def test_ids_and_texts_equal_the_library(spark):
     assert back == [library.decode(ids, skip_special_tokens=False) for ids in want.values()]
 
 
+def test_a_worker_remembers_each_word_once():
+    from corpusflow.llm import bpe
+
+    encoder = bpe.WordBpe(bpe.definition(tokenizer_path()))
+    texts = [" ".join(f"{a}{b}слово{b}" for a in "abcdefgh" for b in "ijklm"), "plain words and plain words, again", "x.y" * 40]
+    first = encoder.encode([t.encode() for t in texts])
+    assert encoder.encode([t.encode() for t in texts]) == first
+    assert not {w.encode() for w in encoder.words} & encoder.pieces.keys()
+    assert max(map(len, encoder.pieces)) <= bpe.LONGEST
+
+
 def test_suffix_automaton_finds_all_strings():
     rng = random.Random(4)
     for _ in range(60):
