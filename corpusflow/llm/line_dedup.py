@@ -49,6 +49,9 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS = 1 << 20
 _KNOWN: dict[int, np.ndarray] = {}
 _MIXED = mixed(np.arange(1, 1025, dtype=np.uint64))
+# Code points weighed at once, so that the arrays stay in the processor's cache, and the segments of classes, made once.
+_CACHED = 1 << 15
+_SEGMENTS: dict[tuple[int, int], tuple] = {}
 # Text whose keys go to one task, about, parts that a task gets of them, and keys that a task deals out together.
 KEY_BYTES = 8_000_000
 PARTS = 8
@@ -188,16 +191,24 @@ class HashedLines:
 
     def __init__(self, texts: list[str | None]) -> None:
         whole = "\n".join([t or "" for t in texts])
-        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(whole.encode(), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         breaks = np.flatnonzero(points == 10)
         self.starts = np.concatenate([[0], breaks + 1])
         self.lengths = np.append(breaks, len(points)) - self.starts
-        weighted = _MIXED[np.minimum(points, len(_MIXED) - 1)]
-        rare = np.flatnonzero(points >= len(_MIXED))
-        weighted[rare] = mixed(points[rare].astype(np.uint64) + np.uint64(1))
-        weighted *= known_powers(len(points), _STEP)
-        self.sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum(weighted, out=self.sums[1:])
+        steps = known_powers(len(points), _STEP)
+        self.sums = np.empty(len(points) + 1, np.uint64)
+        self.sums[0] = 0
+        for a in range(0, len(points), _CACHED):
+            part = points[a : a + _CACHED]
+            if part.dtype == np.uint8:
+                weighted = _MIXED[part]
+            else:
+                weighted = _MIXED[np.minimum(part, len(_MIXED) - 1)]
+                rare = np.flatnonzero(part >= len(_MIXED))
+                weighted[rare] = mixed(part[rare].astype(np.uint64) + np.uint64(1))
+            weighted *= steps[a : a + _CACHED]
+            weighted[:1] += self.sums[a]
+            np.cumsum(weighted, out=self.sums[a + 1 : a + 1 + len(part)])
         self.back = known_powers(len(points) + 1, _BACK)
         self.per_text = np.array([(t or "").count("\n") + 1 for t in texts], np.int64)
 
@@ -215,40 +226,57 @@ def keys_of(lines: HashedLines, chosen: np.ndarray, edits: int) -> Iterator[tupl
     """
     if not len(chosen):
         return
-    length = lines.lengths[chosen]
+    length, ids = lines.lengths[chosen], lines.ids(chosen)
     every = classes(int(length.max()), edits)
     at = np.searchsorted([low for low, _, _ in every], length, "right") - 1
     for c in np.unique(at).tolist():
-        part = chosen[at == c]
-        yield from keys_by_class(lines, part, *every[c])
+        part = at == c
+        part, own = chosen[part], ids[part]
+        yield from keys_by_class(lines, part, own, *every[c])
         below = c - 1
         while below >= 0 and every[below][1] + every[below][2] >= every[c][0]:  # a shorter line of it is within reach
-            reach = every[below][1] + every[below][2]
-            yield from keys_by_class(lines, part[lines.lengths[part] <= reach], *every[below])
+            near = lines.lengths[part] <= every[below][1] + every[below][2]
+            yield from keys_by_class(lines, part[near], own[near], *every[below])
             below -= 1
 
 
-def keys_by_class(lines: HashedLines, chosen: np.ndarray, low: int, high: int, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of lines, none shorter than the class, in that class: indexed are unmoved segments of the class's own lines.
+def segments(low: int, t: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Of the class from length ``low`` on: the size of segments and, for each key of a line, its place, whether that counts
+    from the line's end, what names its segment, 1 if it is unmoved; and whether all lie inside every line of the class or longer.
 
     Of t + 1 segments one, the i-th from 0, is unchanged with exactly i edits before it and so at most t - i behind it.
     Counted from the start of the line it moves by at most i, counted from the end by at most t - i.
     """
-    size, i = low // (t + 1), np.arange(t + 1)
-    reach = np.minimum(i, t - i)
-    move = np.concatenate([np.arange(-r, r + 1) for r in reach.tolist()])
-    i = np.repeat(i, 2 * reach + 1)
-    from_end = i > t - i
-    place, name = np.where(from_end, i - t - 1, i) * size + move, mixed((i + (low << 24)).astype(np.uint64))
+    if (low, t) not in _SEGMENTS:
+        size, i = low // (t + 1), np.arange(t + 1)
+        reach = np.minimum(i, t - i)
+        move = np.concatenate([np.arange(-r, r + 1) for r in reach.tolist()])
+        i = np.repeat(i, 2 * reach + 1)
+        from_end = i > t - i
+        place, name = np.where(from_end, i - t - 1, i) * size + move, mixed((i + (low << 24)).astype(np.uint64))
+        within = np.where(from_end, (place + low >= 0) & (place + size <= 0), (place >= 0) & (place + size <= low))
+        _SEGMENTS[low, t] = size, place, from_end, name, (move == 0).astype(np.int64), bool(within.all())
+    return _SEGMENTS[low, t]
+
+
+def keys_by_class(lines: HashedLines, chosen: np.ndarray, ids: np.ndarray, low: int, high: int, t: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of lines, none shorter than the class, in that class: indexed are unmoved segments of the class's own lines."""
+    size, place, from_end, name, unmoved, within = segments(low, t)
     step = max(1, _PIECE // len(place))
     for a in range(0, len(chosen), step):
         part = chosen[a : a + step]
-        length = lines.lengths[part][:, None]
-        start = place[None, :] + from_end[None, :] * length
-        row, column = np.nonzero((start >= 0) & (start + size <= length))
-        start = lines.starts[part][row] + start[row, column]
-        key = mixed(lines.hashes(start, np.full(len(start), size)) ^ name[column]).view(np.int64)
-        yield key, lines.ids(part)[row] * 2 + ((lines.lengths[part] <= high)[row] & (move[column] == 0))
+        length, first = lines.lengths[part], lines.starts[part]
+        end = first + length
+        start = np.where(from_end, end[:, None], first[:, None]) + place
+        if not within:
+            inside = (start >= first[:, None]) & (start + size <= end[:, None])
+            start = np.clip(start, 0, len(lines.sums) - 1 - size)
+        value = lines.sums[start + size]
+        value -= lines.sums[start]
+        value *= lines.back[start]
+        key = mixed(value + name).view(np.int64)
+        row = (2 * ids[a : a + step])[:, None] + (length <= high)[:, None] * unmoved
+        yield (key.ravel(), row.ravel()) if within else (key[inside], row[inside])
 
 
 def key_arrays(batches: Iterable[pa.RecordBatch], edits: int, min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -293,9 +321,9 @@ def shared_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     def dealt_rows(pieces: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         key, row = (np.concatenate(x) for x in zip(*pieces, strict=True))
         salt = np.where(np.isin(key, hot), (row >> 1) % SALTS + 1, 0) if len(hot) else np.zeros(1, np.int64)
-        part = (mixed(key.view(np.uint64) + salt.astype(np.uint64) * _STEP) % parts).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        pairs, part = np.stack([key[order], row[order]], 1), part[order]
+        part = (mixed(key.view(np.uint64) + salt.astype(np.uint64) * _STEP) % parts).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+        order = np.argsort(part, kind="stable")  # numbers of 16 bits go by radix
+        pairs, part = np.stack([key[order], row[order]], 1), part[order].astype(np.int32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         at = (16 * np.append(first, len(part))).astype(np.int32)
         held = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(pairs)])
@@ -316,10 +344,11 @@ def shared_keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = b"".join([x for batch in batches for x in batch.column("pairs").to_pylist()])
         key, row = np.frombuffer(raw, np.int64).reshape(-1, 2).T
-        order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        company = np.zeros(len(key), bool)
-        company[order[1:][same]] = company[order[:-1][same]] = True
+        # few keys come more than once: others go by their low bits before rows are put in order
+        ordered, low = np.sort(key), (1 << max(len(key).bit_length(), 8)) - 1
+        several = np.zeros(low + 1, bool)
+        several[ordered[1:][ordered[1:] == ordered[:-1]] & low] = True
+        company = several[key & low]
         if len(hot):
             company |= np.isin(key, hot)
         key, row = key[company], row[company]
@@ -360,13 +389,15 @@ def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("doc_id", "text", text_digest().alias("row")).mapInArrow(places, T.StructType([docs.schema["doc_id"], *longs]))
 
 
-def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(id, label) of the lines that have a partner within the edits of the shorter; label is the same all over a component."""
-    first = written(places.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("at")).select("id", "at.*"), "lines")
+def line_classes(docs: DataFrame, by_id: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(id, label) of the lines that have a partner within the edits of the shorter; label is the same all over a component.
+
+    ``by_id``: (id, at), with a place of each line.
+    """
     lists = written(shared_keys(docs, edits, min_chars), "lists")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = written(first.join(broadcast_if_small(ids, BROADCAST_KEYS), "id", "left_semi"), "wanted")
+        wanted = written(by_id.select("id", "at.*").join(broadcast_if_small(ids, BROADCAST_KEYS), "id", "left_semi"), "wanted")
         source = docs.select(F.col("doc_id").alias("d"), "text", text_digest().alias("r"))
         per_text = wanted.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "id")).alias("at"))
         found = source.join(broadcast_if_small(per_text), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("r") == F.col("row")))
@@ -380,9 +411,12 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
 
         return found.select("text", "at").mapInArrow(chosen, "id long, text string").dropDuplicates(["id"])
 
+    held: list[DataFrame] = []  # texts of all lines in lists of several: what is compared later is among them
+
     def verify(pairs: DataFrame) -> DataFrame:
         ends = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ends")
         texts = written(texts_of(ends), "texts")
+        held.append(texts)
         left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
 
         def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +468,7 @@ def line_classes(docs: DataFrame, places: DataFrame, edits: int, min_chars: int)
         return possible, near
 
     def apart(rest: DataFrame) -> DataFrame:
-        texts = written(texts_of(written(rest.select("id").distinct(), "ends")), "texts")
+        (texts,) = held
         # lines that are alike meet in many lists, so lists of one family are compared in few tasks
         lists = rest.groupBy("key").agg(F.min("label").alias("least"), F.count(F.lit(1)).alias("n"))
         parts = lists.groupBy("least").agg(F.ceil(F.sum("n") / KIN).alias("parts"))
@@ -456,9 +490,10 @@ def deduplicated(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     their own, and of lines at one place of them one stays.  Rows without doc_id are first of all.
     """
     places = written(line_places(docs, min_chars), "places")
-    labels = written(line_classes(docs, places, edits, min_chars), "classes")
-    by_id = places.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("at"), F.max(F.struct(*PLACE)).alias("last"))
-    named = by_id.join(labels, "id", "left").where("label IS NOT NULL OR NOT (at <=> last)")
+    ends = places.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("at"), F.max(F.struct(*PLACE)).alias("last"))
+    by_id = written(ends.select("id", "at", (~F.col("at").eqNullSafe(F.col("last"))).alias("repeats")), "lines")
+    labels = written(line_classes(docs, by_id, edits, min_chars), "classes")
+    named = by_id.join(broadcast_if_small(labels, BROADCAST_KEYS), "id", "left").where("label IS NOT NULL OR repeats")
     stay = named.groupBy(F.coalesce("label", "id").alias("class")).agg(F.min("at").alias("stays"))
     repeated = named.select("id", F.coalesce("label", "id").alias("class")).join(stay, "class").select("id", "stays")
     gone = places.join(broadcast_if_small(written(repeated, "repeated")), "id").where("NOT (struct(doc_id, line, row) <=> stays)")

@@ -228,3 +228,25 @@ def test_bags_of_lines_that_repeat():
     texts, line = ["abc" * 9, "abd" * 9, "", "é" * 30], [3, 0, 0, 1, 2, 1]
     every, distinct, n = L.Bags([texts[i] for i in line], 2), L.Bags(texts, 2, line), np.arange(len(line))
     assert all(distinct.possible(x, n).tolist() == every.possible(x, n).tolist() for x in range(len(line)))
+
+
+def test_texts_of_lines_are_fetched_once(spark, monkeypatch):
+    """Lines that are compared in the second round are among those of the first, whose texts are there already."""
+    names, one = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, name="stage": names.append(name) or one(df, name))
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("abcdefghijkl ") for _ in range(16)) for _ in range(30)]
+    texts = [s + "".join(rng.choice("mnopqr") for _ in range(8)) for s in stems for _ in range(4)]
+    texts += [changed(rng, t, 1) for t in texts[::3]]
+    L.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert names.count("texts") == names.count("lines") == 1
+
+
+def test_segments_of_a_class_are_made_once(monkeypatch):
+    calls, one = [], L.mixed
+    lines = L.HashedLines(["\n".join("abcdefgh é"[i % 10] * 7 + str(i) * 20 for i in range(40))])
+    first = [x.tolist() for pair in L.keys_of(lines, np.arange(40), 2) for x in pair]
+    monkeypatch.setattr(L, "mixed", lambda x: calls.append(len(x)) or one(x))
+    assert [x.tolist() for pair in L.keys_of(lines, np.arange(40), 2) for x in pair] == first
+    classes = {c for c in L.classes(int(lines.lengths.max()), 2) if c[1] >= 20}
+    assert len(calls) <= 1 + 2 * len(classes)  # the lines' numbers, and one array of keys for each class and reach
